@@ -2,7 +2,8 @@
 
 Seven rules vote good, bad or abstain on each document. Expectation-maximisation over the histogram of vote patterns (at most
 3**7 rows whatever the corpus size, which is all that the driver sees) estimates how each rule votes on good and on bad documents; a document
-is kept when its posterior probability of being good reaches `least`. The features are computed once, in one scan, and written to the shared folder.
+is kept when its posterior probability of being good reaches `least`. Documents that fail the base rules
+are rejected whatever the votes and are not learnt from. The features are computed once, in one scan, and written to the shared folder.
 
 Null and empty texts have no words: the four measures are 0 and base_failed is true. Repeated rows are judged each for itself; rows with a
 null doc_id are judged like others. An empty table gives an empty result. Any further columns may have any names: they travel in a struct."""
@@ -86,7 +87,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[
                 g = sum(n * belief[v] for v, n in patterns if v[k] == x)
                 b = sum(n * (1 - belief[v]) for v, n in patterns if v[k] == x)
                 # half a vote of smoothing: a rule that never voted so is not taken as certain
-                rules[k][x] = ((g + 0.5) / (good + 1.5), (b + 0.5) / (bad + 1.5))
+                p, q = (g + 0.5) / (good + 1.5), (b + 0.5) / (bad + 1.5)
+                # every rule is taken to be better than chance when it votes bad
+                rules[k][x] = (min(p, q / 3), q) if x < 0 else (p, q)
         belief = {v: 1 / (1 + math.exp(-max(-60.0, min(60.0, log_odds(prior, rules, v))))) for v, _ in patterns}
     return prior, rules
 
@@ -99,7 +102,7 @@ def quality_rules(docs: DataFrame, carry: list[str], least: float = 0.5) -> Data
     """Struct `row` of the carried columns, the measures, base_failed, the votes, `posterior` and `kept`."""
     f = saved(features(docs, carry).withColumns({f"vote_{k}": v for k, v in votes().items()}), "quality")
     names = [f"vote_{k}" for k in RULES]
-    patterns = sorted((tuple(r[:-1]), r[-1]) for r in f.where("n_words > 0").groupBy(*names).count().collect())
+    patterns = sorted((tuple(r[:-1]), r[-1]) for r in f.where("n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words").groupBy(*names).count().collect())
     prior, rules = fit(patterns)
     odds = F.lit(math.log(prior / (1 - prior)))
     for name, r in zip(names, rules, strict=True):
