@@ -70,7 +70,7 @@ def mix(docs: DataFrame, carry: list[str], share: float = 1.5, most: float = 2.0
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(table(spark, sf_dir).select("doc_id", "source", "text"), ["doc_id"])
-    m = m.select("row.doc_id", "size", "source_size", "target", "taken", "copies", "position", "again")
+    m = m.select("row.doc_id", "size", "source_size", "target", "taken", "position")
     return m.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -82,9 +82,13 @@ s2 AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
 s3 AS (SELECT *, cap / weight AS ratio, (SELECT sum(source_size) FROM s0) * 1.5::DOUBLE AS demand FROM s2),
 s4 AS (SELECT *, (demand - coalesce(sum(cap) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM s3),
 s5 AS (SELECT *, (SELECT max(lev) FROM s4 WHERE lev <= ratio) AS level FROM s4),
-t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM s5),
-o AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target / greatest(t.source_size, 1)) AS passes,
+t AS (SELECT source, rank, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM s5),
+o AS (SELECT d.doc_id, d.size, t.rank, t.source_size, t.target, floor(t.target / greatest(t.source_size, 1)) AS passes,
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY CAST(('0x' || substr(k, 1, 4)) AS INT) % 256, k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (passes + CASE WHEN size > 0 AND 2 * start + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+c AS (SELECT *, CAST(passes + CASE WHEN size > 0 AND 2 * start + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+  CASE WHEN copies > 0 THEN CASE WHEN rank % 2 = 1 THEN 1.5::DOUBLE - sqrt(2.25::DOUBLE - 2.0::DOUBLE * least(1.0::DOUBLE, start / greatest(target, 1.0::DOUBLE)))
+    ELSE 1 - (1.5::DOUBLE - sqrt(2.25::DOUBLE - 2.0::DOUBLE * least(1.0::DOUBLE, (target - least(CAST(start AS DOUBLE), target)) / greatest(target, 1.0::DOUBLE)))) END END AS position
+FROM c
 """

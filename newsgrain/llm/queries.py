@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_mixing
+from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from .quality_rules import op6_quality_rules
+from .substring_dedup import OP9_SQL, op9_substring_dedup
+from .token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_token_counts": op2_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
