@@ -85,7 +85,7 @@ s5 AS (SELECT *, (SELECT max(lev) FROM s4 WHERE lev <= ratio) AS level FROM s4),
 t AS (SELECT source, rank, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM s5),
 o AS (SELECT d.doc_id, d.size, t.rank, t.source_size, t.target, floor(t.target / greatest(t.source_size, 1)) AS passes,
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY CAST(('0x' || substr(k, 1, 4)) AS INT) % 256, k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, CAST(passes + CASE WHEN size > 0 AND 2 * start + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
   CASE WHEN copies > 0 THEN CASE WHEN rank % 2 = 1 THEN 1.5::DOUBLE - sqrt(2.25::DOUBLE - 2.0::DOUBLE * least(1.0::DOUBLE, start / greatest(target, 1.0::DOUBLE)))
