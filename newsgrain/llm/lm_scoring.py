@@ -1,7 +1,7 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 The model is a trie of byte contexts up to ORDER long with the counts of the bytes that follow (and of the end). A byte is predicted in its longest context; a byte not seen there
-escapes to the next shorter one with probability distinct / (total + distinct), where the bytes of the longer context no longer count (symbol exclusion), down to
+escapes to the next shorter one with probability distinct / (2 * total) (and a byte seen n times has (2 n - 1) / (2 * total)), where the bytes of the longer context no longer count (symbol exclusion), down to
 equal shares for what is left. The score is the log10 probability of the text with A-Z lower-cased, and of its end.
 
 All training texts are counted: each task counts its (context, byte) grams, and Spark adds them up. The trie goes to the tasks in pieces of at most MOST grams, dealt by the last two bytes
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .blocks import M1, U, as_long, batch, lists, text_blocks, word_hashes
 from .common import saved, table
 
-ORDER, BITS, END, START = 4, 9, 256, 257
+ORDER, BITS, END, START = 5, 9, 256, 257
 MOST, HEAD = 4_000_000, 1 << 17
 FOLD = np.arange(256)
 FOLD[65:91] += 32
@@ -96,7 +96,7 @@ class Trie:
         starts = np.flatnonzero(np.diff(context, prepend=-1))
         total = np.add.reduceat(n, starts) if len(keys) else n
         distinct = np.diff(starts, append=len(keys))
-        self.keys, self.value = keys, np.log10(n / np.repeat(total + distinct, distinct))
+        self.keys, self.value = keys, np.log10((2 * n - 1) / np.repeat(2 * total, distinct))
         self.bits = max(8, int(2 * len(keys) + 1).bit_length())
         self.slot = np.full(1 << self.bits, -1, np.int32)
         self.slot[self._place(keys)] = np.arange(len(keys))
@@ -133,9 +133,9 @@ class Trie:
             here = {s: m for s, m in here.items() if s not in gone}
             if not here:
                 continue
-            total = sum(here.values()) + len(here)
+            total = 2 * sum(here.values())
             if symbol in here:
-                out += math.log10(here[symbol] / total)
+                out += math.log10((2 * here[symbol] - 1) / total)
                 break
             out += math.log10(len(here) / total)
             gone |= here.keys()
