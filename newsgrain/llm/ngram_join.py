@@ -56,8 +56,8 @@ def min_hashes(s: np.ndarray) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity bitmap of at least len(s) bits, a power of two."""
-    width = max(64, 1 << int(len(s) - 1).bit_length())
+    """Parity bitmap of at least 4 * len(s) bits, a power of two: so wide that few of the shingles in which two near sets differ cancel out."""
+    width = max(64, 1 << int(4 * len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -174,36 +174,45 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(a=b.column("a"), b=b.column("b")).filter(pa.array(keep, pa.bool_()))
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that lie in different components and whose signatures allow a link; rows sorted by cell, i, j. A tile of two blocks compares only across."""
-    for _, t in runs(batches, ["cell", "i", "j"], most=1 << 30):
-        comp, n, rep, block = (t.column(k).to_numpy() for k in ("comp", "n", "rep", "block"))
-        order = np.argsort(n, kind="stable")
-        comp, n, rep, block = comp[order], n[order], rep[order], block[order]
-        sigs = t.column("sig").to_pylist()
-        sigs = [np.frombuffer(sigs[k], np.uint8) for k in order]
-        widths = np.array([8 * len(s) for s in sigs])  # grows with n
-        two = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        left, right = [], []
-        for width in np.unique(widths):
-            lo = int(np.searchsorted(widths, width))
-            m = np.stack([folded(s, width) for s in sigs[lo : int(np.searchsorted(n, 100 * n[widths == width][-1] // LINK_PERCENT, "right"))]])
-            m = m.view(U) if m.shape[1] >= 8 else m
-            for k in range(lo, lo + int((widths == width).sum())):
-                hi = min(lo + len(m), int(np.searchsorted(n, 100 * n[k] // LINK_PERCENT, "right")))
-                if hi <= k + 1:
-                    continue
-                other = slice(k + 1, hi)
-                bits = np.bitwise_count(m[k + 1 - lo : hi - lo] ^ m[k - lo]).sum(axis=1, dtype=np.int64)
-                ok = may_link(n[k], n[other], bits) & (comp[other] != comp[k])
-                if two:
-                    ok &= block[other] != block[k]
-                if ok.any():
-                    found = rep[other][ok]
-                    left.append(np.minimum(found, rep[k]))
-                    right.append(np.maximum(found, rep[k]))
-        if left:
-            yield batch(a=pa.array(np.concatenate(left)), b=pa.array(np.concatenate(right)))
+def across(best: bool):
+    """Pairs of a tile that lie in different components and whose signatures allow a link, all or for each set the nearest of each other component; rows sorted by cell, i, j.
+    A tile of two blocks compares only across."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in runs(batches, ["cell", "i", "j"], most=1 << 30):
+            comp, n, rep, block = (t.column(k).to_numpy() for k in ("comp", "n", "rep", "block"))
+            order = np.argsort(n, kind="stable")
+            comp, n, rep, block = comp[order], n[order], rep[order], block[order]
+            sigs = t.column("sig").to_pylist()
+            sigs = [np.frombuffer(sigs[k], np.uint8) for k in order]
+            widths = np.array([8 * len(s) for s in sigs])  # grows with n
+            two = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+            left, right = [], []
+            for width in np.unique(widths):
+                lo = int(np.searchsorted(widths, width))
+                m = np.stack([folded(s, width) for s in sigs[lo : int(np.searchsorted(n, 100 * n[widths == width][-1] // LINK_PERCENT, "right"))]])
+                m = m.view(U) if m.shape[1] >= 8 else m
+                for k in range(lo, lo + int((widths == width).sum())):
+                    hi = min(lo + len(m), int(np.searchsorted(n, 100 * n[k] // LINK_PERCENT, "right")))
+                    other = k + 1 + np.flatnonzero(comp[k + 1 : hi] != comp[k])
+                    if two:
+                        other = other[block[other] != block[k]]
+                    if not len(other):
+                        continue
+                    bits = np.bitwise_count(m[other - lo] ^ m[k - lo]).sum(axis=1, dtype=np.int64)
+                    ok = may_link(n[k], n[other], bits)
+                    if not ok.any():
+                        continue
+                    other, bits = other[ok], bits[ok]
+                    if best:
+                        near = np.lexsort((bits, comp[other]))
+                        other = other[near][np.unique(comp[other][near], return_index=True)[1]]
+                    left.append(np.minimum(rep[other], rep[k]))
+                    right.append(np.maximum(rep[other], rep[k]))
+            if left:
+                yield batch(a=pa.array(np.concatenate(left)), b=pa.array(np.concatenate(right)))
+
+    return run
 
 
 def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +233,14 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after further links (a, b)."""
+    to = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+    then = components(links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    every = comps.unionByName(then.join(comps, "node", "left_anti")).select("node", F.col("comp").alias("mid"))
+    return every.join(then.select(F.col("node").alias("mid"), "comp"), "mid", "left").select("node", F.coalesce("comp", "mid").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -242,19 +259,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = components(saved(linked(stars, docs), "links"))
     dropped(stars)
 
-    # second step: what is left between components
-    at = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    live = at.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("x < y")
-    rows = at.join(live.select("cell", "blocks"), "cell").join(reps.select("rep", "sig"), "rep")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cell", "rep", "n", "comp", "sig", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    pairs = saved(rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(across, "a long, b long").distinct(), "pairs")
-    more = saved(linked(pairs, docs), "links")
-    dropped(met, pairs)
-    to = lambda side: first.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-    second = components(more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    merged = first.unionByName(second.join(first, "node", "left_anti"))
-    merged = merged.select("node", F.col("comp").alias("mid")).join(second.select(F.col("node").alias("mid"), "comp"), "mid", "left").select("node", F.coalesce("comp", "mid").alias("comp"))
+    # second step: what is left between components; the nearest first, then all
+    merged = first
+    for best in (True, False):
+        at = met.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        live = at.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("x < y")
+        rows = at.join(live.select("cell", "blocks"), "cell").join(reps.select("rep", "sig"), "rep")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("cell", "rep", "n", "comp", "sig", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+        pairs = saved(rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(across(best), "a long, b long").distinct(), "pairs")
+        more = saved(linked(pairs, docs), "links")
+        dropped(pairs)
+        merged = saved(joined(merged, more), "merged")
+    dropped(met)
 
     named = reps.select("n_shingles", "d1", "d2", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
