@@ -1 +1,69 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but the last return the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsgrain.llm.common import n_words, saved, table
+from newsgrain.llm.mixing import mix
+from newsgrain.llm.ngram_join import near_duplicates
+from newsgrain.llm.packing import pack
+from newsgrain.llm.quality_rules import quality_rules
+from newsgrain.llm.substring_dedup import substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return quality_rules(docs, docs.columns).where("kept").select("row.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest doc_id; of rows that repeat a doc_id, the one with the smallest text. Rows without a doc_id stay."""
+    found = near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # a repeated doc_id leaves one row; without repeats the counts say so and nothing is shuffled
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    repeated = saved(repeated, "repeated")
+    if repeated.isEmpty():
+        return left
+    twice = left.join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, F.col("doc_id") == F.col("_twice"), "left_semi")
+    once = left.join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, F.col("doc_id") == F.col("_twice"), "left_anti")
+    return once.unionByName(twice.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r")).select("doc_id", "r.*").select(*docs.columns))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; untouched where there is none. Documents of which nothing is left go. n_chars follows the text."""
+    out = substring_dedup(docs, docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    out = out.where("n_removed = 0 OR n_removed < n_words").select("row", text.alias("t"), "n_removed")
+    columns = [F.col("t").alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length("t").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, twice where it takes them twice, in the order of their training positions."""
+    m = mix(docs, docs.columns).where("copies > 0")
+    m = m.withColumn("when", F.explode(F.when(F.col("copies") > 1, F.array("position", "again")).otherwise(F.array("position"))))
+    return m.repartitionByRange("when").sortWithinPartitions("when").select("row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Which bin each part of each document goes to."""
+    return pack(docs, n_words(F.col("text")))
+
+
+STAGES = [("quality rules", quality), ("near duplicates", one_of_each), ("repeated passages", passages), ("mixing", mixed), ("packing", packed)]
+
+#: The label model of the first stage is an iteration that SQL does not express; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -79,11 +79,11 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[
     Where one rule fires and the rest are silent, the likelihood alone cannot tell two classes apart. The estimates are therefore held to what
     the rules are written for: a bad vote falls on at most 1 % of good documents and at least 25 % of bad ones, and at most 80 % are presumed good."""
     belief = {v: 0.1 if min(v) < 0 else 0.9 for v, _ in patterns}
-    prior, rules, total = 0.8, [{x: (1 / 3, 1 / 3) for x in (-1, 0, 1)} for _ in RULES], sum(n for _, n in patterns)
+    prior, rules, total = 0.8, [{x: (1 / 3, 1 / 3) for x in (-1, 0, 1)} for _ in (patterns[0][0] if patterns else RULES)], sum(n for _, n in patterns)
     for _ in range(rounds if patterns else 0):
         good = sum(n * belief[v] for v, n in patterns)
         prior = min(0.8, (good + 1) / (total + 2))
-        for k in range(len(RULES)):
+        for k in range(len(rules)):
             held = {x: [0.5, 0.5] for x in (-1, 0, 1)}
             for v, n in patterns:
                 held[v[k]][0] += n * belief[v]
