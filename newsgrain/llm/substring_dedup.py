@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import U, batch, mixed, rolling, text_blocks, word_hashes
-from .common import dropped, saved, shared_dir, table
+from .common import saved, shared_dir, table
 
 WINDOW, GRAM, BATCHES = 50, 8, 4
 CHECK = U(0xA0761D6478BD642F)
@@ -131,7 +131,7 @@ def merge_join(new: pa.Table, runs: pa.Table) -> pa.Table:
         rd, rh = rd[order], rh[order]
         at = np.flatnonzero(np.concatenate([[True], rd[1:] != rd[:-1]])) if len(rd) else np.empty(0, np.int64)
         for a, b in zip(at, [*at[1:], len(rd)], strict=False):
-            out["shard"].append(-1)
+            out["shard"].append(shard)
             out["doc_id"].append(int(rd[a]))
             out["h"].append(np.unique(rh[a:b]).tobytes())
             out["c"].append(None)
@@ -149,7 +149,7 @@ def compacted(one: pa.Table, other: pa.Table) -> pa.Table:
     h = np.concatenate([unpacked(b) for b in rows.column("h").to_pylist()])
     c = np.concatenate([np.frombuffer(b, np.uint16) for b in rows.column("c").to_pylist()])
     order = np.argsort(h, kind="stable")
-    return pa.table({"shard": rows.column("shard").slice(0, 1), "h": pa.array([packed(h[order])], pa.binary()), "c": pa.array([c[order].tobytes()], pa.binary())})
+    return pa.table({"shard": rows.column("shard").slice(0, 1), "doc_id": pa.nulls(1, pa.int64()), "h": pa.array([packed(h[order])], pa.binary()), "c": pa.array([c[order].tobytes()], pa.binary())})
 
 
 class Index:
@@ -161,11 +161,15 @@ class Index:
         self.shards = shards or 4 * self.buckets
 
     def _write(self, rows: DataFrame) -> str:
+        """rows come out of a (co)group by shard, so each task holds whole buckets and nothing is shuffled again."""
         name = f"run_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{name}"
-        rows.repartition(self.buckets, "shard").write.bucketBy(self.buckets, "shard").sortBy("shard").option("compression", "zstd").option("path", path).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "shard").sortBy("shard").option("compression", "zstd").option("path", path).saveAsTable(name)
         return name
 
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("doc_id IS NULL").select("shard", "h", "c")
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{name}")
@@ -175,21 +179,19 @@ class Index:
         """Index docs (doc_id, text), all of later doc_ids than those before; doc_id and fingerprints of their repeats."""
         if len(self.runs) > 1:
             self.compact()
-        history = self.spark.table(self.runs[0]) if self.runs else self.spark.createDataFrame([], RUN)
+        history = self._run(self.runs[0]) if self.runs else self.spark.createDataFrame([], RUN)
         new = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(dealt(self.shards), "shard int, h binary, c binary, ids binary, at binary")
         found = new.groupBy("shard").cogroup(history.groupBy("shard")).applyInArrow(merge_join, "shard int, doc_id long, h binary, c binary")
-        step = saved(found, "batch")
-        self.runs.append(self._write(step.where("shard >= 0").select("shard", "h", "c")))
-        repeats = saved(step.where("shard < 0").select("doc_id", "h"), "repeats")
-        dropped(step)
-        return repeats
+        self.runs.append(self._write(found))
+        return saved(self.spark.table(self.runs[-1]).where("doc_id IS NOT NULL").select("doc_id", "h"), "repeats")
 
     def compact(self) -> None:
         old = self.runs
-        one, other = (self.spark.table(name).groupBy("shard") for name in old)
-        self.runs = [self._write(one.cogroup(other).applyInArrow(compacted, RUN))]
+        one, other = (self._run(name).groupBy("shard") for name in old)
+        self.runs = [self._write(one.cogroup(other).applyInArrow(compacted, "shard int, doc_id long, h binary, c binary"))]
         for name in old:
             self._drop(name)
+        self.spark._jvm.System.gc()  # lets Spark clean the shuffle files of the batches before
 
     def close(self) -> None:
         for name in self.runs:
