@@ -26,7 +26,7 @@ from .blocks import M1, U, as_long, batch, lists, text_blocks, word_hashes
 from .common import saved, table
 
 ORDER, BITS, END, START = 5, 9, 256, 257
-MOST, HEAD = 4_000_000, 1 << 17
+MOST, HEAD = 2_500_000, 1 << 17
 FOLD = np.arange(256)
 FOLD[65:91] += 32
 WORD_END = np.array([0x5E0F_E11D], U)
@@ -60,11 +60,11 @@ def counted(values_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
         for b in batches:
-            for _, _, data, at in text_blocks(b.column("text")):
+            for _, _, data, at in text_blocks(b.column("text"), 1 << 19):
                 parts.append(np.unique(values_of(data, at), return_counts=True))
-                if len(parts) >= 16:
+                if sum(len(k) for k, _ in parts) > 1_200_000:
                     parts = [_summed(parts)]
-                    if len(parts[0][0]) > 2_000_000:
+                    if len(parts[0][0]) > 800_000:
                         yield batch(key=as_long(parts[0][0]), n=as_long(parts[0][1]))
                         parts = []
         if parts:
@@ -176,7 +176,7 @@ def piece_scores(docs: DataFrame, shared, k: int, pieces: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(*shared.value)
         for b in batches:
-            for lo, hi, data, at in text_blocks(b.column("text"), 1 << 20):
+            for lo, hi, data, at in text_blocks(b.column("text"), 1 << 19):
                 yield batch(at=b.column("at").slice(lo, hi - lo), score=pa.array(trie_scores(trie, data, at, k, pieces)))
 
     return docs.select("at", "text").mapInArrow(run, "at long, score double")
@@ -189,7 +189,7 @@ def first_pass(docs: DataFrame, frequent, shared, pieces: int) -> DataFrame:
         keys, n = frequent.value
         trie, logs = Trie(*shared.value), np.append(np.log10(n + 1.0), 0.0)
         for b in batches:
-            for lo, hi, data, at in text_blocks(b.column("text"), 1 << 20):
+            for lo, hi, data, at in text_blocks(b.column("text"), 1 << 19):
                 words, _, wo = word_hashes(data, at, lower=True)
                 i = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
                 hit = keys[i] == words if len(keys) else np.zeros(len(words), bool)
