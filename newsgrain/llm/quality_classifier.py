@@ -87,7 +87,7 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(sample: pa.Table, label: np.ndarray, rounds: int = 200, rate: float = 0.5) -> np.ndarray:
     """Weights (the last is the bias) of a logistic scorer of word shares, by adaptive gradient steps over the whole sample."""
     n = np.maximum(sample.column("n").to_numpy(), 1)
-    size = np.array([len(x) for x in sample.column("at").to_pylist()])
+    size = np.array([len(x) for x in sample.column("at").to_pylist()], np.int64)
     at = np.concatenate([np.asarray(x, np.int64) for x in sample.column("at").to_pylist()] or [np.empty(0, np.int64)])
     x = np.concatenate([np.asarray(v, float) for v in sample.column("times").to_pylist()] or [np.empty(0)])
     row = np.repeat(np.arange(len(n)), size)
