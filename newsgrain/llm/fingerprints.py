@@ -1,7 +1,7 @@
 """Document fingerprints as Merkle trees, in DataFrame functions only.
 
-A text is cut into paragraphs (lines), and those into leaves that end at content-defined places, so an edit moves no cut that is not near it. Runs of leaves between such whose
-hash is a multiple of eight are sections. A section's hash is that of its leaves' hashes, the root that of the sections'. The fingerprint is
+A text is cut into leaves (clauses of its lines, so at content-defined places: an edit moves no cut that is not near it). Runs of leaves that end with one whose hash begins with
+the digit 0 or 8, one in eight, are sections. A section's hash is that of its leaves' hashes, the root that of the sections'. The fingerprint is
 `root:section.section...:leaf.leaf...` in hexadecimal. Equal texts have equal roots; where roots differ, only sections that the other tree lacks need looking into, and the leaves that
 differ in them locate the edit (`changed`). Likeness is the weight (in leaves) of what both trees hold over that of what either holds, by distinct leaves.
 
@@ -18,25 +18,24 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A leaf ends after a word that ends in one of these letters or marks, at a line end, or after 64 characters.
-LEAF = r"(?s)[^\n]{0,63}?[esntr.,!?;:|*$%&#…。、！？](?:[\x20\x09\x0B-\x0D]+|\n|$)|[^\n]{1,64}\n?|\n"
-FANOUT = 8
+#: A leaf ends after punctuation or a line end and the white space behind it, or after 160 characters.
+LEAF = r"[^.,!?;:|\n。、！？]{1,160}+(?:[.,!?;:|。、！？]+[\x20\x09\x0B-\x0D]*|\n)?|[.,!?;:|。、！？]+[\x20\x09\x0B-\x0D]*|\n"
 
 
 def leaves(text: Column) -> Column:
-    """8 hex digits for each leaf."""
-    return F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(0xFFFFFFFF))), 8, "0"))
+    """16 hex digits for each leaf."""
+    return F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda x: F.right(F.concat(F.lit("000000000000000"), F.hex(F.xxhash64(x))), F.lit(16)))
 
 
 def fingerprint(text: Column) -> Column:
-    # a leaf whose first digit is 0 or 8 ends a section
-    marked = F.array_join(F.transform(leaves(text), lambda x: F.when(F.substring(x, 1, 1).isin("0", "8"), F.concat(x, F.lit("/"))).otherwise(F.concat(x, F.lit(".")))), "")
+    # a leaf whose first digit is 0 or 8 ends a section: one in eight
+    marked = F.regexp_replace(F.array_join(leaves(text), "."), r"(?<![0-9A-F])([08][0-9A-F]{15})\.", "$1/")
     return F.transform(F.array(marked), lambda m: _tree(m))[0]
 
 
 def _tree(marked: Column) -> Column:
-    sections = F.array_join(F.transform(F.split(F.rtrim(marked, F.lit("/.")), "/"), lambda s: F.substring(F.sha2(F.rtrim(s, F.lit(".")), 256), 1, 16)), ".")
-    return F.concat(F.sha2(sections, 256), F.lit(":"), sections, F.lit(":"), F.rtrim(F.translate(marked, "/", "."), F.lit(".")))
+    sections = F.array_join(F.transform(F.split(marked, "/"), lambda s: F.substring(F.sha2(s, 256), 1, 16)), ".")
+    return F.concat(F.sha2(sections, 256), F.lit(":"), sections, F.lit(":"), F.translate(marked, "/", "."))
 
 
 def part(print_: Column, k: int) -> Column:
