@@ -13,7 +13,7 @@ STOP_NOUNS = ("cooperation", "forum", "meeting", "summit", "conference")
 
 def split_multi(c: Column) -> Column:
     """Parts of a `;`-separated list, trimmed, without empties."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalize_na(c: Column) -> Column:
