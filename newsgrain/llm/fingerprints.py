@@ -60,7 +60,7 @@ def changed(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, text (null: empty) and the text of the next document in ascending doc_id, the first after the last."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = d.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / ranges) for k in range(ranges)]), 20 * ranges).alias("c"), F.min("doc_id").alias("m"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("n")).first()
     if cuts.m is None:  # no doc_id at all: texts in order
         cuts_at = []
