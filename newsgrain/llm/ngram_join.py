@@ -175,7 +175,7 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(best: bool):
-    """Pairs of a tile that lie in different components and whose signatures allow a link, all or for each set the nearest of each other component; rows sorted by cell, i, j.
+    """Pairs of a tile that lie in different components and whose signatures allow a link, all or for each set only its nearest; rows sorted by cell, i, j.
     A tile of two blocks compares only across."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +188,7 @@ def across(best: bool):
             widths = np.array([8 * len(s) for s in sigs])  # grows with n
             two = t.column("i")[0].as_py() != t.column("j")[0].as_py()
             left, right = [], []
+            least, nearest = np.full(len(n), 1 << 40), np.full(len(n), -1)
             for width in np.unique(widths):
                 lo = int(np.searchsorted(widths, width))
                 m = np.stack([folded(s, width) for s in sigs[lo : int(np.searchsorted(n, 100 * n[widths == width][-1] // LINK_PERCENT, "right"))]])
@@ -205,12 +206,18 @@ def across(best: bool):
                         continue
                     other, bits = other[ok], bits[ok]
                     if best:
-                        near = np.lexsort((bits, comp[other]))
-                        other = other[near][np.unique(comp[other][near], return_index=True)[1]]
+                        nearer = bits < least[other]
+                        least[other[nearer]], nearest[other[nearer]] = bits[nearer], k
+                        i = int(np.argmin(bits))
+                        if bits[i] < least[k]:
+                            least[k], nearest[k] = bits[i], other[i]
+                        continue
                     left.append(np.minimum(rep[other], rep[k]))
                     right.append(np.maximum(rep[other], rep[k]))
-            if left:
-                yield batch(a=pa.array(np.concatenate(left)), b=pa.array(np.concatenate(right)))
+            own = np.flatnonzero(nearest >= 0)
+            left.append(np.minimum(rep[own], rep[nearest[own]]))
+            right.append(np.maximum(rep[own], rep[nearest[own]]))
+            yield batch(a=pa.array(np.concatenate(left)), b=pa.array(np.concatenate(right)))
 
     return run
 
@@ -259,9 +266,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = components(saved(linked(stars, docs), "links"))
     dropped(stars)
 
-    # second step: what is left between components; the nearest first, then all
-    merged = first
-    for best in (True, False):
+    # second step: what is left between components; each set's nearest until that joins nothing more, then all
+    merged, best, done = first, True, False
+    while not done:
         at = met.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
         live = at.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).where("x < y")
         rows = at.join(live.select("cell", "blocks"), "cell").join(reps.select("rep", "sig"), "rep")
@@ -270,7 +277,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = saved(rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(across(best), "a long, b long").distinct(), "pairs")
         more = saved(linked(pairs, docs), "links")
         dropped(pairs)
+        if more.isEmpty():
+            done, best = not best, False
+            continue
         merged = saved(joined(merged, more), "merged")
+        done = not best
     dropped(met)
 
     named = reps.select("n_shingles", "d1", "d2", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
