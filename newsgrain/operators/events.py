@@ -168,6 +168,14 @@ def period_ranges(spark, start: str, end: str, unit: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.trunc(s, unit), e, F.expr(step))).alias("p")).select(F.greatest("p", s).alias("period_start"), F.least(last, e).alias("period_end"))
 
 
+def backfill_links(high: DataFrame, links: DataFrame, low: DataFrame, low_links: DataFrame) -> DataFrame:
+    """Links (es_id, doc_id) for those period summaries that have none: the documents of the lower summaries of the same name and initiator inside the period."""
+    bare = high.join(links.select("es_id").distinct(), "es_id", "left_anti").select("es_id", "event_name", "initiating_country", "period_start", "period_end")
+    part = low.select(F.col("es_id").alias("low_id"), "event_name", "initiating_country", F.col("period_start").alias("s"), F.col("period_end").alias("e"))
+    inside = bare.join(part, ["event_name", "initiating_country"]).where("s >= period_start AND e <= period_end").select("es_id", "low_id")
+    return inside.join(low_links.withColumnRenamed("es_id", "low_id"), "low_id").select("es_id", "doc_id").distinct()
+
+
 def event_source_links(links: DataFrame, d: DataFrame, newest: int = 5) -> DataFrame:
     """Weight 1.0 for the newest documents of a summary, else 0.5."""
     w = W.partitionBy("es_id").orderBy(F.desc("date"), "doc_id")

@@ -8,8 +8,10 @@ from ..operators import construct as K
 from ..operators import counts as N
 from ..operators import events as E
 from ..operators import facts as P
+from ..operators import graph as G
 from .model import Model
 from .queries_counts import base
+from .queries_events import RNG
 from .registry import query
 
 
@@ -52,7 +54,17 @@ query("event_evidence", "t AS (SELECT id FROM ce WHERE canonical_name = 'Event 5
 )
 query("actor_timeline_feed", "SELECT x.canonical_event_id, x.mention_date, x.article_count FROM dem x JOIN ce ON ce.id = x.canonical_event_id WHERE ce.master_event_id IS NULL AND ce.initiating_country = 'NATION_1' ORDER BY 2 DESC, 1 LIMIT 30", "ce")(lambda m: E.top_k(m.dem.join(E.masters(m.ce).where("initiating_country = 'NATION_1'").select(F.col("id").alias("canonical_event_id")), "canonical_event_id", "left_semi").select("canonical_event_id", "mention_date", "article_count"), [F.desc("mention_date"), F.asc("canonical_event_id")], 30))
 query("summaries_list", "SELECT es_id, event_name, total_documents FROM es ORDER BY period_start DESC, es_id LIMIT 30", "es")(lambda m: E.top_k(m.es, [F.desc("period_start"), F.asc("es_id")], 30).select("es_id", "event_name", "total_documents"))
-query("backfill_links", "SELECT es_id, doc_id FROM links", "links")(lambda m: m.links.where("doc_id % 2 = 0").unionByName(m.links.join(m.links.where("doc_id % 2 = 0"), ["es_id", "doc_id"], "left_anti")))
+
+
+def weekly(m: Model):
+    w = E.rollup_period(m.es, m.links, E.period_ranges(m.spark, "2024-01-03", "2024-01-30", "week"), "week")
+    return w.withColumn("es_id", F.concat(F.lit("W"), "initiating_country", F.lit("|"), "event_name", F.lit("|"), F.col("period_start").cast("string")))
+
+
+query("backfill_links", RNG + ", i AS (SELECT es.*, r.period_start AS ps FROM es JOIN r ON es.period_start >= r.period_start AND es.period_end <= r.period_end) SELECT DISTINCT concat('W', i.initiating_country, '|', i.event_name, '|', CAST(i.ps AS VARCHAR)) AS es_id, l.doc_id FROM i JOIN links l ON l.es_id = i.es_id WHERE i.initiating_country <> 'NATION_1'", "links")(
+    lambda m: E.backfill_links(weekly(m), weekly(m).where("initiating_country = 'NATION_1'"), m.es, m.links)
+)
+query("cluster_daily_entities", None)(lambda m: G.cluster_centroids(G.cluster_by_cosine(m.vectors.withColumn("kind", F.col("label") % 3), ["country", "kind"], 0.3), m.vectors).select("cluster", "n", "representative"))
 query("report_metrics", "SELECT category, count(DISTINCT doc_id) AS raw_docs, count(DISTINCT doc_id) FILTER (WHERE NOT coalesce(self_reported, false)) AS corroborated FROM rb WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY 1", "rb")(
     lambda m: base(m).where("date BETWEEN DATE'1997-01-01' AND DATE'1997-12-31'").groupBy("category").agg(F.count_distinct("doc_id").alias("raw_docs"), F.count_distinct(F.when(~F.coalesce("self_reported", F.lit(False)), F.col("doc_id"))).alias("corroborated"))
 )
