@@ -6,9 +6,10 @@ tile. In a tile, sets are taken in order of size, so that a set meets only those
 the set, in which every shingle flips one hashed bit. Two signatures that differ in h bits belong to sets that differ in at least h shingles, so (n1 + n2 - h) / 2 bounds the
 overlap from above; only pairs that could still link go on to the exact intersection of their sorted arrays, made again from the whole texts.
 
-Groups of near copies are joined in two steps, so that a group of g costs about g comparisons and not g squared: first each set is compared with the first
-set (hub) of its tiles; then only tiles that still hold several components compare across these components, in blocks of rows that are
-dealt out as tasks of their own. No link between components is left out, since every tile with two components is compared in full.
+Groups of near copies are joined in steps, so that a group of g makes about g exact comparisons and not g squared: first each set is compared with the first
+set (hub) of its tiles; then, in tiles that still hold several components, with its nearest set of another component by the signatures, again and again until that joins nothing
+more; last, tiles with several components compare everything across these. Large tiles are dealt out in pairs of blocks of rows. No link between components
+is left out, since the last step takes every tile with two components in full.
 
 Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id count as one document with several texts. A row with a null doc_id
 gets the component of its equal texts, null if there are none. An empty table gives an empty result."""
