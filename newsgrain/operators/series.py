@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,17 +165,24 @@ def alert_new(rows: DataFrame, since: str, name: str, created: str) -> DataFrame
 
 
 def alert_cooldown(firings: DataFrame, minutes: int) -> DataFrame:
-    """Firings (rule_id, at) that are not within `minutes` of the last one let through; sequential within a rule."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, keep, last = pdf.sort_values("at"), [], None
-        for t in pdf["at"]:
-            ok = last is None or (t - last).total_seconds() >= 60 * minutes
-            keep.append(ok)
-            last = t if ok else last
-        return pdf[keep]
-
-    return firings.groupBy("rule_id").applyInPandas(run, firings.schema)
+    """Firings (rule_id, at) that are not within `minutes` of the last one let through; sequential within a rule. Rules are streamed in order of time, and only the time last let through is
+    held. Firings of a null rule are one rule; one without a time is let through only if it is all that its rule has."""
+    least = 60_000_000 * minutes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule, last, begun = None, None, False
+        for b in batches:
+            keep = []
+            for r, t in zip(b.column("rule_id").to_pylist(), b.column("at").cast(pa.timestamp("us", b.schema.field("at").type.tz)).cast(pa.int64()).to_pylist(), strict=True):
+                if not begun or r != rule:
+                    rule, begun, ok = r, True, True
+                else:
+                    ok = t is not None and last is not None and t - last >= least
+                keep.append(ok)
+                last = t if ok else last
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return firings.repartition("rule_id").sortWithinPartitions(F.col("rule_id"), F.asc_nulls_last("at")).mapInArrow(run, firings.schema)
 
 
 def data_sufficiency(n_docs, n_events):

@@ -61,7 +61,7 @@ query("alert_volume_surge", EDAY + ", " + SURGE, "ce")(lambda m: S.alert_surge(e
 query("alert_materiality_spike", "ed AS (SELECT period_start AS day, initiating_country, avg(CAST(material_score AS DOUBLE)) AS n FROM es WHERE material_score IS NOT NULL GROUP BY 1, 2), " + SURGE, "es")(lambda m: S.alert_surge(m.es.where("material_score IS NOT NULL").groupBy(F.col("period_start").alias("day"), "initiating_country").agg(F.avg(F.col("material_score").cast("double")).alias("n")), "n", "2024-01-29", z=-5.0, keys=K))
 query("alert_new_entity", "n AS (SELECT entity FROM cen WHERE first_mention_date > DATE '2024-01-01') SELECT count(*) AS n, coalesce((SELECT string_agg(entity, ',' ORDER BY entity) FROM (SELECT entity FROM n ORDER BY entity LIMIT 10)), '') AS names FROM n", "cen")(lambda m: S.alert_new(m.cen, "2024-01-01", "entity", "first_mention_date"))
 query("alert_new_event", "n AS (SELECT CAST(id AS VARCHAR) AS id FROM ce WHERE first_mention_date > DATE '2024-01-01') SELECT count(*) AS n, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM n ORDER BY id LIMIT 10)), '') AS names FROM n", "ce")(lambda m: S.alert_new(m.ce.withColumn("id", F.col("id").cast("string")), "2024-01-01", "id", "first_mention_date"))
-query("alert_cooldown", None)(lambda m: S.alert_cooldown(m.table("events").where("event_id % 11 = 0").select((F.col("user_id") % 10).alias("rule_id"), F.col("ts").alias("at")), 240))
+query("alert_cooldown", None)(lambda m: S.alert_cooldown(m.table("events").select(F.col("user_id").alias("rule_id"), F.col("ts").alias("at")), 240))
 query("data_sufficiency", "g AS (SELECT initiating_country, count(DISTINCT doc_id) AS n FROM rb GROUP BY 1) SELECT initiating_country, CASE WHEN n >= 200 THEN 'HIGH' WHEN n >= 50 THEN 'MEDIUM' WHEN n >= 20 THEN 'LOW' ELSE 'INSUFFICIENT' END AS confidence FROM g", "rb")(lambda m: N.count_docs(base(m), K).select("initiating_country", S.data_sufficiency(F.col("n_docs"), F.lit(10)).alias("confidence")))
 query("split_by_gap", None)(lambda m: S.split_by_gap(m.dem.withColumn("mention_date", F.date_add("mention_date", ((F.dayofmonth("mention_date") / 10).cast("int") * 40)))))
 query("split_by_drift", None)(lambda m: S.split_by_gap(m.vectors.select((F.col("vec_id") % 20).alias("canonical_event_id"), F.date_add("day", (F.col("vec_id") / 20).cast("int")).alias("mention_date"), "embedding"), vectors="embedding", drift=-0.2))

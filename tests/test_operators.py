@@ -54,6 +54,23 @@ def test_cooldown(spark):
     assert [r.at.hour * 60 + r.at.minute for r in series.alert_cooldown(df, 60).orderBy("at").collect()] == [0, 60, 130]
 
 
+def test_cooldown_streams_a_long_rule(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(r, t + dt.timedelta(minutes=7 * i % 1000)) for r in (None, 1, 2**60, 2**60 + 1) for i in range(300)] + [(5, None), (5, None), (1, None)]
+    want = []
+    for r in {r for r, _ in rows}:
+        last = None
+        for a in sorted(a for q, a in rows if q == r and a):
+            if last is None or a - last >= dt.timedelta(minutes=60):
+                want.append((r, last := a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in series.alert_cooldown(spark.createDataFrame(rows, "rule_id long, at timestamp"), 60).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(repr, got)) == sorted(map(repr, [*want, (5, None)]))
+
+
 def test_clusters_are_components(spark):
     v = lambda a: [float(x) for x in a]
     df = spark.createDataFrame([(1, v((1, 0)), "x"), (2, v((0.95, 0.3122)), "x"), (3, v((0.8, 0.6)), "x"), (4, v((-1, 0)), "x")], "vec_id long, embedding array<double>, day string")

@@ -46,6 +46,16 @@ def test_query(spark, duck, name):
     assert sorted(map(key, rows)) == sorted(map(key, want))
 
 
+def test_cooldown_sees_every_event(spark):
+    last, want = {}, []
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "ts").orderBy("ts").collect():
+        if r.user_id not in last or r.ts - last[r.user_id] >= datetime.timedelta(minutes=240):
+            last[r.user_id] = r.ts
+            want.append((r.user_id, r.ts))
+    got = [(r.rule_id, r.at) for r in registry.QUERIES["alert_cooldown"](spark, SF).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
