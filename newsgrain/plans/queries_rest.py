@@ -40,9 +40,9 @@ query("dedupe_fuzzy_names", None)(lambda m: K.dedupe_fuzzy_names(m.d.groupBy(F.c
 query("keep_proposition", "r AS (SELECT doc_id, list(recipient_country) AS rs FROM rc GROUP BY 1) SELECT ic.doc_id, CASE WHEN r.rs IS NULL THEN 'no recipient' WHEN len(list_filter(r.rs, lambda x: x <> ic.initiating_country)) = 0 THEN 'self-country' WHEN d.medium = 'O' AND NOT d.title LIKE '%1-URGENT%' THEN 'private individual' END AS reason FROM ic JOIN d ON d.doc_id = ic.doc_id LEFT JOIN r ON r.doc_id = ic.doc_id", "d", "rc")(
     lambda m: K.keep_proposition(m.ic.join(m.d.select("doc_id", "medium", "title"), "doc_id").join(m.rc.groupBy("doc_id").agg(F.collect_set("recipient_country").alias("rs")), "doc_id", "left").select("doc_id", F.col("initiating_country").alias("initiator"), F.coalesce("rs", F.array().cast("array<string>")).alias("recipients"), F.col("title").alias("text"), (F.col("medium") == "O").alias("private")), "1-URGENT").select("doc_id", "reason")
 )
-query("narrative_themes", None)(lambda m: K.narrative_themes(m.vectors, 20, 16))
-query("theme_summary", None)(lambda m: K.theme_summary(K.narrative_themes(m.vectors, 20, 16), m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("name")), ["part"]))
-query("coherent_campaigns", None)(lambda m: E.top_k(K.theme_summary(K.narrative_themes(m.vectors, 20, 16), m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("name")), ["part"]).where("n >= 10 AND coherence >= 0.3"), [F.desc("coherence"), F.asc("theme")], 14))
+query("narrative_themes", None)(lambda m: K.narrative_themes(m.vectors))
+query("theme_summary", None)(lambda m: K.theme_summary(K.narrative_themes(m.vectors), m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("name")), ["part"]))
+query("coherent_campaigns", None)(lambda m: E.top_k(K.theme_summary(K.narrative_themes(m.vectors), m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("name")), ["part"]).where("n >= 10 AND coherence >= 0.3"), [F.desc("coherence"), F.asc("theme")], 14))
 query("recipient_blocs", None)(lambda m: K.recipient_blocs(P.recipient_profiles(P.provenance_intensity(base(m))).select("recipient_country", F.concat_ws(":", "initiating_country", "category").alias("lane"), F.coalesce("share", F.lit(0.0)).alias("share"))))
 query("primary_aligned_events", "t AS (SELECT id, CAST(sum(n) AS DOUBLE) AS t, max(n) FILTER (WHERE key <> 'NATION_1') AS o, max(n) FILTER (WHERE key = 'NATION_1') AS n FROM rcounts GROUP BY 1) SELECT ce.id FROM ce JOIN t ON t.id = ce.id WHERE t.n > 0 AND (contains(ce.canonical_name, 'NATION_1') OR t.n / t.t >= 0.4 OR t.o IS NULL OR t.n > t.o)", "ce", "rcounts")(lambda m: P.primary_aligned_events(m.ce_maps, "NATION_1").select("id"))
 query("entity_curation_candidates", "t AS (SELECT id FROM ce WHERE master_event_id IS NULL ORDER BY total_articles DESC, id LIMIT 5), x AS (SELECT DISTINCT den.entity, f.master, f.doc_id FROM fdocs f JOIN t ON t.id = f.master JOIN den ON den.doc_id = f.doc_id) SELECT entity, count(DISTINCT master) AS n_events, count(DISTINCT doc_id) AS n_docs FROM x GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20", "fdocs", "den")(

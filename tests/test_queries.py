@@ -56,6 +56,19 @@ def test_cooldown_sees_every_event(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize("name", ["narrative_themes", "theme_summary", "coherent_campaigns"])
+def test_themes_grow_with_the_table(spark, monkeypatch, name):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+
+    seen = {}
+    for kind in (KMeans, PCA):
+        monkeypatch.setattr(kind, "fit", lambda self, df, fit=kind.fit: seen.update({type(self): self.getK()}) or fit(self, df))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.1")
+    assert seen == {KMeans: 2000 // 25, PCA: 50}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
