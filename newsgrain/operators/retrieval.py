@@ -23,13 +23,14 @@ def build_postings(d: DataFrame, id_: str, fields: dict[str, str]) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k: int, id_: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """All terms of a query must match; BM25. queries: query_id, query. sizes: id, n_tokens."""
+    """All terms of a query must match; BM25. Candidates are the postings of a query's rarest term. queries: query_id, query. sizes: id, n_tokens."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    tf = postings.groupBy("term", id_).agg(F.sum("tf").alias("tf")).join(terms, "term")
-    df = tf.select("query_id", "term", id_).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    tf = postings.groupBy("term", id_).agg(F.sum("tf").alias("tf"))
+    asked = terms.join(tf.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("query_id", "term", F.coalesce("df", F.lit(0)).alias("df"))
+    rare = asked.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
     total = sizes.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"))
-    hit = tf.join(df, ["query_id", "term"]).join(sizes, id_).crossJoin(F.broadcast(total))  # one row
+    hit = tf.join(rare, "term").select("query_id", id_).join(asked, "query_id").join(tf, ["term", id_]).join(sizes, id_).crossJoin(F.broadcast(total))  # one row
     one = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean")))
     g = hit.groupBy("query_id", id_).agg(F.round(F.sum(one), 6).alias("score"), F.count("*").alias("matched")).join(need, "query_id").where("matched = need")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), id_)

@@ -116,7 +116,7 @@ def text_docs(m: Model):
 
 
 def queries_of(m: Model):
-    return m.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != ""), 1, 2), " ").alias("query")).where("query <> ''")
+    return m.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.array_distinct(R.tokens(F.col("text"))), " ").alias("query")).where("query <> ''")
 
 
 query("build_postings", "t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term FROM documents) SELECT term, doc_id, 'B' AS field, count(*) AS tf FROM t WHERE term <> '' GROUP BY 1, 2")(lambda m: R.build_postings(text_docs(m), "doc_id", {"text": "B"}))
@@ -139,7 +139,30 @@ def both_ranked(m: Model):
 
 _V = "s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), v AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 10), k AS (SELECT query_id, vec_id, 11 - rank AS rank FROM v WHERE rank % 2 = 0)"
 query("hybrid_search_rrf", _V + " SELECT v.query_id, v.vec_id, round(0.7 / (60.0::DOUBLE + v.rank) + coalesce(0.3 / (60.0::DOUBLE + k.rank), 0.0), 6) AS rrf_score FROM v LEFT JOIN k ON k.query_id = v.query_id AND k.vec_id = v.vec_id")(lambda m: R.hybrid_rrf(*both_ranked(m), "vec_id"))
-query("rerank_fusion", None)(lambda m: R.rerank_fusion(both_ranked(m)[0].withColumn("rerank_score", F.col("rank").cast("double")), "vec_id"))
+
+
+# keyword lists of their own: the words of the part that belongs to a vector
+def part_words(m: Model):
+    return m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+
+
+def text_ranked(m: Model):
+    p = R.build_postings(part_words(m), "vec_id", {"text": "B"})
+    asked = m.table("part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    k = R.keyword_search(asked.join(m.vectors.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi"), p.join(m.vectors, "vec_id", "left_semi"), p.groupBy("vec_id").agg(F.sum("tf").alias("n_tokens")).join(m.vectors, "vec_id", "left_semi"), 10, "vec_id")
+    return both_ranked(m)[0], k
+
+
+def reranked(m: Model):
+    """The vector list with the share of words that a candidate's part and the query's part have in common; null where one has no part."""
+    w = part_words(m).select("vec_id", F.array_distinct(R.tokens(F.col("text"))).alias("w"))
+    j = both_ranked(m)[0].join(w, "vec_id", "left").join(w.select(F.col("vec_id").alias("query_id"), F.col("w").alias("qw")), "query_id", "left")
+    return j.select("query_id", "vec_id", "rank", (F.size(F.array_intersect("w", "qw")) / F.size(F.array_union("w", "qw"))).alias("rerank_score"))
+
+
+query("hybrid_search_text", None)(lambda m: R.hybrid_rrf(*text_ranked(m), "vec_id"))
+query("hybrid_search_text_full", None)(lambda m: R.hybrid_rrf(*text_ranked(m), "vec_id", full_outer=True))
+query("rerank_fusion", None)(lambda m: R.rerank_fusion(reranked(m), "vec_id"))
 query("entity_boost", _V + " SELECT query_id, vec_id, round(CASE WHEN vec_id % 3 = 0 THEN least(score + 0.15, 1.0) ELSE score END, 6) AS score FROM v")(lambda m: R.entity_boost(both_ranked(m)[0], m.vectors.where("vec_id % 3 = 0"), "vec_id"))
 query("ranking_metrics", None)(lambda m: Q.ranking_metrics(both_ranked(m)[0], m.vectors.join(m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")), F.col("label") == F.col("l")).select("query_id", "vec_id"), "vec_id", 10))
 

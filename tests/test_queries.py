@@ -1,9 +1,11 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables; and that the queries without SQL run."""
 
+import collections
 import datetime
 import decimal
 import math
 import os
+import re
 
 import pytest
 
@@ -69,6 +71,38 @@ def test_themes_grow_with_the_table(spark, monkeypatch, name):
     assert seen == {KMeans: 2000 // 25, PCA: 50}
 
 
+def words(text):
+    return {w for w in re.split("[^a-z0-9]+", (text or "").lower()) if w}
+
+
+def test_keyword_search_asks_all_words(spark):
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    asked = {r.item_id: words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    want = {(q, n) for q, w in asked.items() if w and (n := min(10, sum(w <= d for d in docs.values())))}
+    rows = registry.QUERIES["keyword_search"](spark, SF).collect()
+    assert all(asked[r.query_id] <= docs[r.doc_id] for r in rows)
+    assert set(collections.Counter(r.query_id for r in rows).items()) == want
+
+
+def test_hybrid_fuses_a_keyword_search(spark):
+    run = lambda name: {(r.query_id, r.vec_id): r for r in registry.QUERIES[name](spark, SF).collect()}
+    left, full = run("hybrid_search_text"), run("hybrid_search_text_full")
+    assert set(left) < set(full)
+    part = {r.p_partkey: r for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    for q, i in set(full) - set(left):
+        assert words(part[q].p_name) <= words(part[i].p_name + " " + part[i].p_type)
+
+
+def test_rerank_reads_texts(spark):
+    from newsgrain.plans import queries_series
+    from newsgrain.plans.model import Model
+
+    part = {r.p_partkey: words(r.p_name + " " + r.p_type) for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    for r in queries_series.reranked(Model(spark, SF)).collect():
+        a, b = part.get(r.query_id), part.get(r.vec_id)
+        assert r.rerank_score == (pytest.approx(len(a & b) / len(a | b)) if a and b else None)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
