@@ -7,7 +7,8 @@ again byte for byte, all its windows repeat, and one shuffle of hashes tells so.
 In a bucket, suffixes are compared at equal distances from the anchor, so sample places every 16 bytes, counted from the anchor, are a difference cover for them. The samples' ranks by their next
 384 bytes are computed first, by doubling. The suffix at distance t is then ordered by the t mod 16 bytes before its first sample, the sample's rank for the long tie, and
 the bytes that are left of the 400; neighbours that agree in all three repeat. Memory is that of some thousand pieces. A bucket of more than `HOT` pieces is dealt out again by distance and by
-the hash of the bytes that all windows of a range of distances have in common, which separates no two equal windows.
+the hash of the bytes that all windows of a range of distances have in common, which separates no two equal windows. Of rows with the same bytes at the same distance only one is sorted, and
+what is found of it holds for all; a bucket that still has more than `HOT` different rows is not sorted: its windows are counted one by one, by hash.
 
 A byte goes if a window over it repeats anywhere, its own text included; matches never cross texts. Null texts count as empty; texts under 400 bytes keep all. Equal texts of 400 bytes or more, and
 repeated rows, lose everything. A null doc_id changes nothing. An empty table gives an empty result."""
@@ -29,6 +30,7 @@ from .substring_dedup import least
 WINDOW, GRAM, EVERY = 400, 128, 16
 HOT, RANGE, SEGMENT = 2048, 32, 2 << 20
 Q = U(0xD6E8FEB86659FD93)
+CUT = ["bucket", "t", "hash", "len"]
 PIECE = "key long, size long, anchor long, piece long, start long, n int, t int"
 
 
@@ -164,7 +166,7 @@ def sorted_suffixes(bucket: np.ndarray, t: np.ndarray, size: np.ndarray, data: n
 
 
 def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of cut_out sorted by bucket -> anchor, piece and the stretches (first, last window) that repeat."""
+    """Distinct rows of cut_out with their number of times, sorted by bucket -> the stretches (first, last window) that repeat."""
     held, rows = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -172,11 +174,13 @@ def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         _, bucket = np.unique(t.column("bucket").to_numpy(), return_inverse=True)
         raw = t.column("bytes").to_pylist()
         own, j = sorted_suffixes(bucket, t.column("t").to_numpy().astype(np.int64), np.array([len(x) for x in raw]), np.frombuffer(b"".join(raw), np.uint8))
-        j = j + t.column("skip").to_numpy()[own]
         first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (j[1:] != j[:-1] + 1)])[: len(own)])
-        last = np.append(first[1:], len(own)) - 1
-        if len(first):
-            yield batch(anchor=pa.array(t.column("anchor").to_numpy()[own[first]]), piece=pa.array(t.column("piece").to_numpy()[own[first]]), a=pa.array(j[first], pa.int32()), z=pa.array(j[last], pa.int32()))
+        last = np.append(first, len(own))[1:] - 1
+        whole = np.flatnonzero(t.column("times").to_numpy() > 1)
+        at = np.concatenate([own[first], whole]).astype(np.int64)
+        if len(at):
+            a, z = np.concatenate([j[first], np.zeros(len(whole), np.int64)]), np.concatenate([j[last], t.column("len").to_numpy()[whole] - WINDOW])
+            yield batch(**{k: pa.array(t.column(k).to_numpy()[at]) for k in CUT}, a=pa.array(a, pa.int32()), z=pa.array(z, pa.int32()))
 
     for _, t in runs(batches, ["bucket"], most=1 << 30):
         held.append(t)
@@ -188,6 +192,33 @@ def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from flush()
 
 
+def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct rows of cut_out with their number of times -> a row for each window: its place, distance and hash."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 2048):
+            part = b.slice(lo, 2048)
+            raw = part.column("bytes").to_pylist()
+            n = np.array([len(x) - WINDOW + 1 for x in raw])
+            own = np.repeat(np.arange(len(raw)), n)
+            j = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            w = np.concatenate([rolling(BYTE[np.frombuffer(x, np.uint8)], WINDOW) for x in raw])
+            far = part.column("t").to_numpy()[own] - j
+            yield batch(**{k: pa.array(part.column(k).to_numpy()[own]) for k in (*CUT, "times")}, j=pa.array(j, pa.int32()), far=pa.array(far, pa.int32()), w=as_long(w))
+
+
+def repeated(cut: DataFrame) -> DataFrame:
+    """Saved rows of cut_out with hash and len of their bytes -> bucket, t, hash, len and the stretches that repeat."""
+    big = saved(cut.select(*CUT).distinct().groupBy("bucket").agg(F.count("*").alias("g")).where(F.col("g") > HOT).select("bucket"), "big")
+    distinct = lambda rows: rows.groupBy(*CUT).agg(F.count("*").alias("times"), F.first("bytes").alias("bytes"))
+    spans = distinct(cut.join(big, "bucket", "left_anti")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sorted_buckets, "bucket long, t int, hash long, len int, a int, z int")
+    if big.isEmpty():
+        return spans
+    one = distinct(cut.join(big, "bucket", "left_semi")).mapInArrow(single_windows, "bucket long, t int, hash long, len int, times long, j int, far int, w long")
+    one = saved(one, "windows")
+    again = one.groupBy("bucket", "far", "w").agg(F.count("*").alias("n"), F.max("times").alias("most")).where("n > 1 OR most > 1")
+    return spans.unionByName(one.join(again, ["bucket", "far", "w"], "left_semi").select(*CUT, F.col("j").alias("a"), F.col("j").alias("z")))
+
+
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, text, spans -> row, n_bytes, n_removed, n_spans, kept."""
     for b in batches:
@@ -226,13 +257,15 @@ def suffix_dedup(docs: DataFrame, carry: list[str]) -> DataFrame:
     texts = d.where(F.col("size") >= WINDOW).select(F.col("key").alias("k"), F.col("size").alias("s"), "text")
     # equal texts hold equal pieces; sorting takes them once more, which is the same as once
     cut = want.join(texts, (F.col("key") == F.col("k")) & (F.col("size") == F.col("s"))).select("text", "want")
-    cut = cut.mapInArrow(cut_out, "bucket long, anchor long, piece long, skip int, t int, bytes binary").dropDuplicates(["bucket", "piece", "skip"])
-    spans = cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sorted_buckets, "anchor long, piece long, a int, z int")
+    cut = cut.mapInArrow(cut_out, "bucket long, anchor long, piece long, skip int, t int, bytes binary").withColumns({"hash": F.xxhash64("bytes"), "len": F.octet_length("bytes")})
+    cut = saved(cut, "cut")
+    spans = saved(repeated(cut), "stretches")
+    spans = cut.select(*CUT, "anchor", "piece", "skip").join(spans, CUT).select("anchor", "piece", (F.col("skip") + F.col("a")).alias("a"), (F.col("skip") + F.col("z")).alias("z")).distinct()
     spans = saved(spans, "spans")
     whole = seen.where("times > 1").select("anchor", "piece", F.lit(0).alias("a"), (F.col("at.n") - 1).alias("z"))
     verdict = occ.join(spans.unionByName(whole), ["anchor", "piece"]).select("key", "size", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("z")).alias("z"))
     verdict = saved(verdict.groupBy(F.col("key").alias("k"), F.col("size").alias("s")).agg(F.collect_list(F.struct("a", "z")).alias("spans")), "verdict")
-    dropped(occ, seen, spans)
+    dropped(occ, seen, cut, spans)
     rows = d.join(verdict, (F.col("key") == F.col("k")) & (F.col("size") == F.col("s")), "left").select("row", "text", "spans")
     return rows.mapInArrow(removed, f"row {d.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 

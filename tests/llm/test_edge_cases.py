@@ -198,6 +198,40 @@ def test_suffix_dedup(docs, empty, monkeypatch, hot):
     assert suffix_dedup.suffix_dedup(empty, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("common", [450, 700])
+def test_suffix_dedup_of_a_passage_in_many_texts(spark, monkeypatch, common):
+    """One passage between different neighbours: no bucket that is sorted may hold more than HOT rows, and the result stays exact."""
+    hot, inner = 8, suffix_dedup.sorted_buckets
+
+    def watched(batches):
+        seen = collections.Counter()
+
+        def counted():
+            for b in batches:
+                seen.update(b.column("bucket").to_pylist())
+                assert max(seen.values(), default=0) <= hot
+                yield b
+
+        return inner(counted())
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "sorted_buckets", watched)
+    own = lambda i, k: "".join(hashlib.sha256(f"{i} {k} {x}".encode()).hexdigest() for x in range(9))
+    line = "".join(hashlib.md5(f"line {x}".encode()).hexdigest() for x in range(30))[:common]
+    texts = {i: own(i, 0)[: 400 + i] + line + own(i, 1) for i in range(40)}
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3), ["doc_id"]).collect()
+    seen = collections.Counter()
+    for t in texts.values():
+        seen.update(t[k : k + 400] for k in range(len(t) - 399))
+    for r in got:
+        t, off = texts[r.row.doc_id], set()
+        for k in range(len(t) - 399):
+            if seen[t[k : k + 400]] > 1:
+                off.update(range(k, k + 400))
+        assert bytes(r.kept).decode() == "".join(c for k, c in enumerate(t) if k not in off)
+        assert r.n_removed >= common and r.n_spans == 1
+
+
 def test_quality_rules(docs, empty):
     got = by_id(quality_rules.quality_rules(docs, docs.columns).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
     want = collections.defaultdict(list)
