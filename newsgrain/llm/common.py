@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +31,32 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own if all of Spark is this process (tests); a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="newsgrain-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+_within: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def collecting(tables: list[DataFrame]) -> Iterator[None]:
+    """Tables that saved() makes inside are added to the list, so that their owner can drop them once nothing reads them any more."""
+    _within.append(tables)
+    try:
+        yield
+    finally:
+        _within.pop()
+
+
 def saved(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there and lost executors cost nothing but their running tasks. The files go when the Spark application ends."""
+    """Write df as Parquet into the shared folder and read it back: the lineage ends there and lost executors cost nothing but their running tasks. The files go when dropped() is
+    called, at the latest when the Spark application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
@@ -47,6 +65,8 @@ def saved(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    for tables in _within:
+        tables.append(out)
     return out
 
 

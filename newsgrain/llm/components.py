@@ -19,19 +19,24 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).select(F.col("a").alias("node"), "p")
+        used = []
         for _ in range(2):
             up = saved(up, "parents")
+            used.append(up)
             up = up.join(up.select(F.col("node").alias("p"), F.col("p").alias("pp")), "p").select("node", F.col("pp").alias("p"))
         up = saved(up, "parents")
+        used.append(up)
         to = lambda side: up.select(F.col("node").alias(side), F.col("p").alias(f"p{side}"))
         after = left.join(to("a"), "a").join(to("b"), "b").where("pa <> pb").select(*pair(F.col("pa"), F.col("pb"))).distinct()
         if found is None:
-            found = up.select("node", F.col("p").alias("comp"))
+            found = saved(up.select("node", F.col("p").alias("comp")), "components")
         else:
             moved = found.join(up.select(F.col("node").alias("comp"), "p"), "comp", "left")
+            used.append(found)
             found = saved(moved.select("node", F.coalesce("p", "comp").alias("comp")), "components")
-        before, left = left, saved(after, "edges")
-        dropped(before)
+        used.append(left)
+        left = saved(after, "edges")
+        dropped(*used)
     return found if found is not None else left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 

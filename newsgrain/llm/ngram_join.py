@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import STEP, U, as_long, batch, lists, mixed, rolling, text_blocks, word_hashes
-from .common import dropped, saved, table
+from .common import collecting, dropped, saved, table
 from .components import components
 
 WORDS, TRIPLES, ROWS = 5, 40, 3
@@ -251,7 +251,14 @@ def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    ours: list[DataFrame] = []
+    with collecting(ours):
+        out = saved(_near_duplicates(docs.select("doc_id", "text")), "near")
+    dropped(*ours[:-1])  # the last is the result
+    return out
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     sets = saved(docs.mapInArrow(describe, "doc_id long, n_shingles long, d1 long, d2 long, cells array<long>, sig binary"), "sets")
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("cells").alias("cells"), F.any_value("sig").alias("sig"))
     reps = saved(classes, "classes")

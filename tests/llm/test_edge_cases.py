@@ -298,6 +298,63 @@ def test_packing(docs, empty):
     assert packing.pack(empty, n_words(F.col("text"))).count() == 0
 
 
+def reference_packer(lengths, sizes, cost):
+    """The same rules by plain lists: nothing is indexed, every bin and every length to come is looked at."""
+    bins, out = [], []
+    for k, n in enumerate(lengths):
+        room = lambda b: b["size"] - sum(b["has"])
+        fits = [b for b in bins if room(b) >= n]
+        if fits:
+            least = min(room(b) for b in fits)
+            b = [b for b in fits if room(b) == least]
+            b = max(b, key=lambda b: b["when"])
+        else:
+
+            def filled(s):
+                got = n
+                for m in lengths[k + 1 :]:
+                    if got + m <= s:
+                        got += m
+                return got
+
+            size = min((s for s in sizes if s >= n), key=lambda s: (cost(s) / filled(s), s))
+            b = {"size": size, "has": [], "id": len(bins)}
+            bins.append(b)
+        b["has"].append(n)
+        b["when"] = k
+        out.append(b["id"])
+    return out, [min(s for s in sizes if s >= sum(b["has"])) for b in bins]
+
+
+@pytest.mark.parametrize("sizes", [(512, 1024, 2048, 4096), (10, 25, 60)])
+def test_best_fit_against_a_plain_packer(sizes):
+    top = sizes[-1]
+    for seed in range(4):
+        lengths = sorted((1 + (i * i * 7919 + seed * 104729) % top for i in range(300)), reverse=True)
+        bins, starts, final = packing.best_fit(lengths, sizes)
+        assert (bins, final) == reference_packer(lengths, sizes, packing.sequence_cost)
+        at = collections.Counter()
+        for b, s, n in zip(bins, starts, lengths, strict=True):
+            assert s == at[b]
+            at[b] += n
+
+
+def test_several_sizes_cost_less_than_one():
+    """Sizes chosen jointly beat the largest alone, and no size is the only one that is opened."""
+    lengths = sorted([30 + (i * 7919) % 450 for i in range(2000)] + [600 + (i * 104729) % 3400 for i in range(200)], reverse=True)
+    total = lambda final: sum(map(packing.sequence_cost, final))
+    _, _, final = packing.best_fit(lengths)
+    _, _, largest = packing.best_fit(lengths, (4096,))
+    _, _, opened_largest = packing.best_fit(lengths, cost=lambda s: 1 / s)  # the largest is opened always, and downsized
+    assert total(final) < 0.98 * total(opened_largest) < total(largest) and len(set(final)) == 4
+
+
+def test_packing_deals_out_equal_rows(spark):
+    df = spark.createDataFrame([(None, "a b c")] * 400, "doc_id long, text string").repartition(4)
+    out = packing.pack(df, n_words(F.col("text")), per_shard=20).collect()
+    assert len(out) == 400 and len({r.bin_id >> 32 for r in out}) > 10
+
+
 def test_best_fit_is_tight():
     lengths = sorted((1 + (i * 7919) % 3000 for i in range(3000)), reverse=True)
     bins, starts, final = packing.best_fit(lengths)
@@ -319,7 +376,7 @@ def test_substring_dedup(docs, empty):
 
 
 def test_mixing(docs, empty):
-    m = mixing.mix(docs, docs.columns).collect()
+    m = mixing.mix(docs).collect()
     sizes = collections.Counter()
     for i, t, s in TEXTS:
         sizes[s] += len(WORD.findall(t or ""))
@@ -338,9 +395,27 @@ def test_mixing(docs, empty):
     for s in names:
         largest = max(r.size for r in m if r.source == s)
         assert abs(sum(r.taken for r in m if r.source == s) - target[s]) <= largest
-    again = mixing.mix(docs.repartition(5), docs.columns).collect()
-    assert sorted((r.row.doc_id or -1, r.size, r.taken) for r in again) == sorted((r.row.doc_id or -1, r.size, r.taken) for r in m)
-    assert mixing.mix(empty, ["doc_id"]).count() == 0
+    again = mixing.mix(docs.repartition(5), ranges=4096).collect()
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in again) == sorted((r.doc_id or -1, r.size, r.taken) for r in m)
+    assert mixing.mix(empty).count() == 0
+    # every copy that the plan takes comes out once, with all columns, those that clash included
+    got = mixing.placed(docs, mixing.mix(docs)).collect()
+    want = collections.Counter()
+    for r in m:
+        want[(r.doc_id, r.size)] += r.copies
+    assert collections.Counter((r.row.doc_id, len(WORD.findall(r.row.text or ""))) for r in got) == +want
+    assert all(r.row.kept == "x" and r.row.bucket == 2 and r.row.row == "r" for r in got)
+
+
+def test_mixing_of_equal_rows(spark):
+    """Rows equal in doc_id, source and text are taken as often as the plan says, whichever other columns they have."""
+    rows = [(1, "a b c", "s", k % 2) for k in range(6)] + [(None, "d e", "s", 0)] * 5 + [(2, "x y z w", "t", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").repartition(3)
+    plan = mixing.mix(df)
+    copies = {(r.doc_id, r.nth): r.copies for r in plan.collect()}
+    assert len(copies) == len(rows)
+    got = collections.Counter(r.row.doc_id for r in mixing.placed(df, plan).collect())
+    assert got == +collections.Counter({i: sum(n for (j, _), n in copies.items() if j == i) for i in (1, None, 2)})
 
 
 def test_pipeline_stages(spark, docs, empty):
