@@ -1,56 +1,79 @@
 """Corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but the last return the columns of documents."""
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but the last return the columns of documents (doc_id, text,
+source and n_chars are used by name; others of any name are carried). What a stage wrote for itself into the shared folder is dropped when the next one begins, since by then its result is written.
+
+Null and empty texts and texts under 20 words go in the first stage, which judges repeated rows and rows without a doc_id each for itself. Of near duplicates and of rows that repeat a doc_id one stays;
+ties go to the smaller doc_id, then the smaller text, then the smaller other columns. Very long texts are used whole everywhere. An empty table gives empty results."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgrain.llm.common import n_words, saved, table
-from newsgrain.llm.mixing import mix
+from newsgrain.llm.common import collecting, dropped, n_words, saved, table
+from newsgrain.llm.mixing import mix, placed
 from newsgrain.llm.ngram_join import near_duplicates
 from newsgrain.llm.packing import pack
 from newsgrain.llm.quality_rules import quality_rules
 from newsgrain.llm.substring_dedup import substring_dedup
 
+_left_over: list[DataFrame] = []
+
+
+def stage(f):
+    """Drops what the stage before left in the shared folder, and remembers what this one writes there."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        dropped(*[t for t in _left_over if t.sparkSession is spark])
+        _left_over.clear()
+        with collecting(_left_over):
+            return f(spark, docs, sf_dir)
+
+    return run
+
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     return quality_rules(docs, docs.columns).where("kept").select("row.*")
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id; of rows that repeat a doc_id, the one with the smallest text. Rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = saved(near_duplicates(docs), "found")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(gone, "doc_id", "left_anti")
     # a repeated doc_id leaves one row; without repeats the counts say so and nothing is shuffled
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    repeated = saved(repeated, "repeated")
+    repeated = saved(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return left
-    twice = left.join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, F.col("doc_id") == F.col("_twice"), "left_semi")
-    once = left.join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.unionByName(twice.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r")).select("doc_id", "r.*").select(*docs.columns))
+        return left.select("row.*")
+    least = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("row.text", "row")).alias("least"))
+    return left.join(repeated, "doc_id", "left_anti").select("row.*").unionByName(least.select("least.row.*"))
 
 
+@stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; untouched where there is none. Documents of which nothing is left go. n_chars follows the text."""
-    out = substring_dedup(docs, docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    out = out.where("n_removed = 0 OR n_removed < n_words").select("row", text.alias("t"), "n_removed")
-    columns = [F.col("t").alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length("t").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*columns)
+    out = substring_dedup(docs, docs.columns).where("n_removed = 0 OR n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept")).otherwise(F.col("row.text"))
+    changed = {"text": text, "n_chars": F.when(cut, F.length("kept")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, twice where it takes them twice, in the order of their training positions."""
-    m = mix(docs, docs.columns).where("copies > 0")
-    m = m.withColumn("when", F.explode(F.when(F.col("copies") > 1, F.array("position", "again")).otherwise(F.array("position"))))
-    return m.repartitionByRange("when").sortWithinPartitions("when").select("row.*")
+    return placed(docs, mix(docs)).repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Which bin each part of each document goes to."""
     return pack(docs, n_words(F.col("text")))
@@ -58,12 +81,16 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near duplicates", one_of_each), ("repeated passages", passages), ("mixing", mixed), ("packing", packed)]
 
-#: The label model of the first stage is an iteration that SQL does not express; tests hold run() against a brute-force version.
+#: The label model of the first stage and the packing are iterations that SQL does not express; a test holds run() against a chain of brute-force stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. The documents between stages are dropped as soon as the next are written."""
     docs = table(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, f in STAGES[:-1]:
+        after = saved(f(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            dropped(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
