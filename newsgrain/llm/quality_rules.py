@@ -1,12 +1,13 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Seven rules vote good, bad or abstain on each document. Expectation-maximisation over the histogram of vote patterns (at most
-3**7 rows whatever the corpus size, which is all that the driver sees) estimates how each rule votes on good and on bad documents; a document
-is kept when its posterior probability of being good reaches `least`. Documents that fail the base rules
-are rejected whatever the votes and are not learnt from. The features are computed once, in one scan, and written to the shared folder.
+Eleven rules that overlap (several look at the same fault from different sides and at different levels) vote good, bad or abstain on each document. Expectation-maximisation over the histogram
+of vote patterns (at most 3**11 rows whatever the corpus size, some hundreds in practice, which is all that the driver sees) estimates how each rule votes on good and on bad documents; a document
+is kept when its posterior probability of being good reaches `least`, so one bad vote that the other rules contradict does not reject it. Documents that fail the base rules are
+rejected whatever the votes and are not learnt from. The features are computed once, in one scan, and written to the shared folder.
 
-Null and empty texts have no words: the four measures are 0 and base_failed is true. Repeated rows are judged each for itself; rows with a
-null doc_id are judged like others. An empty table gives an empty result. Any further columns may have any names: they travel in a struct."""
+Null and empty texts have no words: the four measures are 0, all rules abstain and base_failed is true. Very long texts are measured whole. Repeated rows are judged each for itself, and equal
+texts alike; rows with a null doc_id are judged like others. A posterior equal to `least` keeps. An empty table gives an empty result. Any further columns may have any names: they travel in a
+struct."""
 
 from __future__ import annotations
 
@@ -20,7 +21,11 @@ from .common import saved, table, words
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
-RULES = ("symbols", "capitals", "repeats", "lines", "length", "word_length", "marks")
+RULES = ("symbols", "symbol_words", "short_words", "word_length", "line_ends", "distinct", "capitals", "marks", "lines", "repeats", "length")
+#: A word of at most three characters, and the end of a line that closes a sentence.
+SHORT_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D.,;:!?|]{1,3}[.,;:!?|]*+(?![^\x20\x09-\x0D])"
+SYMBOL_WORD = r"[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>][^\x20\x09-\x0D]*+"
+LINE_END = r"[.!?。！？…][\"'”’»)\]]*+[\x20\x09\x0B-\x0D]*+(?:\n|\z)"
 
 
 def _chars(text: Column, chars: str) -> Column:
@@ -34,7 +39,7 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
     d = d.withColumn("w", words(F.col("t")))
     grams = F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW))))
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    d = d.select("row", "t", F.size("w").cast("long").alias("n_words"), grams.alias("g"), lines.alias("l"))
+    d = d.select("row", "t", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), grams.alias("g"), lines.alias("l"))
     again = F.size(F.array_distinct("g")) < F.size("g")
     d = d.withColumn("s", F.when(again, F.sort_array(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twin = lambda x, k: (F.get("s", k - 1)["h"] == x["h"]) | (F.get("s", k + 1)["h"] == x["h"])
@@ -50,6 +55,8 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("t", r"\P{Lu}", "")).cast("long").alias("n_capitals"),
         _chars(F.col("t"), "!?").alias("n_marks"),
+        "n_distinct",
+        *[F.regexp_count("t", F.lit(p)).cast("long").alias(c) for c, p in (("n_short", SHORT_WORD), ("n_symbol_words", SYMBOL_WORD), ("n_ends", LINE_END))],
     )
 
 
@@ -62,38 +69,55 @@ def votes() -> dict[str, Column]:
         return (v if good is None else v.when(good, 1)).otherwise(0).cast("int")
 
     chars = F.greatest(F.col("word_chars"), F.lit(1))
+    c, several = F.col, F.col("n_lines") > 1
     return {
-        "symbols": vote(F.col("n_symbols") > 0.1 * n),
-        "capitals": vote(F.col("n_capitals") > 0.3 * chars),
-        "repeats": vote(F.col("n_repeat_words") > 0.3 * n),
-        "lines": vote((F.col("n_dup_lines") >= 2) & (F.col("n_dup_lines") > 0.25 * F.col("n_lines")), (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1)),
-        "length": vote(n < 20, n >= 40),
-        "word_length": vote((chars < 2.5 * n) | (chars > 15 * n), (chars >= 3 * n) & (chars <= 12 * n)),
-        "marks": vote(F.col("n_marks") > 0.3 * n),
+        "symbols": vote(c("n_symbols") > 0.1 * n, c("n_symbols") == 0),
+        "symbol_words": vote(c("n_symbol_words") > 0.2 * n, c("n_symbol_words") < 0.02 * n),
+        "short_words": vote(c("n_short") < 0.15 * n, (c("n_short") >= 0.2 * n) & (c("n_short") <= 0.6 * n)),
+        "word_length": vote((chars < 4.2 * n) | (chars > 7 * n), (chars >= 4.4 * n) & (chars <= 6.5 * n)),
+        "line_ends": vote(several & (c("n_ends") < 0.95 * c("n_lines")), several & (c("n_ends") >= c("n_lines"))),
+        "distinct": vote(c("n_distinct") < 0.5 * n, c("n_distinct") >= 0.6 * n),
+        "capitals": vote(c("n_capitals") > 0.3 * chars, c("n_capitals") < 0.1 * chars),
+        "marks": vote(c("n_marks") > 0.1 * n, c("n_marks") == 0),
+        "lines": vote(c("n_dup_lines") > 0.2 * c("n_lines"), several & (c("n_dup_lines") == 0)),
+        "repeats": vote(c("n_repeat_words") > 0.05 * n, c("n_repeat_words") == 0),
+        "length": vote(n < 40, n >= 80),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+#: What is expected of a rule before any document is seen: P(bad), P(abstains), P(good) on a good and on a bad document.
+EXPECTED = ((0.05, 0.25, 0.70), (0.50, 0.30, 0.20))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], weight: float = 0.03, rounds: int = 200) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Prior of good, and for each rule P(vote | good), P(vote | bad), from (votes, count) pairs.
 
-    Where one rule fires and the rest are silent, the likelihood alone cannot tell two classes apart. The estimates are therefore held to what
-    the rules are written for: a bad vote falls on at most 1 % of good documents and at least 25 % of bad ones, and at most 80 % are presumed good."""
-    belief = {v: 0.1 if min(v) < 0 else 0.9 for v, _ in patterns}
-    prior, rules, total = 0.8, [{x: (1 / 3, 1 / 3) for x in (-1, 0, 1)} for _ in (patterns[0][0] if patterns else RULES)], sum(n for _, n in patterns)
+    Maximum a posteriori: the first belief is the majority of the votes, and the expectation EXPECTED counts as much as `weight` of all documents, so it holds where no document is of a class and fades
+    where the votes say otherwise. Classes have no names of their own; if what came out as good has the lower mean vote, the two are exchanged."""
+    rules_n, total = len(patterns[0][0]) if patterns else len(RULES), sum(n for _, n in patterns)
+    belief = {v: 1 / (1 + math.exp(-sum(v))) for v, _ in patterns}
+    heavy = 1 + weight * total
+    start = [{x: (EXPECTED[0][x + 1], EXPECTED[1][x + 1]) for x in (-1, 0, 1)} for _ in range(rules_n)]
+    prior, rules = 0.5, start
     for _ in range(rounds if patterns else 0):
         good = sum(n * belief[v] for v, n in patterns)
-        prior = min(0.8, (good + 1) / (total + 2))
-        for k in range(len(rules)):
-            held = {x: [0.5, 0.5] for x in (-1, 0, 1)}
+        prior, rules = (good + 1) / (total + 2), []
+        for k in range(rules_n):
+            held = {x: [heavy * EXPECTED[c][x + 1] for c in (0, 1)] for x in (-1, 0, 1)}
             for v, n in patterns:
                 held[v[k]][0] += n * belief[v]
                 held[v[k]][1] += n * (1 - belief[v])
-            g, b = ({x: held[x][c] / sum(h[c] for h in held.values()) for x in held} for c in (0, 1))
-            p, q = min(g[-1], 0.01), max(b[-1], 0.25)
-            # what is left is shared as the votes that are not bad are
-            rules[k] = {x: (p, q) if x < 0 else ((1 - p) * g[x] / (g[0] + g[1]), (1 - q) * b[x] / (b[0] + b[1])) for x in held}
-        belief = {v: 1 / (1 + math.exp(-max(-60.0, min(60.0, log_odds(prior, rules, v))))) for v, _ in patterns}
-    return prior, rules
+            sums = [sum(h[c] for h in held.values()) for c in (0, 1)]
+            rules.append({x: (h[0] / sums[0], h[1] / sums[1]) for x, h in held.items()})
+        before, belief = belief, {v: posterior(prior, rules, v) for v, _ in patterns}
+        if max(abs(belief[v] - before[v]) for v in belief) < 1e-9:
+            break
+    lean = sum(r[1][0] - r[-1][0] - r[1][1] + r[-1][1] for r in rules)
+    return (prior, rules) if lean >= 0 else (1 - prior, [{x: (q, p) for x, (p, q) in r.items()} for r in rules])
+
+
+def posterior(prior: float, rules: list[dict[int, tuple[float, float]]], v: tuple[int, ...]) -> float:
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, log_odds(prior, rules, v)))))
 
 
 def log_odds(prior: float, rules: list[dict[int, tuple[float, float]]], v: tuple[int, ...]) -> float:
