@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,12 +248,57 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty, ["doc_id"]).count() == 0
 
 
-def test_label_model_separates_junk():
-    """One rule fires on a tenth of the documents, the others are silent: those are the bad ones."""
-    good, bad = (0, 0, 0, 1, 1, 1, 0), (-1, 0, 0, 1, 1, 1, 0)
-    prior, rules = quality_rules.fit([(good, 900), (bad, 100)])
-    assert quality_rules.log_odds(prior, rules, good) > 0 > quality_rules.log_odds(prior, rules, bad)
-    assert quality_rules.fit([])[0] == pytest.approx(0.8)
+def brute_force_posteriors(patterns, weight=0.03, rounds=200):
+    """The same model from single documents, by matrices: rows are documents, not patterns."""
+    votes = np.array([v for v, n in patterns for _ in range(n)])
+    expected, x = np.array(quality_rules.EXPECTED), (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    good = 1 / (1 + np.exp(-votes.sum(axis=1)))
+    for _ in range(rounds):
+        prior = (good.sum() + 1) / (len(good) + 2)
+        p = [np.tensordot(c, x, (0, 0)) + (1 + weight * len(votes)) * e for c, e in zip((good, 1 - good), expected, strict=True)]
+        p = [q / q.sum(axis=1, keepdims=True) for q in p]
+        odds = math.log(prior / (1 - prior)) + (x * np.log(p[0] / p[1])).sum(axis=(1, 2))
+        good = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+    return {tuple(v): g for v, g in zip(votes.tolist(), good, strict=True)}
+
+
+def test_label_model_against_brute_force():
+    rng = np.random.default_rng(4)
+    good = rng.random(500) < 0.8
+    hit = np.where(good[:, None], [0.05, 0.1, 0.02, 0.15, 0.1], [0.9, 0.7, 0.8, 0.6, 0.5])
+    votes = np.where(rng.random((500, 5)) < 0.2, 0, np.where(rng.random((500, 5)) < hit, -1, 1))
+    patterns = sorted(collections.Counter(map(tuple, votes.tolist())).items())
+    prior, rules = quality_rules.fit(patterns)
+    want = brute_force_posteriors(patterns)
+    got = {v: quality_rules.posterior(prior, rules, v) for v, _ in patterns}
+    assert all(got[v] == pytest.approx(want[v], abs=1e-6) for v in got)
+    right = np.mean([(got[tuple(v)] >= 0.5) == g for v, g in zip(votes.tolist(), good, strict=True)])
+    assert right > 0.95 and abs(prior - good.mean()) < 0.05
+    # learnt, not set: the verdict is neither that of any bad vote nor that of the majority alone
+    assert any((got[v] >= 0.5) != (min(v) >= 0) for v in got) and quality_rules.fit([])[0] == 0.5
+
+
+def test_label_model_keeps_a_clean_corpus():
+    """Without bad documents, what the model expects holds and nothing is thrown away for being short."""
+    patterns = [((1,) * 11, 900), ((1,) * 8 + (0, 1, 0), 60), ((1,) * 10 + (-1,), 40)]
+    prior, rules = quality_rules.fit(patterns)
+    assert all(quality_rules.posterior(prior, rules, v) > 0.5 for v, _ in patterns)
+
+
+def test_quality_verdicts_and_labels(spark):
+    """`kept` by brute force from the votes; how verdicts agree with the labels that the table has, which neither operator sees."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = quality_rules.quality_rules(df, ["doc_id"]).select("row.doc_id", "base_failed", "kept", "posterior", *[f"vote_{k}" for k in quality_rules.RULES]).collect()
+    votes = {r.doc_id: tuple(r[4:]) for r in rows}
+    want = brute_force_posteriors(sorted(collections.Counter(votes[r.doc_id] for r in rows if not r.base_failed).items()))
+    assert all(r.kept == (not r.base_failed and want[votes[r.doc_id]] >= 0.5) for r in rows)
+    assert sum(r.kept != (min(votes[r.doc_id]) >= 0) for r in rows if not r.base_failed) > 0.02 * len(rows)
+    share = lambda kept, q: np.mean([kept[i] for i, x in labels.items() if x == q and i in kept])
+    kept = {r.doc_id: r.kept for r in rows}
+    assert share(kept, 0) < 0.05 and share({r.doc_id: r.kept for r in rows if not r.base_failed}, 1) > 0.98
+    kept = {r.doc_id: r.kept for r in quality_classifier.quality_classifier(df).collect()}
+    assert share(kept, 0) < 0.15 and share(kept, 1) > 0.9
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 8])
