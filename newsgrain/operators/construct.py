@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .graph import connected_components, similar_pairs
+from .graph import led, similar_pairs
+from .store import written
 
 
 def needs_review(clusters: DataFrame) -> DataFrame:
@@ -28,50 +29,67 @@ def apply_group_decisions(clusters: DataFrame, decisions: DataFrame) -> DataFram
     return g.groupBy("cluster", "group").agg(F.count_distinct("doc_id").alias("n_docs")).join(lead, ["cluster", "group"])
 
 
-def build_canonical_events(groups: DataFrame) -> DataFrame:
-    """groups: initiating_country, event_name, day, n_docs. Days of one name and country that follow without a gap extend one event: gaps and islands over sorted days."""
-    w = W.partitionBy("initiating_country", "event_name").orderBy("day")
+def build_canonical_events(groups: DataFrame, existing: DataFrame, rc: DataFrame, cat: DataFrame) -> DataFrame:
+    """groups: initiating_country, event_name, day, doc_id (one row a document), existing: id, initiating_country, event_name, first_day, last_day, articles. Days that an existing event of that name and
+    country spans extend it (the smallest id on ties); the others become events, days that follow without a gap one event: gaps and islands over sorted days. id is null for new events; count maps of
+    recipients and categories are over the group's distinct documents."""
+    key = ["initiating_country", "event_name"]
+    days = groups.groupBy(*key, "day").agg(F.count_distinct("doc_id").alias("n_docs"))
+    known = days.join(existing.select("id", *key, F.col("first_day").alias("f"), F.col("last_day").alias("l")), key).where("day BETWEEN f AND l").groupBy(*key, "day").agg(F.min("id").alias("id"))
+    days = days.join(known, [*key, "day"], "left")
+    w = W.partitionBy(*key).orderBy("day")
     new = F.when(F.datediff("day", F.lag("day").over(w)) <= 1, 0).otherwise(1)
-    g = groups.withColumn("new", new).withColumn("island", F.sum("new").over(w))
-    return g.groupBy("initiating_country", "event_name", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("n_docs").alias("total_articles"), F.count("*").alias("days"))
+    fresh = days.where("id IS NULL").withColumn("new", new).withColumn("island", F.sum("new").over(w)).drop("new")
+    placed = fresh.unionByName(days.where("id IS NOT NULL").withColumn("island", F.lit(None).cast("long")))
+    k = [*key, "id", "island"]
+    g = placed.groupBy(*k).agg(F.min("day").alias("a"), F.max("day").alias("z"), F.sum("n_docs").alias("n"), F.count("*").alias("days"))
+    old = existing.select("id", F.col("first_day").alias("f"), F.col("last_day").alias("l"), "articles")
+    g = g.join(old, "id", "left").select(*k, F.coalesce("f", "a").alias("first_day"), F.greatest("l", "z").alias("last_day"), (F.col("n") + F.coalesce("articles", F.lit(0))).alias("total_articles"), "days")
+    docs = groups.select(*key, "day", "doc_id").distinct().join(placed.select(*k, "day"), [*key, "day"]).select(*k, "doc_id").distinct()
+    same = F.xxhash64(*k).alias("h")  # nulls among the keys
+
+    def counts(bridge: DataFrame, column: str, name: str) -> DataFrame:
+        c = docs.withColumn("h", same).join(bridge, "doc_id").groupBy("h", F.col(column).alias("key")).agg(F.count("*").alias("n"))
+        return c.groupBy("h").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(name))
+
+    return g.withColumn("h", same).join(counts(rc, "recipient_country", "primary_recipients"), "h", "left").join(counts(cat, "category", "primary_categories"), "h", "left").drop("h")
 
 
 def consolidate_layered(vectors: DataFrame, threshold: float, boundary_days: int = 7) -> DataFrame:
-    """vec_id, master: similarity graph inside (country, month), and across a month's end for rows within boundary_days of it; the smallest id leads."""
+    """vec_id, master: similarity graph inside (country, month), and across a month's end for rows within boundary_days of it. Validated rows lead, then those with most articles, then the smallest id.
+    vectors: vec_id, country, day, embedding, validated, articles."""
     v = vectors.withColumn("month", F.trunc("day", "month"))
     inside = similar_pairs(v, ["country", "month"], threshold)
     late = F.datediff(F.add_months("month", 1), "day") <= boundary_days
     early = F.datediff("day", "month") < boundary_days
     edge = v.where(late).withColumn("cut", F.add_months("month", 1)).unionByName(v.where(early).withColumn("cut", F.col("month")))
     across = similar_pairs(edge, ["country", "cut"], threshold)
-    comp = connected_components(inside.select("a", "b").unionByName(across.select("a", "b")))
-    return vectors.select("vec_id").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("master"))
-
-
-def apply_split(blocks: DataFrame, mentions: DataFrame) -> DataFrame:
-    """blocks: canonical_event_id, mention_date, block. The largest block keeps the event (the earlier on ties), every other becomes one of its own; statistics from mentions."""
-    j = mentions.join(blocks, ["canonical_event_id", "mention_date"])
-    g = j.groupBy("canonical_event_id", "block").agg(F.sum("article_count").alias("articles"), F.count("*").alias("days"), F.min("mention_date").alias("first_day"), F.max("mention_date").alias("last_day"))
-    w = W.partitionBy("canonical_event_id").orderBy(F.desc("articles"), "block")
-    return g.withColumn("keeps", F.row_number().over(w) == 1)
-
+    edges = inside.select("a", "b").unionByName(across.select("a", "b"))
+    return led(vectors.select("vec_id", "validated", "articles"), edges, [~F.col("validated"), -F.col("articles")], "vec_id")
 
-def similar_name_pairs(names: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Distinct names a < b that contain one another or whose trigram similarity exceeds the threshold; candidates share a trigram."""
-    n = names.select("name").distinct().withColumn("g", C.trigrams(F.col("name")))
-    t = n.select("name", F.size("g").alias("n"), F.explode("g").alias("t"))
-    p = t.select(F.col("name").alias("a"), F.col("n").alias("na"), "t").join(t.select(F.col("name").alias("b"), F.col("n").alias("nb"), "t"), "t").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    s = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
-    return p.where((s > threshold) | F.contains("a", "b") | F.contains("b", "a")).select("a", "b", F.round(s, 6).alias("similarity"))
 
+def apply_split(blocks: DataFrame, mentions: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """The parts of split events: canonical_event_id, part, keeps, statistics and peak. blocks: canonical_event_id, mention_date, block; mentions: also article_count and name (the day's headline).
 
-def dedupe_fuzzy_names(names: DataFrame, threshold: float = 0.78) -> DataFrame:
-    """names: name, rank. Rows without a better-ranked name whose normalised edit distance leaves a similarity above the threshold; candidates share a trigram."""
-    n = names.withColumn("t", F.explode(C.trigrams(F.col("name"))))
-    better = n.select(F.col("name").alias("other"), F.col("rank").alias("r2"), "t")
-    like = 1 - F.levenshtein(F.lower("name"), F.lower("other")) / F.greatest(F.length("name"), F.length("other"))
-    gone = n.join(better, "t").where("r2 < rank").select("name", "other", "rank").distinct().where(like > threshold).select("name", "rank").distinct()
-    return names.join(gone, ["name", "rank"], "left_anti")
+    decisions: canonical_event_id, block, keep, proposed_name. Blocks that they keep stay with the event; without any, the largest block does (the earlier on ties). Other blocks become new events by
+    name; blocks of one name are one. A name that is missing, shorter than 8 letters or a placeholder gives way to the headline of the block's largest day. Events of one block are not split."""
+    j = mentions.join(blocks, ["canonical_event_id", "mention_date"])
+    key = ["canonical_event_id", "block"]
+    g = j.groupBy(*key).agg(F.sum("article_count").alias("articles"), F.min(F.struct((-F.col("article_count")).alias("n"), "mention_date", "name")).alias("best"))
+    if decisions is None:
+        g = g.withColumns({"keep": F.lit(False), "proposed_name": F.lit(None).cast("string")})
+    else:
+        g = g.join(decisions, key, "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+    every = W.partitionBy("canonical_event_id")
+    g = g.withColumns({"blocks": F.count("*").over(every), "kept": F.max("keep").over(every), "r": F.row_number().over(every.orderBy(F.desc("articles"), "block"))})
+    keeps = F.when(F.col("kept"), F.col("keep")).otherwise(F.col("r") == 1)
+    name = F.lower(F.trim("proposed_name"))
+    empty = F.coalesce((F.length("proposed_name") < 8) | name.contains("event name") | name.contains("<") | name.contains(">") | name.contains("specific real-world"), F.lit(True))
+    part = F.when(keeps, "").otherwise(F.when(empty, F.substring("best.name", 1, 200)).otherwise(F.col("proposed_name")))
+    named = g.where("blocks > 1").select(*key, part.alias("part"), keeps.alias("keeps"))
+    days = j.join(named, key).groupBy("canonical_event_id", "part", "keeps", "mention_date").agg(F.sum("article_count").alias("n"))
+    s = days.groupBy("canonical_event_id", "part", "keeps").agg(F.sum("n").alias("articles"), F.count("*").alias("days"), F.min("mention_date").alias("first_day"), F.max("mention_date").alias("last_day"), F.min(F.struct((-F.col("n")).alias("n"), "mention_date")).alias("p"))
+    return s.select("canonical_event_id", "part", "keeps", "articles", "days", "first_day", "last_day", F.col("p.mention_date").alias("peak_day"), (-F.col("p.n")).alias("peak_articles"))
 
 
 def keep_proposition(df: DataFrame, markers: str) -> DataFrame:
@@ -95,15 +113,29 @@ def narrative_themes(vectors: DataFrame, k: int | None = None, parts: int = 50,
     return themed.join(mean, "theme").select("vec_id", "theme", F.avg(C.cosine_similarity(F.col("p"), F.col("c"))).over(W.partitionBy("theme")).alias("coherence"))
 
 
-def theme_summary(themes: DataFrame, events: DataFrame, stop: list[str], k: int = 6) -> DataFrame:
-    """Per theme: size, coherence and the k terms with the largest tf-idf over themes. events: vec_id, name."""
+def theme_summary(themes: DataFrame, events: DataFrame, recipients: DataFrame, stop: list[str], k: int = 6) -> DataFrame:
+    """Per theme: events, coherence, the k terms with the largest tf-idf over themes (without stop words), count maps of actors and recipients and their sizes, mean score (null counts as 0), first and
+    last day. events: vec_id, name, actor, score, day; recipients: vec_id, recipient."""
     j = themes.join(events, "vec_id")
     t = j.select("theme", F.explode(F.split(F.lower("name"), "[^a-z0-9]+")).alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(*stop)).groupBy("theme", "term").agg(F.count("*").alias("tf"))
     df = t.groupBy("term").agg(F.count("*").alias("df"))
     n = themes.agg(F.count_distinct("theme").alias("n"))
-    s = t.join(df, "term").crossJoin(F.broadcast(n)).withColumn("s", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # one row
+    s = t.join(df, "term").crossJoin(F.broadcast(n)).withColumn("s", F.round(F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1), 9))  # one row
     top = s.withColumn("r", F.row_number().over(W.partitionBy("theme").orderBy(F.desc("s"), "term"))).where(F.col("r") <= k).groupBy("theme").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("terms"))
-    return j.groupBy("theme").agg(F.count("*").alias("n"), F.round(F.avg("coherence"), 6).alias("coherence")).join(top, "theme", "left")
+
+    def counts(df: DataFrame, column: str, name: str) -> DataFrame:
+        c = df.groupBy("theme", F.col(column).alias("key")).agg(F.count("*").alias("n")).where("key IS NOT NULL")
+        return c.groupBy("theme").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(name), F.count("*").alias(f"n_{name}"))
+
+    g = j.groupBy("theme").agg(F.count("*").alias("n"), F.round(F.avg("coherence"), 6).alias("coherence"), F.round(F.avg(F.coalesce(F.col("score").cast("double"), F.lit(0.0))), 2).alias("mean_score"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    g = g.join(top, "theme", "left").join(counts(j, "actor", "actors"), "theme", "left").join(counts(j.join(recipients, "vec_id"), "recipient", "recipients"), "theme", "left")
+    return g.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_actors", "n_recipients")})
+
+
+def coherent_campaigns(summary: DataFrame, coherence: float = 0.5, events: int = 10, recipients: int = 4, k: int = 14) -> DataFrame:
+    """Themes of many events and recipients that hold together, with the actor that has most of their events."""
+    ok = summary.where((F.col("n_recipients") >= recipients) & (F.col("n") >= events) & (F.col("coherence") >= coherence))
+    return ok.withColumn("dominant", C.dominant_key(F.col("actors"))).orderBy(F.desc("coherence"), "theme").limit(k)
 
 
 def recipient_blocs(profiles: DataFrame, ks: range = range(3, 7), seed: int = 42) -> DataFrame:
@@ -112,8 +144,11 @@ def recipient_blocs(profiles: DataFrame, ks: range = range(3, 7), seed: int = 42
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    wide = profiles.groupBy("recipient_country").pivot("lane").agg(F.sum("share")).na.fill(0.0)
-    v = wide.select("recipient_country", array_to_vector(F.array(*[F.col(f"`{c}`") for c in wide.columns[1:]])).alias("features")).cache()
+    # lanes are actors times categories of the scope, one row a recipient
+    lanes = profiles.select("lane").distinct().agg(F.array_sort(F.collect_list("lane")).alias("lanes"))
+    held = profiles.groupBy("recipient_country").agg(F.map_from_entries(F.collect_list(F.struct("lane", "share"))).alias("m")).crossJoin(F.broadcast(lanes))
+    v = held.select("recipient_country", array_to_vector(F.transform("lanes", lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0.0)))).alias("features"))
+    v, _ = written(v, "profiles")
     best, out = -2.0, None
     for k in ks:
         p = BisectingKMeans(k=k, seed=seed, maxIter=5).fit(v).transform(v)

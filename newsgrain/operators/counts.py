@@ -89,17 +89,6 @@ def overview_metrics(pairs: DataFrame) -> DataFrame:
     ).select("*", F.round(1 - F.col("corroborated_docs") / F.nullif("total_docs", F.lit(0)), 3).alias("self_share"))
 
 
-def bundle(base: DataFrame, sections: dict[str, tuple[DataFrame, str]], k: int | None = None) -> DataFrame:
-    """Long format (section, key, n_docs): documents of base by each section's bridge and column."""
-    ids = base.select("doc_id").distinct()
-    out = None
-    for name, (bridge, column) in sections.items():
-        one = count_docs(bridge.join(ids, "doc_id", "left_semi").select("doc_id", F.col(column).alias("key")), ["key"], k=k)
-        one = one.select(F.lit(name).alias("section"), F.col("key").cast("string").alias("key"), "n_docs")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def rollup_cube(base: DataFrame) -> DataFrame:
     """CUBE over initiator, recipient and category of distinct documents."""
     return base.cube("initiating_country", "recipient_country", "category").agg(F.count_distinct("doc_id").alias("n_docs"), F.grouping_id().cast("long").alias("level"))

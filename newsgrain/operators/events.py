@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .store import forget, written
 
 
 def event_family(ce: DataFrame) -> DataFrame:
@@ -160,12 +161,15 @@ def rollup_period(es: DataFrame, links: DataFrame, ranges: DataFrame, unit: str)
     return g.join(n, ["initiating_country", "event_name", "period_start"], "left")
 
 
-def period_ranges(spark, start: str, end: str, unit: str) -> DataFrame:
-    """Weeks from Monday, months or years that meet [start, end], clipped to it."""
-    s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
+def ranges_of(span: DataFrame, unit: str) -> DataFrame:
+    """Weeks from Monday, months or years that meet [s, e], clipped to it; span: one row of s and e."""
     step = {"week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "year": "INTERVAL 1 YEAR"}[unit]
     last = {"week": F.date_add("p", 6), "month": F.last_day("p"), "year": F.date_sub(F.add_months("p", 12), 1)}[unit]
-    return spark.range(1).select(F.explode(F.sequence(F.trunc(s, unit), e, F.expr(step))).alias("p")).select(F.greatest("p", s).alias("period_start"), F.least(last, e).alias("period_end"))
+    return span.select("s", "e", F.explode(F.sequence(F.trunc("s", unit), F.col("e"), F.expr(step))).alias("p")).select(F.greatest("p", "s").alias("period_start"), F.least(last, F.col("e")).alias("period_end"))
+
+
+def period_ranges(spark, start: str, end: str, unit: str) -> DataFrame:
+    return ranges_of(spark.range(1).select(F.lit(start).cast("date").alias("s"), F.lit(end).cast("date").alias("e")), unit)
 
 
 def backfill_links(high: DataFrame, links: DataFrame, low: DataFrame, low_links: DataFrame) -> DataFrame:
@@ -190,6 +194,45 @@ def latest_per_key(es: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.orderBy(F.desc("period_start"), F.desc("total_documents"), "es_id").limit(k)
 
 
+def with_narrative(es: DataFrame) -> DataFrame:
+    """overview and outcomes from the JSON column `narrative`, whichever of the periods' keys holds them."""
+    first = lambda *keys: F.coalesce(*[F.get_json_object("narrative", f"$.{k}") for k in keys], F.lit(""))
+    return es.withColumns({"overview": first("overview", "monthly_overview", "yearly_overview"), "outcomes": first("outcomes", "key_outcomes", "annual_outcomes")})
+
+
+def search_summaries(es: DataFrame, term: str, k: int) -> DataFrame:
+    """The largest summaries that hold the term in name, overview or outcomes, and where it was found first."""
+    at = lambda c: F.col(c).ilike(f"%{term}%")
+    found = F.when(at("event_name"), "name").when(at("overview"), "overview").when(at("outcomes"), "outcomes")
+    return es.withColumn("found_in", found).where("found_in IS NOT NULL").orderBy(F.desc("total_documents"), "es_id").limit(k).select("es_id", "total_documents", "found_in")
+
+
+def intelligence_feed(es: DataFrame, ce: DataFrame, overall: int = 10, by_actor: int = 5) -> DataFrame:
+    """The newest summaries without repeats of an event, overall and by actor, with missing event links resolved by name."""
+    newest = latest_per_key(es)
+    newest = newest.drop("canonical_event_id").join(resolve_missing_event_link(newest, ce), "es_id")
+    order = [F.desc("period_start"), F.desc("total_documents"), F.asc("es_id")]
+    columns = ["es_id", "initiating_country", "period_start", "total_documents", "canonical_event_id"]
+    top = newest.orderBy(*order).limit(overall).select(F.lit("overall").alias("section"), *columns)
+    each = newest.withColumn("r", F.row_number().over(W.partitionBy("initiating_country").orderBy(*order))).where(F.col("r") <= by_actor)
+    return top.unionByName(each.select(F.lit("by actor").alias("section"), *columns))
+
+
+def strategic_context(es: DataFrame, recipients: DataFrame, categories: DataFrame, k: int = 5) -> DataFrame:
+    """section, es_id, initiating_country, about, total_documents: the newest summary of each (actor, recipient) and (actor, category), and the k largest about each recipient.
+    recipients, categories: id, key of the summaries' events."""
+    s = es.select("es_id", "initiating_country", "period_start", "total_documents", F.col("canonical_event_id").alias("id"))
+    newest, largest = [F.desc("period_start"), F.asc("es_id")], [F.desc("total_documents"), F.asc("es_id")]
+
+    def best(df: DataFrame, name: str, keys: list[str], order: list[Column], most: int) -> DataFrame:
+        one = df.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= most)
+        return one.select(F.lit(name).alias("section"), "es_id", "initiating_country", "about", "total_documents")
+
+    with_r, with_c = (s.join(x.select("id", F.col("key").alias("about")).distinct(), "id") for x in (recipients, categories))
+    actor = ["initiating_country", "about"]
+    return best(with_r, "pair", actor, newest, 1).unionByName(best(with_c, "category", actor, newest, 1)).unionByName(best(with_r, "recipient", ["about"], largest, k))
+
+
 def asof_latest_narrative(es: DataFrame) -> DataFrame:
     return es.groupBy("event_name", "initiating_country").agg(F.max_by(F.struct("es_id", "period_start"), F.struct("period_start", "es_id")).alias("l")).select("event_name", "initiating_country", F.col("l.es_id").alias("es_id"), F.col("l.period_start").alias("period_start"))
 
@@ -209,21 +252,50 @@ def top_events_by_period(es: DataFrame, start: str, end: str, k: int) -> DataFra
     return g.orderBy(F.desc("n_docs"), "event_name").limit(k)
 
 
-def lookback_matches(report: DataFrame, ce: DataFrame, start: str, days: int = 90) -> DataFrame:
-    """Tier 1 of the look-back: earlier events of the same master chain with at least two articles, one match (most articles) for each report event."""
-    s = F.lit(start).cast("date")
-    old = ce.select(F.col("id").alias("match_id"), F.coalesce("master_event_id", "id").alias("chain"), "last_mention_date", "first_mention_date", F.col("total_articles").alias("n")).where((F.col("first_mention_date") < s) & (F.col("last_mention_date") >= F.date_sub(s, days)) & (F.col("n") >= 2))
-    j = report.select("id", F.coalesce("master_event_id", "id").alias("chain")).join(old, "chain").where("id <> match_id")
-    w = W.partitionBy("id").orderBy(F.desc("n"), "match_id")
-    return j.withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "match_id", "n")
-
-
-def pair_rollup(pairs: DataFrame, cat: DataFrame, least: int = 1) -> DataFrame:
-    """All pairs in one pass: documents, first and last day, and a count map by category (as sorted text)."""
-    g = pairs.groupBy("initiating_country", "recipient_country").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("date").alias("first_day"), F.max("date").alias("last_day")).where(F.col("n_docs") >= least)
-    c = pairs.join(cat, "doc_id").groupBy("initiating_country", "recipient_country", "category").agg(F.count_distinct("doc_id").alias("n"))
-    m = c.groupBy("initiating_country", "recipient_country").agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("by_category"))
-    return g.join(m, ["initiating_country", "recipient_country"], "left")
+def lookback_matches(report: DataFrame, old: DataFrame, names: DataFrame, categories: DataFrame, recipients: DataFrame, order: Sequence[str], most: int = 200, per_category: int = 10, shown: int = 5) -> DataFrame:
+    """tier, report_id, match_id, place: earlier events for report events, in three tiers; an event that a tier has matched is not matched again, and each belongs to one report event.
+
+    report, old: id, master_event_id, initiating_country, material_score; report also category. Tier 1: the same master chain, the smallest report id. Tier 2: the `most` best masters of a country that
+    share two names with a report event (names: id, entity). Tier 3: category by category in `order`, at most per_category masters with that category and one of the recipients of the report's events
+    in it, for its report event with the highest score (categories, recipients: id, key). place: by score, the `shown` best of each report event."""
+    country = "initiating_country"
+    chain = F.coalesce("master_event_id", "id")
+    best = lambda *keys: W.partitionBy(*keys).orderBy(F.desc_nulls_last("material_score"), "id")
+    # every tier asks these again
+    ids = report.select("id").unionByName(old.select("id"))
+    held = [written(x, "lookback") for x in (report, old, categories.join(ids, "id", "left_semi"), recipients.join(ids, "id", "left_semi"))]
+    report, old, categories, recipients = (x for x, _ in held)
+    places = [at for _, at in held]
+
+    def kept(found: DataFrame) -> DataFrame:
+        found, at = written(found, "lookback")
+        places.append(at)
+        return found
+
+    r1 = report.select(F.col("id").alias("report_id"), chain.alias("chain"), country)
+    found = old.withColumn("chain", chain).join(r1, ["chain", country]).groupBy(F.col("id").alias("match_id")).agg(F.min("report_id").alias("report_id")).withColumn("tier", F.lit(1))
+    masters_ = old.where("master_event_id IS NULL")
+    free = lambda df, known: df.join(known.select(F.col("match_id").alias("id")), "id", "left_anti")
+
+    second = free(masters_, found).withColumn("k", F.row_number().over(best(country))).where(F.col("k") <= most).select("id", country)
+    theirs = report.select(F.col("id").alias("report_id"), F.col(country).alias("c")).join(names.select(F.col("id").alias("report_id"), "entity").distinct(), "report_id")
+    shared = second.join(names.select("id", "entity").distinct(), "id").join(theirs, "entity").where(F.col("c") == F.col(country))
+    shared = shared.groupBy(F.col("id").alias("match_id"), "report_id").agg(F.count("*").alias("n")).where("n >= 2")
+    found = kept(found.unionByName(shared.groupBy("match_id").agg(F.min("report_id").alias("report_id")).withColumn("tier", F.lit(2))))
+
+    for category in order:
+        mine = report.where(F.col("category") == category)
+        about = mine.select("id", country).join(recipients, "id").select(country, "key").distinct()
+        target = mine.groupBy(country).agg(F.min(F.struct((-F.coalesce("material_score", F.lit(0))).alias("s"), "id")).alias("t")).select(country, F.col("t.id").alias("report_id"))
+        fit = free(masters_, found).join(categories.where(F.col("key") == category).select("id"), "id", "left_semi")
+        fit = fit.join(recipients, "id").join(about, [country, "key"], "left_semi").select("id", country, "material_score").distinct()
+        third = fit.withColumn("k", F.row_number().over(best(country))).where(F.col("k") <= per_category).join(target, country)
+        found = kept(found.unionByName(third.select(F.col("id").alias("match_id"), "report_id", F.lit(3).alias("tier"))))
+    scored = found.join(old.select(F.col("id").alias("match_id"), "material_score"), "match_id")
+    place = F.row_number().over(W.partitionBy("report_id").orderBy(F.desc_nulls_last("material_score"), "match_id"))
+    out, _ = written(scored.withColumn("place", place).where(F.col("place") <= shown).select("tier", "report_id", "match_id", "place"), "lookback")
+    forget(out.sparkSession, *places)
+    return out
 
 
 def score_bins(ce: DataFrame, keys: Sequence[str]) -> DataFrame:

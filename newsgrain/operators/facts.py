@@ -92,11 +92,14 @@ def ledger_rank(ledger: DataFrame, k: int = 18) -> DataFrame:
 
 
 def geo_intensity(points: DataFrame) -> DataFrame:
-    """points: doc_id, initiating_country, self_reported, lat_long, location. Valid `lat,long` snapped to quarter degrees, half away from zero."""
-    ok = points.where(F.col("lat_long").rlike(r"^\s*-?\d{1,3}(\.\d+)?\s*,\s*-?\d{1,3}(\.\d+)?\s*$"))
+    """points: doc_id, initiating_country, self_reported, lat_long, location. Valid `lat,long` snapped to quarter degrees, half away from zero, between 60 south and 75 north. A null geofocus is not
+    third-party; the smallest place wins a tie."""
+    ok = points.where(F.col("lat_long").rlike(r"^-?[0-9]+(\.[0-9]+)?,\s*-?[0-9]+(\.[0-9]+)?$"))
     cell = lambda k: (F.round(F.trim(F.split_part("lat_long", F.lit(","), F.lit(k))).cast("decimal(18,8)") * 4, 0) / 4).cast("double")
-    ok = ok.withColumns({"lat": cell(1), "long": cell(2)}).where("lat BETWEEN -90 AND 90 AND long BETWEEN -180 AND 180")
-    return ok.groupBy("initiating_country", "lat", "long").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct(F.when(~F.coalesce("self_reported", F.lit(False)), F.col("doc_id"))).alias("third_docs"), F.expr("mode() WITHIN GROUP (ORDER BY location)").alias("place"))
+    ok = ok.withColumns({"lat": cell(1), "long": cell(2)}).where("lat BETWEEN -60 AND 75 AND long BETWEEN -180 AND 180")
+    # the commonest place is that of the distinct points, as counts are of distinct documents
+    one = ok.select("doc_id", "initiating_country", "self_reported", "lat", "long", "location").distinct()
+    return one.groupBy("initiating_country", "lat", "long").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct(F.when(~F.col("self_reported"), F.col("doc_id"))).alias("third_docs"), F.expr("mode() WITHIN GROUP (ORDER BY location)").alias("place"))
 
 
 def concentration_hhi(counts: DataFrame, key: str, x: str = "n_docs") -> DataFrame:

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .store import forget, written
+from .tiles import similar_pairs
+
+__all__ = ["similar_pairs"]
 
 
-def entity_cooccurrence(den: DataFrame, least: int = 2, most_docs: int = 100) -> DataFrame:
-    """Pairs of entities (a < b) with at least `least` shared documents; up to most_docs document ids each, the smallest."""
-    e = den.select("entity", "doc_id").distinct()
-    p = e.select(F.col("entity").alias("a"), "doc_id").join(e.select(F.col("entity").alias("b"), "doc_id"), "doc_id").where("a < b")
-    return p.groupBy("a", "b").agg(F.count("*").alias("weight"), F.slice(F.array_sort(F.collect_set("doc_id")), 1, most_docs).alias("doc_ids")).where(F.col("weight") >= least)
+def entity_cooccurrence(den: DataFrame, d: DataFrame, cat: DataFrame, least: int = 2, most_docs: int = 100, most_entities: int | None = None) -> DataFrame:
+    """Per country, pairs of entities (a < b) with at least `least` shared documents: weight, up to most_docs document ids (the smallest), and from these the first and last day and a count map by category.
+    den: initiating_country, entity, doc_id of master entities. most_entities leaves out documents with more entities than that, whose pairs would grow with the square; none are left out by default."""
+    e = den.select("initiating_country", "entity", "doc_id").distinct()
+    if most_entities:
+        e = e.join(e.groupBy("initiating_country", "doc_id").count().where(F.col("count") <= most_entities).drop("count"), ["initiating_country", "doc_id"], "left_semi")
+    key = ["initiating_country", "a", "b"]
+    p = e.withColumnRenamed("entity", "a").join(e.withColumnRenamed("entity", "b"), ["initiating_country", "doc_id"]).where("a < b")
+    g = p.groupBy(*key).agg(F.count("*").alias("weight"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, most_docs).alias("doc_ids")).where(F.col("weight") >= least)
+    shown = g.select(*key, F.explode("doc_ids").alias("doc_id"))
+    days = shown.join(d.select("doc_id", "date"), "doc_id").groupBy(*key).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    cats = shown.join(cat, "doc_id").groupBy(*key, "category").agg(F.count("*").alias("n")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
+    return g.join(days, key).join(cats, key, "left")
 
 
 def graph_degree(edges: DataFrame) -> DataFrame:
@@ -25,25 +35,25 @@ def graph_degree(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node). Minima spread along edges and jump along labels; each round is checkpointed in spark.checkpoint.dir."""
+    """node, component (its smallest node). Minima spread along edges and jump along labels; each round is written to the shared folder, and the round before is deleted."""
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsgrain-"))
-    sym = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = sym.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
+    sym, kept = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels, at = written(sym.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     while True:
         near = sym.join(labels, sym.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels.node == near.a).select("node", F.least("component", "m").alias("component"), F.col("component").alias("before"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = step.join(jump, "component").select("node", F.least("component", "further").alias("component"), "before").checkpoint()
-        changed = new.where("component <> before").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+        new, now = written(step.join(jump, "component").select("node", F.least("component", "further").alias("component"), "before"), "labels")
+        forget(spark, at)
+        at, labels = now, new.select("node", "component")
+        if new.where("component <> before").isEmpty():
+            forget(spark, kept)
             return labels
 
 
-def entity_neighbors(edges: DataFrame, root: str, hops: int = 2, strongest: int = 200) -> DataFrame:
-    """Nodes within some hops of root, each at its shallowest; per hop only the strongest edges of the frontier are followed, as the feature has it."""
+def entity_neighbors(edges: DataFrame, root: str, hops: int = 2, strongest: int = 200, least: int = 1) -> DataFrame:
+    """Nodes within some hops of root, each at its shallowest; per hop only the strongest edges of the frontier (of weight `least` at least) are followed, as the feature has it."""
+    edges, _ = written(edges.where(F.col("weight") >= least).select("a", "b", "weight"), "graph")  # every hop asks it again
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     seen = edges.sparkSession.createDataFrame([(root, 0)], "node string, hop int")
     frontier = seen.select("node")
@@ -88,13 +98,6 @@ def ego_subgraph_betweenness(edges: DataFrame, actor: str, top: int = 40) -> Dat
     return inner.groupBy(actor).applyInPandas(run, f"{actor} string, node string, betweenness double")
 
 
-def similar_pairs(vectors: DataFrame, block: list[str], threshold: float) -> DataFrame:
-    """Pairs (a < b) of a block with cosine of at least threshold."""
-    left = vectors.select(*block, F.col("vec_id").alias("a"), F.col("embedding").alias("u"))
-    right = vectors.select(*block, F.col("vec_id").alias("b"), F.col("embedding").alias("v"))
-    return left.join(right, block).where("a < b").select(*block, "a", "b", F.round(C.cosine_similarity(F.col("u"), F.col("v")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-
-
 def cluster_by_cosine(vectors: DataFrame, block: list[str], threshold: float) -> DataFrame:
     """vec_id, cluster: components of the similarity graph inside blocks; a vector alone is its own cluster."""
     comp = connected_components(similar_pairs(vectors, block, threshold).select("a", "b"))
@@ -109,21 +112,53 @@ def cluster_centroids(clusters: DataFrame, vectors: DataFrame) -> DataFrame:
     return j.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("d", "vec_id")).alias("m"), F.first("centroid").alias("centroid")).select("cluster", "n", F.col("m.vec_id").alias("representative"), "centroid")
 
 
-def pairwise_composite_distance(a: DataFrame, weights: tuple[float, float, float] = (0.4, 0.2, 0.4), days: int = 30) -> DataFrame:
-    """a: block, id, embedding, docs (array), day. Distances of pairs of a block; farther than `days` apart the distance is 1."""
-    l = a.select("block", F.col("id").alias("a"), F.col("embedding").alias("u"), F.col("docs").alias("x"), F.col("day").alias("s"))
-    r = a.select("block", F.col("id").alias("b"), F.col("embedding").alias("v"), F.col("docs").alias("y"), F.col("day").alias("t"))
+def pairwise_composite_distance(a: DataFrame, weights: tuple[float, float, float] = (0.4, 0.2, 0.4), days: int = 30, far: bool = True) -> DataFrame:
+    """a: block, id, embedding, docs (array), day. Distances of pairs of a block; farther than `days` apart the distance is 1. Without far, only pairs within `days` are made, by ranges of days: those
+    that a cut under 1 can ask for."""
+    left = a.select("block", F.col("id").alias("a"), F.col("embedding").alias("u"), F.col("docs").alias("x"), F.col("day").alias("s"))
+    right = a.select("block", F.col("id").alias("b"), F.col("embedding").alias("v"), F.col("docs").alias("y"), F.col("day").alias("t"))
     gap = F.abs(F.datediff("s", "t"))
     d = weights[0] * (1 - C.cosine_similarity(F.col("u"), F.col("v"))) + weights[1] * (1 - C.jaccard(F.col("x"), F.col("y"))) + weights[2] * F.least(gap / days, F.lit(1.0))
-    return l.join(r, "block").where("a < b").select("a", "b", F.round(F.when(gap > days, 1.0).otherwise(d), 6).alias("distance"))
+    if far:
+        j = left.join(right, "block").where("a < b")
+    else:
+        bin_ = lambda c: F.floor(F.unix_date(c) / days)
+        left = left.withColumn("bin", F.explode(F.array(*[bin_("s") + k for k in (-1, 0, 1)])))
+        j = left.join(right.withColumn("bin", bin_("t")), ["block", "bin"]).where((F.col("a") < F.col("b")) & (gap <= days))
+    return j.select("a", "b", F.round(F.when(gap > days, 1.0).otherwise(d), 6).alias("distance"))
 
 
 def consolidate(distances: DataFrame, nodes: DataFrame, cut: float) -> DataFrame:
     """id, master: components of pairs under the cut; the master has most articles, then most days, then the smallest id."""
-    comp = connected_components(distances.where(F.col("distance") < cut).select("a", "b")).withColumnRenamed("node", "id")
-    j = nodes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lead = j.groupBy("component").agg(F.min(F.struct((-F.col("articles")).alias("x"), (-F.col("days")).alias("y"), "id")).alias("m"))
-    return j.join(lead, "component").select("id", F.col("m.id").alias("master"))
+    return led(nodes, distances.where(F.col("distance") < cut).select("a", "b"), [-F.col("articles"), -F.col("days")])
+
+
+def led(nodes: DataFrame, edges: DataFrame, order: list, id_: str = "id") -> DataFrame:
+    """id, master: the components of edges (a, b) over nodes; the node that comes first in the order, then by id, is the master of its component."""
+    comp = connected_components(edges).withColumnRenamed("node", id_)
+    j = nodes.join(comp, id_, "left").withColumn("component", F.coalesce("component", id_))
+    lead = j.groupBy("component").agg(F.min(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(id_).alias("id"))).alias("m"))
+    return j.join(lead, "component").select(id_, F.col("m.id").alias("master"))
+
+
+def consolidate_entities(entities: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """vec_id, master: components of entities alike by cosine in a block (country and type); the one with most documents leads. entities: vec_id, embedding, n_docs and the block's columns."""
+    return led(entities.select("vec_id", "n_docs"), similar_pairs(entities, block, threshold).select("a", "b"), [-F.col("n_docs")], "vec_id")
+
+
+def merge_canonical_entities(den: DataFrame, masters: DataFrame, rc: DataFrame, cat: DataFrame, events: DataFrame) -> DataFrame:
+    """Masters after taking over their children's mentions: entity (the master), children, documents, mention days, first and last day, alternative names, associated events, and count maps of
+    categories and recipients over the union of the documents. den: entity, mention_date, doc_id; masters: entity, master; events: entity, master_event."""
+    m = den.join(masters, "entity")
+    docs = m.select("master", "doc_id").distinct()
+    g = m.groupBy("master").agg(F.count_distinct("entity").alias("entities"), F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("mention_date").alias("mention_days"), F.min("mention_date").alias("first_day"), F.max("mention_date").alias("last_day"), F.array_sort(F.collect_set(F.when(F.col("entity") != F.col("master"), F.col("entity")))).alias("alternative_names"))
+    ev = events.join(masters, "entity").groupBy("master").agg(F.array_sort(F.collect_set("master_event")).alias("events"))
+
+    def counts(bridge: DataFrame, column: str, name: str) -> DataFrame:
+        c = docs.join(bridge, "doc_id").groupBy("master", F.col(column).alias("key")).agg(F.count("*").alias("n"))
+        return c.groupBy("master").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(name))
+
+    return g.join(ev, "master", "left").join(counts(cat, "category", "categories"), "master", "left").join(counts(rc, "recipient_country", "recipients"), "master", "left")
 
 
 def link_entities_to_events(den: DataFrame, docs: DataFrame) -> DataFrame:
@@ -136,16 +171,6 @@ def entity_lookup(cen: DataFrame, term: str, k: int) -> DataFrame:
     return cen.where(exact | F.col("entity").ilike(f"%{term}%")).orderBy(F.desc(exact), F.desc("total_documents"), "entity").limit(k)
 
 
-def match_entities(queries: DataFrame, cen: DataFrame, k: int, similar: float = 0.7) -> DataFrame:
-    """For each query the k best entities: substring first, then trigram similarity."""
-    q, e = F.col("query"), F.col("entity")
-    s = C.trigram_similarity(q, e)
-    j = cen.select("entity").crossJoin(queries)
-    tier = F.when(F.lower(e).contains(F.lower(q)), 1).when(s >= similar, 2)
-    j = j.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("score", F.when(F.col("tier") == 1, 1.0).otherwise(F.round(s, 6)))
-    return j.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("tier", F.desc("score"), "entity"))).where(F.col("r") <= k).select("query", "entity", "tier", "score")
-
-
 def residual_duplicates(pairs: DataFrame, days: DataFrame, gap: int = 30) -> DataFrame:
     """Similar pairs whose ranges (id, first_day, last_day) are at most `gap` days apart."""
     side = lambda n: days.select(F.col("id").alias(n), F.col("first_day").alias(f"f{n}"), F.col("last_day").alias(f"l{n}"))

@@ -106,10 +106,22 @@ def pairwise_cluster_prf(assign: DataFrame) -> DataFrame:
 
 
 def spearman_rank(pairs: DataFrame) -> DataFrame:
-    """Rank correlation of id, x, y without ties (ids break them). Ranks are over the pre-aggregated pairs."""
-    rank = lambda c: F.row_number().over(W.orderBy(c, "id"))
-    r = pairs.select((rank("x") - rank("y")).alias("d"))
-    return r.agg(F.round(1 - 6 * F.sum((F.col("d") * F.col("d")).cast("double")) / (F.count("*").cast("double") * (F.count("*").cast("double") * F.count("*").cast("double") - 1)), 6).alias("rho"))
+    """Rank correlation of id, x, y without ties (ids break them). A rank is the rows with smaller values, summed over the distinct values, plus the place among equal values; no window holds all rows
+    but those over distinct values' counts in ranges."""
+
+    def ranked(c: str) -> DataFrame:
+        v = pairs.select("id", F.col(c).alias("v"))
+        counts = v.groupBy("v").agg(F.count("*").alias("n"))
+        # ranges of values in order, the rows before each range, then before each value in it
+        r = counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("range"))
+        before = r.groupBy("range").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        inside = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        at = r.withColumn("inside", inside).join(before.select("range", "before"), "range").select("v", (F.col("before") + F.col("inside")).alias("before"))
+        return v.join(at, "v").select("id", (F.col("before") + F.row_number().over(W.partitionBy("v").orderBy("id"))).alias(f"r{c}"))
+
+    r = ranked("x").join(ranked("y"), "id").select((F.col("rx") - F.col("ry")).alias("d"))
+    n = F.count("*").cast("double")
+    return r.agg(F.round(1 - 6 * F.sum((F.col("d") * F.col("d")).cast("double")) / (n * (n * n - 1)), 6).alias("rho"))
 
 
 def citation_coverage(claims: DataFrame, citations: DataFrame, candidates: DataFrame) -> DataFrame:

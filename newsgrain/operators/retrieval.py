@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
+from .tiles import nearest
 
 
 def tokens(text):
@@ -38,25 +38,9 @@ def keyword_search(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k:
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top k of every query vector (query_id, q) against all vectors (vec_id, embedding); the query set is stated by the caller."""
-    j = vectors.select("vec_id", "embedding").crossJoin(queries.select("query_id", "q"))
-    s = j.select("query_id", "vec_id", F.round(C.cosine_similarity(F.col("q"), F.col("embedding")), 6).alias("score"))
+    """Exact cosine top k of every query vector (query_id, q) against all vectors (vec_id, embedding), tile by tile; the query set is stated by the caller."""
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def vector_search_lsh(queries: DataFrame, vectors: DataFrame, k: int, distance: float = 1.2, tables: int = 8) -> DataFrame:
-    """Approximate form by random projections of unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    norm = Normalizer(inputCol="v", outputCol="u")
-    v = norm.transform(vectors.select("vec_id", array_to_vector("embedding").alias("v"))).select("vec_id", "u")
-    q = norm.transform(queries.select("query_id", array_to_vector("q").alias("v"))).select("query_id", "u")
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=1.0, numHashTables=tables, seed=42).fit(v)
-    near = model.approxSimilarityJoin(v, q, distance, "d").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return nearest(queries, vectors, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hybrid_rrf(vector: DataFrame, keyword: DataFrame, id_: str, full_outer: bool = False) -> DataFrame:
@@ -79,6 +63,7 @@ def rerank_fusion(ranked: DataFrame, id_: str, alpha: float = 0.6, lowest: int =
 
 
 def entity_boost(results: DataFrame, docs: DataFrame, id_: str, by: float = 0.15) -> DataFrame:
-    """Score raised for the documents of matched entities, capped at 1, in the new order."""
-    j = results.join(docs.select(id_).distinct().withColumn("hit", F.lit(True)), id_, "left")
+    """Score raised for the documents of matched entities, capped at 1. docs: id, and query_id where the matches are those of a query."""
+    on = ["query_id", id_] if "query_id" in docs.columns else [id_]
+    j = results.join(docs.select(*on).distinct().withColumn("hit", F.lit(True)), on, "left")
     return j.select("query_id", id_, F.round(F.when(F.col("hit"), F.least(F.col("score") + by, F.lit(1.0))).otherwise(F.col("score")), 6).alias("score"))

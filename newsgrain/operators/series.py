@@ -123,7 +123,8 @@ def materiality_outliers(ce: DataFrame, z: float = 1.5, k: int = 6) -> DataFrame
 
 
 def trajectory(current: DataFrame, prior: DataFrame) -> DataFrame:
-    """One row each of n_docs, n_events, n_articles, mean_score -> deltas, votes and the verdict."""
+    """One row each of n_docs, n_events, n_articles, mean_score -> changes, votes, verdict and confidence. A mean score that only one period has is a vote of one; a signal is available if either period
+    has it. Under five documents before, the verdict is steady and the confidence low."""
     j = current.crossJoin(F.broadcast(prior.select(*[F.col(c).alias(f"p_{c}") for c in prior.columns])))  # one row
 
     def change(c: str):
@@ -132,10 +133,22 @@ def trajectory(current: DataFrame, prior: DataFrame) -> DataFrame:
     def vote(x, a: float, b: float):
         return F.when(x >= b, 2).when(x >= a, 1).when(x <= -b, -2).when(x <= -a, -1).otherwise(0)
 
-    score = F.coalesce(F.col("mean_score") - F.col("p_mean_score"), F.lit(0.0))
-    total = vote(change("n_docs"), 0.2, 0.5) + vote(change("n_events"), 0.2, 0.5) + vote(change("n_articles"), 0.2, 0.5) + vote(score, 0.5, 1.5)
+    now, before = F.col("mean_score"), F.col("p_mean_score")
+    score = now - before
+    by_score = F.when(now.isNull() & before.isNull(), 0).when(now.isNull(), -1).when(before.isNull(), 1).otherwise(vote(score, 0.5, 1.5))
+    counts = ("n_docs", "n_events", "n_articles")
+    total = sum((vote(change(c), 0.2, 0.5) for c in counts), by_score)
+    available = sum((((F.col(c) > 0) | (F.col(f"p_{c}") > 0)).cast("int") for c in counts), (now.isNotNull() | before.isNotNull()).cast("int"))
     thin = F.col("p_n_docs") < 5
-    return j.select(F.round(change("n_docs"), 6).alias("docs_delta"), F.round(change("n_events"), 6).alias("events_delta"), F.round(score, 6).alias("score_delta"), F.when(thin, 0).otherwise(total).cast("int").alias("votes"), F.when(thin, "steady").when(total >= 2, "accelerating").when(total <= -2, "cooling").otherwise("steady").alias("trajectory"))
+    verdict = F.when(thin, "steady").when(total >= 2, "accelerating").when(total <= -2, "cooling").otherwise("steady")
+    sure = F.when(thin, "LOW").when((available >= 3) & (F.abs(total) >= 5), "HIGH").when((available >= 2) & (F.abs(total) >= 2), "MED").otherwise("LOW")
+    return j.select(
+        *[F.round(change(c), 6).alias(f"{c[2:]}_delta") for c in counts],
+        F.round(score, 6).alias("score_delta"),
+        F.when(thin, 0).otherwise(total).cast("int").alias("votes"),
+        verdict.alias("trajectory"),
+        sure.alias("confidence"),
+    )
 
 
 def rank_in_cohort(counts: DataFrame, name: str, x: str) -> DataFrame:
@@ -191,19 +204,33 @@ def data_sufficiency(n_docs, n_events):
     return F.when(at_least(200, 10), "HIGH").when(at_least(50, 5), "MEDIUM").when(at_least(20, 3), "LOW").otherwise("INSUFFICIENT")
 
 
-def split_by_gap_blocks(days: list, gap: int = 30, least: int = 3, most_span: int = 180, window: int = 90) -> list[int]:
-    """Block number of each sorted day: new at gaps; blocks under `least` rows join the one before (the first joins the next); long ones are cut into windows from each window's first day."""
+def split_blocks(days: list, vectors: list | None = None, drift: float | None = None, gap: int = 30, least: int = 3, most_span: int = 180, window: int = 90) -> list[int]:
+    """Block number of each sorted day. A block begins at a gap, or, once `least` rows are in the one before, where the row's vector is nearer than `drift` to the block's running centroid no longer.
+    Then blocks under `least` rows join the one before (the first joins the next), and long ones are cut into windows from each window's first day."""
+    import numpy as np
+
     blocks: list[list[int]] = []
+    centroid = None
+    unit = lambda v: v / max(float(np.linalg.norm(v)), 1e-9)
+    rows = [unit(np.asarray(v, float)) for v in vectors] if vectors is not None and drift is not None else None
     for i, d in enumerate(days):
-        if i == 0 or (d - days[i - 1]).days >= gap:
-            blocks.append([])
-        blocks[-1].append(i)
-    merged: list[list[int]] = []
-    for b in blocks:
-        if merged and (len(b) < least or len(merged[-1]) < least and len(merged) == 1):
-            merged[-1] += b
+        away = rows is not None and i > 0 and len(blocks[-1]) >= least and float(rows[i] @ centroid) < drift
+        if i == 0 or (d - days[i - 1]).days >= gap or away:
+            blocks.append([i])
+            centroid = rows[i] if rows is not None else None
+        else:
+            blocks[-1].append(i)
+            if rows is not None:
+                n = len(blocks[-1])
+                centroid = unit((centroid * (n - 1) + rows[i]) / n)
+    merged: list[list[int]] = blocks[:1]
+    for b in blocks[1:]:
+        if len(b) < least:
+            merged[-1] = merged[-1] + b
         else:
             merged.append(b)
+    if len(merged) > 1 and len(merged[0]) < least:
+        merged[:2] = [merged[0] + merged[1]]
     out, k = [0] * len(days), -1
     for b in merged:
         k, anchor = k + 1, days[b[0]]
@@ -216,30 +243,27 @@ def split_by_gap_blocks(days: list, gap: int = 30, least: int = 3, most_span: in
 
 
 def split_by_gap(dem: DataFrame, gap: int = 30, vectors: str | None = None, drift: float | None = None) -> DataFrame:
-    """Block of each (event, day); with a vector column, a new block also where the day's vector leaves the block's running centroid after three rows. An event's days are one short group."""
+    """Block of each (event, day); with a vector column also by drift. An event's days are one short group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pdf = pdf.sort_values("mention_date").reset_index(drop=True)
         days = [pd.Timestamp(d) for d in pdf["mention_date"]]
-        block = split_by_gap_blocks(days, gap)
-        if vectors and drift is not None:
-            extra, centroid, n, shift = [], None, 0, 0
-            for i, v in enumerate(pdf[vectors]):
-                v = np.asarray(v, float)
-                v = v / (np.linalg.norm(v) or 1)
-                if i and block[i] != block[i - 1]:
-                    centroid, n = None, 0
-                if n >= 3 and float(v @ centroid) < drift:
-                    shift, centroid, n = shift + 1, None, 0
-                total = v if centroid is None else centroid * n + v
-                n += 1
-                centroid = total / (np.linalg.norm(total) or 1)
-                extra.append(shift)
-            block = [b + e for b, e in zip(block, extra, strict=True)]
-        return pdf[["canonical_event_id", "mention_date"]].assign(block=block)
+        return pdf[["canonical_event_id", "mention_date"]].assign(block=split_blocks(days, list(pdf[vectors]) if vectors else None, drift, gap))
 
     columns = ["canonical_event_id", "mention_date", *([vectors] if vectors else [])]
     return dem.select(*columns).groupBy("canonical_event_id").applyInPandas(run, f"canonical_event_id {dem.schema['canonical_event_id'].dataType.simpleString()}, mention_date date, block int")
 
+
+def binseg_udtf(spark):
+    """Register `binseg(months, values)` as a table function, so that SQL can join changepoints laterally: cp_month, pre_mean, post_mean, z of one series."""
+    from pyspark.sql.functions import udtf
+
+    class Binseg:
+        def eval(self, months: list, values: list):
+            order = sorted(range(len(months or [])), key=lambda i: months[i])
+            for t, pre, post, z in binseg([float(values[i]) for i in order]):
+                yield months[order[t]], round(pre, 1), round(post, 1), round(float(z), 2)
+
+    made = udtf(Binseg, returnType="cp_month date, pre_mean double, post_mean double, z double")
+    spark.udtf.register("binseg", made)
+    return made

@@ -58,7 +58,8 @@ class Model:
         before = orders.groupBy("range").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         rk = orders.withColumn("at", F.row_number().over(W.partitionBy("range").orderBy("o_orderkey")) - 1).join(before, "range").select("o_orderkey", (F.col("before") + F.col("at")).alias("rn"))
         n = orders.agg(F.count("*").alias("n"))
-        e = self.table("events").crossJoin(F.broadcast(n)).withColumn("rn", F.col("event_id") % F.col("n"))
+        # an eighth of the documents carries all mentions, so that entities meet in documents
+        e = self.table("events").crossJoin(F.broadcast(n)).withColumn("rn", F.col("event_id") % F.greatest(F.floor(F.col("n") / 8), F.lit(1)))
         return e.join(rk, "rn").select(F.col("user_id").alias("canonical_event_id"), F.to_date("ts").alias("mention_date"), F.col("o_orderkey").alias("doc_id"), F.concat("event_type", F.lit("_"), F.floor(F.col("value") / 10).cast("string")).alias("entity")).distinct()
 
     @cached_property
@@ -76,7 +77,7 @@ class Model:
         return g.select(
             i.alias("id"),
             F.concat(F.lit("Event "), (i % 40).cast("string")).alias("canonical_name"),
-            F.when(i % 5 == 0, None).otherwise(i - i % 5).alias("master_event_id"),
+            F.when((i % 5 == 0) | (i % 50 > 44), None).otherwise(i - i % 5).alias("master_event_id"),
             F.concat(F.lit("NATION_"), (F.floor((i - i % 5) / 5) % 5).cast("string")).alias("initiating_country"),
             "first_mention_date",
             "last_mention_date",
@@ -136,7 +137,7 @@ class Model:
     @cached_property
     def vectors(self) -> DataFrame:
         v = self.table("embeddings")
-        return v.select("vec_id", "embedding", "label", F.concat(F.lit("NATION_"), (F.col("vec_id") % 5).cast("string")).alias("country"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 30).cast("int")).alias("day"))
+        return v.select("vec_id", "embedding", "label", F.concat(F.lit("NATION_"), (F.col("vec_id") % 5).cast("string")).alias("country"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 40).cast("int")).alias("day"))
 
 
 #: The same model in SQL that both engines run.
@@ -147,10 +148,10 @@ CTES = {
     "sub": "SELECT DISTINCT l.l_orderkey AS doc_id, p.p_brand AS subcategory FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey",
     "d": "SELECT o.o_orderkey AS doc_id, CAST(o.o_orderdate AS DATE) AS date, o.o_orderpriority AS source_name, CASE WHEN o.o_orderstatus='P' THEN NULL WHEN o.o_custkey % 3 = 0 THEN ic.initiating_country ELSE 'NATION_24' END AS source_geofocus, o.o_orderstatus AS medium, concat('Doc ', CAST(o.o_orderkey % 97 AS VARCHAR), ' ', o.o_orderpriority) AS title, concat('Total ', CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS VARCHAR)) AS distilled_text FROM orders o JOIN ic ON ic.doc_id=o.o_orderkey",
     "rk": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders",
-    "ent_docs": "SELECT DISTINCT e.user_id AS canonical_event_id, CAST(e.ts AS DATE) AS mention_date, rk.o_orderkey AS doc_id, concat(e.event_type, '_', CAST(CAST(floor(e.value / 10) AS BIGINT) AS VARCHAR)) AS entity FROM events e JOIN rk ON e.event_id % rk.n = rk.rn",
+    "ent_docs": "SELECT DISTINCT e.user_id AS canonical_event_id, CAST(e.ts AS DATE) AS mention_date, rk.o_orderkey AS doc_id, concat(e.event_type, '_', CAST(CAST(floor(e.value / 10) AS BIGINT) AS VARCHAR)) AS entity FROM events e JOIN rk ON e.event_id % greatest(rk.n // 8, 1) = rk.rn",
     "dem_docs": "SELECT DISTINCT canonical_event_id, mention_date, doc_id FROM ent_docs",
     "dem": "SELECT canonical_event_id, mention_date, count(*) AS article_count FROM dem_docs GROUP BY 1,2",
-    "ce": "SELECT canonical_event_id AS id, concat('Event ', CAST(canonical_event_id % 40 AS VARCHAR)) AS canonical_name, CASE WHEN canonical_event_id % 5 = 0 THEN NULL ELSE canonical_event_id - canonical_event_id % 5 END AS master_event_id, concat('NATION_', CAST(CAST((canonical_event_id - canonical_event_id % 5) / 5 AS BIGINT) % 5 AS VARCHAR)) AS initiating_country, min(mention_date) AS first_mention_date, max(mention_date) AS last_mention_date, CAST(sum(article_count) AS BIGINT) AS total_articles, count(*) AS total_mention_days, CASE WHEN canonical_event_id % 7 = 0 THEN NULL ELSE CAST(1 + canonical_event_id % 10 AS DECIMAL(3,1)) END AS material_score FROM dem GROUP BY canonical_event_id",
+    "ce": "SELECT canonical_event_id AS id, concat('Event ', CAST(canonical_event_id % 40 AS VARCHAR)) AS canonical_name, CASE WHEN canonical_event_id % 5 = 0 OR canonical_event_id % 50 > 44 THEN NULL ELSE canonical_event_id - canonical_event_id % 5 END AS master_event_id, concat('NATION_', CAST(CAST((canonical_event_id - canonical_event_id % 5) / 5 AS BIGINT) % 5 AS VARCHAR)) AS initiating_country, min(mention_date) AS first_mention_date, max(mention_date) AS last_mention_date, CAST(sum(article_count) AS BIGINT) AS total_articles, count(*) AS total_mention_days, CASE WHEN canonical_event_id % 7 = 0 THEN NULL ELSE CAST(1 + canonical_event_id % 10 AS DECIMAL(3,1)) END AS material_score FROM dem GROUP BY canonical_event_id",
     "rcounts": "SELECT x.canonical_event_id AS id, rc.recipient_country AS key, count(*) AS n FROM (SELECT DISTINCT canonical_event_id, doc_id FROM dem_docs) x JOIN rc ON rc.doc_id = x.doc_id GROUP BY 1,2",
     "ccounts": "SELECT x.canonical_event_id AS id, cat.category AS key, count(*) AS n FROM (SELECT DISTINCT canonical_event_id, doc_id FROM dem_docs) x JOIN cat ON cat.doc_id = x.doc_id GROUP BY 1,2",
     "fam": "SELECT id, coalesce(master_event_id, id) AS master FROM ce",
@@ -162,7 +163,7 @@ CTES = {
     "raw_events": "SELECT DISTINCT l.l_orderkey AS doc_id, p.p_name AS event_name, CASE WHEN l.l_linenumber = 1 THEN concat(p.p_brand, ' ', p.p_name) END AS specific_event_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey",
     "rb": "SELECT d.doc_id, d.date, CAST(date_trunc('month', d.date) AS DATE) AS month, ic.initiating_country, rc.recipient_country, cat.category, d.source_name, d.source_geofocus, d.source_geofocus ILIKE concat('%', ic.initiating_country, '%') AS self_reported, d.source_geofocus ILIKE concat('%', rc.recipient_country, '%') AS recipient_focused FROM d JOIN ic ON ic.doc_id = d.doc_id JOIN rc ON rc.doc_id = d.doc_id JOIN cat ON cat.doc_id = d.doc_id WHERE ic.initiating_country IN {INF} AND rc.recipient_country IN {REC} AND cat.category IN {CAT} AND ic.initiating_country <> rc.recipient_country AND d.date >= DATE '1996-01-01' AND d.date < DATE '2001-01-01'",
     "pi": "SELECT initiating_country, recipient_country, category, month, count(DISTINCT doc_id) AS raw_docs, count(DISTINCT doc_id) FILTER (WHERE self_reported) AS self_docs, count(DISTINCT doc_id) FILTER (WHERE NOT self_reported) AS third_docs, count(DISTINCT doc_id) FILTER (WHERE recipient_focused) AS recipient_focused_docs, count(DISTINCT source_name) AS distinct_sources FROM rb GROUP BY 1,2,3,4",
-    "vectors": "SELECT vec_id, embedding, label, concat('NATION_', CAST(vec_id % 5 AS VARCHAR)) AS country, DATE '2024-01-01' + CAST(vec_id % 30 AS INT) AS day FROM embeddings",
+    "vectors": "SELECT vec_id, embedding, label, concat('NATION_', CAST(vec_id % 5 AS VARCHAR)) AS country, DATE '2024-01-01' + CAST(vec_id % 40 AS INT) AS day FROM embeddings",
 }
 _list = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 NAMES = {"{INF}": _list(TEST_SCOPE.influencers), "{REC}": _list(TEST_SCOPE.recipients), "{CAT}": _list(TEST_SCOPE.categories)}

@@ -40,19 +40,6 @@ query("week_recipient_influencer_cube", SP + " SELECT CAST(date_trunc('week', da
     lambda m: N.cube_by_week(pairs(m)).select("week", F.explode("counts").alias("k", "n_docs")).select("week", F.split_part("k", F.lit("|"), F.lit(1)).alias("recipient_country"), F.split_part("k", F.lit("|"), F.lit(2)).alias("initiating_country"), "n_docs")
 )
 query("overview_metrics", SP + ", t AS (SELECT count(DISTINCT doc_id) AS total_docs, count(DISTINCT doc_id) FILTER (WHERE NOT coalesce(source_geofocus ILIKE concat('%', initiating_country, '%'), false)) AS corroborated_docs, count(DISTINCT (initiating_country, recipient_country)) AS active_pairs, count(DISTINCT recipient_country) AS active_recipients FROM sp) SELECT *, round(1 - corroborated_docs / nullif(CAST(total_docs AS DOUBLE), 0), 3) AS self_share FROM t", *BASE)(lambda m: N.overview_metrics(pairs(m)))
-SECTIONS = "SELECT 'category' AS section, category AS key, count(DISTINCT doc_id) AS n_docs FROM cat WHERE doc_id IN (SELECT doc_id FROM b) GROUP BY 2 UNION ALL SELECT 'recipient', recipient_country, count(DISTINCT doc_id) FROM rc WHERE doc_id IN (SELECT doc_id FROM b) GROUP BY 2 UNION ALL SELECT 'initiator', initiating_country, count(DISTINCT doc_id) FROM ic WHERE doc_id IN (SELECT doc_id FROM b) GROUP BY 2"
-
-
-def _sections(m: Model, b):
-    return N.bundle(b, {"category": (m.cat, "category"), "recipient": (m.rc, "recipient_country"), "initiator": (m.ic, "initiating_country")})
-
-
-for _name, _where, _filter in (("influencer_metrics", "initiating_country = 'NATION_1'", lambda p: p.where("initiating_country = 'NATION_1'")), ("recipient_metrics", "recipient_country = 'NATION_7'", lambda p: p.where("recipient_country = 'NATION_7'"))):
-    query(_name, SP + f", b AS (SELECT doc_id FROM sp WHERE {_where}) " + SECTIONS, *BASE, "cat")(lambda m, f=_filter: _sections(m, f(pairs(m))))
-query("pair_metrics", "b AS (SELECT d.doc_id FROM d JOIN ic ON ic.doc_id = d.doc_id JOIN rc ON rc.doc_id = d.doc_id WHERE initiating_country = 'NATION_3' AND recipient_country = 'NATION_3') " + SECTIONS, *BASE, "cat")(
-    lambda m: _sections(m, m.d.join(m.ic.where("initiating_country = 'NATION_3'"), "doc_id").join(m.rc.where("recipient_country = 'NATION_3'"), "doc_id"))
-)
-query("chart_drilldown", "b AS (SELECT DISTINCT doc_id FROM rb WHERE category = 'LARGE' AND month = DATE '1997-05-01') " + SECTIONS, "rb")(lambda m: _sections(m, base(m).where("category = 'LARGE' AND month = DATE'1997-05-01'")))
 query("provenance_intensity", "SELECT *, round(CAST(self_docs AS DOUBLE) / nullif(raw_docs, 0), 3) AS self_share, third_docs AS normalized FROM pi", "pi")(lambda m: P.provenance_intensity(base(m)))
 query("actor_tensor", "SELECT initiating_country, category, month, CAST(sum(raw_docs) AS BIGINT) AS raw_docs, CAST(sum(self_docs) AS BIGINT) AS self_docs, CAST(sum(third_docs) AS BIGINT) AS third_docs, CAST(sum(distinct_sources) AS BIGINT) AS distinct_sources FROM pi GROUP BY 1,2,3", "pi")(lambda m: P.actor_tensor(P.provenance_intensity(base(m))))
 query("provenance_stats", "SELECT category, count(DISTINCT doc_id) AS raw_docs, count(DISTINCT doc_id) FILTER (WHERE coalesce(self_reported, false)) AS self_docs, count(DISTINCT doc_id) FILTER (WHERE NOT coalesce(self_reported, false)) AS third_docs FROM rb WHERE initiating_country = 'NATION_1' GROUP BY 1", "rb")(lambda m: P.provenance_stats(base(m), "NATION_1"))
@@ -99,7 +86,6 @@ query("initiative_ledger", LED + " SELECT * FROM led", *LU)(ledger)
 query("initiative_gate", LED + " SELECT initiating_country, count(*) AS total, count(*) FILTER (WHERE corroboration >= 0.5 AND distinct_sources >= 3) AS corroborated, count(*) FILTER (WHERE corroboration >= 0.5 AND distinct_sources >= 3 AND material_score >= 6) AS substantive FROM led GROUP BY 1", *LU)(lambda m: P.initiative_gate(ledger(m)))
 query("ledger_rank", LED + ", v AS (SELECT id, canonical_name, round(coalesce(CAST(material_score AS DOUBLE), 0.0) * ln(1 + distinct_sources), 6) AS rank_value FROM led), o AS (SELECT *, row_number() OVER (PARTITION BY canonical_name ORDER BY rank_value DESC, id) AS r FROM v) SELECT id, canonical_name, rank_value FROM o WHERE r = 1 ORDER BY rank_value DESC, id LIMIT 18", *LU)(lambda m: P.ledger_rank(ledger(m)))
 query("canon_recipient", "SELECT doc_id, recipient_country, CASE WHEN recipient_country = 'NATION_18' THEN 'NATION_17' WHEN recipient_country IN {REC} THEN recipient_country END AS canonical, CASE WHEN recipient_country NOT IN {REC} THEN concat('unknown: ', recipient_country) END AS error FROM rc", "rc")(lambda m: P.canon_recipient(m.rc, "recipient_country", m.scope.aliases, m.scope.recipients))
-query("geo_intensity", None)(lambda m: P.geo_intensity(base(m).select("doc_id", "initiating_country", "self_reported", F.concat(((F.col("doc_id") % 700) / 10 - 20).cast("decimal(8,2)").cast("string"), F.lit(","), ((F.col("doc_id") % 1100) / 10).cast("decimal(8,2)").cast("string")).alias("lat_long"), F.col("recipient_country").alias("location"))))
 CNT = "g AS (SELECT initiating_country, recipient_country, count(DISTINCT doc_id) AS n FROM rb GROUP BY 1, 2)"
 
 
@@ -118,6 +104,3 @@ query("activity_series", "SELECT month, count(DISTINCT doc_id) AS raw_docs, coun
 query("self_reported_flag", "SELECT d.doc_id, d.source_geofocus ILIKE concat('%', ic.initiating_country, '%') AS self_reported FROM d JOIN ic ON ic.doc_id = d.doc_id", "d")(lambda m: N.self_flags(m.d.join(m.ic, "doc_id")).select("doc_id", "self_reported"))
 query("framing_class", "SELECT doc_id, CASE WHEN source_geofocus ILIKE '%NATION_24%' THEN 'adversary' WHEN source_geofocus ILIKE '%NATION_7%' OR source_geofocus ILIKE '%NATION_8%' THEN 'partner' ELSE 'neutral/other' END AS framing FROM d", "d")(lambda m: m.d.select("doc_id", C.framing_class(F.col("source_geofocus"), ["NATION_24"], ["NATION_7", "NATION_8"]).alias("framing")))
 query("expand_group", "SELECT doc_id, recipient_country FROM rc WHERE recipient_country IN ('NATION_0','NATION_1','NATION_2','NATION_3','NATION_4')", "rc")(lambda m: m.rc.where(F.col("recipient_country").isin(*m.scope.groups["first five"])))
-query("competing_influence", "SELECT initiating_country, count(DISTINCT doc_id) AS n_docs, count(DISTINCT doc_id) FILTER (WHERE NOT coalesce(self_reported, false)) AS corroborated FROM rb WHERE recipient_country = 'NATION_7' GROUP BY 1", "rb")(
-    lambda m: base(m).where("recipient_country = 'NATION_7'").groupBy("initiating_country").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct(F.when(~F.coalesce("self_reported", F.lit(False)), F.col("doc_id"))).alias("corroborated"))
-)

@@ -33,9 +33,6 @@ for _n, _b, _c in (("recipient_impact", "rc", "recipient_country"), ("event_cate
 query("event_timeline_daily", "SELECT canonical_event_id, mention_date, article_count, article_count AS n_docs FROM dem WHERE canonical_event_id BETWEEN 10 AND 14", "dem")(lambda m: E.event_timeline_daily(m.ce, m.dem, 10))
 query("event_detail", "SELECT id, canonical_name, master_event_id, total_articles, total_mention_days FROM ce WHERE id = 10 OR master_event_id = 10", "ce")(lambda m: m.ce.join(E.event_family(m.ce).where("master = 10").select("id"), "id", "left_semi").select("id", "canonical_name", "master_event_id", "total_articles", "total_mention_days"))
 DOM = "dom AS (SELECT id, key FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, key) AS r FROM rcounts) WHERE r = 1)"
-query("event_scope", DOM + " SELECT ce.id FROM ce JOIN dom ON dom.id = ce.id WHERE master_event_id IS NULL AND first_mention_date <= DATE '2024-01-20' AND last_mention_date >= DATE '2024-01-10' AND dom.key IN ('NATION_1','NATION_3') AND ce.id IN (SELECT id FROM ccounts WHERE key = 'ECONOMY')", "ce", "rcounts", "ccounts")(
-    lambda m: E.event_scope(m.ce_maps, start="2024-01-10", end="2024-01-20", recipient="NATION_1", category="ECONOMY").select("id").unionByName(E.event_scope(m.ce_maps, start="2024-01-10", end="2024-01-20", recipient="NATION_3", category="ECONOMY").select("id"))
-)
 query("dominant_key", DOM + " SELECT id, key AS dominant FROM dom", "rcounts")(lambda m: m.ce_maps.where("primary_recipients IS NOT NULL").select("id", C.dominant_key(F.col("primary_recipients")).alias("dominant")))
 query("primary_recipient_contains", "SELECT DISTINCT id FROM rcounts WHERE key = 'NATION_2'", "rcounts")(lambda m: m.ce_maps.where(F.map_contains_key("primary_recipients", F.lit("NATION_2"))).select("id"))
 query("recipient_mentions_unpivot", "SELECT ce.id, r.key, r.n FROM ce JOIN rcounts r ON r.id = ce.id WHERE r.key <> ce.initiating_country AND r.key IN {REC}", "ce", "rcounts")(lambda m: m.ce_maps.select("id", "initiating_country", F.explode("primary_recipients").alias("key", "n")).where(F.col("key").isin(*m.scope.recipients) & (F.col("key") != F.col("initiating_country"))).select("id", "key", "n"))
@@ -58,13 +55,11 @@ query("daily_event_summary", "SELECT * FROM es", "es")(lambda m: m.es)
 query("event_source_links", "SELECT l.es_id, l.doc_id, CASE WHEN row_number() OVER (PARTITION BY l.es_id ORDER BY d.date DESC, l.doc_id) <= 5 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS contribution_weight FROM links l JOIN d ON d.doc_id = l.doc_id", "links", "d")(lambda m: E.event_source_links(m.links, m.d))
 query("event_source_documents", "w AS (SELECT l.es_id, l.doc_id, d.date, row_number() OVER (PARTITION BY l.es_id ORDER BY d.date DESC, l.doc_id) AS r FROM links l JOIN d ON d.doc_id = l.doc_id) SELECT es_id, doc_id, date, CAST(r AS INT) AS rank FROM w WHERE r <= 3", "links", "d")(lambda m: N.top_n_per_group(m.links.join(m.d.select("doc_id", "date"), "doc_id"), ["es_id"], [F.desc("date"), F.asc("doc_id")], 3))
 RNG = "r AS (SELECT greatest(p, DATE '2024-01-03') AS period_start, least(p + 6, DATE '2024-01-30') AS period_end FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 7 DAY)) AS DATE) AS p))"
-query("period_ranges", RNG + " SELECT * FROM r")(lambda m: E.period_ranges(m.spark, "2024-01-03", "2024-01-30", "week"))
 query("rollup_period", RNG + ", i AS (SELECT es.*, r.period_start AS ps, r.period_end AS pe FROM es JOIN r ON es.period_start >= r.period_start AND es.period_end <= r.period_end), n AS (SELECT initiating_country, event_name, ps, count(DISTINCT doc_id) AS n_docs FROM i JOIN links l ON l.es_id = i.es_id GROUP BY 1, 2, 3), g AS (SELECT initiating_country, event_name, ps, pe, min(period_start) AS first_observed, max(period_end) AS last_observed, count(*) AS n_parts FROM i GROUP BY 1, 2, 3, 4) SELECT g.initiating_country, g.event_name, g.ps AS period_start, g.pe AS period_end, first_observed, last_observed, n_parts, n_docs FROM g LEFT JOIN n ON n.initiating_country = g.initiating_country AND n.event_name = g.event_name AND n.ps = g.ps", "links")(
     lambda m: E.rollup_period(m.es, m.links, E.period_ranges(m.spark, "2024-01-03", "2024-01-30", "week"), "week")
 )
 LAT = "k AS (SELECT *, row_number() OVER (PARTITION BY coalesce(CAST(canonical_event_id AS VARCHAR), concat(lower(trim(event_name)), '|', initiating_country)) ORDER BY period_start DESC, es_id) AS r FROM es)"
 query("latest_per_key", LAT + " SELECT es_id, event_name, period_start FROM k WHERE r = 1", "es")(lambda m: E.latest_per_key(m.es).select("es_id", "event_name", "period_start"))
-query("intelligence_feed", LAT + " SELECT es_id, period_start, total_documents FROM k WHERE r = 1 ORDER BY period_start DESC, total_documents DESC, es_id LIMIT 10", "es")(lambda m: E.latest_per_key(m.es, 10).select("es_id", "period_start", "total_documents"))
 query("asof_latest_narrative", "SELECT event_name, initiating_country, es_id, period_start FROM (SELECT *, row_number() OVER (PARTITION BY event_name, initiating_country ORDER BY period_start DESC, es_id DESC) AS r FROM es) WHERE r = 1", "es")(lambda m: E.asof_latest_narrative(m.es))
 query("resolve_missing_event_link", "f AS (SELECT canonical_name, initiating_country, min(id) AS f FROM ce WHERE master_event_id IS NULL GROUP BY 1, 2) SELECT es_id, coalesce(canonical_event_id, f) AS canonical_event_id FROM es LEFT JOIN f ON f.canonical_name = es.event_name AND f.initiating_country = es.initiating_country", "es")(lambda m: E.resolve_missing_event_link(m.es, m.ce))
 query("cross_period_view", "SELECT DISTINCT es_id FROM es WHERE canonical_event_id = 5 OR (canonical_event_id IS NULL AND event_name = (SELECT canonical_name FROM ce WHERE id = 20) AND initiating_country = (SELECT initiating_country FROM ce WHERE id = 20))", "es")(
@@ -75,16 +70,10 @@ query("period_stats", "SELECT initiating_country, period_type, count(*) AS n, ro
 query("top_events_by_period", "SELECT event_name, count(DISTINCT period_start) AS n_days, CAST(sum(total_documents) AS BIGINT) AS n_docs, min(period_start) AS first_day, max(period_start) AS last_day FROM es WHERE period_start BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10", "es")(lambda m: E.top_events_by_period(m.es, "2024-01-05", "2024-01-20", 10))
 query("weekly_top_events", "SELECT event_name, count(DISTINCT date_trunc('week', period_start)) AS n_weeks FROM es GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "es")(lambda m: E.top_k(m.es.groupBy("event_name").agg(F.count_distinct(F.trunc("period_start", "week")).alias("n_weeks")), [F.desc("n_weeks"), F.asc("event_name")], 10))
 query("event_comparison", "SELECT event_name, count(DISTINCT initiating_country) AS n_countries, max(period_start) AS latest, round(avg(CAST(material_score AS DOUBLE)), 6) AS mean FROM es GROUP BY 1 HAVING count(DISTINCT initiating_country) >= 2", "es")(lambda m: m.es.groupBy("event_name").agg(F.count_distinct("initiating_country").alias("n_countries"), F.max("period_start").alias("latest"), F.round(F.avg(F.col("material_score").cast("double")), 6).alias("mean")).where("n_countries >= 2"))
-query("search_summaries", "SELECT es_id, total_documents FROM es WHERE event_name ILIKE '%event 1%' ORDER BY total_documents DESC, es_id LIMIT 20", "es")(lambda m: E.top_k(m.es.where(F.col("event_name").ilike("%event 1%")), [F.desc("total_documents"), F.asc("es_id")], 20).select("es_id", "total_documents"))
-query("events_list", "SELECT id, total_articles FROM ce WHERE master_event_id IS NULL ORDER BY material_score DESC NULLS LAST, id LIMIT 10 OFFSET 10", "ce")(lambda m: E.page(E.masters(m.ce), [F.desc_nulls_last("material_score"), F.asc("id")], 2, 10).select("id", "total_articles"))
 query("page", "SELECT doc_id, date FROM d ORDER BY date DESC, doc_id LIMIT 25 OFFSET 50", "d")(lambda m: E.page(m.d.select("doc_id", "date"), [F.desc("date"), F.asc("doc_id")], 3, 25))
 query("top_k", "SELECT doc_id, date FROM d ORDER BY date DESC, doc_id LIMIT 25", "d")(lambda m: E.top_k(m.d.select("doc_id", "date"), [F.desc("date"), F.asc("doc_id")], 25))
 query("nulls_last_order", "SELECT id, material_score FROM ce ORDER BY material_score DESC NULLS LAST, id LIMIT 400", "ce")(lambda m: E.top_k(m.ce.select("id", "material_score"), [F.desc_nulls_last("material_score"), F.asc("id")], 400))
 query("pair_events_by_materiality", "SELECT es_id, material_score FROM es WHERE initiating_country = 'NATION_1' AND material_score >= 5 ORDER BY material_score DESC, period_start DESC, es_id LIMIT 10", "es")(lambda m: E.top_k(m.es.where("initiating_country = 'NATION_1' AND material_score >= 5"), [F.desc("material_score"), F.desc("period_start"), F.asc("es_id")], 10).select("es_id", "material_score"))
-query("lookback_matches", "o AS (SELECT id AS match_id, coalesce(master_event_id, id) AS chain, total_articles AS n FROM ce WHERE first_mention_date < DATE '2024-01-15' AND last_mention_date >= DATE '2024-01-15' - 90 AND total_articles >= 2), j AS (SELECT ce.id, o.match_id, o.n, row_number() OVER (PARTITION BY ce.id ORDER BY o.n DESC, o.match_id) AS r FROM ce JOIN o ON o.chain = coalesce(ce.master_event_id, ce.id) AND ce.id <> o.match_id) SELECT id, match_id, n FROM j WHERE r = 1", "ce")(lambda m: E.lookback_matches(m.ce, m.ce, "2024-01-15"))
-query("pair_rollup", SP + ", g AS (SELECT initiating_country, recipient_country, count(DISTINCT doc_id) AS n_docs, min(date) AS first_day, max(date) AS last_day FROM sp GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3), c AS (SELECT initiating_country, recipient_country, category, count(DISTINCT sp.doc_id) AS n FROM sp JOIN cat ON cat.doc_id = sp.doc_id GROUP BY 1, 2, 3) SELECT g.*, c.category, c.n FROM g JOIN c ON c.initiating_country = g.initiating_country AND c.recipient_country = g.recipient_country", "d", "ic", "rc", "cat")(lambda m: E.pair_rollup(pairs(m), m.cat, 3).select("initiating_country", "recipient_country", "n_docs", "first_day", "last_day", F.explode("by_category").alias("category", "n")))
-query("country_category_rollup", SP + " SELECT initiating_country, category, count(DISTINCT sp.doc_id) AS n_docs, min(date) AS first_day, max(date) AS last_day FROM sp JOIN cat ON cat.doc_id = sp.doc_id GROUP BY 1, 2", "d", "ic", "rc", "cat")(lambda m: pairs(m).join(m.cat, "doc_id").groupBy("initiating_country", "category").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("date").alias("first_day"), F.max("date").alias("last_day")))
-query("pair_category_rollup", SP + " SELECT initiating_country, recipient_country, category, count(DISTINCT sp.doc_id) AS n_docs FROM sp JOIN cat ON cat.doc_id = sp.doc_id GROUP BY 1, 2, 3", "d", "ic", "rc", "cat")(lambda m: N.count_docs(pairs(m).join(m.cat, "doc_id"), ["initiating_country", "recipient_country", "category"]))
 query("assign_best_category", "a AS (SELECT canonical_event_id, count(DISTINCT doc_id) AS all_docs FROM dem_docs GROUP BY 1), g AS (SELECT x.canonical_event_id, cat.category, count(DISTINCT x.doc_id) AS n_docs FROM dem_docs x JOIN cat ON cat.doc_id = x.doc_id GROUP BY 1, 2), j AS (SELECT g.*, a.all_docs, row_number() OVER (PARTITION BY g.canonical_event_id ORDER BY n_docs DESC, category) AS r FROM g JOIN a ON a.canonical_event_id = g.canonical_event_id WHERE n_docs >= greatest(2, ceil(all_docs * 0.25))) SELECT canonical_event_id, category, n_docs, all_docs FROM j WHERE r = 1", "dem_docs", "cat")(lambda m: E.assign_best_category(m.event_docs, m.cat))
 query("pair_event_stats", "SELECT ce.initiating_country, r.key AS recipient, count(*) AS n, round(avg(CAST(material_score AS DOUBLE)), 6) AS mean FROM ce JOIN rcounts r ON r.id = ce.id WHERE master_event_id IS NULL GROUP BY 1, 2", "ce", "rcounts")(lambda m: E.masters(m.ce_maps).select("initiating_country", "material_score", F.explode(F.map_keys("primary_recipients")).alias("recipient")).groupBy("initiating_country", "recipient").agg(F.count("*").alias("n"), F.round(F.avg(F.col("material_score").cast("double")), 6).alias("mean")))
 query("country_grouping", "SELECT coalesce(r.key, 'Unknown') AS recipient, count(*) AS n, round(avg(CAST(material_score AS DOUBLE)), 6) AS mean FROM ce LEFT JOIN rcounts r ON r.id = ce.id GROUP BY 1", "ce", "rcounts")(lambda m: m.ce_maps.select("material_score", F.explode_outer(F.map_keys("primary_recipients")).alias("k")).groupBy(F.coalesce("k", F.lit("Unknown")).alias("recipient")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("material_score").cast("double")), 6).alias("mean")))

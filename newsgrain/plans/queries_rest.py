@@ -29,31 +29,15 @@ def decisions(m: Model):
 
 
 query("apply_group_decisions", _N + " SELECT g.cluster, g.\"group\", count(DISTINCT doc_id) AS n_docs, any_value(l.event_name) AS event_name FROM g JOIN l ON l.cluster = g.cluster AND l.\"group\" = g.\"group\" GROUP BY 1, 2", "raw_events")(lambda m: K.apply_group_decisions(clusters(m), decisions(m)))
-_G = "x AS (SELECT DISTINCT ce.initiating_country, ce.canonical_name AS event_name, x.mention_date AS day, x.doc_id FROM dem_docs x JOIN ce ON ce.id = x.canonical_event_id), g AS (SELECT initiating_country, event_name, day, count(*) AS n_docs FROM x GROUP BY 1, 2, 3), n AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM g WINDOW w AS (PARTITION BY initiating_country, event_name ORDER BY day)), i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY initiating_country, event_name ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM n)"
-query("build_canonical_events", _G + " SELECT initiating_country, event_name, island, min(day) AS first_day, max(day) AS last_day, CAST(sum(n_docs) AS BIGINT) AS total_articles, count(*) AS days FROM i GROUP BY 1, 2, 3", "ce")(
-    lambda m: K.build_canonical_events(m.event_docs.join(m.ce.select(F.col("id").alias("canonical_event_id"), "initiating_country", F.col("canonical_name").alias("event_name")), "canonical_event_id").groupBy("initiating_country", "event_name", F.col("mention_date").alias("day")).agg(F.count_distinct("doc_id").alias("n_docs")))
-)
-query("consolidate_layered", None)(lambda m: K.consolidate_layered(m.vectors, 0.35))
-query("apply_split", "b AS (SELECT canonical_event_id, mention_date, article_count, CAST(day(mention_date) // 10 AS INT) AS block FROM dem), g AS (SELECT canonical_event_id, block, CAST(sum(article_count) AS BIGINT) AS articles, count(*) AS days, min(mention_date) AS first_day, max(mention_date) AS last_day FROM b GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY canonical_event_id ORDER BY articles DESC, block) = 1 AS keeps FROM g", "dem")(lambda m: K.apply_split(m.dem.select("canonical_event_id", "mention_date", F.floor(F.dayofmonth("mention_date") / 10).cast("int").alias("block")), m.dem))
-query("similar_name_pairs", None)(lambda m: K.similar_name_pairs(m.d.select(F.col("title").alias("name"))))
-query("dedupe_fuzzy_names", None)(lambda m: K.dedupe_fuzzy_names(m.d.groupBy(F.col("title").alias("name")).agg(F.min("doc_id").alias("rank"))))
 query("keep_proposition", "r AS (SELECT doc_id, list(recipient_country) AS rs FROM rc GROUP BY 1) SELECT ic.doc_id, CASE WHEN r.rs IS NULL THEN 'no recipient' WHEN len(list_filter(r.rs, lambda x: x <> ic.initiating_country)) = 0 THEN 'self-country' WHEN d.medium = 'O' AND NOT d.title LIKE '%1-URGENT%' THEN 'private individual' END AS reason FROM ic JOIN d ON d.doc_id = ic.doc_id LEFT JOIN r ON r.doc_id = ic.doc_id", "d", "rc")(
     lambda m: K.keep_proposition(m.ic.join(m.d.select("doc_id", "medium", "title"), "doc_id").join(m.rc.groupBy("doc_id").agg(F.collect_set("recipient_country").alias("rs")), "doc_id", "left").select("doc_id", F.col("initiating_country").alias("initiator"), F.coalesce("rs", F.array().cast("array<string>")).alias("recipients"), F.col("title").alias("text"), (F.col("medium") == "O").alias("private")), "1-URGENT").select("doc_id", "reason")
 )
 query("narrative_themes", None)(lambda m: K.narrative_themes(m.vectors))
-query("theme_summary", None)(lambda m: K.theme_summary(K.narrative_themes(m.vectors), m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("name")), ["part"]))
-query("coherent_campaigns", None)(lambda m: E.top_k(K.theme_summary(K.narrative_themes(m.vectors), m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("name")), ["part"]).where("n >= 10 AND coherence >= 0.3"), [F.desc("coherence"), F.asc("theme")], 14))
 query("recipient_blocs", None)(lambda m: K.recipient_blocs(P.recipient_profiles(P.provenance_intensity(base(m))).select("recipient_country", F.concat_ws(":", "initiating_country", "category").alias("lane"), F.coalesce("share", F.lit(0.0)).alias("share"))))
-query("primary_aligned_events", "t AS (SELECT id, CAST(sum(n) AS DOUBLE) AS t, max(n) FILTER (WHERE key <> 'NATION_1') AS o, max(n) FILTER (WHERE key = 'NATION_1') AS n FROM rcounts GROUP BY 1) SELECT ce.id FROM ce JOIN t ON t.id = ce.id WHERE t.n > 0 AND (contains(ce.canonical_name, 'NATION_1') OR t.n / t.t >= 0.4 OR t.o IS NULL OR t.n > t.o)", "ce", "rcounts")(lambda m: P.primary_aligned_events(m.ce_maps, "NATION_1").select("id"))
 query("entity_curation_candidates", "t AS (SELECT id FROM ce WHERE master_event_id IS NULL ORDER BY total_articles DESC, id LIMIT 5), x AS (SELECT DISTINCT den.entity, f.master, f.doc_id FROM fdocs f JOIN t ON t.id = f.master JOIN den ON den.doc_id = f.doc_id) SELECT entity, count(DISTINCT master) AS n_events, count(DISTINCT doc_id) AS n_docs FROM x GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20", "fdocs", "den")(
     lambda m: E.top_k(E.family_docs(m.ce, m.event_docs).join(E.top_k(E.masters(m.ce), [F.desc("total_articles"), F.asc("id")], 5).select(F.col("id").alias("master")), "master", "left_semi").join(m.den.select("entity", "doc_id").distinct(), "doc_id").groupBy("entity").agg(F.count_distinct("master").alias("n_events"), F.count_distinct("doc_id").alias("n_docs")), [F.desc("n_docs"), F.asc("entity")], 20)
 )
 query("entities_for_events", "SELECT f.master, den.entity, count(DISTINCT f.doc_id) AS n_docs FROM fdocs f JOIN den ON den.doc_id = f.doc_id WHERE f.master IN (0, 5, 10) GROUP BY 1, 2", "fdocs", "den")(lambda m: E.family_docs(m.ce, m.event_docs).where("master IN (0, 5, 10)").join(m.den.select("entity", "doc_id").distinct(), "doc_id").groupBy("master", "entity").agg(F.count_distinct("doc_id").alias("n_docs")))
-query("event_evidence", "t AS (SELECT id FROM ce WHERE canonical_name = 'Event 5' ORDER BY total_articles DESC, id LIMIT 1) SELECT d.source_name, count(DISTINCT d.doc_id) AS n_docs FROM dem_docs x JOIN t ON t.id = x.canonical_event_id JOIN d ON d.doc_id = x.doc_id GROUP BY 1", "ce", "d")(
-    lambda m: N.count_docs(m.event_docs.join(E.top_k(m.ce.where("canonical_name = 'Event 5'"), [F.desc("total_articles"), F.asc("id")], 1).select(F.col("id").alias("canonical_event_id")), "canonical_event_id", "left_semi").select("doc_id").join(m.d.select("doc_id", "source_name"), "doc_id"), ["source_name"])
-)
-query("actor_timeline_feed", "SELECT x.canonical_event_id, x.mention_date, x.article_count FROM dem x JOIN ce ON ce.id = x.canonical_event_id WHERE ce.master_event_id IS NULL AND ce.initiating_country = 'NATION_1' ORDER BY 2 DESC, 1 LIMIT 30", "ce")(lambda m: E.top_k(m.dem.join(E.masters(m.ce).where("initiating_country = 'NATION_1'").select(F.col("id").alias("canonical_event_id")), "canonical_event_id", "left_semi").select("canonical_event_id", "mention_date", "article_count"), [F.desc("mention_date"), F.asc("canonical_event_id")], 30))
-query("summaries_list", "SELECT es_id, event_name, total_documents FROM es ORDER BY period_start DESC, es_id LIMIT 30", "es")(lambda m: E.top_k(m.es, [F.desc("period_start"), F.asc("es_id")], 30).select("es_id", "event_name", "total_documents"))
 
 
 def weekly(m: Model):
@@ -64,9 +48,4 @@ def weekly(m: Model):
 query("backfill_links", RNG + ", i AS (SELECT es.*, r.period_start AS ps FROM es JOIN r ON es.period_start >= r.period_start AND es.period_end <= r.period_end) SELECT DISTINCT concat('W', i.initiating_country, '|', i.event_name, '|', CAST(i.ps AS VARCHAR)) AS es_id, l.doc_id FROM i JOIN links l ON l.es_id = i.es_id WHERE i.initiating_country <> 'NATION_1'", "links")(
     lambda m: E.backfill_links(weekly(m), weekly(m).where("initiating_country = 'NATION_1'"), m.es, m.links)
 )
-query("cluster_daily_entities", None)(lambda m: G.cluster_centroids(G.cluster_by_cosine(m.vectors.withColumn("kind", F.col("label") % 3), ["country", "kind"], 0.3), m.vectors).select("cluster", "n", "representative"))
-query("report_metrics", "SELECT category, count(DISTINCT doc_id) AS raw_docs, count(DISTINCT doc_id) FILTER (WHERE NOT coalesce(self_reported, false)) AS corroborated FROM rb WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY 1", "rb")(
-    lambda m: base(m).where("date BETWEEN DATE'1997-01-01' AND DATE'1997-12-31'").groupBy("category").agg(F.count_distinct("doc_id").alias("raw_docs"), F.count_distinct(F.when(~F.coalesce("self_reported", F.lit(False)), F.col("doc_id"))).alias("corroborated"))
-)
 query("event_stats", "SELECT count(*) AS n, CAST(sum(total_articles) AS BIGINT) AS articles, count(material_score) AS scored FROM ce WHERE first_mention_date <= DATE '2024-01-20' AND last_mention_date >= DATE '2024-01-10'", "ce")(lambda m: m.ce.where("first_mention_date <= DATE'2024-01-20' AND last_mention_date >= DATE'2024-01-10'").agg(F.count("*").alias("n"), F.sum("total_articles").alias("articles"), F.count("material_score").alias("scored")))
-query("strategic_context", "SELECT es_id, initiating_country, total_documents FROM (SELECT *, row_number() OVER (PARTITION BY initiating_country ORDER BY period_start DESC, total_documents DESC, es_id) AS r FROM es) WHERE r <= 5", "es")(lambda m: N.top_n_per_group(m.es, ["initiating_country"], [F.desc("period_start"), F.desc("total_documents"), F.asc("es_id")], 5).select("es_id", "initiating_country", "total_documents"))

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..operators import counts as N
 from ..operators import events as E
 from ..operators import facts as P
 from ..operators import graph as G
-from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import series as S
-from ..streaming import jobs
 from .model import Model
 from .queries_counts import base
 from .registry import query
@@ -38,15 +33,12 @@ def monthly(m: Model):
 
 
 query("rolling_mean", MON + " SELECT *, round(avg(y) OVER (PARTITION BY initiating_country ORDER BY month ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS mean FROM zf", "pi")(lambda m: S.rolling_mean(monthly(m), K))
-query("month_gaps", MON + " SELECT month FROM sp WHERE month NOT IN (SELECT month FROM mon WHERE initiating_country = 'NATION_1')", "pi")(lambda m: S.month_gaps(base(m).where("initiating_country = 'NATION_1'"), "1996-01-01", "2000-12-01"))
-query("changepoint_scan", None)(lambda m: S.changepoint_scan(monthly(m), K))
 query("changepoints", None)(lambda m: S.changepoints(monthly(m), K))
 query("prior_period", "SELECT DATE '2024-01-10' - 20 - 1 AS prior_start, DATE '2024-01-10' - 1 AS prior_end, count(*) AS n FROM dem WHERE mention_date BETWEEN DATE '2024-01-10' - 21 AND DATE '2024-01-09'", "dem")(
     lambda m: m.dem.where(F.col("mention_date").between(*S.prior_period("2024-01-10", "2024-01-30"))).agg(F.count("*").alias("n")).select(S.prior_period("2024-01-10", "2024-01-30")[0].alias("prior_start"), S.prior_period("2024-01-10", "2024-01-30")[1].alias("prior_end"), "n")
 )
 query("category_spike", "g AS (SELECT category, count(DISTINCT doc_id) FILTER (WHERE date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31') AS current, count(DISTINCT doc_id) FILTER (WHERE date BETWEEN DATE '1998-01-29' AND DATE '1998-02-28') AS prior FROM rb GROUP BY 1), c AS (SELECT *, round((current - prior) / greatest(CAST(prior AS DOUBLE), 0.5), 6) AS change FROM g) SELECT * FROM c WHERE current >= 1 AND change >= -1.0", "rb")(lambda m: S.category_spike(base(m), "1998-03-01", "1998-03-31", 1, -1.0))
 query("materiality_outliers", "s AS (SELECT count(material_score) AS n, avg(CAST(material_score AS DOUBLE)) AS m, stddev_samp(CAST(material_score AS DOUBLE)) AS s FROM ce) SELECT id, round((CAST(material_score AS DOUBLE) - m) / s.s, 6) AS z FROM ce, s WHERE material_score IS NOT NULL AND n >= 5 AND round((CAST(material_score AS DOUBLE) - m) / s.s, 6) >= 1.5 ORDER BY z DESC, id LIMIT 6", "ce")(lambda m: S.materiality_outliers(m.ce))
-query("trajectory", None)(lambda m: S.trajectory(*[m.event_docs.where(f"mention_date BETWEEN DATE'{a}' AND DATE'{b}'").join(m.ce.select(F.col("id").alias("canonical_event_id"), "material_score"), "canonical_event_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("canonical_event_id").alias("n_events"), F.count("*").alias("n_articles"), F.avg(F.col("material_score").cast("double")).alias("mean_score")) for a, b in (("2024-01-16", "2024-01-30"), ("2024-01-01", "2024-01-15"))]))
 CC = "c AS (SELECT initiating_country, count(DISTINCT doc_id) AS n_docs FROM rb GROUP BY 1)"
 query("rank_in_cohort", CC + ", s AS (SELECT quantile_cont(n_docs, 0.5) AS median, avg(n_docs) AS mean, count(*) AS n FROM c) SELECT initiating_country, n_docs, CAST(row_number() OVER (ORDER BY n_docs DESC, initiating_country) AS INT) AS rank, round(100.0::DOUBLE * (rank() OVER (ORDER BY n_docs) - 1) / s.n, 6) AS percentile, CAST(median AS DOUBLE) AS median, round(mean, 6) AS mean, round((n_docs - median) / median, 6) AS vs_median FROM c, s", "rb")(lambda m: S.rank_in_cohort(N.count_docs(base(m), K), "initiating_country", "n_docs"))
 EDAY = "ed AS (SELECT mention_date AS day, ce.initiating_country, CAST(sum(article_count) AS BIGINT) AS n FROM dem JOIN ce ON ce.id = dem.canonical_event_id GROUP BY 1, 2)"
@@ -61,19 +53,7 @@ query("alert_volume_surge", EDAY + ", " + SURGE, "ce")(lambda m: S.alert_surge(e
 query("alert_materiality_spike", "ed AS (SELECT period_start AS day, initiating_country, avg(CAST(material_score AS DOUBLE)) AS n FROM es WHERE material_score IS NOT NULL GROUP BY 1, 2), " + SURGE, "es")(lambda m: S.alert_surge(m.es.where("material_score IS NOT NULL").groupBy(F.col("period_start").alias("day"), "initiating_country").agg(F.avg(F.col("material_score").cast("double")).alias("n")), "n", "2024-01-29", z=-5.0, keys=K))
 query("alert_new_entity", "n AS (SELECT entity FROM cen WHERE first_mention_date > DATE '2024-01-01') SELECT count(*) AS n, coalesce((SELECT string_agg(entity, ',' ORDER BY entity) FROM (SELECT entity FROM n ORDER BY entity LIMIT 10)), '') AS names FROM n", "cen")(lambda m: S.alert_new(m.cen, "2024-01-01", "entity", "first_mention_date"))
 query("alert_new_event", "n AS (SELECT CAST(id AS VARCHAR) AS id FROM ce WHERE first_mention_date > DATE '2024-01-01') SELECT count(*) AS n, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM n ORDER BY id LIMIT 10)), '') AS names FROM n", "ce")(lambda m: S.alert_new(m.ce.withColumn("id", F.col("id").cast("string")), "2024-01-01", "id", "first_mention_date"))
-query("alert_cooldown", None)(lambda m: S.alert_cooldown(m.table("events").select(F.col("user_id").alias("rule_id"), F.col("ts").alias("at")), 240))
-query("data_sufficiency", "g AS (SELECT initiating_country, count(DISTINCT doc_id) AS n FROM rb GROUP BY 1) SELECT initiating_country, CASE WHEN n >= 200 THEN 'HIGH' WHEN n >= 50 THEN 'MEDIUM' WHEN n >= 20 THEN 'LOW' ELSE 'INSUFFICIENT' END AS confidence FROM g", "rb")(lambda m: N.count_docs(base(m), K).select("initiating_country", S.data_sufficiency(F.col("n_docs"), F.lit(10)).alias("confidence")))
 query("split_by_gap", None)(lambda m: S.split_by_gap(m.dem.withColumn("mention_date", F.date_add("mention_date", ((F.dayofmonth("mention_date") / 10).cast("int") * 40)))))
-query("split_by_drift", None)(lambda m: S.split_by_gap(m.vectors.select((F.col("vec_id") % 20).alias("canonical_event_id"), F.date_add("day", (F.col("vec_id") / 20).cast("int")).alias("mention_date"), "embedding"), vectors="embedding", drift=-0.2))
-ED = "e AS (SELECT DISTINCT entity, doc_id FROM den), g AS (SELECT x.entity AS a, y.entity AS b, count(*) AS weight FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.entity < y.entity GROUP BY 1, 2 HAVING count(*) >= 2)"
-
-
-def edges(m: Model):
-    return G.entity_cooccurrence(m.den)
-
-
-query("entity_cooccurrence", ED + " SELECT * FROM g", "den")(lambda m: edges(m).select("a", "b", "weight"))
-query("graph_degree", ED + ", s AS (SELECT a AS node, weight FROM g UNION ALL SELECT b, weight FROM g) SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted FROM s GROUP BY 1", "den")(lambda m: G.graph_degree(edges(m)))
 VP = "p AS (SELECT x.country, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS cosine FROM vectors x JOIN vectors y ON x.country = y.country AND x.vec_id < y.vec_id), q AS (SELECT * FROM p WHERE cosine >= 0.35)"
 
 
@@ -83,96 +63,22 @@ def near(m: Model):
 
 query("cosine_similarity", VP + " SELECT * FROM q", "vectors")(near)
 query("connected_components", "RECURSIVE " + VP + ", s AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT a AS node, a AS m FROM s UNION SELECT s.a, r.m FROM r JOIN s ON s.b = r.node) SELECT node, min(m) AS component FROM r GROUP BY 1", "vectors")(lambda m: G.connected_components(near(m)))
-query("cluster_daily_events", None)(lambda m: G.cluster_centroids(G.cluster_by_cosine(m.vectors, ["country"], 0.35), m.vectors).select("cluster", "n", "representative"))
-query("consolidate_entities", None)(lambda m: G.cluster_by_cosine(m.vectors.withColumn("kind", F.col("label") % 2), ["country", "kind"], 0.3))
 query("residual_duplicates", VP + " SELECT q.a, q.b, q.cosine FROM q JOIN vectors x ON x.vec_id = q.a JOIN vectors y ON y.vec_id = q.b WHERE greatest(x.day - y.day, y.day - x.day) <= 10", "vectors")(lambda m: G.residual_duplicates(near(m), m.vectors.select(F.col("vec_id").alias("id"), F.col("day").alias("first_day"), F.col("day").alias("last_day")), 10))
 
 
-def composite(m: Model):
-    docs = m.event_docs.groupBy(F.col("canonical_event_id").alias("id")).agg(F.collect_set("doc_id").alias("docs"), F.min("mention_date").alias("day"))
-    return m.ce.select("id", F.col("initiating_country").alias("block"), F.col("total_articles").alias("articles"), F.col("total_mention_days").alias("days")).join(docs, "id").join(m.vectors.select(F.col("vec_id").alias("id"), "embedding"), "id")
-
-
-query("pairwise_composite_distance", None)(lambda m: G.pairwise_composite_distance(composite(m)))
-query("consolidate_events", None)(lambda m: G.consolidate(G.pairwise_composite_distance(composite(m)), composite(m).select("id", "articles", "days"), 0.55))
 query("link_entities_to_events", "SELECT DISTINCT den.entity, f.master FROM den JOIN fdocs f ON f.doc_id = den.doc_id", "den", "fdocs")(lambda m: G.link_entities_to_events(m.den, E.family_docs(m.ce, m.event_docs)))
 query("event_entities", "SELECT DISTINCT l.es_id, den.entity FROM links l JOIN den ON den.doc_id = l.doc_id", "links", "den")(lambda m: m.links.join(m.den.select("entity", "doc_id").distinct(), "doc_id").select("es_id", "entity").distinct())
 query("entity_lookup", "SELECT entity, total_documents FROM cen WHERE entity ILIKE '%c%' ORDER BY lower(entity) = 'c' DESC, total_documents DESC, entity LIMIT 10", "cen")(lambda m: G.entity_lookup(m.cen, "c", 10).select("entity", "total_documents"))
-query("match_entities", None)(lambda m: G.match_entities(m.cen.select(F.col("entity_type").alias("query")).distinct(), m.cen, 3))
 query("entity_type_distribution", "SELECT entity_type, count(*) AS n FROM cen GROUP BY 1", "cen")(lambda m: m.cen.groupBy("entity_type").agg(F.count("*").alias("n")))
 query("entity_explorer", "SELECT entity, total_documents FROM cen WHERE total_documents >= 2 ORDER BY total_documents DESC, entity LIMIT 20", "cen")(lambda m: E.top_k(m.cen.where("total_documents >= 2"), [F.desc("total_documents"), F.asc("entity")], 20).select("entity", "total_documents"))
 query("top_entities_in_period", "SELECT entity, count(DISTINCT doc_id) AS n_docs, count(DISTINCT mention_date) AS n_days FROM den WHERE mention_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-15' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15", "den")(lambda m: E.top_k(m.den.where("mention_date BETWEEN DATE'2024-01-05' AND DATE'2024-01-15'").groupBy("entity").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("mention_date").alias("n_days")), [F.desc("n_docs"), F.asc("entity")], 15))
-query("merge_canonical_entities", "SELECT entity_type, count(DISTINCT doc_id) AS n_docs, min(mention_date) AS first_day, max(mention_date) AS last_day FROM (SELECT split_part(entity, '_', 1) AS entity_type, doc_id, mention_date FROM den) GROUP BY 1", "den")(lambda m: m.den.withColumn("entity_type", F.split_part("entity", F.lit("_"), F.lit(1))).groupBy("entity_type").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("mention_date").alias("first_day"), F.max("mention_date").alias("last_day")))
-query("entity_profile", "SELECT CAST(date_trunc('month', mention_date) AS DATE) AS month, count(DISTINCT doc_id) AS n_docs FROM den WHERE entity = (SELECT min(entity) FROM den) GROUP BY 1", "den")(lambda m: m.den.join(m.den.agg(F.min("entity").alias("entity")), "entity", "left_semi").groupBy(F.trunc("mention_date", "month").alias("month")).agg(F.count_distinct("doc_id").alias("n_docs")))
 query("cross_recipient_reach", "SELECT id, count(*) AS reach FROM rcounts GROUP BY 1", "rcounts")(lambda m: m.ce_maps.where("primary_recipients IS NOT NULL").select("id", F.size(F.map_keys("primary_recipients")).cast("long").alias("reach")))
-query("entity_neighbors", None)(lambda m: G.entity_neighbors(edges(m), "click_1", 2))
-query("ego_subgraph_betweenness", None)(lambda m: G.ego_subgraph_betweenness(edges(m).withColumn("actor", F.split_part("a", F.lit("_"), F.lit(1))), "actor"))
 query("new_entities", "SELECT entity, total_documents, round(least(1.0, total_documents / 25.0::DOUBLE), 6) AS magnitude FROM cen WHERE first_mention_date >= DATE '2024-01-01' AND total_documents >= 3 ORDER BY total_documents DESC, entity LIMIT 12", "cen")(lambda m: E.top_k(m.cen.where("first_mention_date >= DATE'2024-01-01' AND total_documents >= 3"), [F.desc("total_documents"), F.asc("entity")], 12).select("entity", "total_documents", F.round(F.least(F.lit(1.0), F.col("total_documents") / 25), 6).alias("magnitude")))
 
 
-# retrieval over documents, queries from benchmark
-def text_docs(m: Model):
-    return m.table("documents").select("doc_id", "text")
 
+# retrieval
+query("build_postings", "t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term FROM documents) SELECT term, doc_id, 'B' AS field, count(*) AS tf FROM t WHERE term <> '' GROUP BY 1, 2")(lambda m: R.build_postings(m.table("documents").select("doc_id", "text"), "doc_id", {"text": "B"}))
 
-def queries_of(m: Model):
-    return m.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.array_distinct(R.tokens(F.col("text"))), " ").alias("query")).where("query <> ''")
 
-
-query("build_postings", "t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term FROM documents) SELECT term, doc_id, 'B' AS field, count(*) AS tf FROM t WHERE term <> '' GROUP BY 1, 2")(lambda m: R.build_postings(text_docs(m), "doc_id", {"text": "B"}))
-
-
-def keyword(m: Model):
-    p = R.build_postings(text_docs(m), "doc_id", {"text": "B"})
-    return R.keyword_search(queries_of(m), p, p.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens")), 10)
-
-
-query("keyword_search", None)(keyword)
 query("vector_search", "s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")(lambda m: R.vector_search(m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), m.vectors, 5))
-
-
-def both_ranked(m: Model):
-    v = R.vector_search(m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), m.vectors, 10)
-    k = v.where("rank % 2 = 0").select("query_id", "vec_id", (11 - F.col("rank")).alias("rank"))
-    return v, k
-
-
-_V = "s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), v AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 10), k AS (SELECT query_id, vec_id, 11 - rank AS rank FROM v WHERE rank % 2 = 0)"
-query("hybrid_search_rrf", _V + " SELECT v.query_id, v.vec_id, round(0.7 / (60.0::DOUBLE + v.rank) + coalesce(0.3 / (60.0::DOUBLE + k.rank), 0.0), 6) AS rrf_score FROM v LEFT JOIN k ON k.query_id = v.query_id AND k.vec_id = v.vec_id")(lambda m: R.hybrid_rrf(*both_ranked(m), "vec_id"))
-
-
-# keyword lists of their own: the words of the part that belongs to a vector
-def part_words(m: Model):
-    return m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-
-
-def text_ranked(m: Model):
-    p = R.build_postings(part_words(m), "vec_id", {"text": "B"})
-    asked = m.table("part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    k = R.keyword_search(asked.join(m.vectors.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi"), p.join(m.vectors, "vec_id", "left_semi"), p.groupBy("vec_id").agg(F.sum("tf").alias("n_tokens")).join(m.vectors, "vec_id", "left_semi"), 10, "vec_id")
-    return both_ranked(m)[0], k
-
-
-def reranked(m: Model):
-    """The vector list with the share of words that a candidate's part and the query's part have in common; null where one has no part."""
-    w = part_words(m).select("vec_id", F.array_distinct(R.tokens(F.col("text"))).alias("w"))
-    j = both_ranked(m)[0].join(w, "vec_id", "left").join(w.select(F.col("vec_id").alias("query_id"), F.col("w").alias("qw")), "query_id", "left")
-    return j.select("query_id", "vec_id", "rank", (F.size(F.array_intersect("w", "qw")) / F.size(F.array_union("w", "qw"))).alias("rerank_score"))
-
-
-query("hybrid_search_text", None)(lambda m: R.hybrid_rrf(*text_ranked(m), "vec_id"))
-query("hybrid_search_text_full", None)(lambda m: R.hybrid_rrf(*text_ranked(m), "vec_id", full_outer=True))
-query("rerank_fusion", None)(lambda m: R.rerank_fusion(reranked(m), "vec_id"))
-query("entity_boost", _V + " SELECT query_id, vec_id, round(CASE WHEN vec_id % 3 = 0 THEN least(score + 0.15, 1.0) ELSE score END, 6) AS score FROM v")(lambda m: R.entity_boost(both_ranked(m)[0], m.vectors.where("vec_id % 3 = 0"), "vec_id"))
-query("ranking_metrics", None)(lambda m: Q.ranking_metrics(both_ranked(m)[0], m.vectors.join(m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")), F.col("label") == F.col("l")).select("query_id", "vec_id"), "vec_id", 10))
-
-
-# streams over the events table
-def _drain(m: Model, f, mode: str = "complete"):
-    schema = m.table("events").schema
-    return jobs.drain(f(m.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(m.dir).withColumn("ts", F.col("ts").cast("timestamp"))), f"s_{uuid.uuid4().hex}", mode)
-
-
-query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda m: _drain(m, lambda e: jobs.windowed_counts(e, "ts", ["event_type"])))
-query("stream_sliding_activity", "SELECT CAST(d AS DATE) AS day, event_type, count(*) AS n FROM (SELECT event_type, CAST(ts AS DATE) - k AS d FROM events, (SELECT CAST(unnest(range(7)) AS INT) AS k)) GROUP BY 1, 2")(lambda m: _drain(m, lambda e: jobs.windowed_counts(e, "ts", ["event_type"], "7 days", "1 day")))
-query("stream_event_sessions", "g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 DAY OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")(lambda m: _drain(m, lambda e: jobs.event_sessions(e, "ts", ["user_id"], "1 day")))

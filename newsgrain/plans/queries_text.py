@@ -61,7 +61,6 @@ query("build_daily_mentions", "SELECT canonical_event_id, mention_date, CASE WHE
     lambda m: Q.upsert_latest(m.dem.select("canonical_event_id", "mention_date", "article_count"), m.dem.where("canonical_event_id % 4 = 0").select("canonical_event_id", "mention_date", (F.col("article_count") + 1).alias("article_count")), ["canonical_event_id", "mention_date"], ["article_count"])
 )
 query("dedupe_exact", "SELECT title, min(doc_id) AS doc_id FROM d GROUP BY 1", "d")(lambda m: Q.dedupe_exact(m.d.select("title", "doc_id"), "title", ["doc_id"])[0])
-query("validate_batch", "SELECT 'ok' AS metric, count(DISTINCT title) AS n FROM d UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT title) FROM d", "d")(lambda m: Q.metrics(dict(zip(("ok", "duplicates"), Q.dedupe_exact(m.d.select("title", "doc_id"), "title", ["doc_id"]), strict=True))))
 query("dangling_refs", "SELECT 'missing documents' AS metric, count(DISTINCT doc_id) AS n FROM dem_docs WHERE doc_id NOT IN (SELECT doc_id FROM d WHERE doc_id % 7 <> 0) UNION ALL SELECT 'absent masters', count(*) FROM ce WHERE master_event_id IS NOT NULL AND master_event_id NOT IN (SELECT id FROM ce) UNION ALL SELECT 'events without mentions', count(*) FROM ce WHERE id NOT IN (SELECT canonical_event_id FROM dem_docs)", "ce", "d")(lambda m: Q.dangling_refs(m.event_docs, m.ce, m.d.where("doc_id % 7 <> 0")))
 query("pipeline_coverage", "SELECT 'documents' AS metric, count(*) AS n FROM d UNION ALL SELECT 'masters', count(*) FROM ce WHERE master_event_id IS NULL UNION ALL SELECT 'children', count(*) FROM ce WHERE master_event_id IS NOT NULL UNION ALL SELECT 'mentions', count(*) FROM dem", "d", "ce")(lambda m: Q.metrics({"documents": m.d, "masters": m.ce.where("master_event_id IS NULL"), "children": m.ce.where("master_event_id IS NOT NULL"), "mentions": m.dem}))
 query("label_vocabulary_drift", "SELECT round(CAST(count(*) FILTER (WHERE category NOT IN {CAT}) AS DOUBLE) / count(*), 6) AS share, count(DISTINCT category) FILTER (WHERE category NOT IN {CAT}) AS distinct_oov FROM cat", "cat")(lambda m: Q.vocabulary_drift(m.cat, "category", m.scope.categories))
@@ -93,7 +92,6 @@ query("citation_coverage", "c AS (SELECT id AS claim_id FROM ce), x AS (SELECT c
 query("extract_inline_citations", "SELECT doc_id, concat('D', doc_id) AS cited FROM d", "d")(lambda m: m.d.select("doc_id", F.explode(C.inline_citations(F.concat(F.lit("see [D"), F.col("doc_id").cast("string"), F.lit("] and [not this one]")))).alias("cited")))
 query("source_stance_tally", "SELECT CASE WHEN medium IN ('P', 'O') THEN medium ELSE 'unclassified' END AS stance, count(*) AS n FROM d GROUP BY 1", "d")(lambda m: Q.stance_tally(m.d.select(F.col("medium").alias("stance")), ["P", "O"]))
 query("source_spread", "SELECT count(DISTINCT source_name) AS sources, count(DISTINCT source_geofocus) AS countries FROM d", "d")(lambda m: m.d.agg(F.count_distinct("source_name").alias("sources"), F.count_distinct("source_geofocus").alias("countries")))
-query("trigram_similarity", None)(lambda m: m.table("part").select("p_partkey", F.round(C.trigram_similarity(F.col("p_name"), F.concat("p_name", F.lit(" x"))), 6).alias("similarity")))
 query("document_day_pack", "f AS (SELECT d.doc_id, d.date, coalesce((SELECT min(recipient_country) FROM rc WHERE rc.doc_id = d.doc_id), 'ZZZ') AS r, coalesce((SELECT min(category) FROM cat WHERE cat.doc_id = d.doc_id), 'ZZZ') AS c FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY r, c, doc_id) AS k FROM f) SELECT date, doc_id, CAST((k - 1) // 5 AS BIGINT) AS chunk FROM n", "d", "rc", "cat")(
     lambda m: m.d.select("doc_id", "date").join(m.rc.groupBy("doc_id").agg(F.min("recipient_country").alias("r")), "doc_id", "left").join(m.cat.groupBy("doc_id").agg(F.min("category").alias("c")), "doc_id", "left").select("date", "doc_id", F.floor((F.row_number().over(W.partitionBy("date").orderBy(F.coalesce("r", F.lit("ZZZ")), F.coalesce("c", F.lit("ZZZ")), "doc_id")) - 1) / 5).cast("long").alias("chunk"))
 )

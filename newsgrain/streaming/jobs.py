@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
+from ..operators.store import new_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, most_files: int = 1) -> DataFrame:
@@ -34,8 +38,42 @@ def event_sessions(mentions: DataFrame, ts: str, keys: Sequence[str], gap: str =
     return g.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
-def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is and give what its sink holds."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def cooled(firings: DataFrame, minutes: int):
+    """The stateful form of alert_cooldown: firings (rule_id, at) of a stream that come no sooner than `minutes` after the last one let through of their rule. State is one time a rule; each batch is
+    taken in order of time."""
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    least = pd.Timedelta(minutes=minutes)
+
+    class Cooldown(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "at timestamp")
+
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+            held = self.last.get()
+            last = pd.Timestamp(held[0]) if held is not None else None
+            at = pd.concat(rows)["at"].dropna().sort_values()
+            keep = []
+            for t in at:
+                if last is None or t - last >= least:
+                    keep.append(t)
+                    last = t
+            if keep:
+                self.last.update((last.to_pydatetime(),))
+            yield pd.DataFrame({"rule_id": [key[0]] * len(keep), "at": keep})
+
+        def close(self) -> None:
+            pass
+
+    return firings.select("rule_id", "at").groupBy("rule_id").transformWithStateInPandas(statefulProcessor=Cooldown(), outputStructType=f"rule_id {firings.schema['rule_id'].dataType.simpleString()}, at timestamp", outputMode="Append", timeMode="None")
+
+
+def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over all there is and give what it says, from Parquet in the shared folder. In complete mode every batch replaces the one before."""
+    spark = df.sparkSession
+    sink, checkpoint = new_dir(spark, "stream"), new_dir(spark, "stream-checkpoint")
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    # a batch that is tried again overwrites its own files
+    w = w.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(sink if mode == "complete" else f"{sink}/batch={n}"))
+    w.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(sink).select(*df.columns)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsgrain.functions import columns as C
-from newsgrain.operators import facts, graph, quality, retrieval, series
+from newsgrain.operators import construct, facts, graph, names, quality, retrieval, series, tiles
 from newsgrain.sources import readers, writers
 from newsgrain.streaming import jobs
 
@@ -17,11 +17,11 @@ def days(*ns):
 
 def test_split_by_gap(spark):
     # the block {80} is under three rows and joins the one before
-    assert series.split_by_gap_blocks(days(1, 2, 3, 40, 41, 42, 80)) == [0, 0, 0, 1, 1, 1, 1]
+    assert series.split_blocks(days(1, 2, 3, 40, 41, 42, 80)) == [0, 0, 0, 1, 1, 1, 1]
     # a short first block joins the next
-    assert series.split_by_gap_blocks(days(1, 40, 41, 42)) == [0, 0, 0, 0]
+    assert series.split_blocks(days(1, 40, 41, 42)) == [0, 0, 0, 0]
     # over 180 days: windows of 90 from each window's first row
-    assert series.split_by_gap_blocks(days(*range(0, 220, 20))) == [0] * 5 + [1] * 5 + [2]
+    assert series.split_blocks(days(*range(0, 220, 20))) == [0] * 5 + [1] * 5 + [2]
     df = spark.createDataFrame([(7, d) for d in days(42, 1, 2, 3, 40, 41, 80)], "canonical_event_id long, mention_date date")
     assert [r.block for r in series.split_by_gap(df).orderBy("mention_date").collect()] == [0, 0, 0, 1, 1, 1, 1]
 
@@ -168,3 +168,100 @@ def test_ranking_metrics(spark):
     relevant = spark.createDataFrame([("q", 2), ("q", 3), ("p", 1)], "query_id string, doc_id long")
     got = {r.query_id: (r.recall, r.hit, r.rr) for r in quality.ranking_metrics(ranked, relevant, "doc_id", 2).collect()}
     assert got == {"q": (0.5, True, 0.5), "p": (0.0, False, 0.0)}
+
+
+def test_split_by_drift():
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    # no drift before a block has three rows; then the turn begins a block, and gap and drift are seen before short blocks are merged
+    assert series.split_blocks(days(*range(8)), [x, y, x, x, y, y, y, x], 0.5) == [0, 0, 0, 0, 1, 1, 1, 1]
+    assert series.split_blocks(days(0, 1, 2, 3, 4, 60, 61, 62), [x, x, x, y, y, y, y, y], 0.5) == [0, 0, 0, 0, 0, 1, 1, 1]
+    assert series.split_blocks(days(0, 1, 2, 3, 4, 5), [x, x, x, y, y, y], None) == [0] * 6
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i, *row[1:]] if (last := row) else row
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+SOME = ["Trade Summit 2024", "Trade Summit 2025", "trade sumit 2024", "Port deal", "Port deals", "Airport dealing", "an", "panda", "a", "aa", "aaa", "aaaa", "aaaab", "Energy", "Energie", "Energi", "b", "", "Port deal signed in May", "Ümlaut", "Umlaut"]
+
+
+@pytest.mark.parametrize("above", [0.5, 0.78, 0.85])
+def test_fuzzy_names_are_kept_greedily(spark, above):
+    import random
+
+    rng = random.Random(5)
+    pool = SOME + ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    pool = sorted(set(pool))
+    rank = {n: i * 7919 % 1009 for i, n in enumerate(pool)}
+    like = lambda a, b: 1 - edit_distance(a.lower(), b.lower()) / max(len(a), len(b), 1)
+    kept = []
+    for n in sorted(pool, key=lambda n: (rank[n], n)):
+        if not any(like(n, k) > above for k in kept):
+            kept.append(n)
+    df = spark.createDataFrame([(n, rank[n]) for n in pool], "name string, rank long").repartition(4)
+    assert sorted(r.name for r in names.dedupe_fuzzy_names(df, above).collect()) == sorted(kept)
+
+
+def test_similar_names_by_brute_force(spark):
+    def grams(n):
+        import re
+
+        ws = [w for w in re.split(r"[^\w]+|_", n.lower()) if w]
+        return {("  " + w + " ")[i : i + 3] for w in ws for i in range(len(w) + 1)}
+
+    want = set()
+    for a in SOME:
+        for b in SOME:
+            x, y = grams(a), grams(b)
+            if a < b and a and (a in b or b in a or (x | y and len(x & y) / len(x | y) > 0.6)):
+                want.add((a, b))
+    got = {(r.a, r.b) for r in names.similar_name_pairs(spark.createDataFrame([(n,) for n in SOME if n], "name string")).collect()}
+    assert got == want and ("an", "panda") in got
+
+
+@pytest.mark.parametrize("size", [3, 1024])
+def test_tiles_give_all_pairs(spark, size):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(40, 4))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in r], i % 2) for i, r in enumerate(v)] + [(99, None, 0), (98, [0.0] * 4, 0)], "vec_id long, embedding array<double>, k int")
+    got = {(r.a, r.b) for r in tiles.similar_pairs(df, ["k"], 0.4, size).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 2 == j % 2 and round(float(u[i] @ u[j]), 6) >= 0.4}
+    q = df.where("vec_id < 5").selectExpr("vec_id AS query_id", "embedding AS q")
+    near = tiles.nearest(q, df, 3, size).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, 3).alias("n"))
+    for r in near.collect():
+        order = sorted(range(40), key=lambda i: (-round(float(u[r.query_id] @ u[i]), 6), i))[:3]
+        assert [x.vec_id for x in r.n] == order
+
+
+def test_campaigns_need_recipients(spark):
+    rows = [(1, 12, 0.6, 4, {"a": 5, "b": 7}), (2, 12, 0.6, 3, {"a": 5}), (3, 9, 0.9, 9, {"a": 5}), (4, 12, 0.4, 9, {"a": 5}), (5, 20, 0.7, 5, {"c": 2, "a": 2})]
+    df = spark.createDataFrame(rows, "theme int, n long, coherence double, n_recipients long, actors map<string,long>")
+    assert [(r.theme, r.dominant) for r in construct.coherent_campaigns(df).collect()] == [(5, "a"), (1, "b")]
+
+
+def test_binseg_in_sql(spark):
+    series.binseg_udtf(spark)
+    y = [10.0 + (i % 2) for i in range(12)] + [40.0 + (i % 2) for i in range(11)]
+    df = spark.createDataFrame([("a", [dt.date(2023 + i // 12, 1 + i % 12, 1) for i in range(23)][::-1], y[::-1])], "k string, m array<date>, y array<double>")
+    (r,) = spark.sql("SELECT k, c.* FROM {d} d, LATERAL binseg(d.m, d.y) c", d=df).collect()
+    assert r.cp_month == dt.date(2024, 1, 1) and r.post_mean > 40
+
+
+def test_cooldown_as_a_stream(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    for part in ((0, 10, 59, 61), (100, 121, 130, 181)):
+        spark.createDataFrame([(k, t + dt.timedelta(minutes=m)) for k in (1, 2) for m in part], "rule_id long, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = jobs.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = sorted((r.rule_id, (r.at - t).total_seconds() / 60) for r in jobs.drain(jobs.cooled(s, 60), "append").collect())
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == [(k, m) for k in (1, 2) for m in (0, 61, 121, 181)]
