@@ -421,6 +421,27 @@ def test_substring_dedup(docs, empty):
         assert substring_dedup.substring_dedup(empty, ["doc_id"], batches).count() == 0
 
 
+@pytest.mark.parametrize("often", [4, 16])
+def test_substring_dedup_of_a_passage_in_most_texts(spark, monkeypatch, often):
+    """A passage in most documents is looked up by its first document alone, and goes to no shard."""
+    seen = []
+    inner = substring_dedup.Index.first_documents
+    monkeypatch.setattr(substring_dedup.Index, "first_documents", lambda self: seen.append(inner(self)) or seen[-1])
+    line = [f"shared{i}" for i in range(60)]
+    rng = np.random.default_rng(2)
+    texts = {i: [f"w{x}" for x in rng.integers(0, 10**9, 30)] + (line if i % often else []) + [f"v{x}" for x in rng.integers(0, 10**9, i)] for i in range(90)}
+    texts[90] = [*texts[89], "end"]  # and an ordinary repeat
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    first, want = {}, {}
+    for i in sorted(texts, reverse=True):
+        first.update({tuple(texts[i][k : k + 50]): i for k in range(len(texts[i]) - 49)})
+    for i, w in texts.items():
+        off = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
+        want[i] = (len(off), " ".join(x for j, x in enumerate(w) if j not in off))
+    got = {r.row.doc_id: (r.n_removed, r.kept) for r in substring_dedup.substring_dedup(df, ["doc_id"]).collect()}
+    assert got == want and len(seen[0][0]) >= 11 and set(seen[0][2]) == {1}
+
+
 def test_mixing(docs, empty):
     m = mixing.mix(docs).collect()
     sizes = collections.Counter()
