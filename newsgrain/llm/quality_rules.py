@@ -22,9 +22,9 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 RULES = ("symbols", "symbol_words", "short_words", "word_length", "line_ends", "distinct", "capitals", "marks", "lines", "repeats", "length")
-#: A word of at most three characters, and the end of a line that closes a sentence.
-SHORT_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D.,;:!?|]{1,3}[.,;:!?|]*+(?![^\x20\x09-\x0D])"
-SYMBOL_WORD = r"[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>][^\x20\x09-\x0D]*+"
+#: A word of four characters or more; the part of a word from its first symbol on; the end of a line that closes a sentence. Each starts where it can match, so a text is passed once.
+LONG_WORD = r"[^\x20\x09-\x0D]{4,}+"
+SYMBOL_WORD = r"[#*$%&|<>][^\x20\x09-\x0D]*+"
 LINE_END = r"[.!?。！？…][\"'”’»)\]]*+[\x20\x09\x0B-\x0D]*+(?:\n|\z)"
 
 
@@ -56,7 +56,7 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
         F.length(F.regexp_replace("t", r"\P{Lu}", "")).cast("long").alias("n_capitals"),
         _chars(F.col("t"), "!?").alias("n_marks"),
         "n_distinct",
-        *[F.regexp_count("t", F.lit(p)).cast("long").alias(c) for c, p in (("n_short", SHORT_WORD), ("n_symbol_words", SYMBOL_WORD), ("n_ends", LINE_END))],
+        *[F.regexp_count("t", F.lit(p)).cast("long").alias(c) for c, p in (("n_long", LONG_WORD), ("n_symbol_words", SYMBOL_WORD), ("n_ends", LINE_END))],
     )
 
 
@@ -73,7 +73,7 @@ def votes() -> dict[str, Column]:
     return {
         "symbols": vote(c("n_symbols") > 0.1 * n, c("n_symbols") == 0),
         "symbol_words": vote(c("n_symbol_words") > 0.2 * n, c("n_symbol_words") < 0.02 * n),
-        "short_words": vote(c("n_short") < 0.15 * n, (c("n_short") >= 0.2 * n) & (c("n_short") <= 0.6 * n)),
+        "short_words": vote(n - c("n_long") < 0.12 * n, (n - c("n_long") >= 0.16 * n) & (n - c("n_long") <= 0.6 * n)),
         "word_length": vote((chars < 4.2 * n) | (chars > 7 * n), (chars >= 4.4 * n) & (chars <= 6.5 * n)),
         "line_ends": vote(several & (c("n_ends") < 0.95 * c("n_lines")), several & (c("n_ends") >= c("n_lines"))),
         "distinct": vote(c("n_distinct") < 0.5 * n, c("n_distinct") >= 0.6 * n),
