@@ -315,6 +315,31 @@ def test_fingerprints(docs, empty, ranges):
     assert fingerprints.with_next(empty).count() == 0
 
 
+def test_fingerprint_query_by_brute_force(spark, docs, tmp_path):
+    """Edited texts and both likenesses of op7, from leaves and sections cut by plain Python."""
+    rows = [(i, t) for i, t, _ in TEXTS if i is not None and i != 12] + [(100 + k, "\n".join(f"clause {j} of text, {j % 7} times; line {k % 3}." for j in range(k % 3, 40 + k))) for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    leaf = re.compile(fingerprints.LEAF)
+    order = sorted((i, t or "") for i, t in rows)
+
+    def leaves(t):
+        return {x.group(0) for x in leaf.finditer(t)}
+
+    def like(a, b):
+        x, y = leaves(a) or {""}, leaves(b) or {""}
+        return 1.0 if a == b else len(x & y) / len(x | y)
+
+    want = {}
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        want[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(t, edited), 9), round(like(t, after), 9))
+    got = {r.doc_id: r for r in fingerprints.op7_document_fingerprints(spark, str(tmp_path)).collect()}
+    assert {i: (r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for i, r in got.items()} == want
+    assert all((r.fingerprint == r.edited_fingerprint) == (dict(order)[i] == dict(order)[i][: len(dict(order)[i]) - len(dict(order)[i]) // 2] + order[([x for x, _ in order].index(i) + 1) % len(order)][1][: len(dict(order)[i]) // 2]) for i, r in got.items())
+
+
 def test_fingerprints_locate_edits(spark):
     lines = [f"line {i} has some words of its own and ends here." for i in range(200)]
     edited = [*lines[:120], "this line was changed by somebody.", *lines[121:]]
