@@ -7,8 +7,8 @@ differ in them locate the edit (`changed`). Likeness is the weight (in leaves) o
 
 The next document in ascending doc_id is found inside ranges of doc_id, one shuffle; each range also gets the first document of the next.
 
-Null texts count as empty: n_chars 0, one empty section. Rows that repeat a doc_id follow one another in order of their texts. A null doc_id comes first. A single
-document is its own next. An empty table gives an empty result."""
+Null texts count as empty: n_chars 0, one empty section. Very long texts are cut whole; a run without punctuation is cut every 160 characters. Rows that repeat a doc_id follow one another in
+order of their texts. A null doc_id comes first; doc_id is a number. A single document is its own next. Other columns, of any name, are not read. An empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -4,11 +4,13 @@ The model is a trie of byte contexts up to ORDER long with the counts of the byt
 escapes to the next shorter one with probability distinct / (2 * total) (and a byte seen n times has (2 n - 1) / (2 * total)), where the bytes of the longer context no longer count (symbol exclusion), down to
 equal shares for what is left. The score is the log10 probability of the text with A-Z lower-cased, and of its end.
 
-All training texts are counted: each task counts its (context, byte) grams, and Spark adds them up. The trie goes to the tasks in pieces of at most MOST grams, dealt by the last two bytes
-of the context; one pass over the texts scores the positions of each piece, so neither driver nor task holds more than a piece, and the passes add up to the same
-score. Word counts for the base score are added up over all training texts too; the HEAD most frequent words go to the tasks, the others are joined.
+All training texts are counted: each task counts its (context, byte) grams, and Spark adds them up. The trie goes to the tasks in pieces of about MOST grams, dealt by the last two bytes
+of the context; one pass over the texts scores the positions of each piece, and the passes add up to the same score. Pieces go one after another: the driver fetches one, its pass is written to the
+shared folder, and it is given up before the next is fetched, so neither driver nor task holds more than a piece. The number of passes grows with the trie. Word counts for the base score are
+added up over all training texts too; the HEAD most frequent words go to the tasks, the others are joined.
 
-Null texts count as empty: one token, the end. A null doc_id counts as the empty text for the held-out rule. Repeated rows are scored each for itself. Without training texts
+Null texts count as empty: one token, the end. Very long texts are scored whole. A null doc_id counts as the empty text for the held-out rule. Repeated rows are scored each for itself, and equal texts
+alike; words of equal counts at the edge of HEAD change nothing but the way they are looked up. Other columns, of any name, are not read. Without training texts
 every count is 0 and the model gives equal shares. An empty table gives an empty result."""
 
 from __future__ import annotations
@@ -229,13 +231,22 @@ def lm_scores(docs: DataFrame, held_out, most: int = MOST, head: int = HEAD) ->
     order = np.argsort(keys.view(U))
     send = lambda *x: spark.sparkContext.broadcast(x)
     of = lambda k: arrays(trie if pieces == 1 else trie.where(piece(F.col("key"), pieces) == k))
-    rows = saved(first_pass(numbered, send(keys.view(U)[order], n[order]), send(*of(0), *low), pieces), "scored")
+    head_words, piece_0 = send(keys.view(U)[order], n[order]), send(*of(0), *low)
+    rows = saved(first_pass(numbered, head_words, piece_0, pieces), "scored")
+    head_words.destroy()
+    piece_0.destroy()
+
+    def scored(k: int) -> DataFrame:
+        shared = send(*of(k), *low)
+        out = saved(piece_scores(numbered, shared, k, pieces), "piece")
+        shared.destroy()
+        return out
 
     rest = rows.select("at", F.explode(F.arrays_zip("words", "times")).alias("w")).select(F.col("at").alias("_at"), F.col("w.words").alias("key"), F.col("w.times").alias("times"))
     rest = rest.join(counts, "key").groupBy("_at").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     out = rows.drop("words", "times").join(rest, F.col("at") == F.col("_at"), "left")
     if pieces > 1:
-        others = [piece_scores(numbered, send(*of(k), *low), k, pieces) for k in range(1, pieces)]
+        others = [scored(k) for k in range(1, pieces)]
         others = reduce(DataFrame.unionByName, others).groupBy(F.col("at").alias("_b")).agg(F.sum("score").alias("others"))
         out = out.join(others, F.col("at") == F.col("_b")).withColumn("score", F.col("score") + F.col("others"))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(math.log10(total.ends + 1))

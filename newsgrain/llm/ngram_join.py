@@ -11,8 +11,9 @@ set (hub) of its tiles; then, in tiles that still hold several components, with
 more; last, tiles with several components compare everything across these. Large tiles are dealt out in pairs of blocks of rows. No link between components
 is left out, since the last step takes every tile with two components in full.
 
-Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id count as one document with several texts. A row with a null doc_id
-gets the component of its equal texts, null if there are none. An empty table gives an empty result."""
+Null and empty texts have no shingles and are linked with nothing. Very long texts have all their shingles. Rows that repeat a doc_id count as one document with several texts. A row with a null
+doc_id gets the component of its equal texts, null if there are none. A similarity of exactly 0.8 links. Sets of one size are taken in order of doc_id. Other columns, of any name, are not read. An
+empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -2,7 +2,8 @@
 
 Only suffixes that could repeat are sorted. Each 400-byte window has an anchor, the place of the least 128-byte hash in it, so equal windows have equal anchors at equal distances. The windows
 of a text that share an anchor lie together; the bytes they span are a piece. A suffix bucket is all pieces with one anchor hash. Where a piece occurs
-again byte for byte, all its windows repeat, and one shuffle of hashes tells so. Only buckets that hold different pieces are sorted, each distinct piece once.
+again, all its windows repeat, and one shuffle of hashes tells so: 64 bits of the anchor's 128 bytes and 64 of the piece, so a false match needs a collision within one bucket. Texts are told apart by 64
+bits and their length. Only buckets that hold different pieces are sorted, each distinct piece once.
 
 In a bucket, suffixes are compared at equal distances from the anchor, so sample places every 16 bytes, counted from the anchor, are a difference cover for them. The samples' ranks by their next
 384 bytes are computed first, by doubling. The suffix at distance t is then ordered by the t mod 16 bytes before its first sample, the sample's rank for the long tie, and
@@ -11,7 +12,8 @@ the hash of the bytes that all windows of a range of distances have in common, w
 what is found of it holds for all; a bucket that still has more than `HOT` different rows is not sorted: its windows are counted one by one, by hash.
 
 A byte goes if a window over it repeats anywhere, its own text included; matches never cross texts. Null texts count as empty; texts under 400 bytes keep all. Equal texts of 400 bytes or more, and
-repeated rows, lose everything. A null doc_id changes nothing. An empty table gives an empty result."""
+repeated rows, lose everything. Very long texts go in stretches and lose no window at their edges. Of windows with equal hashes the leftmost is the anchor, in every text alike. A null doc_id changes nothing.
+Columns of any name are carried untouched. An empty table gives an empty result."""
 
 from __future__ import annotations
 

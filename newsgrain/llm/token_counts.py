@@ -4,7 +4,8 @@ Before the scan it is proved, by encoding each string of the vocabulary alone, w
 pre-tokens as the tokenizer's file says; a pre-token that is in the proved set counts one, and only the others go through the merges, each once
 a block of texts (with a bounded memory of earlier ones). Strings of special tokens inside a text are single tokens, as the library takes them.
 
-Null texts count as empty: 0 bytes, 0 tokens. Rows with a null doc_id and repeated rows are counted like others. An empty table gives an empty result."""
+Null texts count as empty: 0 bytes, 0 tokens. Very long texts are counted whole. Rows with a null doc_id and repeated rows are counted like others, and equal texts alike; exactly 2048 tokens are not
+over the limit. Other columns, of any name, are not read. An empty table gives an empty result."""
 
 from __future__ import annotations
 
