@@ -47,7 +47,9 @@ class Model:
 
     @cached_property
     def d(self) -> DataFrame:
-        o = self.table("orders").join(self.ic, F.col("doc_id") == F.col("o_orderkey"))
+        # an order has one customer, so its country comes with the same join
+        c = self.table("customer").join(self.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("initiating_country"))
+        o = self.table("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("doc_id", F.col("o_orderkey"))
         geo = F.when(F.col("o_orderstatus") == "P", None).when(F.col("o_custkey") % 3 == 0, F.col("initiating_country")).otherwise("NATION_24")
         return o.select("doc_id", F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("source_name"), geo.alias("source_geofocus"), F.col("o_orderstatus").alias("medium"), F.concat(F.lit("Doc "), (F.col("doc_id") % 97).cast("string"), F.lit(" "), F.col("o_orderpriority")).alias("title"), F.concat(F.lit("Total "), F.floor("o_totalprice").cast("string")).alias("distilled_text"))
 

@@ -47,9 +47,9 @@ def read_packed_labels(df: DataFrame, types: str = "types", values: str = "value
 LABEL_JSON = "id string, title struct<title:string>, source struct<name:struct<transliterated:string>,geofocusCountry:string,startDate:string>, auto struct<gai:array<struct<modelVersion:string,value:array<struct<type:string,value:string>>>>>, machineTranslations struct<title_title:struct<text:string>>"
 
 
-def read_label_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested label records (objects or lists of them) with at least two passes; the second holds the labels."""
-    d = spark.read.schema(LABEL_JSON).option("multiLine", True).json(path).where("size(auto.gai) >= 2")
+def read_label_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested label records (objects or lists of them; lines: one on each line) with at least two passes; the second holds the labels."""
+    d = spark.read.schema(LABEL_JSON).option("multiLine", not lines).json(path).where("size(auto.gai) >= 2")
     m = F.map_from_entries(F.transform(F.col("auto.gai")[1]["value"], lambda e: F.struct(F.replace(e["type"], F.lit("-"), F.lit("_")), e["value"])))
     d = d.withColumn("m", m)
     get = lambda k: C.normalize_na(F.try_element_at("m", F.lit(k)))
