@@ -70,7 +70,7 @@ def standing_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
-        often = n > max(16, docs // SHARE)
+        often = n > max(4, docs // SHARE)
         yield batch(h=pa.concat_arrays([as_long(h[often]), pa.nulls(1, pa.int64())]), n=pa.array(np.append(n[often], size), pa.int64()))
 
     for b in batches:
