@@ -145,26 +145,42 @@ class Model:
 #: The same model in SQL that both engines run.
 CTES = {
     "ic": "SELECT o.o_orderkey AS doc_id, n.n_name AS initiating_country FROM orders o JOIN customer c ON o.o_custkey=c.c_custkey JOIN nation n ON c.c_nationkey=n.n_nationkey",
-    "rc": "SELECT DISTINCT l.l_orderkey AS doc_id, n.n_name AS recipient_country FROM lineitem l JOIN supplier sp ON l.l_suppkey=sp.s_suppkey JOIN nation n ON sp.s_nationkey=n.n_nationkey",
+    "rc": """SELECT DISTINCT l.l_orderkey AS doc_id, n.n_name AS recipient_country
+FROM lineitem l JOIN supplier sp ON l.l_suppkey=sp.s_suppkey JOIN nation n ON sp.s_nationkey=n.n_nationkey""",
     "cat": "SELECT DISTINCT l.l_orderkey AS doc_id, p.p_type AS category FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey",
     "sub": "SELECT DISTINCT l.l_orderkey AS doc_id, p.p_brand AS subcategory FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey",
-    "d": "SELECT o.o_orderkey AS doc_id, CAST(o.o_orderdate AS DATE) AS date, o.o_orderpriority AS source_name, CASE WHEN o.o_orderstatus='P' THEN NULL WHEN o.o_custkey % 3 = 0 THEN ic.initiating_country ELSE 'NATION_24' END AS source_geofocus, o.o_orderstatus AS medium, concat('Doc ', CAST(o.o_orderkey % 97 AS VARCHAR), ' ', o.o_orderpriority) AS title, concat('Total ', CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS VARCHAR)) AS distilled_text FROM orders o JOIN ic ON ic.doc_id=o.o_orderkey",
+    "d": """SELECT o.o_orderkey AS doc_id, CAST(o.o_orderdate AS DATE) AS date, o.o_orderpriority AS source_name, CASE WHEN o.o_orderstatus='P' THEN NULL WHEN o.o_custkey % 3 = 0 THEN ic.initiating_country ELSE 'NATION_24' END AS source_geofocus, o.o_orderstatus AS medium, concat('Doc ', CAST(o.o_orderkey % 97 AS VARCHAR), ' ', o.o_orderpriority) AS title, concat('Total ', CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS VARCHAR)) AS distilled_text
+FROM orders o JOIN ic ON ic.doc_id=o.o_orderkey""",
     "rk": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders",
-    "ent_docs": "SELECT DISTINCT e.user_id AS canonical_event_id, CAST(e.ts AS DATE) AS mention_date, rk.o_orderkey AS doc_id, concat(e.event_type, '_', CAST(CAST(floor(e.value / 10) AS BIGINT) AS VARCHAR)) AS entity FROM events e JOIN rk ON e.event_id % greatest(rk.n // 8, 1) = rk.rn",
+    "ent_docs": """SELECT DISTINCT e.user_id AS canonical_event_id, CAST(e.ts AS DATE) AS mention_date, rk.o_orderkey AS doc_id, concat(e.event_type, '_', CAST(CAST(floor(e.value / 10) AS BIGINT) AS VARCHAR)) AS entity
+FROM events e JOIN rk ON e.event_id % greatest(rk.n // 8, 1) = rk.rn""",
     "dem_docs": "SELECT DISTINCT canonical_event_id, mention_date, doc_id FROM ent_docs",
     "dem": "SELECT canonical_event_id, mention_date, count(*) AS article_count FROM dem_docs GROUP BY 1,2",
-    "ce": "SELECT canonical_event_id AS id, concat('Event ', CAST(canonical_event_id % 40 AS VARCHAR)) AS canonical_name, CASE WHEN canonical_event_id % 5 = 0 OR canonical_event_id % 50 > 44 THEN NULL ELSE canonical_event_id - canonical_event_id % 5 END AS master_event_id, concat('NATION_', CAST(CAST((canonical_event_id - canonical_event_id % 5) / 5 AS BIGINT) % 5 AS VARCHAR)) AS initiating_country, min(mention_date) AS first_mention_date, max(mention_date) AS last_mention_date, CAST(sum(article_count) AS BIGINT) AS total_articles, count(*) AS total_mention_days, CASE WHEN canonical_event_id % 7 = 0 THEN NULL ELSE CAST(1 + canonical_event_id % 10 AS DECIMAL(3,1)) END AS material_score FROM dem GROUP BY canonical_event_id",
-    "rcounts": "SELECT x.canonical_event_id AS id, rc.recipient_country AS key, count(*) AS n FROM (SELECT DISTINCT canonical_event_id, doc_id FROM dem_docs) x JOIN rc ON rc.doc_id = x.doc_id GROUP BY 1,2",
-    "ccounts": "SELECT x.canonical_event_id AS id, cat.category AS key, count(*) AS n FROM (SELECT DISTINCT canonical_event_id, doc_id FROM dem_docs) x JOIN cat ON cat.doc_id = x.doc_id GROUP BY 1,2",
+    "ce": """SELECT canonical_event_id AS id, concat('Event ', CAST(canonical_event_id % 40 AS VARCHAR)) AS canonical_name, CASE WHEN canonical_event_id % 5 = 0 OR canonical_event_id % 50 > 44 THEN NULL ELSE canonical_event_id - canonical_event_id % 5 END AS master_event_id, concat('NATION_', CAST(CAST((canonical_event_id - canonical_event_id % 5) / 5 AS BIGINT) % 5 AS VARCHAR)) AS initiating_country, min(mention_date) AS first_mention_date, max(mention_date) AS last_mention_date, CAST(sum(article_count) AS BIGINT) AS total_articles, count(*) AS total_mention_days, CASE WHEN canonical_event_id % 7 = 0 THEN NULL ELSE CAST(1 + canonical_event_id % 10 AS DECIMAL(3,1)) END AS material_score
+FROM dem GROUP BY canonical_event_id""",
+    "rcounts": """SELECT x.canonical_event_id AS id, rc.recipient_country AS key, count(*) AS n
+FROM (SELECT DISTINCT canonical_event_id, doc_id FROM dem_docs) x
+JOIN rc ON rc.doc_id = x.doc_id GROUP BY 1,2""",
+    "ccounts": """SELECT x.canonical_event_id AS id, cat.category AS key, count(*) AS n
+FROM (SELECT DISTINCT canonical_event_id, doc_id FROM dem_docs) x
+JOIN cat ON cat.doc_id = x.doc_id GROUP BY 1,2""",
     "fam": "SELECT id, coalesce(master_event_id, id) AS master FROM ce",
     "fdocs": "SELECT DISTINCT fam.master, x.mention_date, x.doc_id FROM dem_docs x JOIN fam ON fam.id = x.canonical_event_id",
-    "es": "SELECT concat('D', CAST(g.master AS VARCHAR), '-', CAST(g.mention_date AS VARCHAR)) AS es_id, 'daily' AS period_type, g.mention_date AS period_start, g.mention_date AS period_end, m.canonical_name AS event_name, m.initiating_country, g.n AS total_documents, m.material_score, CASE WHEN g.master % 4 = 0 THEN NULL ELSE g.master END AS canonical_event_id FROM (SELECT master, mention_date, count(DISTINCT doc_id) AS n FROM fdocs GROUP BY 1,2 HAVING count(DISTINCT doc_id) >= 3) g JOIN ce m ON m.id = g.master AND m.master_event_id IS NULL",
+    "es": """SELECT concat('D', CAST(g.master AS VARCHAR), '-', CAST(g.mention_date AS VARCHAR)) AS es_id, 'daily' AS period_type, g.mention_date AS period_start, g.mention_date AS period_end, m.canonical_name AS event_name, m.initiating_country, g.n AS total_documents, m.material_score, CASE WHEN g.master % 4 = 0 THEN NULL ELSE g.master END AS canonical_event_id
+FROM (SELECT master, mention_date, count(DISTINCT doc_id) AS n
+  FROM fdocs GROUP BY 1,2 HAVING count(DISTINCT doc_id) >= 3) g
+JOIN ce m ON m.id = g.master AND m.master_event_id IS NULL""",
     "links": "SELECT es.es_id, f.doc_id FROM fdocs f JOIN es ON es.es_id = concat('D', CAST(f.master AS VARCHAR), '-', CAST(f.mention_date AS VARCHAR))",
     "den": "SELECT DISTINCT entity, mention_date, doc_id FROM ent_docs",
-    "cen": "SELECT entity, count(DISTINCT doc_id) AS total_documents, min(mention_date) AS first_mention_date, max(mention_date) AS last_mention_date, split_part(entity, '_', 1) AS entity_type FROM den GROUP BY entity",
-    "raw_events": "SELECT DISTINCT l.l_orderkey AS doc_id, p.p_name AS event_name, CASE WHEN l.l_linenumber = 1 THEN concat(p.p_brand, ' ', p.p_name) END AS specific_event_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey",
-    "rb": "SELECT d.doc_id, d.date, CAST(date_trunc('month', d.date) AS DATE) AS month, ic.initiating_country, rc.recipient_country, cat.category, d.source_name, d.source_geofocus, d.source_geofocus ILIKE concat('%', ic.initiating_country, '%') AS self_reported, d.source_geofocus ILIKE concat('%', rc.recipient_country, '%') AS recipient_focused FROM d JOIN ic ON ic.doc_id = d.doc_id JOIN rc ON rc.doc_id = d.doc_id JOIN cat ON cat.doc_id = d.doc_id WHERE ic.initiating_country IN {INF} AND rc.recipient_country IN {REC} AND cat.category IN {CAT} AND ic.initiating_country <> rc.recipient_country AND d.date >= DATE '1996-01-01' AND d.date < DATE '2001-01-01'",
-    "pi": "SELECT initiating_country, recipient_country, category, month, count(DISTINCT doc_id) AS raw_docs, count(DISTINCT doc_id) FILTER (WHERE self_reported) AS self_docs, count(DISTINCT doc_id) FILTER (WHERE NOT self_reported) AS third_docs, count(DISTINCT doc_id) FILTER (WHERE recipient_focused) AS recipient_focused_docs, count(DISTINCT source_name) AS distinct_sources FROM rb GROUP BY 1,2,3,4",
+    "cen": """SELECT entity, count(DISTINCT doc_id) AS total_documents, min(mention_date) AS first_mention_date, max(mention_date) AS last_mention_date, split_part(entity, '_', 1) AS entity_type
+FROM den GROUP BY entity""",
+    "raw_events": """SELECT DISTINCT l.l_orderkey AS doc_id, p.p_name AS event_name, CASE WHEN l.l_linenumber = 1 THEN concat(p.p_brand, ' ', p.p_name) END AS specific_event_name
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
+    "rb": """SELECT d.doc_id, d.date, CAST(date_trunc('month', d.date) AS DATE) AS month, ic.initiating_country, rc.recipient_country, cat.category, d.source_name, d.source_geofocus, d.source_geofocus ILIKE concat('%', ic.initiating_country, '%') AS self_reported, d.source_geofocus ILIKE concat('%', rc.recipient_country, '%') AS recipient_focused
+FROM d JOIN ic ON ic.doc_id = d.doc_id JOIN rc ON rc.doc_id = d.doc_id
+JOIN cat ON cat.doc_id = d.doc_id WHERE ic.initiating_country IN {INF} AND rc.recipient_country IN {REC} AND cat.category IN {CAT} AND ic.initiating_country <> rc.recipient_country AND d.date >= DATE '1996-01-01' AND d.date < DATE '2001-01-01'""",
+    "pi": """SELECT initiating_country, recipient_country, category, month, count(DISTINCT doc_id) AS raw_docs, count(DISTINCT doc_id) FILTER (WHERE self_reported) AS self_docs, count(DISTINCT doc_id) FILTER (WHERE NOT self_reported) AS third_docs, count(DISTINCT doc_id) FILTER (WHERE recipient_focused) AS recipient_focused_docs, count(DISTINCT source_name) AS distinct_sources
+FROM rb GROUP BY 1,2,3,4""",
     "vectors": "SELECT vec_id, embedding, label, concat('NATION_', CAST(vec_id % 5 AS VARCHAR)) AS country, DATE '2024-01-01' + CAST(vec_id % 40 AS INT) AS day FROM embeddings",
 }
 _list = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"

@@ -56,7 +56,8 @@ DRILL = " UNION ALL ".join([
     _drill("initiator", "initiating_country", "b"),
     _drill("month", "strftime(date, '%Y-%m')", "b"),
     _drill("source", "source_name", "b", "ORDER BY n_docs DESC, key LIMIT 15"),
-    "SELECT 'document', CAST(doc_id AS VARCHAR), row_number() OVER (ORDER BY date DESC, doc_id), date FROM (SELECT DISTINCT doc_id, date FROM b ORDER BY date DESC, doc_id LIMIT 20)",
+    """SELECT 'document', CAST(doc_id AS VARCHAR), row_number() OVER (ORDER BY date DESC, doc_id), date
+FROM (SELECT DISTINCT doc_id, date FROM b ORDER BY date DESC, doc_id LIMIT 20)""",
 ])
 
 
@@ -123,7 +124,8 @@ def _rolled(x: str, sc: str, keys: list[str], cats: bool = True) -> str:
 #: Summaries with each recipient and each category that their event's documents have.
 SC_PAIR = "SELECT es.initiating_country, r.key AS recipient_country, es.period_type, es.material_score FROM es JOIN rcounts r ON r.id = es.canonical_event_id"
 SC_CAT = "SELECT es.initiating_country, c.key AS category, es.period_type, es.material_score FROM es JOIN ccounts c ON c.id = es.canonical_event_id"
-SC_BOTH = "SELECT es.initiating_country, r.key AS recipient_country, c.key AS category, es.period_type, es.material_score FROM es JOIN rcounts r ON r.id = es.canonical_event_id JOIN ccounts c ON c.id = es.canonical_event_id"
+SC_BOTH = """SELECT es.initiating_country, r.key AS recipient_country, c.key AS category, es.period_type, es.material_score
+FROM es JOIN rcounts r ON r.id = es.canonical_event_id JOIN ccounts c ON c.id = es.canonical_event_id"""
 RU = ("d", "ic", "rc", "cat", "sub", "es", "rcounts", "ccounts")
 
 
@@ -166,7 +168,9 @@ def event_evidence(m: Model):
     return B.event_evidence("vent 5", m.ce, m.event_docs, m.d)
 
 
-TOP2 = "(SELECT id, string_agg(key, ', ' ORDER BY n DESC, key) AS {a} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, key) AS r FROM {t}) WHERE r <= {k} GROUP BY id)"
+TOP2 = """(SELECT id, string_agg(key, ', ' ORDER BY n DESC, key) AS {a}
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, key) AS r FROM {t})
+  WHERE r <= {k} GROUP BY id)"""
 
 
 def _top(table: str, alias: str, k: int) -> str:
@@ -186,7 +190,8 @@ SELECT f.*, c.categories, r.recipients FROM f LEFT JOIN {_top("ccounts", "catego
 def actor_timeline_feed(m: Model):
     """One page of the newest mentions of an actor's master events."""
     one = E.masters(m.ce).where("initiating_country = 'NATION_1'").select(F.col("id").alias("canonical_event_id"), "canonical_name", F.col("material_score").cast("double").alias("material_score"))
-    f = E.top_k(m.dem.join(one, "canonical_event_id").select("canonical_event_id", "mention_date", "article_count", "canonical_name", "material_score"), [F.desc("mention_date"), F.asc("canonical_event_id")], 30)
+    f = E.top_k(m.dem.join(one, "canonical_event_id")
+    .select("canonical_event_id", "mention_date", "article_count", "canonical_name", "material_score"), [F.desc("mention_date"), F.asc("canonical_event_id")], 30)
     return _with_names(m, f, "canonical_event_id", 2).select("canonical_event_id", "mention_date", "article_count", "canonical_name", "material_score", names("categories"), names("recipients"))
 
 
@@ -208,7 +213,8 @@ SELECT f.*, c.category, x.recipients FROM f LEFT JOIN {_top("ccounts", "category
 @query("events_list", LISTED, "ce", "rcounts", "ccounts")
 def events_list(m: Model):
     """Filtered by span and recipient, sorted by score, second page of five, each with its phase, leading category and three recipients."""
-    e = E.masters(E.with_phase(m.ce)).where("first_mention_date <= DATE'2024-01-25' AND last_mention_date >= DATE'2024-01-05'").join(m.recipient_counts.where("key = 'NATION_2'").select("id"), "id", "left_semi")
+    e = E.masters(E.with_phase(m.ce)).where("first_mention_date <= DATE'2024-01-25' AND last_mention_date >= DATE'2024-01-05'").join(m.recipient_counts.where("key = 'NATION_2'")
+    .select("id"), "id", "left_semi")
     e = e.select("id", "canonical_name", "first_mention_date", "last_mention_date", "total_articles", "phase", F.col("material_score").cast("double").alias("material_score"))
     f = e.orderBy(F.desc_nulls_last("material_score"), "id").offset(5).limit(10)
     return _with_names(m, f, "id", 3, 1).select("id", "canonical_name", "first_mention_date", "last_mention_date", "total_articles", "phase", "material_score", names("categories").alias("category"), names("recipients"))
@@ -288,7 +294,14 @@ def validate_batch(m: Model):
     return B.validation_report(parsed, rejects, m.d.where("doc_id % 3 = 0").select("doc_id"), {"sources": "source_name", "countries": "initiating_country"})
 
 
-@query("period_ranges", "s AS (SELECT min(mention_date) AS a, max(mention_date) AS z FROM dem), u AS (SELECT 'week' AS unit, p, p + 6 AS q FROM (SELECT CAST(unnest(generate_series(CAST(date_trunc('week', a) AS DATE), z, INTERVAL 7 DAY)) AS DATE) AS p FROM s) UNION ALL SELECT 'month', p, CAST(p + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) FROM (SELECT CAST(unnest(generate_series(CAST(date_trunc('month', a) AS DATE), z, INTERVAL 1 MONTH)) AS DATE) AS p FROM s) UNION ALL SELECT 'year', p, CAST(p + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) FROM (SELECT CAST(unnest(generate_series(CAST(date_trunc('year', a) AS DATE), z, INTERVAL 1 YEAR)) AS DATE) AS p FROM s)) SELECT unit, greatest(p, a) AS period_start, least(q, z) AS period_end FROM u, s", "dem")
+@query("period_ranges", """s AS (SELECT min(mention_date) AS a, max(mention_date) AS z FROM dem),
+u AS (SELECT 'week' AS unit, p, p + 6 AS q FROM (SELECT CAST(unnest(generate_series(CAST(date_trunc('week', a) AS DATE), z, INTERVAL 7 DAY)) AS DATE) AS p
+    FROM s) UNION ALL SELECT 'month', p, CAST(p + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE)
+  FROM (SELECT CAST(unnest(generate_series(CAST(date_trunc('month', a) AS DATE), z, INTERVAL 1 MONTH)) AS DATE) AS p
+    FROM s) UNION ALL SELECT 'year', p, CAST(p + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE)
+  FROM (SELECT CAST(unnest(generate_series(CAST(date_trunc('year', a) AS DATE), z, INTERVAL 1 YEAR)) AS DATE) AS p
+    FROM s)) SELECT unit, greatest(p, a) AS period_start, least(q, z) AS period_end
+FROM u, s""", "dem")
 def period_ranges(m: Model):
     """Weeks, months and years of the mentions that the table holds."""
     span = m.dem.agg(F.min("mention_date").alias("s"), F.max("mention_date").alias("e"))

@@ -17,7 +17,10 @@ def csv(df, m: Model, label: str) -> str:
     return where
 
 
-@query("read_articles_csv", "k AS (SELECT * FROM d WHERE doc_id % 7 <> 0 AND doc_id % 2 = 0), u AS (SELECT doc_id, concat('T', doc_id) AS title, concat(distilled_text, ' and \"more\"') AS body, source_name, date FROM k) SELECT CAST(doc_id AS VARCHAR) AS doc_id, title, body, source_name, date, 'even' AS collection FROM u", "d")
+@query("read_articles_csv", """k AS (SELECT * FROM d WHERE doc_id % 7 <> 0 AND doc_id % 2 = 0),
+u AS (SELECT doc_id, concat('T', doc_id) AS title, concat(distilled_text, ' and \"more\"') AS body, source_name, date
+  FROM k) SELECT CAST(doc_id AS VARCHAR) AS doc_id, title, body, source_name, date, 'even' AS collection
+FROM u""", "d")
 def read_articles_csv(m: Model):
     """Two collections, bodies of two lines with quotes, a seventh without a body, every row twice."""
     i = F.col("doc_id")
@@ -27,7 +30,9 @@ def read_articles_csv(m: Model):
     return readers.read_articles_csv(m.spark, csv(rows.unionByName(rows), m, "articles"), "even")
 
 
-@query("read_packed_labels_csv", "SELECT doc_id, 'TRUE' AS salience_bool, source_name AS category, CASE WHEN medium = 'P' THEN NULL ELSE title END AS event_name, NULL AS reason FROM d WHERE doc_id % 5 > 1 UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE WHEN doc_id % 5 = 0 THEN 'length mismatch' ELSE 'no salience' END FROM d WHERE doc_id % 5 < 2", "d")
+@query("read_packed_labels_csv", """SELECT doc_id, 'TRUE' AS salience_bool, source_name AS category, CASE WHEN medium = 'P' THEN NULL ELSE title END AS event_name, NULL AS reason
+FROM d WHERE doc_id % 5 > 1 UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE WHEN doc_id % 5 = 0 THEN 'length mismatch' ELSE 'no salience' END
+FROM d WHERE doc_id % 5 < 2""", "d")
 def read_packed_labels_csv(m: Model):
     """A fifth of the rows with a value too few, a fifth without salience, missing events as N/A."""
     i = F.col("doc_id")
@@ -40,7 +45,8 @@ def read_packed_labels_csv(m: Model):
     return ok.select("doc_id", "salience_bool", "category", "event_name", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("doc_id", "reason"), allowMissingColumns=True)
 
 
-@query("read_label_json", "SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'Untitled' ELSE title END AS title, source_name, source_geofocus, date, ic.initiating_country, CASE WHEN d.doc_id % 3 = 0 THEN 'a project' ELSE 'an event' END AS event_name FROM d JOIN ic ON ic.doc_id = d.doc_id WHERE d.doc_id % 6 <> 5", "d")
+@query("read_label_json", """SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'Untitled' ELSE title END AS title, source_name, source_geofocus, date, ic.initiating_country, CASE WHEN d.doc_id % 3 = 0 THEN 'a project' ELSE 'an event' END AS event_name
+FROM d JOIN ic ON ic.doc_id = d.doc_id WHERE d.doc_id % 6 <> 5""", "d")
 def read_label_json(m: Model):
     """Nested records, a quarter without a title, a third with a project in place of an event, a sixth with one pass only."""
     i = F.col("doc_id")
@@ -56,7 +62,8 @@ def read_label_json(m: Model):
     return d.select("doc_id", "title", "source_name", "source_geofocus", "date", "initiating_country", "event_name")
 
 
-@query("read_finance_projects", "SELECT CAST(p_partkey AS VARCHAR) AS project_id, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 5 <> 0 THEN CAST(1990 + p_partkey % 30 AS INT) END AS commitment_year, p_retailprice AS amount, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS recommended, DATE '2019-01-01' + CAST(p_partkey % 300 AS INT) AS start_date FROM part")
+@query("read_finance_projects", """SELECT CAST(p_partkey AS VARCHAR) AS project_id, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 5 <> 0 THEN CAST(1990 + p_partkey % 30 AS INT) END AS commitment_year, p_retailprice AS amount, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS recommended, DATE '2019-01-01' + CAST(p_partkey % 300 AS INT) AS start_date
+FROM part""")
 def read_finance_projects(m: Model):
     return readers.read_finance_projects(m.spark, projects(m))
 
@@ -76,7 +83,8 @@ def read_finance_locations(m: Model):
     return readers.read_finance_locations(m.spark, csv(rows, m, "places"), known)
 
 
-@query("read_embeddings_parquet", "SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(len(embedding) AS INT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings WHERE vec_id % 3 <> 0")
+@query("read_embeddings_parquet", """SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(len(embedding) AS INT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total
+FROM embeddings WHERE vec_id % 3 <> 0""")
 def read_embeddings_parquet(m: Model):
     """Vectors as text, ids in JSON, a third loaded before."""
     where = new_dir(m.spark, "dump")

@@ -46,7 +46,9 @@ for _k, _c in enumerate(("ECONOMY", "LARGE", "MEDIUM", "SMALL")):
 f{_k + 1} AS (SELECT * FROM f{_k} UNION ALL SELECT x.id, t.id, 3 FROM (SELECT o.id, o.initiating_country, row_number() OVER (PARTITION BY o.initiating_country ORDER BY o.material_score DESC NULLS LAST, o.id) AS k FROM old o
   WHERE master_event_id IS NULL AND id NOT IN (SELECT match_id FROM f{_k}) AND id IN (SELECT id FROM ccounts WHERE key = '{_c}') AND EXISTS (SELECT 1 FROM rcounts a JOIN rcounts b ON b.key = a.key JOIN report r ON r.id = b.id WHERE a.id = o.id AND r.category = '{_c}' AND r.initiating_country = o.initiating_country)) x
   JOIN (SELECT initiating_country, id FROM (SELECT *, row_number() OVER (PARTITION BY initiating_country ORDER BY coalesce(material_score, 0) DESC, id) AS q FROM report WHERE category = '{_c}') WHERE q = 1) t ON t.initiating_country = x.initiating_country WHERE x.k <= 10)"""
-LOOK += " SELECT tier, report_id, match_id, CAST(place AS INT) AS place FROM (SELECT f4.*, row_number() OVER (PARTITION BY report_id ORDER BY o.material_score DESC NULLS LAST, match_id) AS place FROM f4 JOIN old o ON o.id = f4.match_id) WHERE place <= 5"
+LOOK += """ SELECT tier, report_id, match_id, CAST(place AS INT) AS place
+FROM (SELECT f4.*, row_number() OVER (PARTITION BY report_id ORDER BY o.material_score DESC NULLS LAST, match_id) AS place
+  FROM f4 JOIN old o ON o.id = f4.match_id) WHERE place <= 5"""
 
 
 @query("lookback_matches", LOOK, "ce", "ccounts", "rcounts")
@@ -57,17 +59,20 @@ def lookback_matches(m: Model):
 _TWO = ("NATION_1", "NATION_3", "NATION_5", "NATION_8", "NATION_11", "NATION_13")
 
 
-@query("event_scope", DOM + " SELECT ce.id FROM ce JOIN dom ON dom.id = ce.id WHERE master_event_id IS NULL AND first_mention_date <= DATE '2024-01-20' AND last_mention_date >= DATE '2024-01-10' AND dom.key IN " + str(_TWO) + " AND ce.id IN (SELECT id FROM ccounts WHERE key = 'ECONOMY')", "ce", "rcounts", "ccounts")
+@query("event_scope", DOM + """ SELECT ce.id FROM ce JOIN dom ON dom.id = ce.id WHERE master_event_id IS NULL AND first_mention_date <= DATE '2024-01-20' AND last_mention_date >= DATE '2024-01-10' AND dom.key IN """ + str(_TWO) + " AND ce.id IN (SELECT id FROM ccounts WHERE key = 'ECONOMY')", "ce", "rcounts", "ccounts")
 def event_scope(m: Model):
     return B.stacked([E.event_scope(m.ce_maps, start="2024-01-10", end="2024-01-20", recipient=r, category="ECONOMY").select("id") for r in _TWO])
 
 
-@query("primary_aligned_events", "t AS (SELECT id, CAST(sum(n) AS DOUBLE) AS t, max(n) FILTER (WHERE key <> 'NATION_7') AS o, max(n) FILTER (WHERE key = 'NATION_7') AS n FROM rcounts GROUP BY 1) SELECT ce.id FROM ce JOIN t ON t.id = ce.id WHERE t.n > 0 AND (contains(ce.canonical_name, 'NATION_7') OR t.n / t.t >= 0.4 OR t.o IS NULL OR t.n > t.o)", "ce", "rcounts")
+@query("primary_aligned_events", """t AS (SELECT id, CAST(sum(n) AS DOUBLE) AS t, max(n) FILTER (WHERE key <> 'NATION_7') AS o, max(n) FILTER (WHERE key = 'NATION_7') AS n
+  FROM rcounts GROUP BY 1) SELECT ce.id FROM ce JOIN t ON t.id = ce.id
+WHERE t.n > 0 AND (contains(ce.canonical_name, 'NATION_7') OR t.n / t.t >= 0.4 OR t.o IS NULL OR t.n > t.o)""", "ce", "rcounts")
 def primary_aligned_events(m: Model):
     return P.primary_aligned_events(m.ce_maps, "NATION_7").select("id")
 
 
-KNOWN = "SELECT id, initiating_country, canonical_name AS event_name, first_mention_date AS first_day, CAST(first_mention_date + 9 AS DATE) AS last_day, total_articles AS articles FROM ce WHERE id % 10 = 0"
+KNOWN = """SELECT id, initiating_country, canonical_name AS event_name, first_mention_date AS first_day, CAST(first_mention_date + 9 AS DATE) AS last_day, total_articles AS articles
+FROM ce WHERE id % 10 = 0"""
 BUILT = f"""ex AS ({KNOWN}), g AS (SELECT DISTINCT ce.initiating_country, ce.canonical_name AS event_name, x.mention_date AS day, x.doc_id FROM dem_docs x JOIN ce ON ce.id = x.canonical_event_id WHERE x.mention_date - DATE '2024-01-01' NOT IN (13, 14, 20)),
 dd AS (SELECT initiating_country, event_name, day, count(DISTINCT doc_id) AS n_docs FROM g GROUP BY 1, 2, 3),
 k AS (SELECT dd.*, (SELECT min(ex.id) FROM ex WHERE ex.initiating_country = dd.initiating_country AND ex.event_name = dd.event_name AND dd.day BETWEEN ex.first_day AND ex.last_day) AS id FROM dd),
@@ -142,7 +147,9 @@ def split_by_drift(m: Model):
 
 # ---- vectors: clusters and masters, by components that SQL finds by recursion
 _COS = "round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6)"
-_REACH = "s AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT vec_id AS node, vec_id AS m FROM vectors UNION SELECT s.a, r.m FROM r JOIN s ON s.b = r.node), comp AS (SELECT node, min(m) AS c FROM r GROUP BY 1)"
+_REACH = """s AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT vec_id AS node, vec_id AS m
+  FROM vectors UNION SELECT s.a, r.m FROM r JOIN s ON s.b = r.node),
+comp AS (SELECT node, min(m) AS c FROM r GROUP BY 1)"""
 
 
 def _pairs(keys: str, least: float, source: str = "vectors") -> str:
@@ -233,14 +240,18 @@ GU = ("den", "d", "cat")
 ONE = CO + ", og AS (SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight, max(last_day) AS last_day FROM g GROUP BY 1, 2)"
 
 
-@query("entity_cooccurrence", CO + ", lab AS (SELECT sh.initiating_country, a, b, count(*) AS labels, count(DISTINCT category) AS categories FROM sh JOIN cat ON cat.doc_id = sh.doc_id GROUP BY 1, 2, 3) SELECT g.*, lab.labels, lab.categories FROM g LEFT JOIN lab ON lab.initiating_country = g.initiating_country AND lab.a = g.a AND lab.b = g.b", *GU)
+@query("entity_cooccurrence", CO + """, lab AS (SELECT sh.initiating_country, a, b, count(*) AS labels, count(DISTINCT category) AS categories
+  FROM sh JOIN cat ON cat.doc_id = sh.doc_id GROUP BY 1, 2, 3) SELECT g.*, lab.labels, lab.categories
+FROM g LEFT JOIN lab ON lab.initiating_country = g.initiating_country AND lab.a = g.a AND lab.b = g.b""", *GU)
 def entity_cooccurrence(m: Model):
     total = F.aggregate(F.map_values("categories"), F.lit(0).cast("long"), lambda a, x: a + x)
     e = edges(m).withColumns({"labels": total, "n": F.size(F.map_keys("categories")).cast("long"), "shown": F.size("doc_ids").cast("long")})
     return e.select("initiating_country", "a", "b", "weight", "first_day", "last_day", "shown", F.when(F.col("categories").isNotNull(), F.col("labels")).alias("labels"), F.when(F.col("categories").isNotNull(), F.col("n")).alias("categories"))
 
 
-@query("graph_degree", ONE + ", s AS (SELECT a AS node, weight FROM og UNION ALL SELECT b, weight FROM og) SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted FROM s GROUP BY 1", *GU)
+@query("graph_degree", ONE + """, s AS (SELECT a AS node, weight FROM og UNION ALL SELECT b, weight
+  FROM og) SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted
+FROM s GROUP BY 1""", *GU)
 def graph_degree(m: Model):
     return G.graph_degree(one_graph(m))
 
@@ -340,7 +351,10 @@ def match_entities(m: Model):
     queries = m.vectors.where("vec_id % 100 = 0").select(i.alias("query_id"), F.when(i % 200 == 0, name).otherwise(F.concat(name, F.lit(" of "), i.cast("string"))).alias("query"), F.col("embedding").alias("q"))
     # some hundred entities: places in order of name by a count of the smaller ones
     place = m.cen.select(F.col("entity").alias("x")).join(m.cen.select(F.col("entity").alias("y")), F.col("y") < F.col("x"), "left").groupBy(F.col("x").alias("entity")).agg(F.count("y").alias("vec_id"))
-    return M.match_entities(queries, m.cen.select("entity").join(place, "entity").join(m.vectors.select("vec_id", "embedding"), "vec_id", "left").select("vec_id", "entity", "embedding"), 5, similar=0.4, near=0.1)
+    return M.match_entities(queries, m.cen.select("entity")
+    .join(place, "entity")
+    .join(m.vectors.select("vec_id", "embedding"), "vec_id", "left")
+    .select("vec_id", "entity", "embedding"), 5, similar=0.4, near=0.1)
 
 
 # ---- themes
@@ -349,7 +363,8 @@ STOP = ["2024", "2025", "2026", "new", "meeting", "visit", "agreement", "signing
 
 def theme_table(m: Model):
     events = m.table("part").select(F.col("p_partkey").alias("vec_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), (F.col("p_partkey") % 9).alias("score")).join(m.vectors.select("vec_id", F.col("country").alias("actor"), "day"), "vec_id")
-    recipients = m.raw_events.select("doc_id", F.col("event_name")).join(m.table("part").select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("event_name")), "event_name").join(m.rc, "doc_id").select("vec_id", F.col("recipient_country").alias("recipient")).distinct()
+    recipients = m.raw_events.select("doc_id", F.col("event_name")).join(m.table("part")
+    .select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("event_name")), "event_name").join(m.rc, "doc_id").select("vec_id", F.col("recipient_country").alias("recipient")).distinct()
     return K.theme_summary(K.narrative_themes(m.vectors), events, recipients, STOP)
 
 
@@ -379,7 +394,8 @@ def geo_intensity(m: Model):
     return P.geo_intensity(base(m).select("doc_id", "initiating_country", "self_reported", point.alias("lat_long"), F.col("recipient_country").alias("location")))
 
 
-@query("month_gaps", MON + ", sm AS (SELECT DISTINCT month FROM rb WHERE initiating_country = 'NATION_1' AND recipient_country = 'NATION_7' AND category = 'SMALL') SELECT month FROM sp WHERE month NOT IN (SELECT month FROM sm)", "pi")
+@query("month_gaps", MON + """, sm AS (SELECT DISTINCT month FROM rb WHERE initiating_country = 'NATION_1' AND recipient_country = 'NATION_7' AND category = 'SMALL')
+SELECT month FROM sp WHERE month NOT IN (SELECT month FROM sm)""", "pi")
 def month_gaps(m: Model):
     return S.month_gaps(base(m).where("initiating_country = 'NATION_1' AND recipient_country = 'NATION_7' AND category = 'SMALL'"), "1996-01-01", "2000-12-01")
 
@@ -490,9 +506,13 @@ def by_words(m: Model, k: int = 10):
 
 PARTS = "SELECT p_partkey AS vec_id, concat(p_name, ' ', p_type) AS text FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)"
 ASKED = "SELECT p_partkey AS query_id, p_type AS query FROM part WHERE p_partkey % 100 = 0 AND p_partkey IN (SELECT vec_id FROM embeddings)"
-VEC = "vs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), v AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM vs) WHERE rank <= {k})"
+VEC = """vs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), v AS (SELECT *
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank
+    FROM vs) WHERE rank <= {k})"""
 BOTH = VEC.replace("{k}", "40") + ", " + bm25(PARTS, ASKED, "vec_id", 40)
-FUSED = " SELECT {id} round(coalesce(0.7 / (60.0::DOUBLE + v.rank), 0.0) + coalesce(0.3 / (60.0::DOUBLE + kw.rank), 0.0), 6) AS rrf_score FROM v {how} JOIN kw ON kw.query_id = v.query_id AND kw.vec_id = v.vec_id"
+FUSED = """ SELECT {id} round(coalesce(0.7 / (60.0::DOUBLE + v.rank), 0.0) + coalesce(0.3 / (60.0::DOUBLE + kw.rank), 0.0), 6) AS rrf_score
+FROM v {how} JOIN kw ON kw.query_id = v.query_id AND kw.vec_id = v.vec_id"""
 LEFT = BOTH + FUSED.replace("{id}", "v.query_id, v.vec_id,").replace("{how}", "LEFT")
 
 
@@ -543,7 +563,8 @@ SELECT g.query_id, round(coalesce(hits, 0) / CAST(g.n AS DOUBLE), 6) AS recall,
 
 @query("ranking_metrics", RANKING)
 def ranking_metrics(m: Model):
-    relevant = m.vectors.join(m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")), F.col("label") == F.col("l")).select("query_id", "vec_id")
+    relevant = m.vectors.join(m.vectors.where("vec_id % 100 = 0")
+    .select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")), F.col("label") == F.col("l")).select("query_id", "vec_id")
     return Q.ranking_metrics(by_vector(m), relevant, "vec_id", 10)
 
 
@@ -558,12 +579,16 @@ def stream_daily_counts(m: Model):
     return jobs.drain(jobs.windowed_counts(stream(m), "ts", ["event_type"]))
 
 
-@query("stream_sliding_activity", "SELECT CAST(d AS DATE) AS day, event_type, count(*) AS n FROM (SELECT event_type, CAST(ts AS DATE) - k AS d FROM events, (SELECT CAST(unnest(range(7)) AS INT) AS k)) GROUP BY 1, 2")
+@query("stream_sliding_activity", """SELECT CAST(d AS DATE) AS day, event_type, count(*) AS n FROM (SELECT event_type, CAST(ts AS DATE) - k AS d
+  FROM events, (SELECT CAST(unnest(range(7)) AS INT) AS k)) GROUP BY 1, 2""")
 def stream_sliding_activity(m: Model):
     return jobs.drain(jobs.windowed_counts(stream(m), "ts", ["event_type"], "7 days", "1 day"))
 
 
-@query("stream_event_sessions", "g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 DAY OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
+@query("stream_event_sessions", """g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 DAY OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id
+    ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n
+FROM s GROUP BY user_id, k""")
 def stream_event_sessions(m: Model):
     return jobs.drain(jobs.event_sessions(stream(m), "ts", ["user_id"], "1 day"))
 

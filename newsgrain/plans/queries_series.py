@@ -22,9 +22,20 @@ def daily(m: Model):
 
 
 K = ["initiating_country"]
-query("rolling_zscore", DAY + ", w AS (SELECT *, count(*) OVER f AS c, avg(n_docs) OVER f AS m, stddev_samp(n_docs) OVER f AS s FROM day WINDOW f AS (PARTITION BY initiating_country ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), z AS (SELECT *, round(CASE WHEN c >= 7 AND s > 0 THEN (n_docs - m) / s ELSE 0.0 END, 6) AS z FROM w) SELECT initiating_country, day, n_docs, z, CASE WHEN c >= 7 THEN round(m, 1) END AS expected, abs(z) > 2 AS flag FROM z", "d")(lambda m: S.rolling_zscore(daily(m), K))
-query("global_zscore", DAY + " SELECT day, initiating_country, n_docs, round(CASE WHEN stddev_samp(n_docs) OVER w > 0 THEN (n_docs - avg(n_docs) OVER w) / stddev_samp(n_docs) OVER w ELSE 0.0 END, 6) AS z FROM day WINDOW w AS (PARTITION BY initiating_country)", "d")(lambda m: S.global_zscore(daily(m), K))
-MON = "mon AS (SELECT initiating_country, month, CAST(sum(raw_docs) AS BIGINT) AS n FROM pi GROUP BY 1, 2), sp AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) AS DATE) AS month), zf AS (SELECT i.initiating_country, sp.month, CAST(coalesce(n, 0) AS DOUBLE) AS y FROM (SELECT DISTINCT initiating_country FROM mon) i CROSS JOIN sp LEFT JOIN mon ON mon.initiating_country = i.initiating_country AND mon.month = sp.month)"
+query("rolling_zscore", DAY + """, w AS (SELECT *, count(*) OVER f AS c, avg(n_docs) OVER f AS m, stddev_samp(n_docs) OVER f AS s
+  FROM day WINDOW f AS (PARTITION BY initiating_country ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, round(CASE WHEN c >= 7 AND s > 0 THEN (n_docs - m) / s ELSE 0.0 END, 6) AS z
+  FROM w) SELECT initiating_country, day, n_docs, z, CASE WHEN c >= 7 THEN round(m, 1) END AS expected, abs(z) > 2 AS flag
+FROM z""", "d")(
+    lambda m: S.rolling_zscore(daily(m), K))
+query("global_zscore", DAY + """ SELECT day, initiating_country, n_docs, round(CASE WHEN stddev_samp(n_docs) OVER w > 0 THEN (n_docs - avg(n_docs) OVER w) / stddev_samp(n_docs) OVER w ELSE 0.0 END, 6) AS z
+FROM day WINDOW w AS (PARTITION BY initiating_country)""", "d")(
+    lambda m: S.global_zscore(daily(m), K))
+MON = """mon AS (SELECT initiating_country, month, CAST(sum(raw_docs) AS BIGINT) AS n
+  FROM pi GROUP BY 1, 2), sp AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) AS DATE) AS month),
+zf AS (SELECT i.initiating_country, sp.month, CAST(coalesce(n, 0) AS DOUBLE) AS y
+  FROM (SELECT DISTINCT initiating_country FROM mon) i CROSS JOIN sp
+  LEFT JOIN mon ON mon.initiating_country = i.initiating_country AND mon.month = sp.month)"""
 
 
 def monthly(m: Model):
@@ -32,15 +43,29 @@ def monthly(m: Model):
     return S.zero_filled(g, K, "n", "1996-01-01", "2000-12-01")
 
 
-query("rolling_mean", MON + " SELECT *, round(avg(y) OVER (PARTITION BY initiating_country ORDER BY month ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS mean FROM zf", "pi")(lambda m: S.rolling_mean(monthly(m), K))
+query("rolling_mean", MON + " SELECT *, round(avg(y) OVER (PARTITION BY initiating_country ORDER BY month ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS mean FROM zf", "pi")(
+    lambda m: S.rolling_mean(monthly(m), K))
 query("changepoints", None)(lambda m: S.changepoints(monthly(m), K))
-query("prior_period", "SELECT DATE '2024-01-10' - 20 - 1 AS prior_start, DATE '2024-01-10' - 1 AS prior_end, count(*) AS n FROM dem WHERE mention_date BETWEEN DATE '2024-01-10' - 21 AND DATE '2024-01-09'", "dem")(
-    lambda m: m.dem.where(F.col("mention_date").between(*S.prior_period("2024-01-10", "2024-01-30"))).agg(F.count("*").alias("n")).select(S.prior_period("2024-01-10", "2024-01-30")[0].alias("prior_start"), S.prior_period("2024-01-10", "2024-01-30")[1].alias("prior_end"), "n")
+query("prior_period", """SELECT DATE '2024-01-10' - 20 - 1 AS prior_start, DATE '2024-01-10' - 1 AS prior_end, count(*) AS n
+FROM dem WHERE mention_date BETWEEN DATE '2024-01-10' - 21 AND DATE '2024-01-09'""", "dem")(
+    lambda m: m.dem.where(F.col("mention_date").between(*S.prior_period("2024-01-10", "2024-01-30")))
+    .agg(F.count("*").alias("n"))
+    .select(S.prior_period("2024-01-10", "2024-01-30")[0].alias("prior_start"), S.prior_period("2024-01-10", "2024-01-30")[1].alias("prior_end"), "n")
 )
-query("category_spike", "g AS (SELECT category, count(DISTINCT doc_id) FILTER (WHERE date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31') AS current, count(DISTINCT doc_id) FILTER (WHERE date BETWEEN DATE '1998-01-29' AND DATE '1998-02-28') AS prior FROM rb GROUP BY 1), c AS (SELECT *, round((current - prior) / greatest(CAST(prior AS DOUBLE), 0.5), 6) AS change FROM g) SELECT * FROM c WHERE current >= 1 AND change >= -1.0", "rb")(lambda m: S.category_spike(base(m), "1998-03-01", "1998-03-31", 1, -1.0))
-query("materiality_outliers", "s AS (SELECT count(material_score) AS n, avg(CAST(material_score AS DOUBLE)) AS m, stddev_samp(CAST(material_score AS DOUBLE)) AS s FROM ce) SELECT id, round((CAST(material_score AS DOUBLE) - m) / s.s, 6) AS z FROM ce, s WHERE material_score IS NOT NULL AND n >= 5 AND round((CAST(material_score AS DOUBLE) - m) / s.s, 6) >= 1.5 ORDER BY z DESC, id LIMIT 6", "ce")(lambda m: S.materiality_outliers(m.ce))
+query("category_spike", """g AS (SELECT category, count(DISTINCT doc_id) FILTER (WHERE date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31') AS current, count(DISTINCT doc_id) FILTER (WHERE date BETWEEN DATE '1998-01-29' AND DATE '1998-02-28') AS prior
+  FROM rb GROUP BY 1), c AS (SELECT *, round((current - prior) / greatest(CAST(prior AS DOUBLE), 0.5), 6) AS change
+  FROM g) SELECT * FROM c WHERE current >= 1 AND change >= -1.0""", "rb")(
+    lambda m: S.category_spike(base(m), "1998-03-01", "1998-03-31", 1, -1.0))
+query("materiality_outliers", """s AS (SELECT count(material_score) AS n, avg(CAST(material_score AS DOUBLE)) AS m, stddev_samp(CAST(material_score AS DOUBLE)) AS s
+  FROM ce) SELECT id, round((CAST(material_score AS DOUBLE) - m) / s.s, 6) AS z
+FROM ce, s WHERE material_score IS NOT NULL AND n >= 5 AND round((CAST(material_score AS DOUBLE) - m) / s.s, 6) >= 1.5
+ORDER BY z DESC, id LIMIT 6""", "ce")(
+    lambda m: S.materiality_outliers(m.ce))
 CC = "c AS (SELECT initiating_country, count(DISTINCT doc_id) AS n_docs FROM rb GROUP BY 1)"
-query("rank_in_cohort", CC + ", s AS (SELECT quantile_cont(n_docs, 0.5) AS median, avg(n_docs) AS mean, count(*) AS n FROM c) SELECT initiating_country, n_docs, CAST(row_number() OVER (ORDER BY n_docs DESC, initiating_country) AS INT) AS rank, round(100.0::DOUBLE * (rank() OVER (ORDER BY n_docs) - 1) / s.n, 6) AS percentile, CAST(median AS DOUBLE) AS median, round(mean, 6) AS mean, round((n_docs - median) / median, 6) AS vs_median FROM c, s", "rb")(lambda m: S.rank_in_cohort(N.count_docs(base(m), K), "initiating_country", "n_docs"))
+query("rank_in_cohort", CC + """, s AS (SELECT quantile_cont(n_docs, 0.5) AS median, avg(n_docs) AS mean, count(*) AS n
+  FROM c) SELECT initiating_country, n_docs, CAST(row_number() OVER (ORDER BY n_docs DESC, initiating_country) AS INT) AS rank, round(100.0::DOUBLE * (rank() OVER (ORDER BY n_docs) - 1) / s.n, 6) AS percentile, CAST(median AS DOUBLE) AS median, round(mean, 6) AS mean, round((n_docs - median) / median, 6) AS vs_median
+FROM c, s""", "rb")(
+    lambda m: S.rank_in_cohort(N.count_docs(base(m), K), "initiating_country", "n_docs"))
 EDAY = "ed AS (SELECT mention_date AS day, ce.initiating_country, CAST(sum(article_count) AS BIGINT) AS n FROM dem JOIN ce ON ce.id = dem.canonical_event_id GROUP BY 1, 2)"
 
 
@@ -48,13 +73,27 @@ def event_daily(m: Model):
     return m.dem.join(m.ce.select(F.col("id").alias("canonical_event_id"), "initiating_country"), "canonical_event_id").groupBy(F.col("mention_date").alias("day"), "initiating_country").agg(F.sum("article_count").alias("n"))
 
 
-SURGE = "r AS (SELECT *, row_number() OVER (PARTITION BY initiating_country ORDER BY day DESC) AS r FROM ed WHERE day <= DATE '2024-01-29' AND day > DATE '2024-01-29' - 30), g AS (SELECT initiating_country, count(*) AS c, max(n) FILTER (WHERE r = 1) AS latest, avg(n) FILTER (WHERE r > 1) AS m, stddev_pop(n) FILTER (WHERE r > 1) AS s FROM r GROUP BY 1) SELECT initiating_country, latest, round(m, 6) AS mean, round((latest - m) / s, 6) AS z FROM g WHERE c >= 5 AND s > 0 AND round((latest - m) / s, 6) >= -5"
+SURGE = """r AS (SELECT *, row_number() OVER (PARTITION BY initiating_country ORDER BY day DESC) AS r
+  FROM ed WHERE day <= DATE '2024-01-29' AND day > DATE '2024-01-29' - 30),
+g AS (SELECT initiating_country, count(*) AS c, max(n) FILTER (WHERE r = 1) AS latest, avg(n) FILTER (WHERE r > 1) AS m, stddev_pop(n) FILTER (WHERE r > 1) AS s
+  FROM r GROUP BY 1) SELECT initiating_country, latest, round(m, 6) AS mean, round((latest - m) / s, 6) AS z
+FROM g WHERE c >= 5 AND s > 0 AND round((latest - m) / s, 6) >= -5"""
 query("alert_volume_surge", EDAY + ", " + SURGE, "ce")(lambda m: S.alert_surge(event_daily(m), "n", "2024-01-29", z=-5.0, keys=K))
-query("alert_materiality_spike", "ed AS (SELECT period_start AS day, initiating_country, avg(CAST(material_score AS DOUBLE)) AS n FROM es WHERE material_score IS NOT NULL GROUP BY 1, 2), " + SURGE, "es")(lambda m: S.alert_surge(m.es.where("material_score IS NOT NULL").groupBy(F.col("period_start").alias("day"), "initiating_country").agg(F.avg(F.col("material_score").cast("double")).alias("n")), "n", "2024-01-29", z=-5.0, keys=K))
-query("alert_new_entity", "n AS (SELECT entity FROM cen WHERE first_mention_date > DATE '2024-01-01') SELECT count(*) AS n, coalesce((SELECT string_agg(entity, ',' ORDER BY entity) FROM (SELECT entity FROM n ORDER BY entity LIMIT 10)), '') AS names FROM n", "cen")(lambda m: S.alert_new(m.cen, "2024-01-01", "entity", "first_mention_date"))
-query("alert_new_event", "n AS (SELECT CAST(id AS VARCHAR) AS id FROM ce WHERE first_mention_date > DATE '2024-01-01') SELECT count(*) AS n, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM n ORDER BY id LIMIT 10)), '') AS names FROM n", "ce")(lambda m: S.alert_new(m.ce.withColumn("id", F.col("id").cast("string")), "2024-01-01", "id", "first_mention_date"))
+query("alert_materiality_spike", """ed AS (SELECT period_start AS day, initiating_country, avg(CAST(material_score AS DOUBLE)) AS n
+  FROM es WHERE material_score IS NOT NULL GROUP BY 1, 2), """ + SURGE, "es")(
+    lambda m: S.alert_surge(m.es.where("material_score IS NOT NULL").groupBy(F.col("period_start").alias("day"), "initiating_country").agg(F.avg(F.col("material_score").cast("double")).alias("n")), "n", "2024-01-29", z=-5.0, keys=K))
+query("alert_new_entity", """n AS (SELECT entity FROM cen WHERE first_mention_date > DATE '2024-01-01')
+SELECT count(*) AS n, coalesce((SELECT string_agg(entity, ',' ORDER BY entity) FROM (SELECT entity
+    FROM n ORDER BY entity LIMIT 10)), '') AS names FROM n""", "cen")(
+    lambda m: S.alert_new(m.cen, "2024-01-01", "entity", "first_mention_date"))
+query("alert_new_event", """n AS (SELECT CAST(id AS VARCHAR) AS id FROM ce WHERE first_mention_date > DATE '2024-01-01')
+SELECT count(*) AS n, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM n
+    ORDER BY id LIMIT 10)), '') AS names FROM n""", "ce")(
+    lambda m: S.alert_new(m.ce.withColumn("id", F.col("id").cast("string")), "2024-01-01", "id", "first_mention_date"))
 query("split_by_gap", None)(lambda m: S.split_by_gap(m.dem.withColumn("mention_date", F.date_add("mention_date", ((F.dayofmonth("mention_date") / 10).cast("int") * 40)))))
-VP = "p AS (SELECT x.country, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS cosine FROM vectors x JOIN vectors y ON x.country = y.country AND x.vec_id < y.vec_id), q AS (SELECT * FROM p WHERE cosine >= 0.35)"
+VP = """p AS (SELECT x.country, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS cosine
+  FROM vectors x JOIN vectors y ON x.country = y.country AND x.vec_id < y.vec_id),
+q AS (SELECT * FROM p WHERE cosine >= 0.35)"""
 
 
 def near(m: Model):
@@ -62,23 +101,52 @@ def near(m: Model):
 
 
 query("cosine_similarity", VP + " SELECT * FROM q", "vectors")(near)
-query("connected_components", "RECURSIVE " + VP + ", s AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT a AS node, a AS m FROM s UNION SELECT s.a, r.m FROM r JOIN s ON s.b = r.node) SELECT node, min(m) AS component FROM r GROUP BY 1", "vectors")(lambda m: G.connected_components(near(m)))
-query("residual_duplicates", VP + " SELECT q.a, q.b, q.cosine FROM q JOIN vectors x ON x.vec_id = q.a JOIN vectors y ON y.vec_id = q.b WHERE greatest(x.day - y.day, y.day - x.day) <= 10", "vectors")(lambda m: G.residual_duplicates(near(m), m.vectors.select(F.col("vec_id").alias("id"), F.col("day").alias("first_day"), F.col("day").alias("last_day")), 10))
-
-
-query("link_entities_to_events", "SELECT DISTINCT den.entity, f.master FROM den JOIN fdocs f ON f.doc_id = den.doc_id", "den", "fdocs")(lambda m: G.link_entities_to_events(m.den, E.family_docs(m.ce, m.event_docs)))
-query("event_entities", "SELECT DISTINCT l.es_id, den.entity FROM links l JOIN den ON den.doc_id = l.doc_id", "links", "den")(lambda m: m.links.join(m.den.select("entity", "doc_id").distinct(), "doc_id").select("es_id", "entity").distinct())
-query("entity_lookup", "SELECT entity, total_documents FROM cen WHERE entity ILIKE '%c%' ORDER BY lower(entity) = 'c' DESC, total_documents DESC, entity LIMIT 10", "cen")(lambda m: G.entity_lookup(m.cen, "c", 10).select("entity", "total_documents"))
+query("connected_components", "RECURSIVE " + VP + """, s AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT a AS node, a AS m
+  FROM s UNION SELECT s.a, r.m FROM r JOIN s ON s.b = r.node) SELECT node, min(m) AS component
+FROM r GROUP BY 1""", "vectors")(
+    lambda m: G.connected_components(near(m)))
+query("residual_duplicates", VP + """ SELECT q.a, q.b, q.cosine FROM q JOIN vectors x ON x.vec_id = q.a
+JOIN vectors y ON y.vec_id = q.b WHERE greatest(x.day - y.day, y.day - x.day) <= 10""", "vectors")(
+    lambda m: G.residual_duplicates(near(m), m.vectors.select(F.col("vec_id").alias("id"), F.col("day").alias("first_day"), F.col("day").alias("last_day")), 10))
+
+
+query("link_entities_to_events", "SELECT DISTINCT den.entity, f.master FROM den JOIN fdocs f ON f.doc_id = den.doc_id", "den", "fdocs")(
+    lambda m: G.link_entities_to_events(m.den, E.family_docs(m.ce, m.event_docs)))
+query("event_entities", "SELECT DISTINCT l.es_id, den.entity FROM links l JOIN den ON den.doc_id = l.doc_id", "links", "den")(
+    lambda m: m.links.join(m.den.select("entity", "doc_id").distinct(), "doc_id")
+    .select("es_id", "entity")
+    .distinct())
+query("entity_lookup", "SELECT entity, total_documents FROM cen WHERE entity ILIKE '%c%' ORDER BY lower(entity) = 'c' DESC, total_documents DESC, entity LIMIT 10", "cen")(
+    lambda m: G.entity_lookup(m.cen, "c", 10)
+    .select("entity", "total_documents"))
 query("entity_type_distribution", "SELECT entity_type, count(*) AS n FROM cen GROUP BY 1", "cen")(lambda m: m.cen.groupBy("entity_type").agg(F.count("*").alias("n")))
-query("entity_explorer", "SELECT entity, total_documents FROM cen WHERE total_documents >= 2 ORDER BY total_documents DESC, entity LIMIT 20", "cen")(lambda m: E.top_k(m.cen.where("total_documents >= 2"), [F.desc("total_documents"), F.asc("entity")], 20).select("entity", "total_documents"))
-query("top_entities_in_period", "SELECT entity, count(DISTINCT doc_id) AS n_docs, count(DISTINCT mention_date) AS n_days FROM den WHERE mention_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-15' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15", "den")(lambda m: E.top_k(m.den.where("mention_date BETWEEN DATE'2024-01-05' AND DATE'2024-01-15'").groupBy("entity").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("mention_date").alias("n_days")), [F.desc("n_docs"), F.asc("entity")], 15))
-query("cross_recipient_reach", "SELECT id, count(*) AS reach FROM rcounts GROUP BY 1", "rcounts")(lambda m: m.ce_maps.where("primary_recipients IS NOT NULL").select("id", F.size(F.map_keys("primary_recipients")).cast("long").alias("reach")))
-query("new_entities", "SELECT entity, total_documents, round(least(1.0, total_documents / 25.0::DOUBLE), 6) AS magnitude FROM cen WHERE first_mention_date >= DATE '2024-01-01' AND total_documents >= 3 ORDER BY total_documents DESC, entity LIMIT 12", "cen")(lambda m: E.top_k(m.cen.where("first_mention_date >= DATE'2024-01-01' AND total_documents >= 3"), [F.desc("total_documents"), F.asc("entity")], 12).select("entity", "total_documents", F.round(F.least(F.lit(1.0), F.col("total_documents") / 25), 6).alias("magnitude")))
+query("entity_explorer", "SELECT entity, total_documents FROM cen WHERE total_documents >= 2 ORDER BY total_documents DESC, entity LIMIT 20", "cen")(
+    lambda m: E.top_k(m.cen.where("total_documents >= 2"), [F.desc("total_documents"), F.asc("entity")], 20)
+    .select("entity", "total_documents"))
+query("top_entities_in_period", """SELECT entity, count(DISTINCT doc_id) AS n_docs, count(DISTINCT mention_date) AS n_days
+FROM den WHERE mention_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-15'
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""", "den")(
+    lambda m: E.top_k(m.den.where("mention_date BETWEEN DATE'2024-01-05' AND DATE'2024-01-15'").groupBy("entity").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("mention_date").alias("n_days")), [F.desc("n_docs"), F.asc("entity")], 15))
+query("cross_recipient_reach", "SELECT id, count(*) AS reach FROM rcounts GROUP BY 1", "rcounts")(
+    lambda m: m.ce_maps.where("primary_recipients IS NOT NULL")
+    .select("id", F.size(F.map_keys("primary_recipients")).cast("long").alias("reach")))
+query("new_entities", """SELECT entity, total_documents, round(least(1.0, total_documents / 25.0::DOUBLE), 6) AS magnitude
+FROM cen WHERE first_mention_date >= DATE '2024-01-01' AND total_documents >= 3
+ORDER BY total_documents DESC, entity LIMIT 12""", "cen")(
+    lambda m: E.top_k(m.cen.where("first_mention_date >= DATE'2024-01-01' AND total_documents >= 3"), [F.desc("total_documents"), F.asc("entity")], 12)
+    .select("entity", "total_documents", F.round(F.least(F.lit(1.0), F.col("total_documents") / 25), 6).alias("magnitude")))
 
 
 
 # retrieval
-query("build_postings", "t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term FROM documents) SELECT term, doc_id, 'B' AS field, count(*) AS tf FROM t WHERE term <> '' GROUP BY 1, 2")(lambda m: R.build_postings(m.table("documents").select("doc_id", "text"), "doc_id", {"text": "B"}))
+query("build_postings", """t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term
+  FROM documents) SELECT term, doc_id, 'B' AS field, count(*) AS tf
+FROM t WHERE term <> '' GROUP BY 1, 2""")(
+    lambda m: R.build_postings(m.table("documents").select("doc_id", "text"), "doc_id", {"text": "B"}))
 
 
-query("vector_search", "s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")(lambda m: R.vector_search(m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), m.vectors, 5))
+query("vector_search", """s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+    ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT *
+FROM r WHERE rank <= 5""")(
+    lambda m: R.vector_search(m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), m.vectors, 5))
