@@ -18,6 +18,11 @@ FOLDED = BYTE.copy()
 FOLDED[65:91] = BYTE[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Each byte, A-Z folded.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: ASCII characters that are neither letters nor digits; what lies between them are terms.
+NOT_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 M1, M2, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 
 
@@ -70,8 +75,8 @@ def text_blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def _word_part(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = IS_SPACE[data]
+def _word_part(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    space = gap[data]
     first = ~space
     first[1:] &= space[:-1]
     at = offsets[offsets < len(data)]
@@ -90,16 +95,16 @@ def _word_part(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, mixed(np.add.reduceat(x, starts - lead))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, its first byte, and the n + 1 offsets of each text's words. lower folds A-Z only."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, its first byte, and the n + 1 offsets of each text's words. lower folds A-Z only; gap marks the bytes between words."""
     table, found, lo = FOLDED if lower else BYTE, [], 0
     while lo < len(data):
         hi = min(len(data), lo + 2 * BLOCK)
-        while hi < len(data) and not (gaps := np.flatnonzero(IS_SPACE[data[lo:hi]])).size and hi - lo < 2**40:
+        while hi < len(data) and not (gaps := np.flatnonzero(gap[data[lo:hi]])).size and hi - lo < 2**40:
             hi = min(len(data), hi + (hi - lo))
         if hi < len(data):
             hi = lo + int(gaps[-1]) + 1
-        starts, hashes = _word_part(data[lo:hi], offsets[(offsets >= lo) & (offsets < hi)] - lo, table)
+        starts, hashes = _word_part(data[lo:hi], offsets[(offsets >= lo) & (offsets < hi)] - lo, table, gap)
         found.append((starts + lo, hashes))
         lo = hi
     starts = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
@@ -107,6 +112,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return hashes, starts, np.searchsorted(starts, offsets)
 
 
+def word_sizes(data: np.ndarray, starts: np.ndarray, gap: np.ndarray = IS_SPACE) -> np.ndarray:
+    """Bytes of each word."""
+    return np.add.reduceat((~gap[data[starts[0] :]]).astype(np.int64), starts - starts[0]) if len(starts) else np.empty(0, np.int64)
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == U else x.astype(np.int64))
 
