@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.store import new_dir
-from ..sources import readers, writers
+from ..sources import label_records, readers, writers
 from ..streaming import jobs
 from .model import Model
 from .registry import query
@@ -30,36 +30,55 @@ def read_articles_csv(m: Model):
     return readers.read_articles_csv(m.spark, csv(rows.unionByName(rows), m, "articles"), "even")
 
 
-@query("read_packed_labels_csv", """SELECT doc_id, 'TRUE' AS salience_bool, source_name AS category, CASE WHEN medium = 'P' THEN NULL ELSE title END AS event_name, NULL AS reason
-FROM d WHERE doc_id % 5 > 1 UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE WHEN doc_id % 5 = 0 THEN 'length mismatch' ELSE 'no salience' END
-FROM d WHERE doc_id % 5 < 2""", "d")
+OK = "doc_id", "title", "source_name", "source_geofocus", "source_location", "date", "salience", "salience_justification", "category", "initiating_country", "event_name", "projects"
+
+
+def with_rejects(both):
+    """Some fields of documents and, beside them, the rejects with their reasons."""
+    ok, bad = both
+    return ok.select(*OK, F.lit(None).cast("string").alias("reason")).unionByName(bad, allowMissingColumns=True)
+
+
+@query("read_packed_labels_csv", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, concat('T', doc_id) AS title, source_name, source_geofocus, CASE WHEN doc_id % 3 = 0 THEN 'somewhere' ELSE 'None Specified' END AS source_location, date, 'true' AS salience, CASE WHEN doc_id % 2 = 0 THEN 'because' END AS salience_justification, source_name AS category, CAST(NULL AS VARCHAR) AS initiating_country, CASE WHEN medium = 'P' THEN CASE WHEN doc_id % 2 = 0 THEN 'a project' END ELSE title END AS event_name, CASE WHEN doc_id % 2 = 0 THEN 'a project' END AS projects, CAST(NULL AS VARCHAR) AS reason
+FROM d WHERE doc_id % 5 > 1 UNION ALL SELECT CASE WHEN doc_id % 15 <> 1 THEN CAST(doc_id AS VARCHAR) END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 15 = 1 THEN 'missing ATOM ID' WHEN doc_id % 5 = 0 THEN 'token mismatch' ELSE 'no extraction pass' END
+FROM d WHERE doc_id % 5 < 2 UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'duplicate doc_id within file'
+FROM d WHERE doc_id % 35 = 2""", "d")
 def read_packed_labels_csv(m: Model):
-    """A fifth of the rows with a value too few, a fifth without salience, missing events as N/A."""
+    """A fifth of the rows with a value too few, a fifth without an extraction pass, some without an id or twice; categories twice, of which the later counts, labels of a later pass that don't, missing
+    events as N/A, and a justification before the pass in every second row."""
     i = F.col("doc_id")
-    types = F.when(i % 5 == 1, "category | event-name").otherwise("why | salience-bool | category | event-name")
+    because = i % 2 == 0
+    head = F.when(because, "salience | salience-justification | salience-bool").otherwise("salience | x | salience-bool")
+    types = F.when(i % 5 == 1, "category | event-name").otherwise(F.concat(head, F.lit(" | category | event-name | category | "), F.when(because, "projects").otherwise("location"), F.lit(" | tisc_pass | initiating-country")))
     event = F.when(F.col("medium") == "P", "N/A").otherwise(F.col("title"))
-    values = F.when(i % 5 == 0, "because | TRUE").when(i % 5 == 1, F.concat_ws(" | ", "source_name", event)).otherwise(F.concat_ws(" | ", F.lit("because"), F.lit("TRUE"), "source_name", event))
-    where = csv(m.d.select("doc_id", types.alias("types"), values.alias("values")), m, "labels")
-    df = m.spark.read.option("header", True).option("escape", '"').csv(where).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ok, bad = readers.read_packed_labels(df)
-    return ok.select("doc_id", "salience_bool", "category", "event_name", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("doc_id", "reason"), allowMissingColumns=True)
+    values = F.when(i % 5 == 0, "true | because | TRUE").when(i % 5 == 1, F.concat_ws(" | ", "source_name", event)).otherwise(F.concat_ws(" | ", F.lit("true | because | TRUE"), F.lit("early"), event, "source_name", F.lit("a project | later | Nowhere")))
+    rows = m.d.select(F.when(i % 15 != 1, i).alias("ATOM ID"), F.concat(F.lit("T"), i.cast("string")).alias("Title"), F.col("source_name").alias("Source Name"), F.col("date").alias("Source Date, Start"), F.col("source_geofocus").alias("Source Geofocus Country"), F.when(i % 3 == 0, "somewhere").otherwise("nan").alias("Source Country, Physical"), types.alias("Auto GAI, Value Type"), values.alias("Auto GAI, Value"))
+    return with_rejects(label_records.read_packed_labels_csv(m.spark, csv(rows.unionByName(rows.where("`ATOM ID` % 35 = 2")).coalesce(1), m, "labels")))
 
 
-@query("read_label_json", """SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'Untitled' ELSE title END AS title, source_name, source_geofocus, date, ic.initiating_country, CASE WHEN d.doc_id % 3 = 0 THEN 'a project' ELSE 'an event' END AS event_name
-FROM d JOIN ic ON ic.doc_id = d.doc_id WHERE d.doc_id % 6 <> 5""", "d")
+@query("read_label_json", """SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'Default Title' ELSE title END AS title, source_name, source_geofocus, 'None Specified' AS source_location, date, CAST(NULL AS VARCHAR) AS salience, CAST(NULL AS VARCHAR) AS salience_justification, source_name AS category, ic.initiating_country, CASE WHEN d.doc_id % 3 = 0 THEN 'a project' ELSE 'an event' END AS event_name, CAST(NULL AS VARCHAR) AS projects, CAST(NULL AS VARCHAR) AS reason
+FROM d JOIN ic ON ic.doc_id = d.doc_id WHERE d.doc_id % 6 <> 5 UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'missing auto.gai analysis block'
+FROM d WHERE doc_id % 6 = 5 UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'duplicate doc_id within file' FROM d WHERE doc_id % 30 = 1""", "d")
 def read_label_json(m: Model):
-    """Nested records, a quarter without a title, a third with a project in place of an event, a sixth with one pass only."""
+    """Files of a few hundred nested records each, a third of them lists, a third lists of lists, the rest of one record a line: a quarter without a title, a third with a project in place of an event,
+    a sixth with one pass only, some twice, and each with two categories, of which the later counts."""
     i = F.col("doc_id")
     pair = lambda t, v: F.struct(F.lit(t).alias("type"), v.alias("value"))
-    labels = F.array(pair("initiating-country", F.col("initiating_country")), pair("event-name", F.when(i % 3 == 0, "N/A").otherwise("an event")), pair("project-name", F.lit("a project")))
-    none = F.struct(F.lit("1").alias("modelVersion"), F.array().cast("array<struct<type:string,value:string>>").alias("value"))
-    full = F.struct(F.lit("2").alias("modelVersion"), labels.alias("value"))
+    labels = F.array(pair("category", F.lit("early")), pair("initiating-country", F.col("initiating_country")), pair("event-name", F.when(i % 3 == 0, "N/A").otherwise("an event")), pair("project-name", F.lit("a project")), pair("category", F.col("source_name")))
+    by = F.struct(F.lit("p").alias("identifier"), F.lit("1").alias("version"))
+    one = lambda version, values: F.struct(F.lit(version).alias("modelVersion"), by.alias("filter"), values.alias("value"))
+    full, none = one("2", labels), one("1", F.array().cast("array<struct<type:string,value:string>>"))
     source = F.struct(F.struct(F.col("source_name").alias("transliterated")).alias("name"), F.col("source_geofocus").alias("geofocusCountry"), F.col("date").cast("string").alias("startDate"))
-    rows = m.d.join(m.ic, "doc_id").select(i.cast("string").alias("id"), F.struct(F.when(i % 4 != 0, F.col("title")).alias("title")).alias("title"), source.alias("source"), F.struct(F.when(i % 6 == 5, F.array(full)).otherwise(F.array(none, full)).alias("gai")).alias("auto"))
-    where = new_dir(m.spark, "records")
-    rows.write.json(where)
-    d = readers.read_label_json(m.spark, where, lines=True)
-    return d.select("doc_id", "title", "source_name", "source_geofocus", "date", "initiating_country", "event_name")
+    atom = F.struct(F.struct(F.lit("c").alias("collection_name")).alias("atom"))
+    record = F.struct(i.cast("string").alias("id"), F.struct(F.when(i % 4 != 0, F.col("title")).alias("title")).alias("title"), source.alias("source"), atom.alias("custom"), F.struct(F.when(i % 6 == 5, F.array(full)).otherwise(F.array(none, full)).alias("gai")).alias("auto"))
+    rows = m.d.join(m.ic, "doc_id").select((F.col("doc_id") % 3).alias("kind"), F.floor(i / 1000).alias("file"), F.to_json(record).alias("value"), F.explode(F.when(i % 30 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"))
+    lists, lines = new_dir(m.spark, "records"), new_dir(m.spark, "record-lines")
+    comma = lambda c: F.array_join(F.collect_list(c), ",\n")
+    inner = rows.where("kind < 2").groupBy("kind", "file", F.when(F.col("kind") == 0, F.lit(0)).otherwise(F.crc32(F.split_part("value", F.lit(","), F.lit(1))) % 5).alias("part")).agg(comma("value").alias("value"))
+    whole = inner.groupBy("kind", "file").agg(comma(F.when(F.col("kind") == 0, F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))).alias("value"))
+    whole.select(F.concat(F.lit("["), "value", F.lit("]"))).write.option("maxRecordsPerFile", 1).text(lists)
+    rows.where("kind = 2").select("value").repartition(4, "value").write.text(lines)
+    return with_rejects(label_records.read_label_json(m.spark, lists)).unionByName(with_rejects(label_records.read_label_json(m.spark, lines, lines=True)))
 
 
 @query("read_finance_projects", """SELECT CAST(p_partkey AS VARCHAR) AS project_id, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 5 <> 0 THEN CAST(1990 + p_partkey % 30 AS INT) END AS commitment_year, p_retailprice AS amount, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS recommended, DATE '2019-01-01' + CAST(p_partkey % 300 AS INT) AS start_date

@@ -1,4 +1,4 @@
-"""Readers of article exports, label records, finance tables and embedding dumps."""
+"""Readers of article exports, finance tables and embedding dumps. Those of label records are in label_records."""
 
 from __future__ import annotations
 
@@ -28,34 +28,6 @@ def read_articles_csv(spark: SparkSession, path: str, collection: str | None = N
     return d.drop("at")
 
 
-FIELDS = ("salience-bool", "category", "subcategory", "initiating-country", "recipient-country", "projects", "lat-long", "location", "monetary-commitment", "distilled-text", "event-name")
-
-
-def read_packed_labels(df: DataFrame, types: str = "types", values: str = "values") -> tuple[DataFrame, DataFrame]:
-    """Two ` | `-joined parallel columns -> one column for each field; rows whose lengths differ, or without salience, are rejected with the reason."""
-    t, v = F.transform(F.split(types, r" \| "), lambda x: F.trim(x)), F.transform(F.split(values, r" \| "), lambda x: F.trim(x))
-    d = df.withColumns({"_t": t, "_v": v}).withColumn("_at", F.array_position("_t", F.lit("salience-bool")))
-    reason = F.when(F.size("_t") != F.size("_v"), "length mismatch").when(F.col("_at") == 0, "no salience")
-    d = d.withColumn("reason", reason)
-    known = F.slice("_t", F.col("_at").cast("int"), F.size("_t"))
-    stop = F.array_position(F.transform(known, lambda x: x.isin(*FIELDS)), F.lit(False))
-    n = F.when(stop == 0, F.size(known)).otherwise(stop - 1).cast("int")
-    ok = d.where("reason IS NULL").withColumn("_m", F.map_from_entries(F.arrays_zip(F.array_distinct(F.slice("_t", F.col("_at").cast("int"), n)), F.slice("_v", F.col("_at").cast("int"), n))))
-    return ok.select(*df.columns, *[C.normalize_na(F.try_element_at("_m", F.lit(f))).alias(f.replace("-", "_")) for f in FIELDS]), d.where("reason IS NOT NULL").select(*df.columns, "reason")
-
-
-LABEL_JSON = "id string, title struct<title:string>, source struct<name:struct<transliterated:string>,geofocusCountry:string,startDate:string>, auto struct<gai:array<struct<modelVersion:string,value:array<struct<type:string,value:string>>>>>, machineTranslations struct<title_title:struct<text:string>>"
-
-
-def read_label_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Nested label records (objects or lists of them; lines: one on each line) with at least two passes; the second holds the labels."""
-    d = spark.read.schema(LABEL_JSON).option("multiLine", not lines).json(path).where("size(auto.gai) >= 2")
-    m = F.map_from_entries(F.transform(F.col("auto.gai")[1]["value"], lambda e: F.struct(F.replace(e["type"], F.lit("-"), F.lit("_")), e["value"])))
-    d = d.withColumn("m", m)
-    get = lambda k: C.normalize_na(F.try_element_at("m", F.lit(k)))
-    return d.select(F.col("id").alias("doc_id"), F.coalesce("machineTranslations.title_title.text", "title.title", F.lit("Untitled")).alias("title"), F.col("source.name.transliterated").alias("source_name"), F.col("source.geofocusCountry").alias("source_geofocus"), C.parse_flexible_date(F.col("source.startDate")).alias("date"), get("category").alias("category"), get("initiating_country").alias("initiating_country"), get("recipient_country").alias("recipient_country"), F.coalesce(get("event_name"), get("project_name"), get("projects")).alias("event_name"))
-
-
 def yes_no(c: Column) -> Column:
     return F.when(F.lower(F.trim(c)).isin("yes", "y", "true", "1"), True).when(F.lower(F.trim(c)).isin("no", "n", "false", "0"), False)
 

@@ -1,13 +1,14 @@
 """Operators on hand-made frames with results worked out by hand."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsgrain.functions import columns as C
 from newsgrain.operators import construct, facts, graph, names, quality, retrieval, series, tiles
-from newsgrain.sources import readers, writers
+from newsgrain.sources import label_records, readers, writers
 from newsgrain.streaming import jobs
 
 
@@ -119,17 +120,56 @@ def test_read_articles_csv(spark, tmp_path):
 
 
 def test_packed_labels(spark):
-    df = spark.createDataFrame([("1", "why | salience-bool | category | other", "because | TRUE | Economic | x"), ("2", "salience-bool | category", "TRUE"), ("3", "category", "x")], "id string, types string, values string")
-    ok, bad = readers.read_packed_labels(df)
-    (r,) = ok.collect()
-    assert (r.salience_bool, r.category, r.event_name) == ("TRUE", "Economic", None)
-    assert {b.id: b.reason for b in bad.collect()} == {"2": "length mismatch", "3": "no salience"}
+    rows = [
+        ("1", "why | salience-bool | category | other | event-name", "because | TRUE | Economic | x | never"), ("2", "salience-bool | category", "TRUE"), ("3", "category", "x"), ("4", None, None),
+        ("5", "salience | salience-justification | salience-bool | category | event-name | category", "true | since | TRUE | A | N/A | B"), ("6", "category | salience-bool | category", "out | TRUE | in"), ("7", "salience-bool", "FALSE"),
+    ]
+    ok, bad = label_records.read_packed_labels(spark.createDataFrame(rows, "id string, types string, values string"))
+    got = {r.id: (r.salience, r.salience_justification, r.salience_bool, r.category, r.event_name) for r in ok.collect()}
+    assert got == {"1": (None, None, "TRUE", "Economic", None), "5": ("true", "since", "TRUE", "B", None), "6": (None, None, "TRUE", "in", None), "7": (None, None, "FALSE", None, None)}
+    assert {b.id: b.reason for b in bad.collect()} == {"2": "token mismatch", "3": "no extraction pass", "4": "no extraction pass"}
+
+
+def test_packed_export(spark, tmp_path):
+    head = "\ufeffATOM ID,Title,Source Name,\"Source Date, Start\",\"Auto GAI, Value\",\"Auto GAI, Value Type\",\"Auto GAI, Model Version\",\"Machine Translations, Title, Text\"\n"
+    full = "true | TRUE | Social | P,salience | salience-bool | category | projects,m1 | m2"
+    (tmp_path / "a.csv").write_text(f"{head}1,T,S,2024-02-03,{full},Translated\n1,T,S,2024-02-03,{full},\n2,nan,,2024-02-03T10:00:00Z,TRUE,salience-bool,m1,\n,T,S,2024-02-03,{full},\n4,T,S,,{full},\n5,T,S,yesterday,{full},\n", encoding="utf-8")
+    ok, bad = label_records.read_packed_labels_csv(spark, str(tmp_path))
+    got = {r.doc_id: (r.title, r.source_name, r.date, r.salience, r.category, r.event_name, r.projects, r.project_name, r.gai_engine, r.source_location) for r in ok.collect()}
+    day = dt.date(2024, 2, 3)
+    assert got == {"1": ("Translated", "S", day, "true", "Social", "P", "P", None, "m2", "None Specified"), "2": ("Default Title", None, day, None, None, None, None, None, "m1", "None Specified")}
+    assert sorted((str(b.doc_id), b.reason) for b in bad.collect()) == [("1", "duplicate doc_id within file"), ("4", "missing Source Date, Start"), ("5", "unreadable date"), ("None", "missing ATOM ID")]
+
+
+def record(i, labels, **more):
+    one = {"modelVersion": "v", "filter": {"identifier": "p", "version": 3}}
+    return {"id": i, "title": {"title": "T"}, "source": {"name": {"transliterated": "S"}, "startDate": "2024-02-03", "country": {"physical": "here"}}, "custom": {"atom": {"collection_name": "c"}}, "auto": {"gai": [one, one | {"value": [{"type": t, "value": v} for t, v in labels]}]}} | more
 
 
 def test_label_json(spark, tmp_path):
-    (tmp_path / "a.json").write_text('[{"id": "x", "title": {"title": "T"}, "source": {"name": {"transliterated": "S"}, "startDate": "2024-02-03"}, "auto": {"gai": [{"value": []}, {"value": [{"type": "category", "value": "Social"}, {"type": "project-name", "value": "P"}, {"type": "event-name", "value": "N/A"}]}]}}, {"id": "y", "auto": {"gai": [{}]}}]')
-    (r,) = readers.read_label_json(spark, str(tmp_path)).collect()
-    assert (r.doc_id, r.title, r.category, r.event_name, r.date) == ("x", "T", "Social", "P", dt.date(2024, 2, 3))
+    twice = record("x", [("category", "old"), ("project-name", "P"), ("event-name", "N/A"), ("category", "Social"), ("source-name", "Other"), ("unknown", "u")])
+    files = {
+        "single.json": record("one", [("event-name", " E ")], title={}),
+        "list.json": [twice, record("x", []), record("y", [("category", None)], machineTranslations={"title_title": {"text": "M"}}), 5, {"id": "z", "auto": {"gai": [{}]}}, {}],
+        "nested.json": [[record("n1", [("projects", "Q")])], [record("n2", []), record("n1", [])]],
+        "mixed.json": [[record("no", [])], record("mixed", [])],
+        "bad.json": [record("d", [], source={"name": {"transliterated": "S"}, "startDate": "soon"}), record("s", [], source={"startDate": "2024-02-03"}), record("t", [(None, "v")]), record("c", [], custom={})],
+    }
+    for name, what in files.items():
+        (tmp_path / name).write_text(json.dumps(what, indent=1))
+    (tmp_path / "broken.json").write_text('[{"id": "q"')
+    ok, bad = label_records.read_label_json(spark, str(tmp_path))
+    got = {r.doc_id: (r.title, r.source_name, r.category, r.event_name, r.project_name, r.projects) for r in ok.collect()}
+    assert got == {"one": ("Default Title", "S", None, "E", None, None), "x": ("T", "Other", "Social", "P", "P", None), "y": ("M", "S", None, None, None, None), "n1": ("T", "S", None, "Q", None, "Q"), "n2": ("T", "S", None, None, None, None), "mixed": ("T", "S", None, None, None, None)}
+    assert {(r.date, r.source_location, r.source_editorial, r.gai_promptversion, r.collection_name) for r in ok.collect()} == {(dt.date(2024, 2, 3), "here", "None Specified", "3", "c")}
+    no_pass = "missing auto.gai analysis block"
+    assert sorted((str(b.doc_id), b.reason) for b in bad.collect()) == sorted([("x", "duplicate doc_id within file"), ("n1", "duplicate doc_id within file"), ("None", "not an object"), ("None", "not an object"), ("None", "not an object"), ("z", no_pass), ("None", no_pass), ("d", "unreadable date"), ("s", "missing source.name.transliterated"), ("t", "label without a type"), ("c", "missing custom.atom.collection_name")])
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.jsonl").write_text("\n".join(json.dumps(r) for r in (twice, record("x", []), record("y", []))) + "\n\nnot json\n")
+    ok, bad = label_records.read_label_json(spark, str(lines), lines=True)
+    assert {r.doc_id: r.category for r in ok.collect()} == {"x": "Social", "y": None}
+    assert sorted(b.reason for b in bad.collect()) == ["duplicate doc_id within file", "not an object"]
 
 
 def test_finance_tables(spark, tmp_path):
