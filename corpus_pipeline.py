@@ -1,15 +1,15 @@
 """Corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but the last return the columns of documents (doc_id, text,
-source and n_chars are used by name; others of any name are carried). What a stage wrote for itself into the shared folder is dropped when the next one begins, since by then its result is written.
+source and n_chars are used by name; others of any name are carried). run() writes each stage's result and then drops what the stage wrote for itself into the shared folder; a stage that is called by
+itself leaves that until the Spark application ends, for its result may read it. Nothing is held between calls: runs and sessions do not touch each other's tables, and a result stays readable after
+further runs.
 
 Null and empty texts and texts under 20 words go in the first stage, which judges repeated rows and rows without a doc_id each for itself. Of near duplicates and of rows that repeat a doc_id one stays;
 ties go to the smaller doc_id, then the smaller text, then the smaller other columns. Very long texts are used whole everywhere. An empty table gives empty results."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,29 +20,12 @@ from newsgrain.llm.packing import pack
 from newsgrain.llm.quality_rules import quality_rules
 from newsgrain.llm.substring_dedup import substring_dedup
 
-_left_over: list[DataFrame] = []
-
-
-def stage(f):
-    """Drops what the stage before left in the shared folder, and remembers what this one writes there."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        dropped(*[t for t in _left_over if t.sparkSession is spark])
-        _left_over.clear()
-        with collecting(_left_over):
-            return f(spark, docs, sf_dir)
-
-    return run
-
 
-@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     return quality_rules(docs, docs.columns).where("kept").select("row.*")
 
 
-@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id; of rows that repeat a doc_id, the one with the smallest text. Rows without a doc_id stay."""
     found = saved(near_duplicates(docs), "found")
@@ -57,7 +40,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.join(repeated, "doc_id", "left_anti").select("row.*").unionByName(least.select("least.row.*"))
 
 
-@stage
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; untouched where there is none. Documents of which nothing is left go. n_chars follows the text."""
     out = substring_dedup(docs, docs.columns).where("n_removed = 0 OR n_removed < n_words")
@@ -67,13 +49,11 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
-@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, twice where it takes them twice, in the order of their training positions."""
     return placed(docs, mix(docs)).repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
-@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Which bin each part of each document goes to."""
     return pack(docs, n_words(F.col("text")))
@@ -86,11 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. The documents between stages are dropped as soon as the next are written."""
-    docs = table(spark, sf_dir)
-    for name, f in STAGES[:-1]:
-        after = saved(f(spark, docs, sf_dir), name.replace(" ", "-"))
-        if name != STAGES[0][0]:
-            dropped(docs)
-        docs = after
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows, written. What lies between is dropped as soon as the next stage's result is there."""
+    docs, before = table(spark, sf_dir), []
+    for name, f in STAGES:
+        own: list[DataFrame] = []
+        with collecting(own):
+            after = f(spark, docs, sf_dir)
+        docs = saved(after, name.replace(" ", "-"))
+        dropped(*own, *before)
+        before = [docs]
+    return docs
