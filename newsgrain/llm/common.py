@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
@@ -41,17 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_within: list[list[DataFrame]] = []
+_within: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("collecting", default=())
 
 
 @contextlib.contextmanager
 def collecting(tables: list[DataFrame]) -> Iterator[None]:
     """Tables that saved() makes inside are added to the list, so that their owner can drop them once nothing reads them any more."""
-    _within.append(tables)
+    before = _within.set((*_within.get(), tables))
     try:
         yield
     finally:
-        _within.pop()
+        _within.reset(before)
 
 
 def saved(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def saved(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
-    for tables in _within:
+    for tables in _within.get():
         tables.append(out)
     return out
 

@@ -7,8 +7,8 @@ length that costs least for each word so filled is opened. A sequence costs its
 where they can be filled, and long ones where the short cannot. At the end each bin is downsized to the smallest permitted length that holds its contents. Only lengths are shuffled, not texts.
 
 Empty and null texts have length 0 and take no room: bin_id, bin_size and bin_start are null. Very long texts are parts like any other. Equal lengths go in order of doc_id and part; repeated
-rows are packed each for itself. A null doc_id is packed like any other, and rows with one are dealt out by their place in the input, so that many equal ones do not meet in a shard. Columns of
-any other name are not read. An empty table gives an empty result."""
+rows are packed each for itself, and are numbered before they are dealt out, so that many equal ones do not meet in a shard. A null doc_id is packed like any other. Columns of any other name are
+not read. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -102,10 +102,10 @@ def _packed(sizes: tuple[int, ...], cost: Callable[[int], float]):
 def pack(docs: DataFrame, length: Column, sizes: tuple[int, ...] = SIZES, cost: Callable[[int], float] = sequence_cost, per_shard: int = PER_SHARD) -> DataFrame:
     """doc_id, part, length, bin_id, bin_size, bin_start for each part of each row of docs (doc_id, text); length gives a row's words."""
     top = max(sizes)
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
-    # lengths are written once, and the texts are read no more
-    rows = saved(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), place.alias("place"), length.cast("long").alias("n")), "lengths")
-    shards = max(1, -(-(rows.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top))), F.lit(0))).first()[0]) // per_shard))
+    # lengths are written once, and the texts are read no more; rows that are alike get numbers, so that they spread like others
+    alike = saved(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), length.cast("long").alias("n")).groupBy("doc_id", "h", "n").agg(F.count("*").alias("times")), "lengths")
+    rows = alike.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    shards = max(1, -(-(alike.agg(F.coalesce(F.sum(F.col("times") * F.greatest(F.lit(1), F.ceil(F.col("n") / top))), F.lit(0))).first()[0]) // per_shard))
     parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / top)).cast("int"))))
     parts = parts.select("doc_id", "part", F.least(F.lit(top), F.col("n") - F.col("part") * top).cast("long").alias("length"), F.pmod(F.xxhash64("h", "place", "part"), F.lit(shards)).cast("int").alias("shard"))
     kind = docs.schema["doc_id"].dataType.simpleString()

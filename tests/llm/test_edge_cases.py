@@ -421,9 +421,11 @@ def test_several_sizes_cost_less_than_one():
 
 
 def test_packing_deals_out_equal_rows(spark):
-    df = spark.createDataFrame([(None, "a b c")] * 400, "doc_id long, text string").repartition(4)
-    out = packing.pack(df, n_words(F.col("text")), per_shard=20).collect()
-    assert len(out) == 400 and len({r.bin_id >> 32 for r in out}) > 10
+    for i in (None, 7):
+        df = spark.createDataFrame([(i, "a b c")] * 3000, "doc_id long, text string").repartition(4)
+        out = packing.pack(df, n_words(F.col("text")), per_shard=50).collect()
+        sizes = collections.Counter(r.bin_id >> 32 for r in out)
+        assert len(out) == 3000 and {r.doc_id for r in out} == {i} and len(sizes) > 50 and max(sizes.values()) < 100
 
 
 def test_best_fit_is_tight():

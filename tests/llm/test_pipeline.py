@@ -154,3 +154,28 @@ def test_stages_carry_columns_of_any_name(spark):
         assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", *odd], name
         assert {tuple(r[5:]) for r in df.collect()} == {tuple(range(len(odd)))}, name
     assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() > 0
+
+
+def test_results_live_side_by_side(spark, tmp_path):
+    """A result stays readable after a further run, in another session."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, docs in (("a", corpus()), ("b", corpus()[:40])):
+        spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    a = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    first = rows(a)
+    b = corpus_pipeline.run(spark.newSession(), str(tmp_path / "b"))
+    assert first and rows(a) == first and rows(b) != first and a.saved_path != b.saved_path
+
+
+def test_stages_of_two_chains_in_turn(spark, tmp_path):
+    """Stages called by themselves, of two chains in turn and written late, do not take each other's tables."""
+    df = spark.createDataFrame(corpus()[:40], "doc_id long, text string, lang string, source string, n_chars long")
+    chains = {"a": df, "b": df}
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        lazy = {name: f(spark, d, "") for name, d in chains.items()}
+        for name, d in lazy.items():
+            d.write.parquet(str(tmp_path / f"{name}{k}"))
+            chains[name] = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+    a, b = (sorted(map(repr, d.collect())) for d in chains.values())
+    assert a and a == b
