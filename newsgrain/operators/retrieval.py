@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import new_dir
 from .tiles import nearest
+from .vector_index import VectorIndex
 
 
 def tokens(text):
@@ -37,10 +39,13 @@ def keyword_search(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k:
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", id_, "score", "rank")
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top k of every query vector (query_id, q) against all vectors (vec_id, embedding), tile by tile; the query set is stated by the caller."""
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, filters: Column | str | None = None, approx: bool = False, index: VectorIndex | None = None) -> DataFrame:
+    """Cosine top k of every query vector (query_id, q) among those of vectors (vec_id, embedding and what filters name) that pass the filters; the query set is stated by the caller. Exact, tile by tile;
+    with approx by an inverted index (the given one, else one made for the call), which reads few cells and gives as many rows."""
+    if approx:
+        return (index or VectorIndex.build(vectors, new_dir(vectors.sparkSession, "vector-index"))).search(queries, k, filters)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return nearest(queries, vectors, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return nearest(queries, vectors if filters is None else vectors.where(filters), k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hybrid_rrf(vector: DataFrame, keyword: DataFrame, id_: str, full_outer: bool = False) -> DataFrame:

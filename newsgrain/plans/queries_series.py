@@ -10,6 +10,8 @@ from ..operators import facts as P
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import series as S
+from ..operators.store import new_dir
+from ..operators.vector_index import VectorIndex
 from .model import Model
 from .queries_counts import base
 from .registry import query
@@ -145,8 +147,30 @@ FROM t WHERE term <> '' GROUP BY 1, 2""")(
     lambda m: R.build_postings(m.table("documents").select("doc_id", "text"), "doc_id", {"text": "B"}))
 
 
+def asked_vectors(m: Model):
+    return m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 query("vector_search", """s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
   FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
     ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT *
 FROM r WHERE rank <= 5""")(
-    lambda m: R.vector_search(m.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), m.vectors, 5))
+    lambda m: R.vector_search(asked_vectors(m), m.vectors, 5))
+query("vector_search_filtered", """s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q, vectors v WHERE q.vec_id % 100 = 0 AND v.country = 'NATION_3' AND v.day >= DATE '2024-01-10'), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+    ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT *
+FROM r WHERE rank <= 5""", "vectors")(
+    lambda m: R.vector_search(asked_vectors(m), m.vectors, 5, "country = 'NATION_3' AND day >= DATE'2024-01-10'"))
+
+
+@query("vector_search_approx")
+def vector_search_approx(m: Model):
+    """For each query, how many of the exact ten nearest the inverted index finds, without a filter and under one that a few rows pass; and how many rows it gives."""
+    index = VectorIndex.build(m.vectors, new_dir(m.spark, "vector-index"))
+    out = None
+    for name, filters in (("all", None), ("few", "country = 'NATION_3' AND day >= DATE'2024-02-05'")):
+        exact = R.vector_search(asked_vectors(m), m.vectors, 10, filters).select("query_id", "vec_id", F.lit(1).alias("exact"))
+        found = R.vector_search(asked_vectors(m), m.vectors, 10, filters, approx=True, index=index).select("query_id", "vec_id", F.lit(1).alias("found"))
+        one = exact.join(found, ["query_id", "vec_id"], "full").groupBy("query_id").agg(F.lit(name).alias("filter"), F.count("exact").alias("n_exact"), F.count("found").alias("n_found"), (F.sum(F.col("exact") * F.col("found")) / F.count("exact")).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("probes", F.lit(index.probes))
