@@ -1,8 +1,9 @@
 """A persisted inverted index of vectors: trained cells, rings by angle to the cell's centre, and several probes.
 
 Cells are trained on a bounded sample; every vector is then filed under its nearest centre. In a cell, vectors are ordered by their angle to the centre and cut into rings of about a tile. How many
-cells a query has to probe is learnt when the index is built: a sample of vectors is searched exactly, and the number of nearest cells that hold the wanted share of what was found is kept with the
-index. So vectors without structure get many probes, and clustered ones few.
+cells a query has to probe is learnt when the index is built: a sample of vectors is searched exactly, and the numbers of nearest cells that hold the wanted share of what was found, at several depths,
+are kept with the index. So vectors without structure get many probes, and clustered ones few. The k nearest among a share of all rows, which a filter lets through, are about the k / share nearest of all,
+so they are probed for at that depth.
 
 A search first asks each query's nearest cell. Then, of the other cells to be probed, only those rings are read that can hold something better than the k-th found so far: by the triangle inequality on
 angles a vector of a ring is no nearer to the query than the ring is to the query's own angle. Filters are applied to the rows before anything is ranked. A query that has less than k rows after its
@@ -25,6 +26,8 @@ from .store import written
 from .tiles import TILE, angles, best_of_tile, nearest, ringed, unit
 
 CELLS, SAMPLE, ASKED = 4096, 65_536, 256
+#: How many nearest vectors the numbers of probes are learnt for.
+DEPTHS = (10, 40, 160, 640)
 
 
 def trained(sample: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
@@ -45,16 +48,16 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         about = spark.read.parquet(f"{self.path}/about").first()
-        self.probes, fields = about.probes, StructType.fromJson(json.loads(about.fields))
+        self.probes, fields = dict(zip(about.depths, about.probes, strict=True)), StructType.fromJson(json.loads(about.fields))
         held = spark.read.schema("cell int, centre array<double>").parquet(f"{self.path}/centres").orderBy("cell").toArrow()  # at most CELLS rows
         self.centres = unit(held.column("centre"))
         self.rows = spark.read.schema(fields).parquet(f"{self.path}/rows")
         self.rings = spark.read.schema("cell int, ring int, low double, high double, n long").parquet(f"{self.path}/rings")
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE, asked: int = ASKED, recall: float = 0.95, k: int = 10, size: int = TILE) -> VectorIndex:
+    def build(cls, vectors: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE, asked: int = ASKED, recall: float = 0.95, size: int = TILE) -> VectorIndex:
         """Index of vectors (vec_id, embedding; other columns are kept, for filters). cells: by default a cell for the square root of the number of rows, at most CELLS. sample: rows to train on; asked:
-        rows searched exactly to learn the number of probes that finds `recall` of the k nearest. Null vectors are left out."""
+        rows searched exactly to learn how many probes find `recall` of their nearest. Null vectors are left out."""
         spark, path = vectors.sparkSession, path.rstrip("/")
         v = vectors.where("embedding IS NOT NULL")
         n = v.count()
@@ -77,15 +80,17 @@ class VectorIndex:
         dealt.repartitionByRange("cell", "angle").sortWithinPartitions("cell", "angle").write.partitionBy("cell").parquet(f"{path}/rows")
         kept = spark.read.schema(dealt.schema).parquet(f"{path}/rows")
         kept.groupBy("cell", "ring").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).write.parquet(f"{path}/rings")
-        probes = 1
+        probes = [1] * len(DEPTHS)
         if len(centres):
             some = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).orderBy(F.xxhash64("query_id"), "query_id").limit(asked)
-            found = nearest(some, v.select("vec_id", "embedding"), k + 1, size).withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-            places = cls._places(some, shared, 0, len(centres)).withColumnRenamed("query_id", "_q")
-            where = found.join(kept.select("vec_id", "cell"), "vec_id").where("vec_id <> query_id").alias("f").join(places.alias("p"), (F.col("f.query_id") == F.col("p._q")) & (F.col("f.cell") == F.col("p.cell")))
-            probes = (where.agg(F.percentile("place", recall).alias("p")).first().p or 0) + 1
+            near = nearest(some, v.select("vec_id", "embedding"), DEPTHS[-1] + 1, size).where("vec_id <> query_id")
+            near = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= DEPTHS[-1])
+            places = cls._places(some, shared, 0, len(centres)).select(F.col("query_id").alias("_q"), F.col("cell").alias("_c"), "place")
+            found = near.join(kept.select("vec_id", "cell"), "vec_id").join(places, (F.col("query_id") == F.col("_q")) & (F.col("cell") == F.col("_c")))
+            held = found.agg(*[F.percentile(F.when(F.col("r") <= d, F.col("place")), recall).alias(f"d{d}") for d in DEPTHS]).first()
+            probes = [math.ceil(x or 0) + 1 for x in held]
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
-        spark.createDataFrame([(math.ceil(probes), dealt.schema.json())], "probes int, fields string").coalesce(1).write.parquet(f"{path}/about")
+        spark.createDataFrame([(list(DEPTHS), probes, dealt.schema.json())], "depths array<int>, probes array<int>, fields string").coalesce(1).write.parquet(f"{path}/about")
         return cls(spark, path)
 
     @staticmethod
@@ -122,6 +127,14 @@ class VectorIndex:
         kinds = pairs.schema["query_id"].dataType.simpleString(), rows.schema["vec_id"].dataType.simpleString()
         return pairs.select(*key, "query_id", "q").groupBy(*key).cogroup(read.groupBy(*key)).applyInArrow(best_of_tile(k), f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
 
+    def needed(self, k: int, filters: Column | str | None = None) -> int:
+        """Probes for the k nearest of the rows that pass the filters."""
+        depth = k
+        if filters is not None:
+            passed, n = self.rows.agg(F.count(F.when(F.expr(filters) if isinstance(filters, str) else filters, 1)), F.count("*")).first()
+            depth = k * n / max(passed, 1)
+        return next((p for d, p in sorted(self.probes.items()) if d >= depth), len(self.centres))
+
     def search(self, queries: DataFrame, k: int, filters: Column | str | None = None, probes: int | None = None) -> DataFrame:
         """query_id, vec_id, score, rank of the k best that the probed cells have for each query (query_id, q)."""
         cells = len(self.centres)
@@ -131,7 +144,7 @@ class VectorIndex:
         if not cells:
             return self.spark.createDataFrame([], f"query_id {kinds[0]}, vec_id {kinds[1]}, score double, rank int")
         found, _ = written(best(self.compared(self.pairs(queries, 0, 1, None), k, filters)), "found")
-        start, stop = 1, max(1, min(probes or self.probes, cells))
+        start, stop = 1, max(1, min(probes or self.needed(k, filters), cells))
         while True:
             if stop > start:
                 least = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))

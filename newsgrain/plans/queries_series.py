@@ -171,6 +171,6 @@ def vector_search_approx(m: Model):
     for name, filters in (("all", None), ("few", "country = 'NATION_3' AND day >= DATE'2024-02-05'")):
         exact = R.vector_search(asked_vectors(m), m.vectors, 10, filters).select("query_id", "vec_id", F.lit(1).alias("exact"))
         found = R.vector_search(asked_vectors(m), m.vectors, 10, filters, approx=True, index=index).select("query_id", "vec_id", F.lit(1).alias("found"))
-        one = exact.join(found, ["query_id", "vec_id"], "full").groupBy("query_id").agg(F.lit(name).alias("filter"), F.count("exact").alias("n_exact"), F.count("found").alias("n_found"), (F.sum(F.col("exact") * F.col("found")) / F.count("exact")).alias("recall"))
+        one = exact.join(found, ["query_id", "vec_id"], "full").groupBy("query_id").agg(F.lit(name).alias("filter"), F.lit(index.needed(10, filters)).alias("probes"), F.count("exact").alias("n_exact"), F.count("found").alias("n_found"), (F.sum(F.col("exact") * F.col("found")) / F.count("exact")).alias("recall"))
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("probes", F.lit(index.probes))
+    return out

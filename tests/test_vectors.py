@@ -62,7 +62,7 @@ def test_index(spark):
     x[100:140] = x[100]
     df = frame(spark, x, [(9000, 0, None)])
     index = VectorIndex.build(df, new_dir(spark, "index"), cells=25, size=32)
-    assert index.rows.count() == 1500 and index.rings.groupBy().sum("n").first()[0] == 1500 and 1 <= index.probes <= 25
+    assert index.rows.count() == 1500 and index.rings.groupBy().sum("n").first()[0] == 1500 and 1 <= index.needed(10) <= index.needed(160) <= 25 == index.needed(10, "vec_id < 3")
     queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 1500, 50)], "query_id long, q array<double>")
     full = cosines(x)
     exact = {(i, int(j)) for i in range(0, 1500, 50) for j in np.lexsort((np.arange(1500), -full[i]))[:10]}
