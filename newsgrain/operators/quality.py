@@ -13,11 +13,16 @@ def missing_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_anti")
 
 
-def idempotent_append(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """existing and those rows of new whose key it lacks; repeated keys inside new keep the smallest row."""
+def new_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of new whose key existing lacks; repeated keys inside new keep the smallest row."""
     rest = [c for c in new.columns if c not in keys]
     once = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else new.distinct()
-    return existing.unionByName(once.join(existing.select(*keys), list(keys), "left_anti").select(*existing.columns))
+    return once.join(existing.select(*keys), list(keys), "left_anti")
+
+
+def idempotent_append(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """existing and those rows of new whose key it lacks."""
+    return existing.unionByName(new_rows(new, existing, keys).select(*existing.columns))
 
 
 def upsert_latest(base: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -43,3 +43,14 @@ def forget(spark: SparkSession, *places: str) -> None:
     for where in places:
         path, fs = _path(spark, where)
         fs.delete(path, True)
+
+
+def exists(spark: SparkSession, where: str) -> bool:
+    path, fs = _path(spark, where)
+    return fs.exists(path)
+
+
+def children(spark: SparkSession, where: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    path, fs = _path(spark, where)
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []

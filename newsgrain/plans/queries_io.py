@@ -130,11 +130,13 @@ def write_chart_csv(m: Model):
 
 @query("stream_ingest_files", "SELECT doc_id, category AS label FROM cat", "cat")
 def stream_ingest_files(m: Model):
-    """Four files, one a trigger, and all documents again in a second run, which takes nothing twice."""
-    source, sink, at = (new_dir(m.spark, x) for x in ("incoming", "taken", "taken-checkpoint"))
+    """Four files, one a trigger, and all documents again in a second run, a month later and under other labels, which takes nothing twice."""
+    source, at = new_dir(m.spark, "incoming"), new_dir(m.spark, "taken-checkpoint")
+    sink = jobs.LedgerSink(m.spark, new_dir(m.spark, "taken"), "doc_id long, label string")
     rows = m.cat.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("category")), "; ").alias("labels")).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     rows.repartition(4, "doc_id").write.parquet(source)
+    again = rows.select("doc_id", F.concat("labels", F.lit("; late")).alias("labels"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
     for _ in range(2):
         jobs.stream_ingest_files(m.spark, source, rows.schema, sink, at).awaitTermination()
-        rows.coalesce(1).write.mode("append").parquet(source)
-    return m.spark.read.schema("doc_id long, label string").parquet(sink)
+        again.coalesce(1).write.mode("append").parquet(source)
+    return sink.read()

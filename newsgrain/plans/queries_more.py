@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -583,14 +585,14 @@ def stream(m: Model):
     return m.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(m.dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_daily_counts(m: Model):
+@query("stream_daily_counts_complete", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_counts_complete(m: Model):
     return jobs.drain(jobs.windowed_counts(stream(m), "ts", ["event_type"]))
 
 
-@query("stream_sliding_activity", """SELECT CAST(d AS DATE) AS day, event_type, count(*) AS n FROM (SELECT event_type, CAST(ts AS DATE) - k AS d
+@query("stream_sliding_activity_complete", """SELECT CAST(d AS DATE) AS day, event_type, count(*) AS n FROM (SELECT event_type, CAST(ts AS DATE) - k AS d
   FROM events, (SELECT CAST(unnest(range(7)) AS INT) AS k)) GROUP BY 1, 2""")
-def stream_sliding_activity(m: Model):
+def stream_sliding_activity_complete(m: Model):
     return jobs.drain(jobs.windowed_counts(stream(m), "ts", ["event_type"], "7 days", "1 day"))
 
 
@@ -602,6 +604,81 @@ def stream_event_sessions(m: Model):
     return jobs.drain(jobs.event_sessions(stream(m), "ts", ["user_id"], "1 day"))
 
 
+def steps(m: Model, n: int = 4):
+    """The events in n steps of eight days; of every tenth a step later than its time."""
+    e = m.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    own = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(n - 1))
+    e = e.withColumn("step", F.least(F.when(F.col("event_id") % 10 == 3, own + 1).otherwise(own), F.lit(n - 1)))
+    return [e.where(F.col("step") == i).drop("step") for i in range(n)]
+
+
+#: A row's step, and the watermark then: the newest time of all steps before, less the delay.
+LATE = """a AS (SELECT *, CAST(ts AS TIMESTAMP) AS t, CAST(floor((day(CAST(ts AS TIMESTAMP)) - 1) / 8) AS INT) AS own FROM events),
+b AS (SELECT *, least(CASE WHEN event_id % 10 = 3 THEN own + 1 ELSE own END, 3) AS step FROM a), mx AS (SELECT step, max(t) AS m FROM b GROUP BY 1),
+late AS (SELECT b.*, (SELECT max(mx.m) FROM mx WHERE mx.step < b.step) - INTERVAL {delay} AS wm FROM b), fin AS (SELECT max(t) - INTERVAL {delay} AS wm FROM b)"""
+
+
+def windows_told(m: Model, size: str, slide: str | None):
+    """Finished windows in append mode, and how many of their rows came too late: what all files hold less what the window has."""
+    count = lambda e: jobs.windowed_counts(e, "ts", ["event_type"], size, slide, "2 days")
+    told, _ = jobs.fed(m.spark, steps(m), count, "append")
+    whole = jobs.windowed_counts(m.table("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], size, slide).withColumnRenamed("n", "all")
+    return told.join(whole, ["day", "event_type"]).select("day", "event_type", "n", (F.col("all") - F.col("n")).alias("dropped"))
+
+
+@query("stream_daily_counts", LATE.replace("{delay}", "2 DAY") + """ SELECT CAST(t AS DATE) AS day, event_type, count(*) FILTER (WHERE wm IS NULL OR CAST(t AS DATE) + INTERVAL 1 DAY > wm) AS n, count(*) FILTER (WHERE CAST(t AS DATE) + INTERVAL 1 DAY <= wm) AS dropped
+FROM late, fin f WHERE CAST(t AS DATE) + INTERVAL 1 DAY <= f.wm GROUP BY 1, 2 HAVING count(*) FILTER (WHERE wm IS NULL OR CAST(t AS DATE) + INTERVAL 1 DAY > wm) > 0""".replace("late, fin f", "late l, fin f").replace("wm IS NULL OR", "l.wm IS NULL OR").replace("> wm)", "> l.wm)").replace("<= wm)", "<= l.wm)"))
+def stream_daily_counts(m: Model):
+    return windows_told(m, "1 day", None)
+
+
+@query("stream_sliding_activity", LATE.replace("{delay}", "2 DAY") + """, w AS (SELECT l.*, CAST(CAST(t AS DATE) - k AS DATE) AS day FROM late l, (SELECT CAST(unnest(range(7)) AS INT) AS k))
+SELECT day, event_type, count(*) FILTER (WHERE w.wm IS NULL OR day + INTERVAL 7 DAY > w.wm) AS n, count(*) FILTER (WHERE day + INTERVAL 7 DAY <= w.wm) AS dropped
+FROM w, fin f WHERE day + INTERVAL 7 DAY <= f.wm GROUP BY 1, 2 HAVING count(*) FILTER (WHERE w.wm IS NULL OR day + INTERVAL 7 DAY > w.wm) > 0""")
+def stream_sliding_activity(m: Model):
+    return windows_told(m, "7 days", "1 day")
+
+
+SURGES = LATE.replace("{delay}", "4 DAY") + """, kept AS (SELECT event_type, CAST(t AS DATE) AS day, {value} AS x FROM late WHERE (wm IS NULL OR t > wm) AND value IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT event_type, day, x, count(*) OVER w AS c, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM kept WINDOW w AS (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT event_type, day, round(x, 6) AS latest, round(m, 6) AS mean, round((x - m) / s, 6) AS z FROM g, fin WHERE c >= 4 AND s > 0 AND round((x - m) / s, 6) >= 0.5 AND day + INTERVAL 1 DAY <= fin.wm"""
+
+
+def surges_told(m: Model, value: str | None):
+    with rocks(m.spark):
+        told, _ = jobs.fed(m.spark, steps(m), lambda e: jobs.surges(e, "event_type", "ts", value, z=0.5, delay="4 days"), "append")
+        return told.select(F.col("key").alias("event_type"), "day", F.round("latest", 6).alias("latest"), "mean", "z")
+
+
+@contextlib.contextmanager
+def rocks(spark):
+    """State in RocksDB, which map state and timers need; the session's setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+query("alert_volume_surge_stream", SURGES.replace("{value}", "CAST(count(*) AS DOUBLE)"))(lambda m: surges_told(m, None))
+query("alert_materiality_spike_stream", SURGES.replace("{value}", "avg(CAST(value AS DOUBLE))"))(lambda m: surges_told(m, "value"))
+
+
+def names_told(m: Model, name):
+    """Each name once, over four starts from one checkpoint, in the step that first brings it."""
+    with rocks(m.spark):
+        told, _ = jobs.fed(m.spark, steps(m), lambda e: jobs.seen_names(e.select(name.alias("name"), F.col("ts").alias("at"))), "append")
+        return told.select("name", "at")
+
+
+FIRST = LATE.replace("{delay}", "1 DAY") + """, f AS (SELECT {name} AS name, min(step) AS step FROM b GROUP BY 1) SELECT f.name, min(b.t) AS "at" FROM f JOIN b ON {name} = f.name AND b.step = f.step GROUP BY 1"""
+query("alert_new_entity_stream", FIRST.replace("{name}", "concat(event_type, '_', CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR))"))(
+    lambda m: names_told(m, F.concat("event_type", F.lit("_"), F.floor(F.col("value") / 10).cast("string"))))
+query("alert_new_event_stream", FIRST.replace("{name}", "user_id"))(lambda m: names_told(m, F.col("user_id")))
+
+
 #: One step a firing: the next of a rule that is four hours or more after the last one let through.
 COOL = """RECURSIVE e AS (SELECT DISTINCT user_id AS rule_id, ts AS t FROM events), r AS (SELECT rule_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT rule_id, t FROM (SELECT e.rule_id, min(e.t) AS t FROM r JOIN e ON e.rule_id = r.rule_id AND e.t >= r.t + INTERVAL 240 MINUTE GROUP BY e.rule_id, r.t)) SELECT rule_id, t AS "at" FROM r"""
 

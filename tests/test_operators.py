@@ -192,17 +192,6 @@ def test_embeddings_and_exports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
 
 
-def test_stream_ingest(spark, tmp_path):
-    src, sink, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    t = dt.datetime(2024, 1, 1)
-    for rows in ([("1", "a; b", t), ("1", "a; b", t)], [("2", "c", t)]):
-        spark.createDataFrame(rows, "doc_id string, labels string, ts timestamp").coalesce(1).write.mode("append").parquet(src)
-    schema = spark.read.parquet(src).schema
-    for _ in range(2):  # a second run finds nothing new
-        jobs.stream_ingest_files(spark, src, schema, sink, ck).awaitTermination()
-    assert sorted((r.doc_id, r.label) for r in spark.read.parquet(sink).collect()) == [("1", "a"), ("1", "b"), ("2", "c")]
-
-
 def test_ranking_metrics(spark):
     ranked = spark.createDataFrame([("q", 1, 1), ("q", 2, 2)], "query_id string, doc_id long, rank int")
     relevant = spark.createDataFrame([("q", 2), ("q", 3), ("p", 1)], "query_id string, doc_id long")
