@@ -15,6 +15,7 @@ from ..operators import events as E
 from ..operators import facts as P
 from ..operators import graph as G
 from ..operators import names as M
+from ..operators import posting_blocks as X
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import series as S
@@ -484,19 +485,41 @@ def queries_of(m: Model):
     return m.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.array_distinct(R.tokens(F.col("text"))), " ").alias("query")).where("query <> ''")
 
 
-def bm25(docs: str, asked: str, id_: str, k: int) -> str:
-    """CTEs that end in `kw` (query_id, id, score, rank); docs: SQL of (id, text), asked: SQL of (query_id, query)."""
+def bm25(docs: str | dict[str, float], asked: str, id_: str, k: int) -> str:
+    """CTEs that end in `kw` (query_id, id, score, rank); docs: SQL of (id, text), or such with their weights; asked: SQL of (query_id, query)."""
     words = "unnest(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'))"
-    return f"""tk AS (SELECT {id_}, {words.replace('{c}', 'text')} AS term FROM ({docs})), po AS (SELECT term, {id_}, count(*) AS tf FROM tk WHERE term <> '' GROUP BY 1, 2), dl AS (SELECT {id_}, sum(tf) AS n_tokens FROM po GROUP BY 1), tt AS (SELECT count(*) AS n, avg(n_tokens) AS mean FROM dl),
+    parts = " UNION ALL ".join(f"SELECT {id_}, {words.replace('{c}', 'text')} AS term, {w}::DOUBLE AS w FROM ({sql})" for sql, w in (docs if isinstance(docs, dict) else {docs: 1.0}).items())
+    return f"""tk AS ({parts}), po AS (SELECT term, {id_}, sum(w) AS tf, count(*) AS c FROM tk WHERE term <> '' GROUP BY 1, 2), dl AS (SELECT {id_}, sum(c) AS n_tokens FROM po GROUP BY 1), tt AS (SELECT count(*) AS n, avg(n_tokens) AS mean FROM dl),
 aq AS (SELECT DISTINCT query_id, {words.replace('{c}', 'query')} AS term FROM ({asked})), an AS (SELECT * FROM aq WHERE term <> ''), nq AS (SELECT query_id, count(*) AS need FROM an GROUP BY 1), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
 hi AS (SELECT an.query_id, po.{id_}, round(sum(ln(1 + (tt.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * po.tf * 2.2::DOUBLE / (po.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.n_tokens / tt.mean))), 6) AS score, count(*) AS matched FROM an JOIN po ON po.term = an.term JOIN df ON df.term = an.term JOIN dl ON dl.{id_} = po.{id_}, tt GROUP BY 1, 2),
 kr AS (SELECT hi.query_id, hi.{id_}, score, CAST(row_number() OVER (PARTITION BY hi.query_id ORDER BY score DESC, hi.{id_}) AS INT) AS rank FROM hi JOIN nq ON nq.query_id = hi.query_id WHERE matched = need), kw AS (SELECT * FROM kr WHERE rank <= {k})"""
 
 
-@query("keyword_search", bm25("SELECT doc_id, text FROM documents", "SELECT item_id AS query_id, text AS query FROM benchmark", "doc_id", 10) + " SELECT * FROM kw")
+ITEMS = "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+
+@query("keyword_search_body", bm25("SELECT doc_id, text FROM documents", ITEMS, "doc_id", 10) + " SELECT * FROM kw")
+def keyword_search_body(m: Model):
+    return X.block_search(queries_of(m), text_docs(m), {"text": 1.0}, 10)
+
+
+def titled(m: Model):
+    """Documents with what comes before the first stop as their title."""
+    return m.table("documents").select("doc_id", F.substring_index("text", ".", 1).alias("title"), F.col("text").alias("body"))
+
+
+@query("keyword_search", bm25({"SELECT doc_id, split_part(text, '.', 1) AS text FROM documents": 1.0, "SELECT doc_id, text FROM documents": 0.4}, ITEMS, "doc_id", 10) + " SELECT * FROM kw")
 def keyword_search(m: Model):
-    p = R.build_postings(text_docs(m), "doc_id", {"text": "B"})
-    return R.keyword_search(queries_of(m), p, p.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens")), 10)
+    """All distinct words of each benchmark text; a word of the title weighs more than one of the body."""
+    return X.block_search(queries_of(m), titled(m), {"title": X.TITLE, "body": X.BODY}, 10)
+
+
+@query("keyword_search_words", bm25({"SELECT doc_id, split_part(text, '.', 1) AS text FROM documents": 1.0, "SELECT doc_id, text FROM documents": 0.4}, "SELECT item_id AS query_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) > 1))), 1, 2), ' ') AS query FROM benchmark", "doc_id", 10) + " SELECT * FROM kw")
+def keyword_search_words(m: Model):
+    """The first two words of more than one letter of each benchmark text by alphabet, which many documents have."""
+    two = F.slice(F.array_sort(F.array_distinct(F.filter(R.tokens(F.col("text")), lambda t: F.length(t) > 1))), 1, 2)
+    asked = m.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(two, " ").alias("query"))
+    return X.block_search(asked, titled(m), {"title": X.TITLE, "body": X.BODY}, 10)
 
 
 def part_words(m: Model):
@@ -532,9 +555,15 @@ def hybrid_search_rrf(m: Model):
     return R.hybrid_rrf(by_vector(m, 40), by_words(m, 40), "vec_id")
 
 
-@query("hybrid_search_text", LEFT)
+NAMED = {"SELECT p_partkey AS vec_id, p_name AS text FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)": 1.0, "SELECT p_partkey AS vec_id, p_type AS text FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)": 0.4}
+
+
+@query("hybrid_search_text", LEFT.replace(bm25(PARTS, ASKED, "vec_id", 40), bm25(NAMED, ASKED, "vec_id", 40)))
 def hybrid_search_text(m: Model):
-    return R.hybrid_rrf(by_vector(m, 40), by_words(m, 40), "vec_id")
+    """Keyword ranks of parts whose name weighs more than their type."""
+    asked = m.table("part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_type").alias("query")).join(m.vectors.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+    parts = m.table("part").select(F.col("p_partkey").alias("vec_id"), "p_name", "p_type").join(m.vectors.select("vec_id"), "vec_id", "left_semi")
+    return R.hybrid_rrf(by_vector(m, 40), X.block_search(asked, parts, {"p_name": X.TITLE, "p_type": X.BODY}, 40, "vec_id"), "vec_id")
 
 
 @query("hybrid_search_text_full", BOTH + FUSED.replace("{id}", "coalesce(v.query_id, kw.query_id) AS query_id, coalesce(v.vec_id, kw.vec_id) AS vec_id,").replace("{how}", "FULL"))

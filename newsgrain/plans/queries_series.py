@@ -141,10 +141,11 @@ ORDER BY total_documents DESC, entity LIMIT 12""", "cen")(
 
 
 # retrieval
-query("build_postings", """t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term
-  FROM documents) SELECT term, doc_id, 'B' AS field, count(*) AS tf
-FROM t WHERE term <> '' GROUP BY 1, 2""")(
-    lambda m: R.build_postings(m.table("documents").select("doc_id", "text"), "doc_id", {"text": "B"}))
+TOKENS = """t AS (SELECT doc_id, 'B' AS field, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term FROM documents{more})
+SELECT term, doc_id, field, count(*) AS tf FROM t WHERE term <> '' GROUP BY 1, 2, 3"""
+query("build_postings_body", TOKENS.replace("{more}", ""))(lambda m: R.build_postings(m.table("documents").select("doc_id", "text"), "doc_id", {"text": "B"}))
+query("build_postings", TOKENS.replace("{more}", " UNION ALL SELECT doc_id, 'A', unnest(regexp_split_to_array(lower(coalesce(split_part(text, '.', 1), '')), '[^a-z0-9]+')) FROM documents"))(
+    lambda m: R.build_postings(m.table("documents").select("doc_id", F.substring_index("text", ".", 1).alias("title"), "text"), "doc_id", {"title": "A", "text": "B"}))
 
 
 def asked_vectors(m: Model):
