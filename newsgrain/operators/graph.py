@@ -14,16 +14,34 @@ from .tiles import similar_pairs
 __all__ = ["similar_pairs"]
 
 
-def entity_cooccurrence(den: DataFrame, d: DataFrame, cat: DataFrame, least: int = 2, most_docs: int = 100, most_entities: int | None = None) -> DataFrame:
+def entity_pairs(e: DataFrame, tile: int) -> DataFrame:
+    """initiating_country, a, b, doc_id for each pair a < b of a document's entities (initiating_country, entity, doc_id, distinct). A document of n entities is dealt as a triangle of n / tile tiles a
+    side, so that no join key has more than about a tile of rows on a side."""
+    own = ["initiating_country", "doc_id"]
+    many = F.ceil(F.count("*") / tile).cast("int")
+    large = e.groupBy(*own).agg(many.alias("_t")).where("_t > 1")
+    d = e.join(large, own, "left").withColumn("_t", F.coalesce("_t", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("entity"), F.col("_t")).cast("int"))
+    d = d.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_t") - 1))).withColumns({"_i": F.least("_own", "_k"), "_j": F.greatest("_own", "_k")})
+    side = lambda n: d.select(*own, "_i", "_j", "_own", F.col("entity").alias(n))
+    left, right = side("a"), side("b").withColumnRenamed("_own", "_other")
+    j = left.join(right, [*own, "_i", "_j"]).where("a < b")
+    # entities of one tile meet wherever the tile goes; they count in its own corner only
+    return j.where("_own <> _other OR (_i = _own AND _j = _own)").select("initiating_country", "a", "b", "doc_id")
+
+
+def entity_cooccurrence(den: DataFrame, d: DataFrame, cat: DataFrame, least: int = 2, most_docs: int = 100, most_entities: int | None = None, tile: int = 256) -> DataFrame:
     """Per country, pairs of entities (a < b) with at least `least` shared documents: weight, up to most_docs document ids (the smallest), and from these the first and last day and a count map by category.
-    den: initiating_country, entity, doc_id of master entities. most_entities leaves out documents with more entities than that, whose pairs would grow with the square; none are left out by default."""
+    den: initiating_country, entity, doc_id of master entities. most_entities leaves out documents with more entities than that; none are left out by default. Weights are counted before the shuffle, and
+    of a pair's documents each task sends on most_docs at most."""
     e = den.select("initiating_country", "entity", "doc_id").distinct()
     if most_entities:
         e = e.join(e.groupBy("initiating_country", "doc_id").count().where(F.col("count") <= most_entities).drop("count"), ["initiating_country", "doc_id"], "left_semi")
     key = ["initiating_country", "a", "b"]
-    p = e.withColumnRenamed("entity", "a").join(e.withColumnRenamed("entity", "b"), ["initiating_country", "doc_id"]).where("a < b")
-    g = p.groupBy(*key).agg(F.count("*").alias("weight"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, most_docs).alias("doc_ids")).where(F.col("weight") >= least)
-    shown = g.select(*key, F.explode("doc_ids").alias("doc_id"))
+    p = entity_pairs(e, tile)
+    weights = p.groupBy(*key).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    smallest = p.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy("doc_id"))).where(F.col("_r") <= most_docs).drop("_r")
+    shown = smallest.join(weights, key)
+    g = shown.groupBy(*key, "weight").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
     days = shown.join(d.select("doc_id", "date"), "doc_id").groupBy(*key).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
     cats = shown.join(cat, "doc_id").groupBy(*key, "category").agg(F.count("*").alias("n")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
     return g.join(days, key).join(cats, key, "left")

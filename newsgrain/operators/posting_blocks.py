@@ -79,7 +79,7 @@ def document_counts(blocks: DataFrame, n_terms: int) -> np.ndarray:
         total = np.zeros(n_terms, np.int64)
         for b in batches:
             for terms, ends in zip(b.column("terms").to_pylist(), b.column("ends").to_pylist(), strict=True):
-                total[terms] += np.diff(ends, prepend=0)
+                total[np.asarray(terms, np.int64)] += np.diff(np.asarray(ends, np.int64), prepend=0)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["term", "df"])
 

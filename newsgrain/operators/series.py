@@ -59,7 +59,8 @@ def changepoint_scan(series: DataFrame, keys: list[str], min_seg: int = 3) -> Da
 
 
 def binseg(y: list[float], min_seg: int = 3, most: int = 3, least_z: float = 2.5) -> list[tuple[int, float, float, float]]:
-    """(index, mean before, mean after, z) of up to `most` changepoints of one short series, by binary segmentation."""
+    """(index, mean before, mean after, z) of up to `most` changepoints of one short series, by binary segmentation; the means are those of the segment that was cut. Of equal z the segment made first
+    is cut, at its earliest point."""
     import numpy as np
 
     def best_of(a: int, b: int) -> tuple[float, int]:
@@ -67,35 +68,45 @@ def binseg(y: list[float], min_seg: int = 3, most: int = 3, least_z: float = 2.5
         for t in range(a + min_seg, b - min_seg + 1):
             x1, x2 = np.array(y[a:t]), np.array(y[t:b])
             pooled = (((x1 - x1.mean()) ** 2).sum() + ((x2 - x2.mean()) ** 2).sum()) / max(len(x1) + len(x2) - 2, 1)
-            if pooled > 0:
-                z = abs(x1.mean() - x2.mean()) / (pooled * (1 / len(x1) + 1 / len(x2))) ** 0.5
+            if pooled > 1e-12:
+                z = round(abs(x1.mean() - x2.mean()) / (pooled * (1 / len(x1) + 1 / len(x2))) ** 0.5, 9)
                 top = max(top, (z, -t), key=lambda p: p[0])
         return top[0], -top[1]
 
-    cuts: dict[int, float] = {}
-    while len(cuts) < most:
-        edges = [0, *sorted(cuts), len(y)]
-        z, t = max((best_of(a, b) for a, b in zip(edges, edges[1:], strict=False)), key=lambda p: p[0])
+    found, segments = [], [(0, len(y))]
+    while len(found) < most:
+        (z, t), (a, b) = max(((best_of(a, b), (a, b)) for a, b in segments), key=lambda p: p[0][0])
         if z < least_z:
             break
-        cuts[t] = z
-    edges = [0, *sorted(cuts), len(y)]
-    return [(t, float(np.mean(y[edges[k] : t])), float(np.mean(y[t : edges[k + 2]])), cuts[t]) for k, t in enumerate(edges[1:-1])]
-
-
-def changepoints(series: DataFrame, keys: list[str], least_total: float = 50.0) -> DataFrame:
-    """Binary segmentation of each month series (a few dozen rows) whose sum reaches least_total."""
-    fields = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        rows = []
-        if pdf["y"].sum() >= least_total:
-            for t, pre, post, z in binseg(pdf["y"].tolist()):
-                rows.append([*pdf.iloc[0][keys], pdf["month"].iloc[t], round(pre, 1), round(post, 1), "surge" if post > pre else "decline", round(post / pre, 2) if pre > 0 else None, round(z, 2)])
-        return pd.DataFrame(rows, columns=[*keys, "cp_month", "pre_mean", "post_mean", "direction", "magnitude", "z"])
-
-    return series.groupBy(*keys).applyInPandas(run, f"{fields}, cp_month date, pre_mean double, post_mean double, direction string, magnitude double, z double")
+        found.append((t, float(np.mean(y[a:t])), float(np.mean(y[t:b])), z))
+        segments.remove((a, b))
+        segments += [(a, t), (t, b)]
+    return sorted(found)
+
+
+def changepoints(series: DataFrame, keys: list[str], least_total: float = 50.0, min_seg: int = 3, most: int = 3, least_z: float = 2.5) -> DataFrame:
+    """Binary segmentation of each month series (keys, month, y) whose sum reaches least_total, all series together, one cut of each a round. Every row's split is judged from prefix sums inside its
+    segment, and the best of a series is found by window, so one shuffle by the keys serves all rounds."""
+    d = series.withColumn("_all", F.sum("y").over(W.partitionBy(*keys))).where(F.col("_all") >= least_total).select(*keys, "month", "y", F.lit(0).alias("_seg"), *[F.lit(None).cast("double").alias(c) for c in ("_pre", "_post", "_z")])
+    for r in range(most):
+        inside = W.partitionBy(*keys, "_seg")
+        before = inside.orderBy("month").rowsBetween(W.unboundedPreceding, -1)
+        over = lambda f, w: f("y").over(w)
+        square = lambda w: F.sum(F.col("y") * F.col("y")).over(w)
+        d = d.withColumns({"n1": over(F.count, before), "s1": over(F.sum, before), "q1": square(before), "n": over(F.count, inside), "s": over(F.sum, inside), "q": square(inside)})
+        d = d.withColumns({"n2": F.col("n") - F.col("n1"), "s2": F.col("s") - F.col("s1"), "q2": F.col("q") - F.col("q1")})
+        pooled = (F.col("q1") - F.col("s1") * F.col("s1") / F.col("n1") + F.col("q2") - F.col("s2") * F.col("s2") / F.col("n2")) / F.greatest(F.col("n") - 2, F.lit(1))
+        d = d.withColumns({"m1": F.try_divide("s1", "n1"), "m2": F.try_divide("s2", "n2"), "p": F.when((F.col("n1") >= min_seg) & (F.col("n2") >= min_seg), pooled)})
+        z = F.round(F.abs(F.col("m1") - F.col("m2")) / F.sqrt(F.col("p") * (1 / F.col("n1") + 1 / F.col("n2"))), 9)
+        d = d.withColumn("z", F.when(F.col("p") > 1e-12, z))
+        best = F.max(F.when(F.col("z") >= least_z, F.struct("z", (-F.col("_seg")).alias("seg"), (-F.unix_date("month")).alias("t")))).over(W.partitionBy(*keys))
+        d = d.withColumn("best", best)
+        here = F.col("best").isNotNull() & (F.col("_seg") == -F.col("best.seg"))
+        cut = here & (F.unix_date("month") == -F.col("best.t"))
+        keep = lambda old, new: F.when(cut, F.col(new)).otherwise(F.col(old)).alias(old)  # noqa: B023, E731
+        d = d.select(*keys, "month", "y", F.when(here, F.when(F.unix_date("month") >= -F.col("best.t"), 2 * r + 2).otherwise(2 * r + 1)).otherwise(F.col("_seg")).alias("_seg"), keep("_pre", "m1"), keep("_post", "m2"), keep("_z", "z"))
+    change = F.when(F.col("_pre") > 0, F.round(F.col("_post") / F.col("_pre"), 2))
+    return d.where("_z IS NOT NULL").select(*keys, F.col("month").alias("cp_month"), F.round("_pre", 1).alias("pre_mean"), F.round("_post", 1).alias("post_mean"), F.when(F.col("_post") > F.col("_pre"), "surge").otherwise("decline").alias("direction"), change.alias("magnitude"), F.round("_z", 2).alias("z"))
 
 
 def prior_period(start: str, end: str):

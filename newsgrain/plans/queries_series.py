@@ -47,7 +47,41 @@ def monthly(m: Model):
 
 query("rolling_mean", MON + " SELECT *, round(avg(y) OVER (PARTITION BY initiating_country ORDER BY month ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS mean FROM zf", "pi")(
     lambda m: S.rolling_mean(monthly(m), K))
-query("changepoints", None)(lambda m: S.changepoints(monthly(m), K))
+
+
+def segmented(keys: str, source: str, least_total: int) -> str:
+    """CTEs of the three rounds of binary segmentation over `source` (keys, month, y), and the cuts."""
+    out = [f"s0 AS (SELECT * FROM (SELECT {keys}, month, y, 0 AS seg, CAST(NULL AS DOUBLE) AS pre, CAST(NULL AS DOUBLE) AS post, CAST(NULL AS DOUBLE) AS cz, sum(y) OVER (PARTITION BY {keys}) AS total FROM {source}) WHERE total >= {least_total})"]
+    for r in range(3):
+        b = f"OVER (PARTITION BY {keys}, seg ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        w = f"OVER (PARTITION BY {keys}, seg)"
+        out += [
+            f"a{r} AS (SELECT *, count(*) {b} AS n1, sum(y) {b} AS s1, sum(y * y) {b} AS q1, count(*) {w} AS n, sum(y) {w} AS s, sum(y * y) {w} AS q FROM s{r})",
+            f"p{r} AS (SELECT *, s1 / n1 AS m1, (s - s1) / (n - n1) AS m2, CASE WHEN n1 >= 3 AND n - n1 >= 3 THEN (q1 - s1 * s1 / n1 + (q - q1) - (s - s1) * (s - s1) / (n - n1)) / greatest(n - 2, 1) END AS p FROM a{r})",
+            f"z{r} AS (SELECT *, CASE WHEN p > 1e-12 THEN round(abs(m1 - m2) / sqrt(p * (1.0::DOUBLE / n1 + 1.0::DOUBLE / (n - n1))), 9) END AS z FROM p{r})",
+            f"g{r} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY CASE WHEN z >= 2.5 THEN z END DESC NULLS LAST, seg, month) AS k FROM z{r})",
+            f"b{r} AS (SELECT {keys}, z AS bz, seg AS bseg, month AS bm FROM g{r} WHERE k = 1 AND z >= 2.5)",
+            f"s{r + 1} AS (SELECT {keys}, month, y, CASE WHEN seg = bseg THEN CASE WHEN month >= bm THEN {2 * r + 2} ELSE {2 * r + 1} END ELSE seg END AS seg, CASE WHEN seg = bseg AND month = bm THEN m1 ELSE pre END AS pre, CASE WHEN seg = bseg AND month = bm THEN m2 ELSE post END AS post, CASE WHEN seg = bseg AND month = bm THEN z ELSE cz END AS cz FROM z{r} LEFT JOIN b{r} USING ({keys}))",
+        ]
+    return ", ".join(out) + f" SELECT {keys}, month AS cp_month, round(pre, 1) AS pre_mean, round(post, 1) AS post_mean, CASE WHEN post > pre THEN 'surge' ELSE 'decline' END AS direction, CASE WHEN pre > 0 THEN round(post / pre, 2) END AS magnitude, round(cz, 2) AS z FROM s3 WHERE cz IS NOT NULL"
+
+
+query("changepoints_by_actor", MON + ", " + segmented("initiating_country", "zf", 50), "pi")(lambda m: S.changepoints(monthly(m), K))
+METRICS = """mt AS (SELECT initiating_country, recipient_country AS recipient, month, 'third_party_docs' AS metric, CAST(sum(third_docs) AS DOUBLE) AS n FROM pi GROUP BY 1, 2, 3
+  UNION ALL SELECT initiating_country, recipient_country, month, 'raw_docs', CAST(sum(raw_docs) AS DOUBLE) FROM pi GROUP BY 1, 2, 3),
+sp AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) AS DATE) AS month),
+zf AS (SELECT i.initiating_country, i.recipient, i.metric, sp.month, coalesce(n, 0) AS y FROM (SELECT DISTINCT initiating_country, recipient, metric FROM mt) i CROSS JOIN sp LEFT JOIN mt USING (initiating_country, recipient, metric, month))"""
+
+
+@query("changepoints", METRICS + ", " + segmented("initiating_country, recipient, metric", "zf", 20), "pi")
+def changepoints(m: Model):
+    """Month series of each pair and metric that has twenty documents or more."""
+    p = P.provenance_intensity(base(m)).groupBy("initiating_country", F.col("recipient_country").alias("recipient"), "month").agg(F.sum("third_docs").alias("third_party_docs"), F.sum("raw_docs").alias("raw_docs"))
+    long = p.unpivot(["initiating_country", "recipient", "month"], ["third_party_docs", "raw_docs"], "metric", "n")
+    keys = ["initiating_country", "recipient", "metric"]
+    return S.changepoints(S.zero_filled(long, keys, "n", "1996-01-01", "2000-12-01"), keys, 20.0)
+
+
 query("prior_period", """SELECT DATE '2024-01-10' - 20 - 1 AS prior_start, DATE '2024-01-10' - 1 AS prior_end, count(*) AS n
 FROM dem WHERE mention_date BETWEEN DATE '2024-01-10' - 21 AND DATE '2024-01-09'""", "dem")(
     lambda m: m.dem.where(F.col("mention_date").between(*S.prior_period("2024-01-10", "2024-01-30")))

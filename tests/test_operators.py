@@ -1,7 +1,9 @@
 """Operators on hand-made frames with results worked out by hand."""
 
+import collections
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,49 @@ def test_split_by_gap(spark):
     assert [r.block for r in series.split_by_gap(df).orderBy("mention_date").collect()] == [0, 0, 0, 1, 1, 1, 1]
 
 
+def test_changepoints_of_random_series(spark):
+    """All series in one plan against the loop of one; and several cuts keep the means of the segment that was cut."""
+    rng = random.Random(8)
+    series_of = {}
+    for k in range(40):
+        level, ys = rng.choice([2, 10, 30]), []
+        for _ in range(rng.randint(1, 40)):
+            level = rng.choice([2, 10, 30, 60]) if rng.random() < 0.12 else level
+            ys.append(float(level + rng.randint(0, 3)))
+        series_of[k] = ys
+    series_of[90], series_of[91] = [5.0] * 12, [1.0] * 6 + [9.0] * 6 + [1.0] * 6 + [9.0] * 5 + [8.0]
+    month = lambda i: dt.date(2010 + i // 12, i % 12 + 1, 1)
+    df = spark.createDataFrame([(k, month(i), y) for k, ys in series_of.items() for i, y in enumerate(ys)], "k long, month date, y double")
+    got = {(r.k, r.cp_month): (r.pre_mean, r.post_mean, r.direction, r.z) for r in series.changepoints(df, ["k"]).collect()}
+    want = {(k, month(t)): (pre, post, "surge" if post > pre else "decline", z) for k, ys in series_of.items() if sum(ys) >= 50 for t, pre, post, z in series.binseg(ys)}
+    assert got.keys() == want.keys() and len(want) > 40 and max(collections.Counter(k for k, _ in want).values()) == 3
+    for key, (pre, post, direction, z) in want.items():
+        assert got[key][:2] == pytest.approx((pre, post), abs=0.0501) and got[key][2] == direction and got[key][3] == pytest.approx(z, abs=0.00501)
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_cooccurrence_of_crowded_documents(spark, tile):
+    rng = random.Random(2)
+    docs = {i: [f"e{x}" for x in rng.sample(range(30), n)] for i, n in enumerate([25, 12, 7, 3, 2, 1, 28] + [4] * 40)}
+    den = spark.createDataFrame([("c" if i % 2 else "d", x, i) for i, xs in docs.items() for x in xs] * 2, "initiating_country string, entity string, doc_id long").repartition(3)
+    d = spark.createDataFrame([(i, dt.date(2024, 1, 1) + dt.timedelta(i)) for i in docs], "doc_id long, date date")
+    cat = spark.createDataFrame([(i, f"k{i % 3}") for i in docs], "doc_id long, category string")
+    pairs = collections.defaultdict(list)
+    for i, xs in docs.items():
+        for a in xs:
+            for b in xs:
+                if a < b:
+                    pairs["c" if i % 2 else "d", a, b].append(i)
+    want = {k: (len(v), sorted(v)[:4]) for k, v in pairs.items() if len(v) >= 2}
+    got = graph.entity_cooccurrence(den, d, cat, most_docs=4, tile=tile).collect()
+    assert {(r.initiating_country, r.a, r.b): (r.weight, r.doc_ids) for r in got} == want and len(got) == len(want) > 100
+    for r in got:
+        assert (r.first_day, r.last_day) == (dt.date(2024, 1, 1) + dt.timedelta(min(r.doc_ids)), dt.date(2024, 1, 1) + dt.timedelta(max(r.doc_ids)))
+        assert r.categories == collections.Counter(f"k{i % 3}" for i in r.doc_ids)
+    held = graph.entity_pairs(den.distinct(), tile)
+    assert held.count() == held.distinct().count() == sum(map(len, pairs.values()))
+
+
 def test_changepoints_step(spark):
     y = [10.0 + (i % 2) for i in range(12)] + [40.0 + (i % 2) for i in range(11)]
     (found,) = series.binseg(y)
