@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.fact_store import FactStore
+from ..operators.store import shared_dir
 from ..scope import TEST_SCOPE
 
 
 class Model:
-    """Frames of one data folder; each is lazy and reads only the columns it needs."""
+    """Frames of one data folder. The bridges and documents are facts, written once for the files they come from; all else is lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir, self.scope = spark, sf_dir, TEST_SCOPE
@@ -20,17 +23,31 @@ class Model:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def facts(self) -> FactStore:
+        """Facts that queries share, under the folder that they are derived from."""
+        return FactStore(self.spark, f"{shared_dir(self.spark)}/facts/{hashlib.md5(self.dir.encode()).hexdigest()[:12]}")
+
+    def inputs(self, *tables: str) -> list[str]:
+        return [f"{self.dir}/{t}.parquet" for t in tables]
+
     @cached_property
     def nation(self) -> DataFrame:
         return F.broadcast(self.table("nation").select("n_nationkey", "n_name"))  # 25 rows by definition
 
     @cached_property
     def ic(self) -> DataFrame:
+        return self.facts.whole("ic", self.inputs("orders", "customer", "nation"), self._ic, "doc_id")
+
+    def _ic(self) -> DataFrame:
         c = self.table("customer").join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         return self.table("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc_id"), F.col("n_name").alias("initiating_country"))
 
     @cached_property
     def rc(self) -> DataFrame:
+        return self.facts.whole("rc", self.inputs("lineitem", "supplier", "nation"), self._rc, "doc_id")
+
+    def _rc(self) -> DataFrame:
         s = self.table("supplier").join(self.nation, F.col("s_nationkey") == F.col("n_nationkey"))
         return self.table("lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("doc_id"), F.col("n_name").alias("recipient_country")).distinct()
 
@@ -39,14 +56,23 @@ class Model:
 
     @cached_property
     def cat(self) -> DataFrame:
+        return self.facts.whole("cat", self.inputs("lineitem", "part"), self._cat, "doc_id")
+
+    def _cat(self) -> DataFrame:
         return self._part("p_type", "category")
 
     @cached_property
     def sub(self) -> DataFrame:
+        return self.facts.whole("sub", self.inputs("lineitem", "part"), self._sub, "doc_id")
+
+    def _sub(self) -> DataFrame:
         return self._part("p_brand", "subcategory")
 
     @cached_property
     def d(self) -> DataFrame:
+        return self.facts.whole("d", self.inputs("orders", "customer", "nation"), self._d, "doc_id")
+
+    def _d(self) -> DataFrame:
         # an order has one customer, so its country comes with the same join
         c = self.table("customer").join(self.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("initiating_country"))
         o = self.table("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("doc_id", F.col("o_orderkey"))

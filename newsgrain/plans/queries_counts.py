@@ -24,6 +24,11 @@ def base(m: Model):
     return P.report_base(m.d, m.ic, m.rc, m.cat, m.scope)
 
 
+def intensity(m: Model):
+    """Provenance intensity, kept by month."""
+    return m.facts.by_month("provenance-intensity", m.inputs("orders", "customer", "nation", "lineitem", "supplier", "part"), lambda: base(m), P.provenance_intensity)
+
+
 query("report_base", "SELECT * FROM rb", "rb")(base)
 query("scope_docs", """SELECT DISTINCT d.doc_id FROM d JOIN ic ON ic.doc_id = d.doc_id
 JOIN rc ON rc.doc_id = d.doc_id WHERE initiating_country IN {INF} AND recipient_country IN {REC} AND initiating_country <> recipient_country AND date >= DATE '1996-01-01'""", *BASE)(
@@ -64,10 +69,10 @@ query("overview_metrics", SP + """, t AS (SELECT count(DISTINCT doc_id) AS total
 FROM t""", *BASE)(
     lambda m: N.overview_metrics(pairs(m)))
 query("provenance_intensity", "SELECT *, round(CAST(self_docs AS DOUBLE) / nullif(raw_docs, 0), 3) AS self_share, third_docs AS normalized FROM pi", "pi")(
-    lambda m: P.provenance_intensity(base(m)))
+    lambda m: intensity(m))
 query("actor_tensor", """SELECT initiating_country, category, month, CAST(sum(raw_docs) AS BIGINT) AS raw_docs, CAST(sum(self_docs) AS BIGINT) AS self_docs, CAST(sum(third_docs) AS BIGINT) AS third_docs, CAST(sum(distinct_sources) AS BIGINT) AS distinct_sources
 FROM pi GROUP BY 1,2,3""", "pi")(
-    lambda m: P.actor_tensor(P.provenance_intensity(base(m))))
+    lambda m: P.actor_tensor(intensity(m)))
 query("provenance_stats", """SELECT category, count(DISTINCT doc_id) AS raw_docs, count(DISTINCT doc_id) FILTER (WHERE coalesce(self_reported, false)) AS self_docs, count(DISTINCT doc_id) FILTER (WHERE NOT coalesce(self_reported, false)) AS third_docs
 FROM rb WHERE initiating_country = 'NATION_1' GROUP BY 1""", "rb")(
     lambda m: P.provenance_stats(base(m), "NATION_1"))
@@ -195,7 +200,7 @@ query("competitive_matrix", "t AS (SELECT DISTINCT recipient_country, initiating
 query("recipient_blocs_profiles", """g AS (SELECT recipient_country, initiating_country, category, CAST(sum(third_docs) AS BIGINT) AS n
   FROM pi GROUP BY 1,2,3) SELECT *, round(n / nullif(CAST(sum(n) OVER (PARTITION BY recipient_country) AS DOUBLE), 0), 6) AS share
 FROM g""", "pi")(
-    lambda m: P.recipient_profiles(P.provenance_intensity(base(m))))
+    lambda m: P.recipient_profiles(intensity(m)))
 query("activity_series", """SELECT month, count(DISTINCT doc_id) AS raw_docs, count(DISTINCT doc_id) FILTER (WHERE NOT coalesce(self_reported, false)) AS third_docs
 FROM rb WHERE initiating_country = 'NATION_2' AND category = 'SMALL'
 GROUP BY 1""", "rb")(

@@ -10,7 +10,7 @@ from ..operators import events as E
 from ..operators import facts as P
 from ..operators import graph as G
 from .model import Model
-from .queries_counts import base
+from .queries_counts import base, intensity
 from .queries_events import RNG
 from .registry import query
 
@@ -48,7 +48,7 @@ FROM ic JOIN d ON d.doc_id = ic.doc_id LEFT JOIN r ON r.doc_id = ic.doc_id""", "
 )
 query("narrative_themes", None)(lambda m: K.narrative_themes(m.vectors))
 query("recipient_blocs", None)(
-    lambda m: K.recipient_blocs(P.recipient_profiles(P.provenance_intensity(base(m))).select("recipient_country", F.concat_ws(":", "initiating_country", "category").alias("lane"), F.coalesce("share", F.lit(0.0)).alias("share"))))
+    lambda m: K.recipient_blocs(P.recipient_profiles(intensity(m)).select("recipient_country", F.concat_ws(":", "initiating_country", "category").alias("lane"), F.coalesce("share", F.lit(0.0)).alias("share"))))
 query("entity_curation_candidates", """t AS (SELECT id FROM ce WHERE master_event_id IS NULL ORDER BY total_articles DESC, id LIMIT 5),
 x AS (SELECT DISTINCT den.entity, f.master, f.doc_id FROM fdocs f
   JOIN t ON t.id = f.master JOIN den ON den.doc_id = f.doc_id) SELECT entity, count(DISTINCT master) AS n_events, count(DISTINCT doc_id) AS n_docs

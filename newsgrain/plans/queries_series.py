@@ -13,7 +13,7 @@ from ..operators import series as S
 from ..operators.store import new_dir
 from ..operators.vector_index import VectorIndex
 from .model import Model
-from .queries_counts import base
+from .queries_counts import base, intensity
 from .registry import query
 
 DAY = "day AS (SELECT date AS day, initiating_country, count(DISTINCT d.doc_id) AS n_docs FROM d JOIN ic ON ic.doc_id = d.doc_id WHERE initiating_country IN {INF} GROUP BY 1, 2)"
@@ -41,7 +41,7 @@ zf AS (SELECT i.initiating_country, sp.month, CAST(coalesce(n, 0) AS DOUBLE) AS
 
 
 def monthly(m: Model):
-    g = P.provenance_intensity(base(m)).groupBy("initiating_country", "month").agg(F.sum("raw_docs").alias("n"))
+    g = intensity(m).groupBy("initiating_country", "month").agg(F.sum("raw_docs").alias("n"))
     return S.zero_filled(g, K, "n", "1996-01-01", "2000-12-01")
 
 
@@ -76,7 +76,7 @@ zf AS (SELECT i.initiating_country, i.recipient, i.metric, sp.month, coalesce(n,
 @query("changepoints", METRICS + ", " + segmented("initiating_country, recipient, metric", "zf", 20), "pi")
 def changepoints(m: Model):
     """Month series of each pair and metric that has twenty documents or more."""
-    p = P.provenance_intensity(base(m)).groupBy("initiating_country", F.col("recipient_country").alias("recipient"), "month").agg(F.sum("third_docs").alias("third_party_docs"), F.sum("raw_docs").alias("raw_docs"))
+    p = intensity(m).groupBy("initiating_country", F.col("recipient_country").alias("recipient"), "month").agg(F.sum("third_docs").alias("third_party_docs"), F.sum("raw_docs").alias("raw_docs"))
     long = p.unpivot(["initiating_country", "recipient", "month"], ["third_party_docs", "raw_docs"], "metric", "n")
     keys = ["initiating_country", "recipient", "metric"]
     return S.changepoints(S.zero_filled(long, keys, "n", "1996-01-01", "2000-12-01"), keys, 20.0)
