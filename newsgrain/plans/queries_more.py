@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -19,6 +20,7 @@ from ..operators import posting_blocks as X
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import series as S
+from ..operators.store import written
 from ..streaming import jobs
 from .model import Model
 from .queries_counts import base
@@ -361,8 +363,10 @@ def match_entities(m: Model):
     i = F.col("vec_id")
     name = F.when(i % 4 == 0, "CLICK_1").when(i % 4 == 1, "views 3").when(i % 4 == 2, "purchase 12").otherwise("k_2")
     queries = m.vectors.where("vec_id % 100 = 0").select(i.alias("query_id"), F.when(i % 200 == 0, name).otherwise(F.concat(name, F.lit(" of "), i.cast("string"))).alias("query"), F.col("embedding").alias("q"))
-    # some hundred entities: places in order of name by a count of the smaller ones
-    place = m.cen.select(F.col("entity").alias("x")).join(m.cen.select(F.col("entity").alias("y")), F.col("y") < F.col("x"), "left").groupBy(F.col("x").alias("entity")).agg(F.count("y").alias("vec_id"))
+    # places in order of name: those in each range of names, after all of the ranges before
+    names, _ = written(m.cen.select("entity").repartitionByRange("entity").select("entity", F.spark_partition_id().alias("range")), "names")
+    before = names.groupBy("range").agg(F.count("*").alias("n")).select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # a row a range
+    place = names.join(before, "range").select("entity", (F.col("before") + F.row_number().over(W.partitionBy("range").orderBy("entity")) - 1).alias("vec_id"))
     return M.match_entities(queries, m.cen.select("entity")
     .join(place, "entity")
     .join(m.vectors.select("vec_id", "embedding"), "vec_id", "left")
