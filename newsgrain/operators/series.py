@@ -253,16 +253,35 @@ def split_blocks(days: list, vectors: list | None = None, drift: float | None =
     return out
 
 
-def split_by_gap(dem: DataFrame, gap: int = 30, vectors: str | None = None, drift: float | None = None) -> DataFrame:
-    """Block of each (event, day); with a vector column also by drift. An event's days are one short group."""
+def split_by_gap(dem: DataFrame, gap: int = 30, least: int = 3, most_span: int = 180, window: int = 90) -> DataFrame:
+    """Block of each (event, day), by the rules of split_blocks without vectors, in one shuffle by the event: gaps and short blocks by windows, long blocks by a fold over their days. Rows of one day are in one
+    block; a row without a day has none and is left out."""
+    e, day = "canonical_event_id", "mention_date"
+    event = W.partitionBy(e)
+    d = dem.where(F.col(day).isNotNull()).select(e, F.col(day).cast("date").alias(day))
+    apart = F.coalesce(F.datediff(day, F.lag(day).over(event.orderBy(day))) >= gap, F.lit(False))
+    d = d.withColumn("_apart", apart.cast("int")).withColumn("_b", F.sum("_apart").over(event.orderBy(day)))
+    d = d.withColumn("_n", F.count("*").over(W.partitionBy(e, "_b")))
+    # a short block takes the number of the last one before it that is not; the first counts as such
+    d = d.withColumn("_b", F.max(F.when((F.col("_n") >= least) | (F.col("_b") == 0), F.col("_b"))).over(event.orderBy(day)))
+    d = d.withColumn("_n", F.count("*").over(W.partitionBy(e, "_b"))).withColumn("_next", F.min(F.when(F.col("_b") > 0, F.col("_b"))).over(event))
+    d = d.withColumn("_b", F.when((F.col("_b") == 0) & (F.col("_n") < least), F.coalesce("_next", "_b")).otherwise(F.col("_b")))
+    held = d.groupBy(e, "_b").agg(F.array_sort(F.collect_list(day)).alias("_days"))
+    starts = F.aggregate("_days", F.slice("_days", 1, 1), lambda a, x: F.when(F.datediff(x, F.element_at(a, -1)) >= window, F.concat(a, F.array(x))).otherwise(a))
+    held = held.withColumn("_starts", F.when(F.datediff(F.element_at("_days", -1), F.element_at("_days", 1)) > most_span, starts).otherwise(F.slice("_days", 1, 1)))
+    rows = held.select(e, "_b", "_starts", F.explode("_days").alias(day)).withColumn("_w", F.size(F.filter("_starts", lambda x: x <= F.col(day))))
+    return rows.select(e, day, (F.dense_rank().over(event.orderBy("_b", "_w")) - 1).alias("block"))
+
+
+def split_by_drift(dem: DataFrame, vectors: str, drift: float, gap: int = 30) -> DataFrame:
+    """Block of each (event, day) by gap and by drift from a block's running centroid, which only a walk over the days can tell. An event's days are one short group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("mention_date").reset_index(drop=True)
         days = [pd.Timestamp(d) for d in pdf["mention_date"]]
-        return pdf[["canonical_event_id", "mention_date"]].assign(block=split_blocks(days, list(pdf[vectors]) if vectors else None, drift, gap))
+        return pdf[["canonical_event_id", "mention_date"]].assign(block=split_blocks(days, list(pdf[vectors]), drift, gap))
 
-    columns = ["canonical_event_id", "mention_date", *([vectors] if vectors else [])]
-    return dem.select(*columns).groupBy("canonical_event_id").applyInPandas(run, f"canonical_event_id {dem.schema['canonical_event_id'].dataType.simpleString()}, mention_date date, block int")
+    return dem.select("canonical_event_id", "mention_date", vectors).groupBy("canonical_event_id").applyInPandas(run, f"canonical_event_id {dem.schema['canonical_event_id'].dataType.simpleString()}, mention_date date, block int")
 
 
 def binseg_udtf(spark):

@@ -25,7 +25,7 @@ from ..streaming import jobs
 from .model import Model
 from .queries_counts import base
 from .queries_events import DOM
-from .queries_series import MON, monthly
+from .queries_series import BLOCKS, MON, monthly, segmented
 from .registry import query
 
 # ---- events
@@ -145,10 +145,20 @@ def apply_split(m: Model):
     return K.apply_split(blocks, mentions, decisions)
 
 
-@query("split_by_drift")
+#: One event's days in turn: the block, its rows and its running centroid.
+DRIFT = """RECURSIVE u AS (SELECT vec_id % 20 AS canonical_event_id, CAST(day + CAST(vec_id // 20 AS INT) AS DATE) AS d, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / greatest(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-9)) AS u FROM vectors),
+o AS (SELECT *, row_number() OVER (PARTITION BY canonical_event_id ORDER BY d) AS i FROM u),
+wk AS (SELECT canonical_event_id, d, i, 0 AS b, 1 AS n, u AS c FROM o WHERE i = 1
+UNION ALL SELECT canonical_event_id, d, i, b, n, CASE WHEN n = 1 THEN u ELSE list_transform(c, lambda x: x / greatest(sqrt(list_inner_product(c, c)), 1e-9)) END
+FROM (SELECT canonical_event_id, d, i, u, CASE WHEN new THEN b + 1 ELSE b END AS b, CASE WHEN new THEN 1 ELSE n + 1 END AS n, list_transform(list_zip(c, u), lambda x: (x[1] * n + x[2]) / (n + 1)) AS c
+FROM (SELECT o.*, wk.b, wk.n, wk.c, o.d - wk.d >= 30 OR wk.n >= 3 AND list_inner_product(o.u, wk.c) < -0.2 AS new FROM wk JOIN o ON o.canonical_event_id = wk.canonical_event_id AND o.i = wk.i + 1))),
+v AS (SELECT canonical_event_id, d, b FROM wk), """ + BLOCKS
+
+
+@query("split_by_drift", DRIFT, "vectors")
 def split_by_drift(m: Model):
     rows = m.vectors.select((F.col("vec_id") % 20).alias("canonical_event_id"), F.date_add("day", (F.col("vec_id") / 20).cast("int")).alias("mention_date"), "embedding")
-    return S.split_by_gap(rows, vectors="embedding", drift=-0.2)
+    return S.split_by_drift(rows, "embedding", -0.2)
 
 
 # ---- vectors: clusters and masters, by components that SQL finds by recursion
@@ -279,7 +289,17 @@ def entity_neighbors(m: Model):
     return G.entity_neighbors(one_graph(m), "click_1", 3, strongest=8, least=3)
 
 
-@query("ego_subgraph_betweenness")
+#: A shortest path of two nodes is a shortest walk, so numbers of walks by length give distances and numbers of paths.
+BETWEEN = "RECURSIVE " + CO + """, ge AS (SELECT initiating_country AS actor, a, b FROM g WHERE weight >= 3), dg AS (SELECT actor, n, count(*) AS k FROM (SELECT actor, a AS n FROM ge UNION ALL SELECT actor, b FROM ge) GROUP BY 1, 2),
+tn AS (SELECT actor, n FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY k DESC, n) AS r FROM dg) WHERE r <= 40),
+ie AS (SELECT ge.* FROM ge JOIN tn x ON x.actor = ge.actor AND x.n = ge.a JOIN tn y ON y.actor = ge.actor AND y.n = ge.b), ad AS MATERIALIZED (SELECT actor, a, b FROM ie UNION SELECT actor, b, a FROM ie), nd AS (SELECT DISTINCT actor, a AS n FROM ad),
+wk AS (SELECT actor, n AS s, n AS t, 0 AS l, 1.0::DOUBLE AS c FROM nd UNION ALL SELECT wk.actor, wk.s, ad.b, wk.l + 1, sum(wk.c) FROM wk JOIN ad ON ad.actor = wk.actor AND ad.a = wk.t WHERE wk.l < 39 GROUP BY wk.actor, wk.s, ad.b, wk.l),
+pt AS (SELECT actor, s, t, min(l) AS l, arg_min(c, l) AS c FROM wk GROUP BY 1, 2, 3),
+bt AS (SELECT x.actor, x.t AS n, sum(x.c * y.c / z.c) / 2 AS v FROM pt x JOIN pt y ON y.actor = x.actor AND y.s = x.t JOIN pt z ON z.actor = x.actor AND z.s = x.s AND z.t = y.t AND z.l = x.l + y.l WHERE x.s <> x.t AND y.s <> y.t AND x.s <> y.t GROUP BY 1, 2)
+SELECT nd.actor, nd.n AS node, round(coalesce(bt.v, 0.0), 6) AS betweenness FROM nd LEFT JOIN bt ON bt.actor = nd.actor AND bt.n = nd.n"""
+
+
+@query("ego_subgraph_betweenness", BETWEEN, *GU)
 def ego_subgraph_betweenness(m: Model):
     return G.ego_subgraph_betweenness(edges(m).where("weight >= 3").withColumnRenamed("initiating_country", "actor"), "actor")
 
@@ -341,9 +361,15 @@ def similar_name_pairs(m: Model):
     return M.similar_name_pairs(m.d.select(F.col("title").alias("name")).union(p.select("p_name")).union(p.select("p_type")).distinct())
 
 
-@query("dedupe_fuzzy_names")
+#: Names in turn, with the list of those that stayed.
+GREEDY = """RECURSIVE n AS (SELECT title AS name, min(doc_id) AS rank FROM d GROUP BY 1), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY rank, name) AS i FROM n),
+nb AS MATERIALIZED (SELECT y.i, list(x.i) AS better FROM o x JOIN o y ON x.i < y.i AND 1 - levenshtein(lower(x.name), lower(y.name)) / greatest(length(x.name), length(y.name), 1)::DOUBLE > 0.85 GROUP BY 1),
+wk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(wk.kept, coalesce(nb.better, [])) THEN wk.kept ELSE list_append(wk.kept, o.i) END FROM wk JOIN o ON o.i = wk.i + 1 LEFT JOIN nb ON nb.i = o.i),
+last AS (SELECT unnest(kept) AS i FROM (SELECT kept FROM wk ORDER BY i DESC LIMIT 1)) SELECT o.name, o.rank FROM o JOIN last ON last.i = o.i"""
+
+
+@query("dedupe_fuzzy_names", GREEDY, "d")
 def dedupe_fuzzy_names(m: Model):
-    """Greedy, so without SQL; tested against a plain loop."""
     return M.dedupe_fuzzy_names(m.d.groupBy(F.col("title").alias("name")).agg(F.min("doc_id").alias("rank")), 0.85)
 
 
@@ -427,7 +453,7 @@ def changepoint_scan(m: Model):
     return S.changepoint_scan(monthly(m), ["initiating_country"])
 
 
-@query("binseg")
+@query("binseg", MON + ", " + segmented("initiating_country", "zf", 0).replace("CASE WHEN post > pre THEN 'surge' ELSE 'decline' END AS direction, CASE WHEN pre > 0 THEN round(post / pre, 2) END AS magnitude, ", ""), "pi")
 def binseg(m: Model):
     """Changepoints by the table function, joined laterally in SQL."""
     S.binseg_udtf(m.spark)

@@ -126,7 +126,20 @@ query("alert_new_event", """n AS (SELECT CAST(id AS VARCHAR) AS id FROM ce WHERE
 SELECT count(*) AS n, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM n
     ORDER BY id LIMIT 10)), '') AS names FROM n""", "ce")(
     lambda m: S.alert_new(m.ce.withColumn("id", F.col("id").cast("string")), "2024-01-01", "id", "first_mention_date"))
-query("split_by_gap", None)(lambda m: S.split_by_gap(m.dem.withColumn("mention_date", F.date_add("mention_date", ((F.dayofmonth("mention_date") / 10).cast("int") * 40)))))
+#: From v (canonical_event_id, d, b: block before merging): short blocks join others, long ones are cut into windows from each window's first day.
+BLOCKS = """nn AS (SELECT *, count(*) OVER (PARTITION BY canonical_event_id, b) AS n FROM v),
+mm AS (SELECT *, max(CASE WHEN n >= 3 OR b = 0 THEN b END) OVER (PARTITION BY canonical_event_id ORDER BY d) AS m FROM nn),
+mk AS (SELECT *, count(*) OVER (PARTITION BY canonical_event_id, m) AS k, min(CASE WHEN m > 0 THEN m END) OVER (PARTITION BY canonical_event_id) AS nx FROM mm),
+bq AS (SELECT canonical_event_id, d, CASE WHEN m = 0 AND k < 3 THEN coalesce(nx, m) ELSE m END AS q FROM mk),
+sp AS (SELECT canonical_event_id, q, min(d) AS d0, max(d) - min(d) > 180 AS long FROM bq GROUP BY 1, 2),
+af AS (SELECT x.canonical_event_id, x.q, x.d, min(y.d) AS nd FROM bq x JOIN sp USING (canonical_event_id, q) JOIN bq y ON y.canonical_event_id = x.canonical_event_id AND y.q = x.q AND y.d >= x.d + 90 WHERE sp.long GROUP BY 1, 2, 3),
+st AS (SELECT canonical_event_id, q, d0 AS d FROM sp UNION ALL SELECT st.canonical_event_id, st.q, af.nd FROM st JOIN af ON af.canonical_event_id = st.canonical_event_id AND af.q = st.q AND af.d = st.d),
+wn AS (SELECT canonical_event_id, d, q, (SELECT count(*) FROM st WHERE st.canonical_event_id = bq.canonical_event_id AND st.q = bq.q AND st.d <= bq.d) AS w FROM bq)
+SELECT canonical_event_id, d AS mention_date, CAST(dense_rank() OVER (PARTITION BY canonical_event_id ORDER BY q, w) - 1 AS INT) AS block FROM wn"""
+query("split_by_gap", """RECURSIVE m AS (SELECT canonical_event_id, CAST(mention_date + CAST(day(mention_date) // 10 AS INT) * 40 AS DATE) AS d FROM dem),
+ap AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY canonical_event_id ORDER BY d) >= 30 THEN 1 ELSE 0 END AS g FROM m),
+v AS (SELECT canonical_event_id, d, sum(g) OVER (PARTITION BY canonical_event_id ORDER BY d) AS b FROM ap), """ + BLOCKS, "dem")(
+    lambda m: S.split_by_gap(m.dem.withColumn("mention_date", F.date_add("mention_date", ((F.dayofmonth("mention_date") / 10).cast("int") * 40)))))
 VP = """p AS (SELECT x.country, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS cosine
   FROM vectors x JOIN vectors y ON x.country = y.country AND x.vec_id < y.vec_id),
 q AS (SELECT * FROM p WHERE cosine >= 0.35)"""

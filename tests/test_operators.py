@@ -29,6 +29,31 @@ def test_split_by_gap(spark):
     assert [r.block for r in series.split_by_gap(df).orderBy("mention_date").collect()] == [0, 0, 0, 1, 1, 1, 1]
 
 
+def test_split_by_gap_as_the_plain_walk(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for event in range(120):
+        # gaps near the limit of thirty, dense stretches, and spans of several windows; some days twice
+        at, mine = 0, []
+        for _ in range(rng.randint(1, 40)):
+            at += rng.choice([0, 1, 1, 2, 7, 15, 29, 29, 30, 31, 70])
+            mine.append(at)
+        rows += [(event, d) for d in days(*mine)]
+    want = []
+    for event in range(120):
+        mine = sorted(d for e, d in rows if e == event)
+        want += [(event, d, b) for d, b in zip(mine, series.split_blocks(mine), strict=True)]
+    assert max(b for _, _, b in want) > 5
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, (0, None), (None, days(5)[0])], "canonical_event_id long, mention_date date")
+    got = [tuple(r) for r in series.split_by_gap(df).collect()]
+    assert sorted(got, key=repr) == sorted([*want, (None, days(5)[0], 0)], key=repr)
+    assert series.split_by_gap(df.where("false")).collect() == []
+    plan = series.split_by_gap(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Pandas" not in plan
+
+
 def test_changepoints_of_random_series(spark):
     """All series in one plan against the loop of one; and several cuts keep the means of the segment that was cut."""
     rng = random.Random(8)
