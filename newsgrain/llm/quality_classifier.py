@@ -35,6 +35,14 @@ def _per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _weighed(values: np.ndarray, wo: np.ndarray) -> np.ndarray:
+    """Sum of each text's values, added text by text, so that equal texts have equal sums wherever they lie."""
+    held, out = wo[1:] > wo[:-1], np.zeros(len(wo) - 1)
+    if held.any():
+        out[held] = np.add.reduceat(values, wo[:-1][held])
+    return out
+
+
 def described(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Votes (texts x labellers), offsets of each text's words, the bucket of each word and of its shape, and the places of each text's levels."""
     words, starts, wo = word_hashes(data, at, lower=True)
@@ -154,7 +162,7 @@ def quality_classifier(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5
             for lo, hi, data, at in text_blocks(b.column("text")):
                 votes, wo, words, shapes, levels = described(data, at)
                 n = np.diff(wo)
-                z = _per_text(weights[words] + weights[shapes], wo) / np.maximum(n, 1) + weights[levels].sum(axis=1) + weights[-1]
+                z = _weighed(weights[words] + weights[shapes], wo) / np.maximum(n, 1) + weights[levels].sum(axis=1) + weights[-1]
                 score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
                 weak = [belief.get("".join(map(str, v + 1)), 0.0) if m else 0.0 for v, m in zip(votes, n, strict=True)]
                 yield batch(doc_id=b.column("doc_id").slice(lo, hi - lo), n_words=pa.array(n, pa.int64()), weak_label=pa.array(weak, pa.float64()), score=pa.array(score), kept=pa.array(score >= least))
