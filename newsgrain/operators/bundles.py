@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .counts import self_flags
+from .store import written
 
 
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:
@@ -51,6 +52,8 @@ def document_metrics(pairs: DataFrame, cat: DataFrame, sub: DataFrame) -> DataFr
 
 def drilldown(pairs: DataFrame, cat: DataFrame, sub: DataFrame, newest: int = 20, sources: int = 15) -> DataFrame:
     """section, key, n_docs, day of the documents behind a clicked chart: total, date range, five distributions, monthly trend, sources and the newest documents."""
+    # nine sections ask for the clicked pairs
+    pairs, _ = written(pairs.select("doc_id", "date", "source_name", "initiating_country", "recipient_country"), "clicked")
     ids = pairs.select("doc_id").distinct()
     dim = lambda df, name, c, k=None: section(df.withColumn("third", F.lit(True)), name, c, k).drop("corroborated")
     span = pairs.agg(F.min("date").alias("first"), F.max("date").alias("last"))
