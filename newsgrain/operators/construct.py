@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .graph import led, similar_pairs
-from .store import written
+from .store import forget, written
+
+#: Vectors a task of a fit.
+ROWS = 1024
 
 
 def needs_review(clusters: DataFrame) -> DataFrame:
@@ -105,10 +108,15 @@ def narrative_themes(vectors: DataFrame, k: int | None = None, parts: int = 50,
     from pyspark.ml.feature import PCA, Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    unit = Normalizer(inputCol="v", outputCol="u").transform(vectors.select("vec_id", array_to_vector("embedding").alias("v")))
-    small = PCA(k=parts, inputCol="u", outputCol="p").fit(unit).transform(unit).select("vec_id", "p")
-    k = k or max(20, vectors.count() // 25)
-    themed = KMeans(k=k, seed=seed, featuresCol="p", predictionCol="theme").fit(small).transform(small).select("vec_id", "theme", vector_to_array("p").alias("p"))
+    n = vectors.count()
+    # a fit takes as many tasks as its rows lie in, and a small file is one
+    dealt = lambda df: df.repartition(max(1, -(-n // ROWS)), "vec_id").sortWithinPartitions("vec_id")
+    unit = Normalizer(inputCol="v", outputCol="u").transform(dealt(vectors.select("vec_id", array_to_vector("embedding").alias("v"))))
+    small, at = written(PCA(k=parts, inputCol="u", outputCol="p").fit(unit).transform(unit).select("vec_id", vector_to_array("p").alias("p")), "reduced")
+    small = dealt(small).select("vec_id", array_to_vector("p").alias("p"))
+    k = k or max(20, n // 25)
+    themed, _ = written(KMeans(k=k, seed=seed, featuresCol="p", predictionCol="theme").fit(small).transform(small).select("vec_id", "theme", vector_to_array("p").alias("p")), "themed")
+    forget(vectors.sparkSession, at)
     mean = themed.select("theme", F.posexplode("p").alias("i", "x")).groupBy("theme", "i").agg(F.avg("x").alias("x")).groupBy("theme").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("c"))
     return themed.join(mean, "theme").select("vec_id", "theme", F.avg(C.cosine_similarity(F.col("p"), F.col("c"))).over(W.partitionBy("theme")).alias("coherence"))
 
