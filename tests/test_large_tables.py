@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from newsgrain.operators import construct
+from newsgrain.operators import construct, quality
+from newsgrain.operators.fact_store import FactStore
 from newsgrain.plans import queries_more as more
 from newsgrain.plans.model import Model
 
@@ -29,3 +30,15 @@ def test_fits_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(KMeans, "fit", lambda self, df, fit=KMeans.fit: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
     df = spark.createDataFrame([(i, [float(i % 7 == j) + i / 9999 for j in range(8)]) for i in range(3000)], "vec_id long, embedding array<double>").coalesce(1)
     assert construct.narrative_themes(df, k=4, parts=5).count() == 3000 and seen == [3]
+
+
+def test_append_of_bucketed_facts(spark, tmp_path):
+    spark.range(500).selectExpr("id AS doc_id", "id * 7 AS x").write.parquet(f"file://{tmp_path}/given")
+    d = FactStore(spark, f"file://{tmp_path}/facts").whole("d", [f"file://{tmp_path}/given"], lambda: spark.read.parquet(f"file://{tmp_path}/given"), "doc_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a table that is too large to broadcast
+    try:
+        rows = quality.idempotent_append(d.unionByName(d), d.where("doc_id % 3 = 0"), ["doc_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, rows)) == [(i, i * 7) for i in range(500)]
