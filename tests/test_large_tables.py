@@ -1,10 +1,14 @@
 """Steps that grew faster than the input, against plain loops or SQL; each would have failed before."""
 
+import datetime
+import itertools
+import math
 import os
+import random
 
 import pytest
 
-from newsgrain.operators import construct, quality
+from newsgrain.operators import construct, graph, quality
 from newsgrain.operators.fact_store import FactStore
 from newsgrain.plans import queries_more as more
 from newsgrain.plans.model import Model
@@ -42,3 +46,36 @@ def test_append_of_bucketed_facts(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(map(tuple, rows)) == [(i, i * 7) for i in range(500)]
+
+
+def test_composite_distances_by_tiles(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("AB"), i, [rng.gauss(0, 1) for _ in range(4)] if i % 17 else None, rng.sample(range(30), rng.randint(0, 9)) if i % 13 else None, datetime.date(2024, 1, 1) + datetime.timedelta(rng.randint(0, 80))) for i in range(90)]
+    df = spark.createDataFrame(rows, "block string, id long, embedding array<double>, docs array<long>, day date")
+    want = {}
+    for (p, i, u, x, s), (q, j, v, y, t) in itertools.combinations(rows, 2):
+        if p == q:
+            x, y, gap = set(x or ()), set(y or ()), abs((s - t).days)
+            cosine = sum(k * n for k, n in zip(u, v, strict=True)) / math.hypot(*u) / math.hypot(*v) if u and v else 0.0
+            want[i, j] = (1.0 if gap > 30 else 0.4 * (1 - cosine) + 0.2 * (1 - (len(x & y) / len(x | y) if x | y else 0.0)) + 0.4 * min(gap / 30, 1)), gap
+    for far in (True, False):
+        got = {(r.a, r.b): r.distance for r in graph.pairwise_composite_distance(df, far=far, size=7).collect()}
+        assert got == {k: pytest.approx(d, abs=1.1e-6) for k, (d, gap) in want.items() if far or gap <= 30}
+    # links of tiles are few, and have the components of all pairs at every level
+    for cut in (0.55, 1.0):
+        links = {(r.a, r.b): r.distance for r in graph.composite_links(df, cut, size=30).collect()}
+        near = {k: d for k, d in got.items() if d < cut}
+        assert links.items() <= near.items()
+        assert cut < 1 or 2 * len(links) < len(near)
+        for level in sorted(near.values())[:: 1 + len(near) // 9]:
+            assert parts_of(links, level) == parts_of(near, level)
+
+
+def parts_of(links, level):
+    """The node with the least id that each node reaches by links up to a level."""
+    out = {i: i for k in links for i in k}
+    for _ in out:
+        for (a, b), d in links.items():
+            if d <= level:
+                out[a] = out[b] = min(out[a], out[b])
+    return {i: x for i, x in out.items() if i != x}
