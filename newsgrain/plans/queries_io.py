@@ -44,7 +44,7 @@ FROM d WHERE doc_id % 5 > 1 UNION ALL SELECT CASE WHEN doc_id % 15 <> 1 THEN CAS
 FROM d WHERE doc_id % 5 < 2 UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'duplicate doc_id within file'
 FROM d WHERE doc_id % 35 = 2""", "d")
 def read_packed_labels_csv(m: Model):
-    """A fifth of the rows with a value too few, a fifth without an extraction pass, some without an id or twice; categories twice, of which the later counts, labels of a later pass that don't, missing
+    """A fifth of the rows with a value too few, a fifth without an extraction pass, some without an id or twice in a file; categories twice, of which the later counts, labels of a later pass that don't, missing
     events as N/A, and a justification before the pass in every second row."""
     i = F.col("doc_id")
     because = i % 2 == 0
@@ -53,7 +53,9 @@ def read_packed_labels_csv(m: Model):
     event = F.when(F.col("medium") == "P", "N/A").otherwise(F.col("title"))
     values = F.when(i % 5 == 0, "true | because | TRUE").when(i % 5 == 1, F.concat_ws(" | ", "source_name", event)).otherwise(F.concat_ws(" | ", F.lit("true | because | TRUE"), F.lit("early"), event, "source_name", F.lit("a project | later | Nowhere")))
     rows = m.d.select(F.when(i % 15 != 1, i).alias("ATOM ID"), F.concat(F.lit("T"), i.cast("string")).alias("Title"), F.col("source_name").alias("Source Name"), F.col("date").alias("Source Date, Start"), F.col("source_geofocus").alias("Source Geofocus Country"), F.when(i % 3 == 0, "somewhere").otherwise("nan").alias("Source Country, Physical"), types.alias("Auto GAI, Value Type"), values.alias("Auto GAI, Value"))
-    return with_rejects(label_records.read_packed_labels_csv(m.spark, csv(rows.unionByName(rows.where("`ATOM ID` % 35 = 2")).coalesce(1), m, "labels")))
+    # an export a task; a document that comes twice does so in one export
+    rows = rows.withColumn("n", F.explode(F.when(F.col("ATOM ID") % 35 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("n")
+    return with_rejects(label_records.read_packed_labels_csv(m.spark, csv(rows, m, "labels")))
 
 
 @query("read_label_json", """SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'Default Title' ELSE title END AS title, source_name, source_geofocus, 'None Specified' AS source_location, date, CAST(NULL AS VARCHAR) AS salience, CAST(NULL AS VARCHAR) AS salience_justification, source_name AS category, ic.initiating_country, CASE WHEN d.doc_id % 3 = 0 THEN 'a project' ELSE 'an event' END AS event_name, CAST(NULL AS VARCHAR) AS projects, CAST(NULL AS VARCHAR) AS reason

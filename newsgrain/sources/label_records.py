@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.store import written
 
 # The labels of an extraction pass, in export order
 EXTRACTION = ("salience-justification", "salience-bool", "category", "category-justification", "subcategory", "initiating-country", "recipient-country", "projects", "lat-long", "location", "monetary-commitment", "distilled-text", "event-name")
@@ -113,18 +114,27 @@ def documents(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = parsed.withColumn("date", C.parse_flexible_date(F.col("start")))
     untyped = F.exists(F.coalesce("pairs", F.array().cast(PAIRS)), lambda p: p["type"].isNull())
     d = d.withColumn("reason", F.coalesce("reason", F.when(F.col("date").isNull(), "unreadable date").when(untyped, "label without a type")))
-    read = d.where("reason IS NULL").withColumn("turn", F.row_number().over(W.partitionBy("file", "doc_id").orderBy("at")))
+    turn = F.row_number().over(W.partitionBy("file", "doc_id", "reason").orderBy("at"))
+    d = d.withColumn("turn", turn).drop("file", "at", "start")
+    # documents and both kinds of rejects ask it, so files are read and parsed once
+    d, _ = written(d, "label-records")
+    read = d.where("reason IS NULL")
     named = F.transform("pairs", lambda p: F.struct(F.replace(p["type"], F.lit("-"), F.lit("_")).alias("name"), p["type"].alias("type"), C.normalize_na(p["value"]).alias("value")))
-    ok = read.where("turn = 1").withColumn("pairs", F.coalesce(named, F.array().cast("array<struct<name:string,type:string,value:string>>")))
+    ok = read.where("turn = 1").withColumn("pairs", F.reverse(F.coalesce(named, F.array().cast("array<struct<name:string,type:string,value:string>>"))))
     events = ("event-name", "project-name", "projects")
-
-    def last(name: str, by: str = "name") -> Column:
-        """The last label of a name as a struct; null if there is none."""
-        return F.try_element_at(F.filter("pairs", lambda p: (p[by] == name) & ~p["type"].isin(*(events if by == "name" else ()))), F.lit(-1))
-
-    field = lambda name: F.when(last(name).isNotNull(), last(name)["value"]).otherwise(F.col(name)).alias(name)
-    event = {t: last(t, "type")["value"] for t in events}
-    out = ok.select("doc_id", "date", *map(field, FIELDS), *[last(name)["value"].alias(name) for name in LABELS], F.coalesce(*event.values()).alias("event_name"), event["project-name"].alias("project_name"), event["projects"].alias("projects"))
+    # names and values from the last to the first, so that the first place of a name is its last label
+    own, other = F.filter("pairs", lambda p: ~p["type"].isin(*events)), F.filter("pairs", lambda p: p["type"].isin(*events))
+    ok = ok.withColumns({"_own": own, "_other": other}).drop("pairs")
+    ok = ok.withColumns({"_names": F.transform("_own", lambda p: p["name"]), "_values": F.transform("_own", lambda p: p["value"]), "_types": F.transform("_other", lambda p: p["type"]), "_events": F.transform("_other", lambda p: p["value"])})
+
+    def last(name: str, names: str = "_names", values: str = "_values") -> Column:
+        """The value of the last label of a name; null if there is none."""
+        at = F.array_position(names, F.lit(name))
+        return F.when(at > 0, F.get(values, (at - 1).cast("int")))
+
+    field = lambda name: F.when(F.array_position("_names", F.lit(name)) > 0, last(name)).otherwise(F.col(name)).alias(name)
+    event = {t: last(t, "_types", "_events") for t in events}
+    out = ok.select("doc_id", "date", *map(field, FIELDS), *[last(name).alias(name) for name in LABELS], F.coalesce(*event.values()).alias("event_name"), event["project-name"].alias("project_name"), event["projects"].alias("projects"))
     again = read.where("turn > 1").select("doc_id", F.lit("duplicate doc_id within file").alias("reason"))
     return out, d.where("reason IS NOT NULL").select("doc_id", "reason").unionByName(again)
 

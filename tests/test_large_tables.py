@@ -10,6 +10,7 @@ import pytest
 
 from newsgrain.operators import construct, graph, quality
 from newsgrain.operators.fact_store import FactStore
+from newsgrain.operators.store import children
 from newsgrain.plans import queries_more as more
 from newsgrain.plans.model import Model
 
@@ -79,3 +80,17 @@ def parts_of(links, level):
             if d <= level:
                 out[a] = out[b] = min(out[a], out[b])
     return {i: x for i, x in out.items() if i != x}
+
+
+@given
+def test_label_records_are_read_once_in_many_files(spark, monkeypatch):
+    from newsgrain.plans import registry
+    from newsgrain.sources import label_records
+
+    files, inputs = [], label_records.read_packed_labels_csv
+    monkeypatch.setattr(label_records, "read_packed_labels_csv", lambda s, where: files.extend(children(s, where)) or inputs(s, where))
+    m = Model(spark, SF)
+    plan = registry.QUERIES["read_packed_labels_csv"](spark, SF)
+    tasks = m.d.select("doc_id").rdd.getNumPartitions()
+    assert tasks > 1 and sum(f.endswith(".csv") for f in files) == tasks
+    assert "FileScan csv" not in plan._jdf.queryExecution().executedPlan().toString()
