@@ -8,9 +8,9 @@ import random
 
 import pytest
 
-from newsgrain.operators import construct, graph, quality
+from newsgrain.operators import construct, graph, quality, retrieval
 from newsgrain.operators.fact_store import FactStore
-from newsgrain.operators.store import children
+from newsgrain.operators.store import children, written
 from newsgrain.plans import queries_more as more
 from newsgrain.plans.model import Model
 
@@ -94,3 +94,24 @@ def test_label_records_are_read_once_in_many_files(spark, monkeypatch):
     tasks = m.d.select("doc_id").rdd.getNumPartitions()
     assert tasks > 1 and sum(f.endswith(".csv") for f in files) == tasks
     assert "FileScan csv" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyword_search_scores_copies_once(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdef", k=rng.randint(1, 4))) for _ in range(12)]
+    docs = {i: rng.choice(texts) for i in range(200)}
+    asked = {q: " ".join(rng.sample("abcdef", rng.randint(1, 2))) for q in range(30)} | {30: "zz", 31: ""}
+    postings = retrieval.build_postings(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "doc_id", {"text": "B"})
+    held = []
+    monkeypatch.setattr(retrieval, "written", lambda df, label: held.append(written(df, label)) or held[-1])
+    rows = retrieval.keyword_search(spark.createDataFrame(list(asked.items()), "query_id long, query string"), postings, postings.groupBy("doc_id").agg({"tf": "sum"}).toDF("doc_id", "n_tokens"), 5).collect()
+    words = {i: t.split() for i, t in docs.items()}
+    mean, df = sum(map(len, words.values())) / 200, lambda t: sum(t in w for w in words.values())
+    want = []
+    for q, text in asked.items():
+        need = set(text.split())
+        found = {i: round(sum(math.log(1 + (200 - df(t) + 0.5) / (df(t) + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in sorted(need)), 6) for i, w in words.items() if need and need <= set(w)}
+        want += [(q, i, found[i], r + 1) for r, i in enumerate(sorted(found, key=lambda i: (-found[i], i))[:5])]
+    assert sorted((r.query_id, r.doc_id, pytest.approx(r.score, abs=2e-6), r.rank) for r in rows) == sorted(want)
+    kinds = len({tuple(sorted(w)) for w in words.values()})
+    assert held[0][0].count() <= 5 * kinds < 200
