@@ -83,10 +83,11 @@ def dedupe_fuzzy_names(names: DataFrame, threshold: float = 0.78) -> DataFrame:
     """names: name, rank (a name once). In order of rank, a name stays unless it resembles one that stayed. In rounds: a name all of whose better-ranked likes are gone stays, and its worse-ranked likes
     go; each round decides the best-ranked name of every group of likes at least, and is written to the shared folder."""
     spark = names.sparkSession
+    names, first = written(names.select("name", "rank"), "names")  # every step asks them again
     ranked = lambda c, r: names.select(F.col("name").alias(c), F.col("rank").alias(r))
     edges = like_by_edits(names, threshold).join(ranked("x", "rx"), "x").join(ranked("y", "ry"), "y").where("rx < ry OR rx = ry AND x < y").select("x", "y")
     edges, at = written(edges, "likes")
-    places, gone, left = [at], None, edges
+    places, gone, left = [first, at], None, edges
     while not left.isEmpty():
         kept = left.select(F.col("x").alias("name")).distinct().join(left.select(F.col("y").alias("name")), "name", "left_anti")
         now = left.join(kept.withColumnRenamed("name", "x"), "x", "left_semi").select(F.col("y").alias("name")).distinct()
