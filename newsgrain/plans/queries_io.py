@@ -137,8 +137,9 @@ def stream_ingest_files(m: Model):
     sink = jobs.LedgerSink(m.spark, new_dir(m.spark, "taken"), "doc_id long, label string")
     rows = m.cat.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("category")), "; ").alias("labels")).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     rows.repartition(4, "doc_id").write.parquet(source)
-    again = rows.select("doc_id", F.concat("labels", F.lit("; late")).alias("labels"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
-    for _ in range(2):
-        jobs.stream_ingest_files(m.spark, source, rows.schema, sink, at).awaitTermination()
-        again.coalesce(1).write.mode("append").parquet(source)
+    held = m.spark.read.schema(rows.schema).parquet(source)  # the four files
+    again = held.select("doc_id", F.concat("labels", F.lit("; late")).alias("labels"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
+    jobs.stream_ingest_files(m.spark, source, rows.schema, sink, at).awaitTermination()
+    again.coalesce(1).write.mode("append").parquet(source)
+    jobs.stream_ingest_files(m.spark, source, rows.schema, sink, at).awaitTermination()
     return sink.read()

@@ -10,6 +10,7 @@ import pytest
 
 from newsgrain.operators import construct, graph, quality, retrieval
 from newsgrain.operators.fact_store import FactStore
+from newsgrain.operators.names import dedupe_fuzzy_names
 from newsgrain.operators.store import children, written
 from newsgrain.plans import queries_more as more
 from newsgrain.plans.model import Model
@@ -84,7 +85,7 @@ def parts_of(links, level):
 
 @given
 def test_label_records_are_read_once_in_many_files(spark, monkeypatch):
-    from newsgrain.plans import registry
+    from newsgrain.plans import queries_io, registry  # noqa: F401
     from newsgrain.sources import label_records
 
     files, inputs = [], label_records.read_packed_labels_csv
@@ -115,3 +116,30 @@ def test_keyword_search_scores_copies_once(spark, monkeypatch):
     assert sorted((r.query_id, r.doc_id, pytest.approx(r.score, abs=2e-6), r.rank) for r in rows) == sorted(want)
     kinds = len({tuple(sorted(w)) for w in words.values()})
     assert held[0][0].count() <= 5 * kinds < 200
+
+
+def test_fuzzy_names_ask_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    names = [(f"name of {i} kinds", i) for i in range(1000, 1060)] + [("altogether else", 9)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(names, 2).mapPartitions(told), "name string, rank long")
+    assert sorted(r.rank for r in dedupe_fuzzy_names(df, 0.85).collect()) == [9, 1000]
+    assert seen.value == len(names)
+
+
+@given
+def test_late_stream_files_come_from_the_first(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from newsgrain.plans import queries_io, registry  # noqa: F401
+
+    plans = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *args, write=DataFrameWriter.parquet, **named: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or write(self, path, *args, **named))
+    assert registry.QUERIES["stream_ingest_files"](spark, SF).count() == Model(spark, SF).cat.count()
+    late = [p for p in plans if "; late" in p and "LogicalRDD" not in p]
+    assert len(late) == 1 and "Aggregate" not in late[0]  # one task writes it, and groups nothing
