@@ -143,3 +143,22 @@ def test_late_stream_files_come_from_the_first(spark, monkeypatch):
     assert registry.QUERIES["stream_ingest_files"](spark, SF).count() == Model(spark, SF).cat.count()
     late = [p for p in plans if "; late" in p and "LogicalRDD" not in p]
     assert len(late) == 1 and "Aggregate" not in late[0]  # one task writes it, and groups nothing
+
+
+def shuffles(plan):
+    """Exchanges of rows by key in a physical plan."""
+    return str(plan._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
+
+
+@given
+def test_facts_are_shuffled_once_and_not_sorted(spark, monkeypatch, tmp_path):
+    from pyspark.sql import DataFrameWriter
+
+    plans = []
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, *args, write=DataFrameWriter.saveAsTable: plans.append(shuffles(self._df)) or write(self, *args))
+    monkeypatch.setattr(DataFrameWriter, "sortBy", lambda self, *columns: pytest.fail("sorted"))
+    m = Model(spark, SF)
+    m.facts = FactStore(spark, f"file://{tmp_path}/facts")
+    assert m.rc.count() == m._rc().distinct().count() < m._rc().count()
+    assert m.cat.count() == m._cat().distinct().count() < m._cat().count()
+    assert plans == [1, 1]
