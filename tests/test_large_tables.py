@@ -162,3 +162,16 @@ def test_facts_are_shuffled_once_and_not_sorted(spark, monkeypatch, tmp_path):
     assert m.rc.count() == m._rc().distinct().count() < m._rc().count()
     assert m.cat.count() == m._cat().distinct().count() < m._cat().count()
     assert plans == [1, 1]
+
+
+def test_files_of_records_are_parsed_once(spark, tmp_path):
+    from newsgrain.sources import label_records
+
+    (tmp_path / "a.json").write_text('[{"id": "1"}, {"id": "2"}]')
+    (tmp_path / "b.json").write_text('[[{"id": "3"}], []]')
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text('{"id": "4"}')
+    found = label_records.label_files(spark, str(tmp_path))
+    assert sorted(r.record for r in found.collect()) == ['{"id": "4"}', '{"id":"1"}', '{"id":"2"}', '{"id":"3"}']
+    filters = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
+    assert not any("from_json" in x for x in filters)
\ No newline at end of file
