@@ -72,14 +72,19 @@ def posting_blocks(docs: DataFrame, id_: str, fields: Mapping[str, float], terms
     return docs.select(F.col(id_).alias("id"), *[F.lower(c).alias(f"f{i}") for i, c in enumerate(fields)]).mapInArrow(run, out)
 
 
+def add_counts(total: np.ndarray, blocks: pa.RecordBatch) -> None:
+    """Adds the documents of each term of some blocks, which are taken as they lie in the batch: as numbers of Python all blocks of a task would take several times their memory."""
+    for terms, ends in zip(blocks.column("terms"), blocks.column("ends"), strict=True):
+        total[terms.values.to_numpy()] += np.diff(ends.values.to_numpy(), prepend=0)
+
+
 def document_counts(blocks: DataFrame, n_terms: int) -> np.ndarray:
     """How many documents have each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_terms, np.int64)
         for b in batches:
-            for terms, ends in zip(b.column("terms").to_pylist(), b.column("ends").to_pylist(), strict=True):
-                total[np.asarray(terms, np.int64)] += np.diff(np.asarray(ends, np.int64), prepend=0)
+            add_counts(total, b)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["term", "df"])
 

@@ -8,7 +8,7 @@ import random
 
 import pytest
 
-from newsgrain.operators import construct, graph, quality, retrieval
+from newsgrain.operators import construct, graph, posting_blocks, quality, retrieval
 from newsgrain.operators.fact_store import FactStore
 from newsgrain.operators.names import dedupe_fuzzy_names
 from newsgrain.operators.store import children, written
@@ -174,4 +174,20 @@ def test_files_of_records_are_parsed_once(spark, tmp_path):
     found = label_records.label_files(spark, str(tmp_path))
     assert sorted(r.record for r in found.collect()) == ['{"id": "4"}', '{"id":"1"}', '{"id":"2"}', '{"id":"3"}']
     filters = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
-    assert not any("from_json" in x for x in filters)
\ No newline at end of file
+    assert not any("from_json" in x for x in filters)
+
+
+def test_counts_of_blocks_take_no_more_than_the_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    terms, ends = [list(range(i, 30000, 3)) for i in range(3)] * 10, [list(range(1, 10001))] * 30
+    batch = pa.record_batch({"terms": pa.array([*terms, []], pa.list_(pa.int32())), "ends": pa.array([*ends, []], pa.list_(pa.int64()))})
+    total = np.zeros(30000, np.int64)
+    tracemalloc.start()
+    posting_blocks.add_counts(total, batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (total == 10).all() and most < batch.nbytes
\ No newline at end of file
