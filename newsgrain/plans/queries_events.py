@@ -21,7 +21,8 @@ U = ("fdocs", "rc", "cat")
 
 
 def docs(m: Model):
-    return E.filtered(E.family_docs(m.ce, m.event_docs), m.rc, m.cat, None, m.scope.groups["first five"], m.scope.categories)
+    # documents are chosen while they lie in their buckets, and families are joined afterwards
+    return E.family_docs(m.ce, E.filtered(m.event_docs, m.rc, m.cat, None, m.scope.groups["first five"], m.scope.categories))
 
 
 query("event_family", "SELECT * FROM fam", "fam")(lambda m: E.event_family(m.ce))
@@ -192,7 +193,7 @@ FROM raw_events r JOIN d ON d.doc_id = r.doc_id JOIN ic ON ic.doc_id = r.doc_id
 WHERE ic.initiating_country IN {INF} AND EXISTS (SELECT 1 FROM rc
   WHERE rc.doc_id = r.doc_id AND rc.recipient_country IN {REC}) AND NOT EXISTS (SELECT 1
   FROM rc WHERE rc.doc_id = r.doc_id AND rc.recipient_country = ic.initiating_country)""", "raw_events", "d", "rc")(
-    lambda m: m.raw_events.join(m.d.select("doc_id", "date"), "doc_id")
+    lambda m: m._raw_events().select("doc_id", "event_name").join(m.d.select("doc_id", "date"), "doc_id")
     .join(m.ic.where(F.col("initiating_country").isin(*m.scope.influencers)), "doc_id")
     .join(m.rc.where(F.col("recipient_country").isin(*m.scope.recipients)).select("doc_id"), "doc_id", "left_semi")
     .join(m.rc.withColumnRenamed("recipient_country", "initiating_country"), ["doc_id", "initiating_country"], "left_anti")

@@ -190,4 +190,11 @@ def test_counts_of_blocks_take_no_more_than_the_batch():
     posting_blocks.add_counts(total, batch)
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert (total == 10).all() and most < batch.nbytes
\ No newline at end of file
+    assert (total == 10).all() and most < batch.nbytes
+
+
+@given
+def test_mentions_lie_by_document(spark):
+    m = Model(spark, SF)
+    assert shuffles(m.event_docs) == shuffles(m.den) == 0
+    assert m.event_docs.count() == m._dem_docs().select("canonical_event_id", "mention_date", "doc_id").distinct().count()
