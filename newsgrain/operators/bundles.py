@@ -132,25 +132,30 @@ def rollup(docs: DataFrame, keys: Sequence[str], dims: dict[str, tuple[DataFrame
     how many of the largest). scores: keys, period_type, material_score, of the group's events; bins are half points, half to even."""
     keys = list(keys)
     one = docs.groupBy(*keys, "doc_id").agg(F.min("date").alias("date"), F.min("source_name").alias("source_name"))
-    g = one.groupBy(*keys).agg(F.count("*").alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day")).where(F.col("n") >= least)
-    some = one.join(g.select(*keys), keys, "left_semi")
+    # groups, sources and months are sums over these, so documents are read once for the three
+    cells = one.groupBy(*keys, "source_name", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+    cells, _ = written(cells, "cells")
+    g = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day")).where(F.col("n") >= least)
 
     def counted(df: DataFrame, name: str, key: Column, k: int | None = None, n: Column | None = None) -> DataFrame:
         c = df.groupBy(*keys, key.cast("string").alias("key")).agg((n if n is not None else F.count("*")).alias("n")).where("key IS NOT NULL")
+        # groups are chosen after counting: few rows meet then
+        c = c.join(g.select(*keys), keys, "left_semi")
         if k:
             c = c.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "key"))).where(F.col("r") <= k).drop("r")
         return c.select(*keys, F.lit(name).alias("section"), "key", "n")
 
-    s = scores.join(g.select(*keys), keys, "left_semi").withColumn("s", F.col("material_score").cast("double"))
-    stats = s.groupBy(*keys).agg(F.round(F.avg("s"), 6).alias("mean_score"), F.percentile("s", F.lit(0.5)).alias("median_score"))
+    s = scores.withColumn("s", F.col("material_score").cast("double")).groupBy(*keys, "period_type", "s").agg(F.count("*").alias("n"))
+    s, _ = written(s, "scores")  # three sections ask it
+    stats = s.groupBy(*keys).agg(F.round(F.sum(F.col("s") * F.col("n")) / F.sum(F.when(F.col("s").isNotNull(), F.col("n"))), 6).alias("mean_score"), F.percentile("s", F.lit(0.5), F.col("n")).alias("median_score"))
     total = g.join(stats, keys, "left").select(*keys, F.lit("total").alias("section"), F.lit("documents").alias("key"), "n", "first_day", "last_day", "mean_score", "median_score")
     return stacked([
         total,
-        *[counted(some.select(*keys, "doc_id").join(b, "doc_id"), name, F.col(c), k) for name, (b, c, k) in dims.items()],
-        counted(some, "source", F.col("source_name"), 30),
-        counted(some, "month", F.date_format("date", "yyyy-MM")),
-        counted(s, "events", F.col("period_type")),
-        counted(s.where("s IS NOT NULL"), "score", (F.bround(F.col("s") * 2) / 2).cast("decimal(3,1)")),
+        *[counted(one.select(*keys, "doc_id").join(b, "doc_id"), name, F.col(c), k) for name, (b, c, k) in dims.items()],
+        counted(cells, "source", F.col("source_name"), 30, F.sum("n")),
+        counted(cells, "month", F.col("month"), n=F.sum("n")),
+        counted(s, "events", F.col("period_type"), n=F.sum("n")),
+        counted(s.where("s IS NOT NULL"), "score", (F.bround(F.col("s") * 2) / 2).cast("decimal(3,1)"), n=F.sum("n")),
     ])
 
 

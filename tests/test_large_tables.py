@@ -8,7 +8,7 @@ import random
 
 import pytest
 
-from newsgrain.operators import construct, graph, posting_blocks, quality, retrieval
+from newsgrain.operators import bundles, construct, graph, posting_blocks, quality, retrieval
 from newsgrain.operators.fact_store import FactStore
 from newsgrain.operators.names import dedupe_fuzzy_names
 from newsgrain.operators.store import children, written
@@ -177,6 +177,40 @@ def test_files_of_records_are_parsed_once(spark, tmp_path):
     assert not any("from_json" in x for x in filters)
 
 
+def test_rollup_reads_documents_once_for_its_own_columns(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    rng = random.Random(5)
+    day = lambda: datetime.date(2024, rng.randint(1, 3), rng.randint(1, 28))
+    docs = {i: (day(), rng.choice(["s", "t", None])) for i in range(60)}
+    rows = [(rng.choice("AB") if i % 9 else "C", i, *docs[i]) for i in range(60) for _ in range(2)]
+    bridge = [(i, rng.choice("xyz")) for i in range(60)]
+    scores = [(k, p, rng.choice([None, 1.0, 2.5, 4.0])) for k in "ABD" for p in ("daily", None) for _ in range(7)]
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).mapPartitions(told), "k string, doc_id long, date date, source_name string")
+    out = bundles.rollup(d, ["k"], {"kind": (spark.createDataFrame(bridge, "doc_id long, kind string"), "kind", 2)}, spark.createDataFrame(scores, "k string, period_type string, material_score double"), 10)
+    got = {(r.k, r.section, r.key): r.n for r in out.collect()}
+    totals = {r.k: (r.n, r.first_day, r.last_day, r.mean_score, r.median_score) for r in out.where("section = 'total'").collect()}
+    assert seen.value == 2 * len(rows)  # once for groups, sources and months, once with the bridge
+    of = {k: {i for x, i, *_ in rows if x == k} for k in "AB"}
+    for k, ids in of.items():
+        own, s = [docs[i] for i in ids], sorted(x for y, _, x in scores if y == k and x is not None)
+        middle = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+        assert totals.pop(k) == (len(ids), min(x for x, _ in own), max(x for x, _ in own), pytest.approx(sum(s) / len(s), abs=1e-6), middle)
+        for name in "st":
+            assert got.get((k, "source", name), 0) == sum(x == name for _, x in own)
+        for month in (1, 2, 3):
+            assert got.get((k, "month", f"2024-0{month}"), 0) == sum(x.month == month for x, _ in own)
+        kinds = sorted(((-sum(b == kind and i in ids for i, b in bridge), kind) for kind in "xyz"))[:2]
+        assert {(x[2], n) for x, n in got.items() if x[:2] == (k, "kind")} == {(kind, -n) for n, kind in kinds if n}
+        assert got[k, "events", "daily"] == 7 and sum(n for x, n in got.items() if x[:2] == (k, "score")) == len(s)
+    assert not totals
+
+
 def test_counts_of_blocks_take_no_more_than_the_batch():
     import tracemalloc
 
