@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .store import forget, written
-from .tiles import TILE, similar_pairs, unit
+from .tiles import TILE, least_links, similar_pairs, unit
 
 __all__ = ["similar_pairs"]
 
@@ -120,7 +120,7 @@ def ego_subgraph_betweenness(edges: DataFrame, actor: str, top: int = 40) -> Dat
 
 def cluster_by_cosine(vectors: DataFrame, block: list[str], threshold: float) -> DataFrame:
     """vec_id, cluster: components of the similarity graph inside blocks; a vector alone is its own cluster."""
-    comp = connected_components(similar_pairs(vectors, block, threshold).select("a", "b"))
+    comp = connected_components(similar_pairs(vectors, block, threshold, links=True).select("a", "b"))
     return vectors.select(*block, "vec_id").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left").select(*block, "vec_id", F.coalesce("component", "vec_id").alias("cluster"))
 
 
@@ -207,28 +207,6 @@ def shared_counts(docs: pa.ListArray, left: np.ndarray, right: np.ndarray, most:
     return many, out.reshape(len(left), len(right))
 
 
-def least_links(w: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (row, column) of a minimum spanning forest of the links of weights w (inf: none), grown node by node. Rows and columns are the same nodes if alone, else all different ones."""
-    rows, columns = w.shape
-    nodes = rows if alone else rows + columns
-    best, come, free = np.full(nodes, np.inf), np.zeros(nodes, np.int64), np.ones(nodes, bool)
-    links, now = [], 0
-    for _ in range(nodes):
-        free[now], best[now] = False, np.inf
-        to, row = (slice(0, rows), w[now]) if alone else (slice(rows, nodes), w[now]) if now < rows else (slice(0, rows), w[:, now - rows])
-        nearer = (row < best[to]) & free[to]
-        best[to][nearer], come[to][nearer] = row[nearer], now
-        now = int(best.argmin())
-        if best[now] < np.inf:
-            links.append((come[now], now))
-        elif free.any():
-            now = int(free.argmax())
-        else:
-            break
-    x, y = np.array(links, np.int64).reshape(-1, 2).T
-    return (x, y) if alone else (np.minimum(x, y), np.maximum(x, y) - rows)
-
-
 def consolidate(distances: DataFrame, nodes: DataFrame, cut: float) -> DataFrame:
     """id, master: components of pairs under the cut; the master has most articles, then most days, then the smallest id."""
     return led(nodes, distances.where(F.col("distance") < cut).select("a", "b"), [-F.col("articles"), -F.col("days")])
@@ -244,7 +222,7 @@ def led(nodes: DataFrame, edges: DataFrame, order: list, id_: str = "id") -> Dat
 
 def consolidate_entities(entities: DataFrame, block: list[str], threshold: float) -> DataFrame:
     """vec_id, master: components of entities alike by cosine in a block (country and type); the one with most documents leads. entities: vec_id, embedding, n_docs and the block's columns."""
-    return led(entities.select("vec_id", "n_docs"), similar_pairs(entities, block, threshold).select("a", "b"), [-F.col("n_docs")], "vec_id")
+    return led(entities.select("vec_id", "n_docs"), similar_pairs(entities, block, threshold, links=True).select("a", "b"), [-F.col("n_docs")], "vec_id")
 
 
 def merge_canonical_entities(den: DataFrame, masters: DataFrame, rc: DataFrame, cat: DataFrame, events: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ query("cosine_similarity", VP + " SELECT * FROM q", "vectors")(near)
 query("connected_components", "RECURSIVE " + VP + """, s AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT a AS node, a AS m
   FROM s UNION SELECT s.a, r.m FROM r JOIN s ON s.b = r.node) SELECT node, min(m) AS component
 FROM r GROUP BY 1""", "vectors")(
-    lambda m: G.connected_components(near(m)))
+    lambda m: G.connected_components(G.similar_pairs(m.vectors, ["country"], 0.35, links=True)))
 query("residual_duplicates", VP + """ SELECT q.a, q.b, q.cosine FROM q JOIN vectors x ON x.vec_id = q.a
 JOIN vectors y ON y.vec_id = q.b WHERE greatest(x.day - y.day, y.day - x.day) <= 10""", "vectors")(
     lambda m: G.residual_duplicates(near(m), m.vectors.select(F.col("vec_id").alias("id"), F.col("day").alias("first_day"), F.col("day").alias("last_day")), 10))

@@ -12,6 +12,7 @@ from newsgrain.operators import bundles, construct, graph, posting_blocks, quali
 from newsgrain.operators.fact_store import FactStore
 from newsgrain.operators.names import dedupe_fuzzy_names
 from newsgrain.operators.store import children, written
+from newsgrain.operators.tiles import similar_pairs
 from newsgrain.plans import queries_more as more
 from newsgrain.plans.model import Model
 
@@ -227,6 +228,18 @@ def test_counts_of_blocks_take_no_more_than_the_batch():
     assert (total == 10).all() and most < batch.nbytes
 
 
+def test_components_take_few_pairs_of_a_tile(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("AB"), i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "block string, vec_id long, embedding array<double>")
+    for size in (16, 1024):
+        every = [(r.a, r.b) for r in similar_pairs(df, ["block"], 0.9, size).collect()]
+        few = [(r.a, r.b) for r in similar_pairs(df, ["block"], 0.9, size, links=True).collect()]
+        assert set(few) <= set(every) and len(few) == len(set(few)) and all(a < b for a, b in few)
+        assert parts_of(dict.fromkeys(few, 0), 0) == parts_of(dict.fromkeys(every, 0), 0)
+    assert len(few) < len(rows) < len(every)
+
+
 @given
 def test_mentions_lie_by_document(spark):
     m = Model(spark, SF)
