@@ -31,6 +31,12 @@ def entity_pairs(e: DataFrame, tile: int) -> DataFrame:
     return j.where("_own <> _other OR (_i = _own AND _j = _own)").select("initiating_country", "a", "b", "doc_id")
 
 
+def entity_weights(den: DataFrame, least: int = 2, tile: int = 256) -> DataFrame:
+    """initiating_country, a, b, weight: the edges of entity_cooccurrence without what is told about their documents. Pairs are counted before the shuffle, and shuffled once."""
+    e = den.select("initiating_country", "entity", "doc_id").distinct()
+    return entity_pairs(e, tile).groupBy("initiating_country", "a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+
+
 def entity_cooccurrence(den: DataFrame, d: DataFrame, cat: DataFrame, least: int = 2, most_docs: int = 100, most_entities: int | None = None, tile: int = 256) -> DataFrame:
     """Per country, pairs of entities (a < b) with at least `least` shared documents: weight, up to most_docs document ids (the smallest), and from these the first and last day and a count map by category.
     den: initiating_country, entity, doc_id of master entities. most_entities leaves out documents with more entities than that; none are left out by default. Weights are counted before the shuffle, and

@@ -245,3 +245,14 @@ def test_mentions_lie_by_document(spark):
     m = Model(spark, SF)
     assert shuffles(m.event_docs) == shuffles(m.den) == 0
     assert m.event_docs.count() == m._dem_docs().select("canonical_event_id", "mention_date", "doc_id").distinct().count()
+
+
+def test_weights_of_edges_without_their_documents(spark):
+    rng = random.Random(4)
+    den = spark.createDataFrame([(rng.choice("AB"), rng.choice("pqrstuvw"), rng.randint(1, 40)) for _ in range(300)], "initiating_country string, entity string, doc_id long")
+    d = spark.createDataFrame([(i, datetime.date(2024, 1, 1)) for i in range(1, 41)], "doc_id long, date date")
+    cat = spark.createDataFrame([(i, "x") for i in range(1, 41, 2)], "doc_id long, category string")
+    want = {(r.initiating_country, r.a, r.b): r.weight for r in graph.entity_cooccurrence(den, d, cat).collect()}
+    got = graph.entity_weights(den, tile=3)
+    assert {(r.initiating_country, r.a, r.b): r.weight for r in got.collect()} == want and want
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
