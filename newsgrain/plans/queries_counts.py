@@ -125,8 +125,13 @@ PRB = """pb AS (SELECT d.doc_id, d.date, CAST(date_trunc('month', d.date) AS DAT
   JOIN cat ON cat.doc_id = d.doc_id WHERE ic.initiating_country = 'NATION_7' AND rc.recipient_country IN {REC} AND cat.category IN {CAT} AND ic.initiating_country <> rc.recipient_country AND d.date >= DATE '1996-01-01' AND d.date < DATE '2001-01-01')"""
 
 
-def partner(m: Model):
-    return P.partner_report_base(m.d, m.ic, m.rc, m.cat, m.scope, "NATION_7", ["NATION_24"], ["NATION_7", "NATION_8"])
+def partner(m: Model, *facts: DataFrame):
+    """Asks for one country only, and so takes no facts of all documents, unless a query has them anyway."""
+    return P.partner_report_base(*(facts or m.of_initiator("NATION_7", m.scope)), m.scope, "NATION_7", ["NATION_24"], ["NATION_7", "NATION_8"])
+
+
+def both(m: Model):
+    return partner(m, m.d, m.ic, m.rc, m.cat)
 
 
 query("partner_report_base", PRB + " SELECT * FROM pb", "d", "rc", "cat")(partner)
@@ -139,7 +144,7 @@ query("tug_of_war", PRB + """, p AS (SELECT recipient_country, count(DISTINCT do
   FROM (SELECT recipient_country, initiating_country, count(DISTINCT doc_id) AS n FROM rb GROUP BY 1, 2)
   GROUP BY 1) SELECT p.recipient_country, partner_docs, rival_docs
 FROM p JOIN r ON p.recipient_country = r.recipient_country WHERE greatest(partner_docs, rival_docs) > 10""", "rb")(
-    lambda m: P.tug_of_war(partner(m), base(m), 10))
+    lambda m: P.tug_of_war(both(m), base(m), 10))
 query("signature_vs_peers", """g AS (SELECT initiating_country, category, count(DISTINCT doc_id) AS n
   FROM rb GROUP BY 1, 2), s AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY initiating_country) AS DOUBLE) AS share
   FROM g) SELECT initiating_country, category, round(share, 6) AS share, round(share - avg(share) OVER (PARTITION BY category), 6) AS vs_peers
@@ -148,7 +153,7 @@ FROM s""", "rb")(
 query("union_actors", PRB + """ SELECT 'NATION_7' AS initiating_country, recipient_country, category, count(DISTINCT doc_id) AS n_docs
 FROM pb GROUP BY ALL UNION ALL SELECT initiating_country, recipient_country, category, count(DISTINCT doc_id)
 FROM rb GROUP BY ALL""", "rb")(
-    lambda m: N.count_docs(base(m).select("doc_id", "initiating_country", "recipient_country", "category").unionByName(partner(m).select("doc_id", F.lit("NATION_7").alias("initiating_country"), "recipient_country", "category"), allowMissingColumns=True), ["initiating_country", "recipient_country", "category"])
+    lambda m: N.count_docs(base(m).select("doc_id", "initiating_country", "recipient_country", "category").unionByName(both(m).select("doc_id", F.lit("NATION_7").alias("initiating_country"), "recipient_country", "category"), allowMissingColumns=True), ["initiating_country", "recipient_country", "category"])
 )
 LED = """e AS (SELECT * FROM ce WHERE initiating_country IN {INF}),
 r AS (SELECT x.id, string_agg(DISTINCT x.c, ',' ORDER BY x.c) AS recipients, CAST(sum(x.n) AS BIGINT) AS recipient_mentions FROM (SELECT id, n, CASE WHEN key = 'NATION_18' THEN 'NATION_17' ELSE key END AS c FROM rcounts WHERE key IN {REC}) x JOIN e ON e.id = x.id WHERE x.c <> e.initiating_country GROUP BY 1),

@@ -11,8 +11,9 @@ import pytest
 from newsgrain.operators import bundles, construct, graph, posting_blocks, quality, retrieval
 from newsgrain.operators.fact_store import FactStore
 from newsgrain.operators.names import dedupe_fuzzy_names
-from newsgrain.operators.store import children, written
+from newsgrain.operators.store import children, exists, written
 from newsgrain.operators.tiles import similar_pairs
+from newsgrain.plans import queries_counts as counts
 from newsgrain.plans import queries_more as more
 from newsgrain.plans.model import Model
 
@@ -256,3 +257,16 @@ def test_weights_of_edges_without_their_documents(spark):
     got = graph.entity_weights(den, tile=3)
     assert {(r.initiating_country, r.a, r.b): r.weight for r in got.collect()} == want and want
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@given
+def test_partner_report_takes_no_facts_of_all_documents(spark, tmp_path):
+    where = f"file://{tmp_path}/sf"
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{where}/{t}.parquet")
+    m = Model(spark, where)
+    got = counts.partner(m)
+    assert not exists(spark, m.facts.path)
+    # the same rows as from facts, and each line's names once
+    want = counts.both(m)
+    assert want.count() == got.count() > 0 and got.exceptAll(want).isEmpty()
