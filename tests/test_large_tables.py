@@ -7,6 +7,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsgrain.operators import bundles, construct, graph, posting_blocks, quality, retrieval
 from newsgrain.operators.fact_store import FactStore
@@ -15,6 +16,8 @@ from newsgrain.operators.store import children, exists, written
 from newsgrain.operators.tiles import similar_pairs
 from newsgrain.plans import queries_counts as counts
 from newsgrain.plans import queries_more as more
+from newsgrain.plans import queries_text as text
+from newsgrain.plans import registry
 from newsgrain.plans.model import Model
 
 SF = "/root/testdata/sf0.001"
@@ -270,3 +273,22 @@ def test_partner_report_takes_no_facts_of_all_documents(spark, tmp_path):
     # the same rows as from facts, and each line's names once
     want = counts.both(m)
     assert want.count() == got.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+@given
+def test_day_pack_takes_numbers_for_names(spark, tmp_path):
+    where = f"file://{tmp_path}/sf"
+    for t in ("customer", "supplier", "orders", "lineitem"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{where}/{t}.parquet")
+    # names on both sides of ZZZ, missing ones, and documents without lines
+    spark.read.parquet(f"{SF}/nation.parquet").withColumn("n_name", F.expr("CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'ZZZ' ELSE n_name END")).write.parquet(f"{where}/nation.parquet")
+    spark.read.parquet(f"{SF}/part.parquet").withColumn("p_type", F.expr("CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'zz' ELSE p_type END")).write.parquet(f"{where}/part.parquet")
+    m = Model(spark, where)
+    got = text.day_pack(m)
+    assert not exists(spark, m.facts.path)
+    assert "SortAggregate" not in got._jdf.queryExecution().toString()
+    duck = pytest.importorskip("duckdb").connect()
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/sf/{t}.parquet/*.parquet')")
+    want = duck.execute(registry.SQL["document_day_pack"]).fetchall()
+    assert sorted((r.date, r.doc_id, r.chunk) for r in got.collect()) == sorted(want) and want
