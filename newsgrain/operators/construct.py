@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import kmeans
 from .graph import led, similar_pairs
 from .store import forget, written
 
-#: Vectors a task of a fit.
-ROWS = 1024
+#: Vectors a task of a fit; themes that Spark's own fit is asked for.
+ROWS, MOST = 1024, 256
 
 
 def needs_review(clusters: DataFrame) -> DataFrame:
@@ -102,8 +103,9 @@ def keep_proposition(df: DataFrame, markers: str) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-def narrative_themes(vectors: DataFrame, k: int | None = None, parts: int = 50, seed: int = 42) -> DataFrame:
-    """vec_id, theme, coherence (mean cosine to the centroid, in the reduced space): unit vectors, PCA, k-means."""
+def narrative_themes(vectors: DataFrame, k: int | None = None, parts: int = 50, seed: int = 42, most: int = MOST) -> DataFrame:
+    """vec_id, theme, coherence (mean cosine to the centroid, in the reduced space): unit vectors, PCA, k-means. Spark's own k-means clusters candidates for its start on the driver, in time that grows with
+    the square of the themes; for more themes than `most`, seeds and steps are jobs (see kmeans)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, Normalizer
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -113,10 +115,16 @@ def narrative_themes(vectors: DataFrame, k: int | None = None, parts: int = 50,
     dealt = lambda df: df.repartition(max(1, -(-n // ROWS)), "vec_id").sortWithinPartitions("vec_id")
     unit = Normalizer(inputCol="v", outputCol="u").transform(dealt(vectors.select("vec_id", array_to_vector("embedding").alias("v"))))
     small, at = written(PCA(k=parts, inputCol="u", outputCol="p").fit(unit).transform(unit).select("vec_id", vector_to_array("p").alias("p")), "reduced")
-    small = dealt(small).select("vec_id", array_to_vector("p").alias("p"))
-    k = k or max(20, n // 25)
-    themed, _ = written(KMeans(k=k, seed=seed, featuresCol="p", predictionCol="theme").fit(small).transform(small).select("vec_id", "theme", vector_to_array("p").alias("p")), "themed")
-    forget(vectors.sparkSession, at)
+    k, places = k or max(20, n // 25), [at]
+    if k > most:
+        held, at = written(kmeans.blocks(dealt(small)), "blocks")
+        places.append(at)
+        themed = kmeans.assigned(small, kmeans.fit(held, k, seed), "theme")
+    else:
+        small = dealt(small).select("vec_id", array_to_vector("p").alias("p"))
+        themed = KMeans(k=k, seed=seed, featuresCol="p", predictionCol="theme").fit(small).transform(small).withColumn("p", vector_to_array("p"))
+    themed, _ = written(themed.select("vec_id", "theme", "p"), "themed")
+    forget(vectors.sparkSession, *places)
     mean = themed.select("theme", F.posexplode("p").alias("i", "x")).groupBy("theme", "i").agg(F.avg("x").alias("x")).groupBy("theme").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("c"))
     return themed.join(mean, "theme").select("vec_id", "theme", F.avg(C.cosine_similarity(F.col("p"), F.col("c"))).over(W.partitionBy("theme")).alias("coherence"))
 

@@ -9,7 +9,8 @@ import re
 import numpy as np
 import pytest
 
-from newsgrain.operators import construct
+from newsgrain.operators import construct, kmeans
+from newsgrain.operators.store import written
 
 DAY = dt.date(2024, 1, 1)
 
@@ -31,6 +32,53 @@ def test_coherence_of_themes(spark):
         assert all(got[i].coherence == pytest.approx(want, abs=1e-6) for i in range(theme, 120, 4))
 
 
+def test_many_themes_take_no_fit_on_the_driver(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    monkeypatch.setattr(KMeans, "fit", lambda *args: pytest.fail("seeds of this fit are clustered on the driver"))
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(300, 24))
+    v = np.array([centres[i % 300] + 0.02 * rng.normal(size=24) for i in range(7500)])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = construct.narrative_themes(df, parts=20).collect()  # 7,500 vectors are 300 themes
+    group = collections.defaultdict(set)
+    for r in got:
+        group[r.theme].add(r.vec_id % 300)
+    # nearly every theme is one planted group: k-means may join a few and split as many
+    assert len(got) == 7500 and sum(len(g) == 1 for g in group.values()) > 270 and len(set().union(*group.values())) == 300
+    assert all(r.coherence > 0.98 for r in got if len(group[r.theme]) == 1)
+    assert construct.narrative_themes(df, parts=20).exceptAll(spark.createDataFrame(got)).isEmpty()
+
+
+def test_kmeans_of_blocks(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(5000, 6))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, p array<double>").repartition(3, "vec_id").sortWithinPartitions("vec_id")
+    held, _ = written(kmeans.blocks(df), "blocks")
+    start = kmeans.seeds(held, 120, 1)
+    assert start.shape == (120, 6) and len({tuple(x) for x in start}) == 120 and {tuple(x) for x in start} <= {tuple(x) for x in v}
+    gaps = lambda c: ((v[:, None] - c[None]) ** 2).sum(axis=2)
+    # a step against a plain loop; a centre that nothing is near stays
+    far = np.concatenate([start, [[99.0] * 6]])
+    near = gaps(far).argmin(axis=1)
+    assert np.allclose(kmeans.stepped(held, far), [v[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(far)], atol=1e-12)
+    got = {r.vec_id: r.theme for r in kmeans.assigned(df, far, "theme").collect()}
+    assert [got[i] for i in range(5000)] == near.tolist()
+    # not worse than Spark's own fit
+    spark_fit = KMeans(k=120, seed=1, featuresCol="v").fit(df.select(array_to_vector("p").alias("v")))
+    assert gaps(kmeans.fit(held, 120, 1)).min(axis=1).sum() < 1.03 * gaps(np.array(spark_fit.clusterCenters())).min(axis=1).sum()
+
+
+def test_fewer_different_vectors_than_centres(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id long, p array<double>").repartition(2, "vec_id")
+    held, _ = written(kmeans.blocks(df), "blocks")
+    assert sorted(map(tuple, kmeans.fit(held, 20, 3))) == [(float(i), 1.0) for i in range(7)]
+    assert len(kmeans.fit(held.where("n < 0"), 20, 3)) == 0
+
+
 def test_theme_summary_and_campaigns(spark):
     rng = random.Random(6)
     said = ["trade", "port", "loan", "the", "of", "aid", "Summit", "grid", "x1"]
