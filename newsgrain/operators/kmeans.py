@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Vectors a block, proposals a round, centres a product.
 ROWS, DRAWN, WIDE = 2048, 2048, 2048
