@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsgrain.functions import columns as C
 from newsgrain.operators import construct, facts, graph, names, quality, retrieval, series, tiles
+from newsgrain.plans import queries_text, registry  # noqa: F401
 from newsgrain.sources import label_records, readers, writers
 from newsgrain.streaming import jobs
 
@@ -364,3 +365,45 @@ def test_cooldown_as_a_stream(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == [(k, m) for k in (1, 2) for m in (0, 61, 121, 181)]
+
+
+def test_ordered_union_of_recipients_and_categories(spark, tmp_path):
+    rng = random.Random(6)
+    names = ["Q", "B", "LARGE", "A", "Z", "SMALL"]  # a country may be called like a category
+    orders = [3 * i for i in range(80)]
+    lines = [(o, rng.randrange(6), rng.randrange(8)) for o in orders for _ in range(rng.randint(0, 5))]
+    kinds = ["SMALL", "PROMO", "LARGE", "ECONOMY", "PROMO", "B", "SMALL", "X"]
+    events = [(i, dt.datetime(2024, 1, 1 + i % 9), rng.randrange(7), "click", 1.0) for i in range(60)]
+    for name, rows, schema in (
+        ("nation", [*enumerate(names)], "n_nationkey long, n_name string"),
+        ("supplier", [(i, i) for i in range(6)], "s_suppkey long, s_nationkey long"),
+        ("part", [*enumerate(kinds)], "p_partkey long, p_type string"),
+        ("orders", [(o,) for o in orders], "o_orderkey long"),
+        ("lineitem", lines, "l_orderkey long, l_suppkey long, l_partkey long"),
+        ("events", events, "event_id long, ts timestamp, user_id long, event_type string, value double"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/sf/{name}.parquet")
+    got = {r.id: (r.n, r["keys"]) for r in registry.QUERIES["union_arrays_ordered"](spark, f"file://{tmp_path}/sf").collect()}
+    want, kept = {}, 0
+    for user in {e[2] for e in events}:
+        docs = {orders[e[0] % 10] for e in events if e[2] == user}
+        ranked = []
+        for pairs in ({(o, names[s]) for o, s, _ in lines}, {(o, kinds[p]) for o, _, p in lines}):
+            n = collections.Counter(k for o, k in pairs if o in docs)
+            ranked += sorted(n, key=lambda k: (-n[k], k))
+        both = [*dict.fromkeys(ranked)]
+        kept += len(ranked) > len(both) and both != sorted(both)
+        want[user] = (len(both), ",".join(both))
+    assert got == want and kept
+    # the SQL has no row for an event without any
+    duck = pytest.importorskip("duckdb").connect()
+    for t in ("nation", "supplier", "part", "orders", "lineitem", "events"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/sf/{t}.parquet/*.parquet')")
+    assert {i: (n, k) for i, n, k in duck.execute(registry.SQL["union_arrays_ordered"]).fetchall()} == {i: x for i, x in want.items() if x[0]}
+
+
+def test_ordered_union_of_arrays(spark):
+    rows = [(0, ["c", "a"], ["b", "a", "d"]), (1, None, ["b", "a"]), (2, ["z", "a", "z"], None), (3, [], []), (4, None, None)]
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
+    got = [r.u for r in df.select("i", C.union_arrays_ordered(F.col("a"), F.col("b")).alias("u")).orderBy("i").collect()]
+    assert got == [["c", "a", "b", "d"], ["b", "a"], ["z", "a"], [], []]
