@@ -292,3 +292,46 @@ def test_day_pack_takes_numbers_for_names(spark, tmp_path):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/sf/{t}.parquet/*.parquet')")
     want = duck.execute(registry.SQL["document_day_pack"]).fetchall()
     assert sorted((r.date, r.doc_id, r.chunk) for r in got.collect()) == sorted(want) and want
+
+
+def test_files_of_distances_are_small(spark, tmp_path):
+    rng, n = random.Random(11), 3000
+    df = spark.createDataFrame([("A", 7 * i, [rng.gauss(0, 1) for _ in range(32)], rng.sample(range(400), 5), datetime.date(2024, 1, 1) + datetime.timedelta(i % 50)) for i in range(n)], "block string, id long, embedding array<double>, docs array<long>, day date")
+    graph.pairwise_composite_distance(df, size=4096).write.parquet(f"file://{tmp_path}/pairs")
+    assert spark.read.parquet(f"file://{tmp_path}/pairs").count() == n * (n - 1) / 2
+    size = sum(os.path.getsize(tmp_path / "pairs" / f) for f in os.listdir(tmp_path / "pairs") if f.endswith(".parquet"))
+    assert size < 5.5 * n * (n - 1) / 2  # a pair is three numbers of eight bytes
+    # of a large block an event goes to few tiles
+    assert graph._tiled(df, 30, True, 10, 80).count() == n * 38
+
+
+def test_pairs_of_tiles_by_chunks():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    for alone, text, far in itertools.product((True, False), (True, False), (True, False)):
+        rows = []
+        for k in range(70):
+            u = [rng.gauss(0, 1) for _ in range(rng.choice([3, 4]))] if k % 11 else rng.choice([None, [0.0, 0.0, 0.0], [math.inf, 1.0, 0.0]])
+            rows.append((rng.randint(0, 60), u, rng.sample(range(20), rng.randint(0, 6)) if k % 13 else None, rng.randint(0, 70) if k % 17 else None, alone or k % 3 == 0))
+        name = (lambda i: f"n{i:02d}") if text else (lambda i: i)
+        t = pa.table({"id": pa.array([name(r[0]) for r in rows]), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64())), "docs": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "day": pa.array([r[3] for r in rows], pa.int32()), "_left": pa.array([r[4] for r in rows]), "_i": [0] * 70, "_j": [0 if alone else 1] * 70})
+        want = []
+        for (i, u, x, s, mine), (j, v, y, e, other) in itertools.combinations(rows, 2):
+            gap = abs(s - e) if s is not None and e is not None else None
+            if i == j or not alone and mine == other or not far and (gap is None or gap > 30):
+                continue  # an event with itself, tiles with themselves
+            x, y, d = set(x or ()), set(y or ()), math.nan
+            if gap is not None and gap > 30:
+                d = 1.0
+            elif not any(math.inf in (w or ()) for w in (u, v)):
+                cosine = sum(k * n for k, n in zip(u, v, strict=False)) / math.hypot(*u) / math.hypot(*v) if any(u or ()) and any(v or ()) else 0.0
+                d = 0.4 * (1 - cosine) + 0.2 * (1 - (len(x & y) / len(x | y) if x | y else 0.0)) + 0.4 * (1.0 if gap is None else gap / 30)
+            want.append((name(min(i, j)), name(max(i, j)), d))
+        got = [b.to_pydict() for b in graph.composite_pairs(t, (0.4, 0.2, 0.4), 30, far, chunk=9, strip=4, few=2, most=5)]
+        assert max(len(b["a"]) for b in got) <= 5
+        got = [x for b in got for x in zip(b["a"], b["b"], b["distance"], strict=True)]
+        key = lambda r: (r[0], r[1], math.isnan(r[2]), r[2])
+        assert [r[:2] for r in sorted(got, key=key)] == [r[:2] for r in sorted(want, key=key)]
+        assert np.allclose([r[2] for r in sorted(got, key=key)], [r[2] for r in sorted(want, key=key)], atol=1.1e-6, rtol=0, equal_nan=True)
